@@ -63,3 +63,31 @@ def texts(rb: pa.RecordBatch, column: str) -> list[str]:
 
 def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of rows with equal keys (integer columns) of a partition sorted by them."""
+    carry: list[pa.RecordBatch] = []
+    last = None
+    for rb in batches:
+        n = rb.num_rows
+        if not n:
+            continue
+        cols = [rb.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.zeros(n, bool)
+        for c in cols:
+            change[1:] |= c[1:] != c[:-1]
+        first = tuple(c[0] for c in cols)
+        change[0] = last is not None and first != last
+        cuts = np.flatnonzero(change)
+        start = 0
+        for cut in cuts.tolist():
+            if cut > start:
+                carry.append(rb.slice(start, cut - start))
+            if carry:
+                yield pa.Table.from_batches(carry)
+            carry, start = [], cut
+        carry.append(rb.slice(start, n - start))
+        last = tuple(c[-1] for c in cols)
+    if carry:
+        yield pa.Table.from_batches(carry)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from recallspark.llm import bpe, packing, quality_rules, url_filter
+from recallspark.llm import bpe, minhash, packing, quality_rules, url_filter
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op7_packing": packing.op7_packing,
+    "op8_minhash": minhash.op8_minhash,
     "op9_bpe": bpe.op9_bpe,
     "op10_url_filter": url_filter.op10_url_filter,
 }
