@@ -5,8 +5,8 @@
    population count of two bitmaps' XOR estimates how many samples differ.
 2. Texts with equal sets form one class, which goes on as its smallest doc_id. This pre-aggregates
    groups of exact copies of any size.
-3. Within each band bucket all members are compared with one centre, for a few rounds of other
-   centres, while members of one component are never compared again. What is left in buckets of
+3. Within each band bucket all members are compared with one centre, again with another centre while
+   much is left; members of one component are never compared again. What is left in buckets of
    several components is compared exhaustively: in blocks, each member outside the bucket's largest
    component against all members of other components. No bucket is capped.
 4. Pairs whose sizes allow the threshold and whose sketches agree well enough (a margin of more than
@@ -37,8 +37,9 @@ from recallspark.plans.shipping import ensure_on_executors
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 SAMPLES = BANDS * ROWS
-#: Rounds of centres before the exhaustive comparison, and members in a block of it.
-ROUNDS, BLOCK = 4, 1024
+#: Rounds of centres at most, comparisons left for each bucket row that end them, and members in a
+#: block of the exhaustive comparison.
+MOST_ROUNDS, PAIRS_A_ROW, BLOCK = 8, 500, 512
 WORDS_KNOWN = 300_000
 SLICE_BYTES = 2 << 20
 
@@ -170,11 +171,12 @@ def _confirm(pairs: DataFrame, source: DataFrame, words: int, threshold: float)
     return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _exhaustive(members: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Plausible pairs of different components in each bucket.
+def _exhaustive(members: DataFrame, text: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
+    """Links (a, b) that join all components of a bucket that any link between its members joins.
 
     ``members``: key, rep, comp, n, sketch. Members outside the bucket's largest component meet all
-    members of the bucket, in cells of two blocks.
+    members of the bucket, in cells of two blocks. A cell counts common shingles of plausible pairs
+    of different components by an inverted index, exactly, and passes over pairs it has just joined.
     """
     ensure_on_executors(members.sparkSession)
     sizes = members.groupBy("key", "comp").count()
@@ -186,23 +188,68 @@ def _exhaustive(members: DataFrame, threshold: float, block: int) -> DataFrame:
     inside = m.select("key", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s"), F.pmod(h, F.col("nb")).cast("int").alias("m"), F.lit(False).alias("outer"), "rep", "comp", "n", "sketch")
     percent, most = round(100 * threshold), most_odd_bits(threshold)
 
+    def links_of(cell: pa.Table, shingle: Shingler) -> tuple[list[int], list[int]]:
+        outer = cell.column("outer").to_numpy()
+        rep, comp, n = (cell.column(c).to_numpy() for c in ("rep", "comp", "n"))
+        sketch = np.array(cell.column("sketch").to_pylist(), np.int64).view(np.uint64)
+        rows, root, a_out, b_out = np.flatnonzero(~outer), {c: c for c in comp.tolist()}, [], []
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        text_col = cell.column("text").cast(pa.large_binary())
+        index: tuple[np.ndarray, np.ndarray] | None = None
+        for i in np.flatnonzero(outer).tolist():
+            near = rows[comp[rows] != comp[i]]
+            near = near[100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])]
+            near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1) <= most]
+            if not len(near):
+                continue
+            if index is None:
+                sets = [shingle(text_col[j].as_py() or b"") for j in rows.tolist()]
+                flat = np.concatenate(sets)
+                order = np.argsort(flat, kind="stable")
+                index = flat[order], np.repeat(rows, [len(x) for x in sets])[order]
+            own = shingle(text_col[i].as_py() or b"")
+            lo, hi = np.searchsorted(index[0], own), np.searchsorted(index[0], own, side="right")
+            length = hi - lo
+            at = np.repeat(lo - np.cumsum(length) + length, length) + np.arange(length.sum())
+            common = np.bincount(index[1][at], minlength=len(rep))[near]
+            for j in near[100 * common >= percent * (n[i] + n[near] - common)].tolist():
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a_out.append(int(rep[i]))
+                    b_out.append(int(rep[j]))
+        return a_out, b_out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for cell in sorted_groups(batches, ["key", "s", "m"]):
+            a, b = links_of(cell, shingle)
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    def plausible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in sorted_groups(batches, ["key", "s", "m"]):
             outer = cell.column("outer").to_numpy()
-            rep, comp, n = (cell.column(c).to_numpy() for c in ("rep", "comp", "n"))
+            comp, n = cell.column("comp").to_numpy(), cell.column("n").to_numpy()
             sketch = np.array(cell.column("sketch").to_pylist(), np.int64).view(np.uint64)
-            rows = np.flatnonzero(~outer)
-            a_out, b_out = [], []
+            rows, use = np.flatnonzero(~outer), np.zeros(len(outer), bool)
             for i in np.flatnonzero(outer).tolist():
-                near = rows[comp[rows] != comp[i]]
-                near = near[100 * np.minimum(n[near], n[i]) >= percent * np.maximum(n[near], n[i])]
+                near = rows[(comp[rows] != comp[i]) & (100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i]))]
                 near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1) <= most]
-                a_out.append(np.minimum(rep[near], rep[i]))
-                b_out.append(np.maximum(rep[near], rep[i]))
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out), pa.int64()), pa.array(np.concatenate(b_out), pa.int64())], ["a", "b"])
-
-    cells = outside.union(inside).repartition("key", "s", "m").sortWithinPartitions("key", "s", "m")
+                use[near] = True
+                use[i] = len(near) > 0
+            if use.any():
+                yield from cell.filter(pa.array(use)).combine_chunks().to_batches()
+
+    by = ("key", "s", "m")
+    cells = outside.union(inside).repartition(*by).sortWithinPartitions(*by)
+    cells = cells.mapInArrow(plausible, cells.schema)  # only these rows need their texts
+    cells = cells.join(text.select(F.col("doc_id").alias("rep"), "text"), "rep").repartition(*by).sortWithinPartitions(*by)
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -230,36 +277,42 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
         both = pairs.join(a, "a").join(b, "b")
         return both.where(_plausible(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), threshold)).select("a", "b")
 
-    links: DataFrame | None = None
+    def with_comp(labels: DataFrame | None) -> DataFrame:
+        if labels is None:
+            return members.withColumn("comp", F.col("rep"))
+        return members.join(labels, members.rep == labels.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
+
+    def merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+        """Components after the links found; links run between members of components so far."""
+        if labels is None:
+            return scratch.save(connected_components(found))
+        a, b = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+        between = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        above = scratch.save(connected_components(between)).toDF("old", "new")
+        moved = labels.join(above, labels.component == above.old, "left").select("id", F.coalesce("new", "component").alias("component"))
+        fresh = above.select(F.col("old").alias("id"), F.col("new").alias("component")).join(labels, "id", "left_anti")
+        return scratch.save(moved.union(fresh))
+
     labels: DataFrame | None = None
-    tested: list[DataFrame] = []
-    for i in range(ROUNDS):
-        m = members if labels is None else members.join(labels, members.rep == labels.id, "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-        m = m.withColumn("comp", F.col("rep")) if labels is None else m
+    for i in range(MOST_ROUNDS):
+        m = with_comp(labels)
         order = F.col("rep") if i == 0 else F.xxhash64("rep", F.lit(i))
         centre = m.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("centre"), F.col("comp").alias("of"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "c.centre", "c.of")
         pairs = m.join(centre, "key").where("comp <> of").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
-        for t in tested:
-            pairs = pairs.join(t, ["a", "b"], "left_anti")
-        pairs = scratch.save(pairs)
-        if pairs.isEmpty():
-            break
-        tested.append(pairs)
         found = scratch.save(_confirm(joined(pairs), text, words, threshold))
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        labels = scratch.save(connected_components(links))
-    # what is left in buckets of several components
-    m = members.join(active.select("rep", "n", "sketch"), "rep")
-    m = m.withColumn("comp", F.col("rep")) if labels is None else m.join(labels, m.rep == labels.id, "left").withColumn("comp", F.coalesce("component", "rep"))
-    rest = _exhaustive(m.select("key", "rep", "comp", "n", "sketch"), threshold, BLOCK)
-    for t in tested:
-        rest = rest.join(t, ["a", "b"], "left_anti")
-    found = scratch.save(_confirm(scratch.save(rest), text, words, threshold))
-    if not found.isEmpty():
-        links = found if links is None else links.union(found)
-        labels = scratch.save(connected_components(links))
+        scratch.release_shuffles()
+        if not found.isEmpty():
+            labels = merged(labels, found)
+        # more centres only where comparing the rest exhaustively would cost far more than the buckets hold
+        sizes = with_comp(labels).groupBy("key", "comp").count().groupBy("key").agg(F.sum("count").alias("n"), F.max("count").alias("top"))
+        work, rows = sizes.agg(F.sum(F.col("n") * (F.col("n") - F.col("top"))), F.sum("n")).first()
+        if not work or work <= PAIRS_A_ROW * rows:
+            break
+    if work:  # the rest, in buckets of several components
+        m = with_comp(labels).join(active.select("rep", "n", "sketch"), "rep")
+        found = scratch.save(_exhaustive(m.select("key", "rep", "comp", "n", "sketch"), text, words, threshold, BLOCK))
+        if not found.isEmpty():
+            labels = merged(labels, found)
     out = f.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
     if labels is not None:
         out = out.join(labels, out.rep == labels.id, "left").withColumn("rep", F.coalesce("component", "rep"))
