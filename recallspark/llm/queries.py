@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from recallspark.llm import bpe, minhash, packing, quality_rules, url_filter
+from recallspark.llm import bpe, context_tree, minhash, packing, quality_rules, suffix_dedup, url_filter
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_suffix_array": suffix_dedup.op5_suffix_array,
+    "op6_context_tree": context_tree.op6_context_tree,
     "op7_packing": packing.op7_packing,
     "op8_minhash": minhash.op8_minhash,
     "op9_bpe": bpe.op9_bpe,
