@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,6 +59,7 @@ class Scratch:
         """Lets Spark delete shuffle files of finished queries before the next large stage."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)  # the cleaner works in its own thread
 
     def _delete(self, path: str) -> None:
         sc = self.spark.sparkContext
