@@ -25,12 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import held_out, text_bytes
+from recallspark.llm.common import held_out, small_slices, text_bytes
 from recallspark.plans.scratch import Scratch
 from recallspark.plans.shipping import ensure_on_executors
 
 #: Bytes of context, remainder of the held-out split, and text bytes of a block of documents.
 DEPTH, MODULUS, BLOCK_BYTES = 3, 10, 8 << 20
+#: Text bytes of a block that are looked up at a time.
+SLICE_BYTES = 1 << 20
 #: The end token's key among word hashes.
 END_KEY = xxhash.xxh3_64_intdigest(b"\n") - (1 << 63)
 _NODES = 255
@@ -42,17 +44,35 @@ def word_key(w: bytes) -> int:
 
 def grams(flat: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
     """Each byte with its ``depth`` predecessors in the same text, packed with the byte lowest."""
-    out = flat.astype(np.int64)
+    kind = np.uint32 if depth <= 3 else np.int64
+    out = flat.astype(kind)
     for k in range(1, depth + 1):
-        before = np.zeros(len(flat), np.int64)
+        before = np.zeros(len(flat), kind)
         before[k:] = flat[:-k]
         for j in range(k):  # the first k bytes of a text have nothing so far back
             at = offsets[:-1] + j
             before[at[at < offsets[1:]]] = 0
-        out |= before << (8 * k)
+        out |= before << kind(8 * k)
     return out
 
 
+#: Cells of a direct table over the pairs of bytes that a block holds; wider alphabets are sorted.
+MOST_CELLS = 1 << 23
+
+
+def cells(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Each packed string's place in a table of (older pair, newer pair), and the table's strings."""
+    if codes.dtype != np.uint32 or not len(codes):
+        return None
+    old, new = (codes >> np.uint32(16)).astype(np.uint16), codes.astype(np.uint16)
+    olds, news = (np.flatnonzero(np.bincount(x, minlength=1 << 16)) for x in (old, new))
+    if len(olds) * len(news) > MOST_CELLS:
+        return None
+    row, column = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+    row[olds], column[news] = np.arange(len(olds)) * len(news), np.arange(len(news))
+    return row[old] + column[new], (olds[:, None] << 16 | news).ravel()
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma for x >= 0.5, by Stirling's series above 8."""
     x = np.asarray(x, float)
@@ -154,15 +174,23 @@ def string_scores(counts: DataFrame, depth: int) -> DataFrame:
 def _count_block(table: pa.Table, depth: int) -> pa.Table:
     """(block, word, key, n): strings and words of a block, with their counts in training texts."""
     rb = table.combine_chunks().to_batches()[0]
-    flat, offsets = text_bytes(rb, "text")
     train = ~rb.column("held_out").to_numpy(zero_copy_only=False)
-    sizes = np.diff(offsets)
-    codes = grams(flat, offsets, depth)
-    counted = np.repeat(train, sizes)
-    order = np.sort(codes[counted])
-    first = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.zeros(0, np.int64)
-    seen, times = order[first], np.diff(np.append(first, len(order)))
-    other = np.setdiff1d(np.unique(codes[~counted]), seen, assume_unique=True)
+    parts, at = [], 0
+    for part in small_slices(iter([rb]), "text", SLICE_BYTES):
+        flat, offsets = text_bytes(part, "text")
+        codes = grams(flat, offsets, depth)
+        counted = np.repeat(train[at : at + part.num_rows], np.diff(offsets))
+        at += part.num_rows
+        if (table_of := cells(codes)) is not None:
+            place, string = table_of
+            total, times = np.bincount(place, minlength=len(string)), np.bincount(place[counted], minlength=len(string))
+            parts.append((string[total > 0], times[total > 0]))
+        else:
+            string, inverse = np.unique(codes, return_inverse=True)
+            parts.append((string, np.bincount(inverse[counted], minlength=len(string))))
+    strings, inverse = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+    times = np.bincount(inverse, np.concatenate([n for _, n in parts]), len(strings)).astype(np.int64)
+    flat, offsets = text_bytes(rb, "text")
     words: dict[bytes, int] = {}
     raw = flat.tobytes()
     for i, on in enumerate(train.tolist()):
@@ -171,9 +199,9 @@ def _count_block(table: pa.Table, depth: int) -> pa.Table:
     keys = np.array([*map(word_key, words), END_KEY], np.int64)
     n = np.array([*words.values(), int(train.sum())], np.int64)
     block = table.column("block")[0].as_py()
-    key = np.concatenate([seen, other, keys])
-    many = np.concatenate([times, np.zeros(len(other), np.int64), n])
-    is_word = np.arange(len(key)) >= len(seen) + len(other)
+    key = np.concatenate([strings.astype(np.int64), keys])
+    many = np.concatenate([times, n])
+    is_word = np.arange(len(key)) >= len(strings)
     return pa.table({"block": np.full(len(key), block, np.int64), "word": is_word, "key": key, "n": many})
 
 
@@ -187,9 +215,18 @@ def _score_block(texts: pa.Table, known: pa.Table, depth: int, train_tokens: int
     g, gv = key[~is_word], value[~is_word]
     order = np.argsort(g)
     g, gv = g[order], gv[order]
-    codes = grams(flat, offsets, depth)
-    total = np.append(0.0, np.cumsum(gv[np.searchsorted(g, codes)])) if len(codes) else np.zeros(1)
-    score = total[offsets[1:]] - total[offsets[:-1]]
+    scores = []
+    for part in small_slices(iter([rb]), "text", SLICE_BYTES):
+        own, begins = text_bytes(part, "text")
+        codes = grams(own, begins, depth)
+        if (table_of := cells(codes)) is not None:
+            place, string = table_of
+            values = gv[np.minimum(np.searchsorted(g, string), len(g) - 1)][place]  # strings that don't occur are never looked up
+        else:
+            values = gv[np.searchsorted(g, codes)]
+        total = np.append(0.0, np.cumsum(values))
+        scores.append(total[begins[1:]] - total[begins[:-1]])
+    score = np.concatenate(scores)
     counts = dict(zip(key[is_word].tolist(), value[is_word].tolist()))
     below = train_tokens + 0.1 * (distinct + 1)
     seen: dict[bytes, float] = {}

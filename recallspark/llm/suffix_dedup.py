@@ -2,8 +2,8 @@
 
 Every window of ``length`` bytes belongs to its minimizer, the k-gram in it with the least hash
 (leftmost of equals). Equal windows have equal minimizers, so windows are sharded by that hash and no
-repeat is lost; neighbouring windows with one minimizer travel together as one stretch of text. A
-shard first sets aside stretches equal to an earlier one, then the minimizers with one stretch, and
+repeat is lost; neighbouring windows with one minimizer travel together as one stretch of text.
+Minimizers are counted first, and only stretches whose minimizer occurs twice are sent. A shard first sets aside stretches equal to an earlier one, then the minimizers with one stretch, and
 sorts all suffixes of what is left by induced sorting. Suffixes whose common prefix with their
 predecessor reaches the length are equal windows; all but the earliest are repeats.
 
@@ -20,6 +20,7 @@ cleaned text drops broken ones; further columns are ignored; an empty table give
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,9 @@ from recallspark.plans.shipping import ensure_on_executors
 LENGTH, GRAM = 100, 24
 #: Bytes of text cut at a time, longest part of one document, stretch bytes sorted at a time, and
 #: different stretches of a minimizer beyond which its windows are handed on.
-SLICE_BYTES, PART_BYTES, SHARD_BYTES, MANY = 1 << 20, 1 << 22, 1 << 20, 4000
+SLICE_BYTES, PART_BYTES, SHARD_BYTES, MANY = 1 << 19, 1 << 21, 1 << 20, 4000
+#: Text bytes of a block of documents that is cut in one task.
+BLOCK_BYTES = 6 << 20
 NULL_ID = -(1 << 63)
 
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
@@ -105,25 +108,56 @@ def stretches(flat: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     return grams[least[starts]].view(np.int64), starts, run + length - 1
 
 
-def _cut(length: int, gram: int):
-    """Arrow rows (shard, doc_id, start, data): stretches, and with null data those set aside."""
+def _pieces(rb: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bytes, offsets, ids and first offset of pieces of a batch; a very long text gives several."""
+    for part in small_slices(iter([rb]), "text", SLICE_BYTES):
+        flat, offsets = text_bytes(part, "text")
+        ids = part.column("doc_id").to_numpy()
+        if len(flat) <= PART_BYTES:
+            yield flat, offsets, ids, np.zeros(len(ids), np.int64)
+            continue
+        for a in range(0, len(flat) - length + 1, PART_BYTES):
+            own = flat[a : a + PART_BYTES + length - 1]
+            yield own, np.array([0, len(own)]), ids, np.array([a])
+
+
+def _mark(length: int, gram: int):
+    """(shard, block, n): stretches of each shard and block, combined within a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rb in small_slices(batches, "text", SLICE_BYTES):
-            flat, offsets = text_bytes(rb, "text")
-            ids = rb.column("doc_id").to_numpy()
-            if len(flat) <= PART_BYTES:
-                yield _cut_block(flat, offsets, ids, np.zeros(len(ids), np.int64), length, gram)
-                continue
-            for a in range(0, len(flat) - length + 1, PART_BYTES):  # one very long text
-                part = flat[a : a + PART_BYTES + length - 1]
-                yield _cut_block(part, np.array([0, len(part)]), ids, np.array([a]), length, gram)
+        for part in small_slices(batches, "text", SLICE_BYTES):
+            block = part.column("block").to_numpy()
+            for flat, offsets, _, _ in _pieces(part, length):
+                shard, starts, _ = stretches(flat, offsets, length, gram)
+                row = np.searchsorted(offsets, starts, side="right") - 1
+                key = block[row]
+                order = np.lexsort((shard, key))
+                shard, key = shard[order], key[order]
+                first = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (key[1:] != key[:-1]))) if len(shard) else order
+                n = np.diff(np.append(first, len(shard)))
+                yield pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(key[first]), pa.array(n, pa.int64())], ["shard", "block", "n"])
 
     return run
 
 
-def _cut_block(flat, offsets, ids, first, length: int, gram: int) -> pa.RecordBatch:
+def _cut(length: int, gram: int):
+    """Rows of a block of documents: stretches of shards met twice, and those set aside (null data)."""
+
+    def run(texts: pa.Table, shards: pa.Table) -> pa.Table:
+        wanted = np.unique(shards.column("shard").to_numpy())
+        out = [_cut_block(*piece, length, gram, wanted) for rb in texts.combine_chunks().to_batches() for piece in _pieces(rb, length)]
+        return pa.Table.from_batches(out) if out else _CUT_SCHEMA.empty_table()
+
+    return run
+
+
+_CUT_SCHEMA = pa.schema({"shard": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "data": pa.binary()})
+
+
+def _cut_block(flat, offsets, ids, first, length: int, gram: int, wanted: np.ndarray) -> pa.RecordBatch:
     shard, starts, sizes = stretches(flat, offsets, length, gram)
+    met = wanted[np.minimum(np.searchsorted(wanted, shard), len(wanted) - 1)] == shard if len(wanted) else np.zeros(len(shard), bool)
+    shard, starts, sizes = shard[met], starts[met], sizes[met]
     row = np.searchsorted(offsets, starts, side="right") - 1
     doc, start = ids[row], starts - offsets[row] + first[row]
     if len(starts):
@@ -283,7 +317,15 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     """(doc_id, start, stop) of repeats, overlapping spans not yet merged. ``source``: doc_id, text."""
     ensure_on_executors(source.sparkSession)
     scratch = Scratch.of(source.sparkSession)
-    cut = source.mapInArrow(_cut(length, gram), "shard long, doc_id long, start long, stop long, data binary")
+    size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    source = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    marks = source.mapInArrow(_mark(length, gram), "shard long, block long, n long").repartition("shard")
+    twice = marks.groupBy("shard").agg(F.sum("n").alias("n")).where("n > 1").select("shard")
+    shards = scratch.save(marks.select("shard", "block").join(twice, "shard", "left_semi"))
+    del marks, twice
+    scratch.release_shuffles()
+    cut = source.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_cut(length, gram), "shard long, doc_id long, start long, stop long, data binary")
     dealt = cut.repartition("shard").sortWithinPartitions("shard", "doc_id", "start")
     found = scratch.save(dealt.mapInArrow(_sort_shards(length), "doc_id long, start long, stop long, h1 long, h2 long"))
     scratch.release_shuffles()
