@@ -54,13 +54,14 @@ def _ratio(a: Column, b: Column) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: the id, the counts and the ratios that rules refer to."""
-    keep = [F.col(id_col).alias("doc_id")]
+    """One row per input row: the id, the row itself as ``row``, the counts and ratios that rules refer to."""
+    keep = [F.col(id_col).alias("doc_id"), F.struct("*").alias("row")]
     t = F.coalesce(F.col(text_col), F.lit(""))
     compact = F.translate(F.col("t"), SPACES, "")
     a = docs.select(*keep, t.alias("t"))
     a = a.select(
         "doc_id",
+        "row",
         F.length(compact).alias("word_chars"),
         F.length("t").alias("n_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).alias("n_symbols"),
@@ -85,6 +86,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     stop = F.size(F.filter("words", lambda w: lower(w, upper_az, lower_az).isin(STOP_WORDS)))
     a = a.select(
         "doc_id",
+        "row",
         F.col("n_words").cast("long").alias("n_words"),
         F.col("word_chars").cast("long").alias("word_chars"),
         F.col("n_symbols").cast("long").alias("n_symbols"),

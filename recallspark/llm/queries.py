@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from recallspark.llm import bpe, context_tree, minhash, packing, quality_rules, suffix_dedup, url_filter
+from recallspark.llm import bpe, context_tree, lattice, minhash, packing, quality_mil, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
+    "op1_lattice": lattice.op1_lattice,
+    "op2_toxicity": toxicity.op2_toxicity,
+    "op3_quality": quality_mil.op3_quality,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_suffix_array": suffix_dedup.op5_suffix_array,
     "op6_context_tree": context_tree.op6_context_tree,

@@ -338,6 +338,16 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return spans.union(later.select("doc_id", "start", "stop"))
 
 
+def _apply_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The input rows, as ``row``, beside the cleaned text."""
+    for rb in batches:
+        at = 0
+        for out in _apply(iter([rb])):
+            n = out.num_rows
+            yield pa.RecordBatch.from_arrays([rb.column("row").slice(at, n), out.column("clean_text")], ["row", "clean_text"])
+            at += n
+
+
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in small_slices(batches, "text", SLICE_BYTES):
         ids, out = rb.column("doc_id"), [[], [], [], [], []]
@@ -374,5 +384,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))
 
 
+def clean_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The documents (doc_id, text and any other columns) with repeats cut out of their texts."""
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", row.alias("row"))
+    spans = repeated_spans(source.select("doc_id", "text"), length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = source.join(spans, "doc_id", "left")
+    schema = joined.select("row", F.col("text").alias("clean_text")).schema
+    out = joined.mapInArrow(_apply_rows, schema)
+    return out.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
+
+
 def op5_suffix_array(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
