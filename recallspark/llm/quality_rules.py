@@ -132,6 +132,16 @@ def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, min_words: i
     )
 
 
+def keep_passing(docs: DataFrame) -> DataFrame:
+    """The rows of docs, unchanged, that pass all rules.
+
+    A filter would be pushed below the projections, each measure then being computed anew wherever
+    the predicate names it. The row mark can't be moved, so it holds the filter above them.
+    """
+    judged = quality_rules(docs).withColumn("mark", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("mark") >= 0)).select("row.*")
+
+
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
