@@ -17,7 +17,7 @@ from recallspark.plans.scratch import Scratch
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.quality_rules(docs).where("kept").select("row.*")
+    return quality_rules.keep_passing(docs)
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
