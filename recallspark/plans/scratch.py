@@ -9,12 +9,13 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OPEN: dict[str, Scratch] = {}
+#: While a table is written, Spark deletes the query's shuffle files as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Scratch:
@@ -42,7 +43,12 @@ class Scratch:
         writer = df.write
         if partition_by:
             writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            writer.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = path
         out._scratch_path = path
@@ -59,7 +65,6 @@ class Scratch:
         """Lets Spark delete shuffle files of finished queries before the next large stage."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)  # the cleaner works in its own thread
 
     def _delete(self, path: str) -> None:
         sc = self.spark.sparkContext
