@@ -174,7 +174,7 @@ def _confirm(pairs: DataFrame, source: DataFrame, words: int, threshold: float)
 def _exhaustive(members: DataFrame, text: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
     """Links (a, b) that join all components of a bucket that any link between its members joins.
 
-    ``members``: key, rep, comp, n, sketch. Members outside the bucket's largest component meet all
+    ``members``: key, rep, comp, n, sketch, bands. Members outside the bucket's largest component meet all
     members of the bucket, in cells of two blocks. A cell counts common shingles of plausible pairs
     of different components by an inverted index, exactly, and passes over pairs it has just joined.
     """
@@ -184,8 +184,8 @@ def _exhaustive(members: DataFrame, text: DataFrame, words: int, threshold: floa
     top = top.where("n_all > n_top").select("key", "top", F.ceil(F.col("n_all") / block).cast("int").alias("nb"), F.ceil((F.col("n_all") - F.col("n_top")) / block).cast("int").alias("sb"))
     m = members.join(top, "key")
     h = F.xxhash64("rep", F.lit(7))
-    outside = m.where("comp <> top").select("key", F.pmod(h, F.col("sb")).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("m"), F.lit(True).alias("outer"), "rep", "comp", "n", "sketch")
-    inside = m.select("key", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s"), F.pmod(h, F.col("nb")).cast("int").alias("m"), F.lit(False).alias("outer"), "rep", "comp", "n", "sketch")
+    outside = m.where("comp <> top").select("key", F.pmod(h, F.col("sb")).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("m"), F.lit(True).alias("outer"), "rep", "comp", "n", "sketch", "bands")
+    inside = m.select("key", F.explode(F.sequence(F.lit(0), F.col("sb") - 1)).alias("s"), F.pmod(h, F.col("nb")).cast("int").alias("m"), F.lit(False).alias("outer"), "rep", "comp", "n", "sketch", "bands")
     percent, most = round(100 * threshold), most_odd_bits(threshold)
 
     def links_of(cell: pa.Table, shingle: Shingler) -> tuple[list[int], list[int]]:
@@ -237,18 +237,22 @@ def _exhaustive(members: DataFrame, text: DataFrame, words: int, threshold: floa
             outer = cell.column("outer").to_numpy()
             comp, n = cell.column("comp").to_numpy(), cell.column("n").to_numpy()
             sketch = np.array(cell.column("sketch").to_pylist(), np.int64).view(np.uint64)
+            bands = np.array(cell.column("bands").to_pylist(), np.int64)
+            key = cell.column("key")[0].as_py()
             rows, use = np.flatnonzero(~outer), np.zeros(len(outer), bool)
             for i in np.flatnonzero(outer).tolist():
                 near = rows[(comp[rows] != comp[i]) & (100 * np.minimum(n[rows], n[i]) >= percent * np.maximum(n[rows], n[i]))]
                 near = near[np.bitwise_count(sketch[near] ^ sketch[i]).sum(axis=1) <= most]
+                # a pair that shares several buckets is left to the first
+                near = near[bands[i][(bands[near] == bands[i]).argmax(axis=1)] == key]
                 use[near] = True
                 use[i] = len(near) > 0
             if use.any():
-                yield from cell.filter(pa.array(use)).combine_chunks().to_batches()
+                yield from cell.drop_columns("bands").filter(pa.array(use)).combine_chunks().to_batches()
 
     by = ("key", "s", "m")
     cells = outside.union(inside).repartition(*by).sortWithinPartitions(*by)
-    cells = cells.mapInArrow(plausible, cells.schema)  # only these rows need their texts
+    cells = cells.mapInArrow(plausible, cells.drop("bands").schema)  # only these rows need their texts
     cells = cells.join(text.select(F.col("doc_id").alias("rep"), "text"), "rep").repartition(*by).sortWithinPartitions(*by)
     return cells.mapInArrow(run, "a long, b long").distinct()
 
@@ -266,7 +270,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
     several = exploded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
     members = scratch.save(exploded.join(several, "key"))
     active = members.select(F.col("rep").alias("doc_id")).distinct()
-    active = scratch.save(reps.join(active, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "cls"))
+    active = scratch.save(reps.join(active, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands"))
     reps_text = source.join(active.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     text = scratch.save(reps_text)
     scratch.release_shuffles()
@@ -309,8 +313,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
         if not work or work <= PAIRS_A_ROW * rows:
             break
     if work:  # the rest, in buckets of several components
-        m = with_comp(labels).join(active.select("rep", "n", "sketch"), "rep")
-        found = scratch.save(_exhaustive(m.select("key", "rep", "comp", "n", "sketch"), text, words, threshold, BLOCK))
+        m = with_comp(labels).join(active.select("rep", "n", "sketch", "bands"), "rep")
+        found = scratch.save(_exhaustive(m.select("key", "rep", "comp", "n", "sketch", "bands"), text, words, threshold, BLOCK))
         if not found.isEmpty():
             labels = merged(labels, found)
     out = f.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
