@@ -9,6 +9,13 @@ DAY_MS = 86_400_000
 
 #: Weights of lexical, vector, recency, access and importance signals by query kind.
 SEMANTIC_WEIGHTS = {"fts": 0.2, "vec": 0.35, "recency": 0.15, "access": 0.1, "importance": 0.2}
+WEIGHT_PROFILES = {
+    "temporal": {"fts": 0.10, "vec": 0.15, "recency": 0.50, "access": 0.10, "importance": 0.15},
+    "lookup": {"fts": 0.45, "vec": 0.15, "recency": 0.10, "access": 0.15, "importance": 0.15},
+    "semantic": SEMANTIC_WEIGHTS,
+    "frequentist": {"fts": 0.10, "vec": 0.15, "recency": 0.10, "access": 0.45, "importance": 0.20},
+    "aggregation": SEMANTIC_WEIGHTS,
+}
 
 
 def recency(now: int, created: Column, accessed: Column, importance: Column, access_count: Column, scale_days: float = 365.0) -> Column:
@@ -74,3 +81,12 @@ def digest_share(budget: Column) -> Column:
 
 def token_estimate(text: Column) -> Column:
     return F.ceil(F.length(text) / 4)
+
+
+def retention(now: int, importance: Column, access_count: Column, accessed: Column, created: Column, degree: Column, duplicate_claims: Column) -> Column:
+    """How much a memory is worth keeping: importance, use, recency, links and uniqueness, to six places."""
+    days = F.greatest(F.lit(now) - F.coalesce(accessed, created), F.lit(0)) / F.lit(float(DAY_MS))
+    unique = F.when(duplicate_claims == 0, 1.0).when(duplicate_claims == 1, 0.5).otherwise(0.0)
+    used = F.least(F.log(access_count + 1) / F.log(F.lit(50.0)), F.lit(1.0))
+    score = 0.4 * importance + 0.2 * used + 0.1 * F.exp(-days / 30.0) + 0.15 * F.least(degree / 8.0, F.lit(1.0)) + 0.15 * unique
+    return F.round(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))), 6)

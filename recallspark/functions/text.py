@@ -82,33 +82,83 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(marked)), prefix)
 
 
-#: Fixed patterns: shapes of secrets, first match names the reason.
+#: Shapes of secrets in order; the first that fits names the reason.
 SECRET_SHAPES = {
-    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
-    "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "github_token": r"\bgh[pousr]_[A-Za-z0-9]{20,}\b",
-    "api_key": r"\bsk-[A-Za-z0-9_-]{16,}\b",
-    "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.",
-    "assignment": r"(?i)\b(password|passwd|secret|api_key)\s*[:=]\s*\S{6,}",
+    "a private key block": r"-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY-----",
+    "an aws access key id": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
+    "a github token": r"\bgh[pousr]_[A-Za-z0-9]{36,}",
+    "a slack token": r"\bxox[abpros]-[A-Za-z0-9-]{10,}",
+    "an api key": r"\bsk-[A-Za-z0-9_-]{20,}",
+    "a google api key": r"\bAIza[0-9A-Za-z_-]{35}",
+    "a json web token": r"\beyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{5,}",
+    "credentials in a connection string": r"(?i)\b[a-z][a-z0-9+.-]*:\/\/[^\s:@/]+:[^\s@/]{3,}@",
+    "an authorization header": r"(?i)\bauthorization\s*:\s*\S{16,}",
+    "a bearer token": r"(?i)\bbearer\s+[A-Za-z0-9\-._~+/]{16,}",
+    "a password or key with its value": r"""(?i)\b(?:api[_-]?key|apikey|access[_-]?key|client[_-]?secret|private[_-]?key|secret|token|passw(?:or)?d|passwd|pwd)\b\s*(?:[:=]|\bis\b)\s*["']?(?:[A-Za-z0-9!@#$%^&*_+-]{16,}|[A-Za-z0-9!@#$%^&*_+-]*\d[A-Za-z0-9!@#$%^&*_+-]{4,})""",
 }
 
+#: Claims of mere absence.
+ABSENCE_CLAIMS = (
+    r"(?i)\bnone of (?:these|those|the|them)\b",
+    r"(?i)\bnothing (?:found|to report|to add|to note|actionable|came of|durable|notable|new|changed|happened)\b",
+    r"(?i)\bno (?:new |further |additional )?(?:issues?|findings?|problems?|bugs?|errors?|failures?|regressions?|decisions?|changes?|results?|blockers?|actions?|action items?|information|evidence)\b",
+    r"(?i)\bno (?:durable|useful|actionable|relevant|specific|notable) (?:[\w-]+ ){0,2}(?:decision|finding|result|change|information|evidence|task|action)\b",
+    r"(?i)\b(?:could not|couldn't|unable to) (?:find|reproduce|confirm|locate|identify)\b",
+    r"(?i)\bnot (?:found|reproducible|applicable|an issue|reproduced)\b",
+    r"(?i)\bno (?:further )?(?:action|investigation) (?:needed|required|necessary)\b",
+)
+
+#: Patterns of query archetypes, in order of precedence.
+ARCHETYPES = {
+    "temporal": r"(?i)\b(yesterday|today|recent(?:ly)?|last\s+(?:week|session|time|month|day)|ago|earlier|previous(?:ly)?|this\s+(?:morning|week|month))\b",
+    "lookup": r"\b[a-z]+[A-Z][a-zA-Z]*\b|\b[a-z]+_[a-z]+\b|\b[A-Z][A-Z0-9]+_[A-Z][A-Z0-9]+\b|`[^`]+`|0x[0-9a-fA-F]+",
+    "frequentist": r"(?i)\b(common(?:ly)?|frequent(?:ly)?|often|always|usually|pattern|convention|standard|best\s+practice|typical(?:ly)?)\b",
+    "aggregation": r"(?i)\b(how many|how much|how often|how long|in total|total|altogether|combined|sum|number of|all the|list)\b",
+}
+
+MOST_CHARS, LEAST_ALNUM = 24_000, 8
+
+
+def ascii_bounds(pattern: str) -> str:
+    r"""The pattern with each ``\b`` between ASCII word characters and others, which Java's is not in all versions."""
+    return pattern.replace(r"\b", r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))")
+
 
 def secret_shape(text: Column) -> Column:
-    return F.coalesce(*[F.when(text.rlike(p), F.lit(k)) for k, p in SECRET_SHAPES.items()])
+    return F.coalesce(*[F.when(text.rlike(ascii_bounds(p)), F.lit(k)) for k, p in SECRET_SHAPES.items()])
 
 
 def junk_reason(text: Column) -> Column:
-    bare = F.regexp_replace(text, "<[^>]*>", "")
-    letters = F.length(F.regexp_replace(bare, r"[^\p{L}\p{N}]", ""))
-    return F.when(F.coalesce(letters, F.lit(0)) == 0, "empty").when(F.length(text) > 24000, "too long").when(F.length(text) < 8, "short")
+    """'empty' and 'too long' are refused, 'thin' is only warned of; null is fine."""
+    alnum = F.length(F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), "[^A-Za-z0-9]", ""))
+    return F.when(F.coalesce(alnum, F.lit(0)) == 0, "empty").when(F.length(text) > MOST_CHARS, "too long").when(alnum < LEAST_ALNUM, "thin")
+
+
+def claims_absence(text: Column) -> Column:
+    """Says only that nothing was found; a digit or a code span makes it a claim of something."""
+    any_of = F.lit(False)
+    for p in ABSENCE_CLAIMS:
+        any_of = any_of | text.rlike(ascii_bounds(p))
+    return ~text.rlike(r"\d|`") & any_of
 
 
 def query_kind(query: Column) -> Column:
-    """Archetype of a query: time, lookup, frequency or summary questions, else semantic."""
-    return (
-        F.when(query.rlike(r"(?i)\b(when|before|after|since|yesterday|today|latest|recent|last (week|month|year))\b"), "temporal")
-        .when(query.rlike(r"[A-Za-z]+_[A-Za-z]+|[a-z][A-Z]|/[A-Za-z]|\.[a-z]{2,4}\b"), "lookup")
-        .when(query.rlike(r"(?i)\b(how many|how often|most|usually|always|frequent)"), "frequentist")
-        .when(query.rlike(r"(?i)\b(all|list|summar|overview|every)"), "aggregation")
-        .otherwise("semantic")
-    )
+    """Archetype of a query: the first pattern that fits, else semantic."""
+    return F.coalesce(*[F.when(query.rlike(ascii_bounds(p)), F.lit(k)) for k, p in ARCHETYPES.items()], F.lit("semantic"))
+
+
+def common_prefix(a: Column, b: Column, bits: int = 25) -> Column:
+    """Length of the longest common prefix, by halving; texts up to 2**bits characters."""
+    most = F.least(F.length(a), F.length(b))
+    step = lambda n, p: F.when((n + p <= most) & (F.substring(a, F.lit(1), n + p) == F.substring(b, F.lit(1), n + p)), n + p).otherwise(n)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(bits - 1, -1, -1)]), F.lit(0), step)
+
+
+def prefix_similarity(a: Column, b: Column) -> Column:
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, F.lit(1.0)).otherwise(common_prefix(a, b) / longest)
+
+
+def mentions(content: Column, scope: str) -> Column:
+    """Holds the scope's name as a word of its own."""
+    return content.rlike(r"(?i)(^|[^A-Za-z0-9_])" + re.escape(scope) + r"($|[^A-Za-z0-9_])")
