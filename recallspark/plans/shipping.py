@@ -10,10 +10,17 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch, and Spark's own bound: long texts would fill batches of ten thousand rows.
+_BATCH, _BATCH_BYTES, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20, 64 << 20
 
 
 def ensure_on_executors(spark: SparkSession) -> None:
-    """Sends the package to the executors once for each application."""
+    """Sends the package to the executors once for each application, and bounds Arrow batches in bytes.
+
+    A bound that the session has set itself stays.
+    """
+    if spark.conf.get(_BATCH).removesuffix("b") == str(_BATCH_DEFAULT):
+        spark.conf.set(_BATCH, str(_BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
