@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from recallspark.plans import queries as _queries  # noqa: F401
+from recallspark.plans import report_queries as _reports  # noqa: F401
 from recallspark.plans import upkeep_queries as _more  # noqa: F401
 from recallspark.plans.registry import ORACLES, QUERIES
 
