@@ -4,10 +4,12 @@ Each byte is eight binary decisions; the decisions at one place of that binary t
 tree over the preceding bytes, which mixes Krichevsky-Trofimov estimates of all depths by weights
 learnt from the training texts. With the counts fixed, the probability of a byte after its context
 depends only on the last ``depth`` bytes and the byte, so texts are scored by their distinct strings
-of that length. Counts of those strings and of words cover all training documents: they are counted
-within blocks of documents, added up by Spark, turned into probabilities, and joined back to the
-blocks that hold them. No table that grows with the corpus is broadcast or collected; of the trees
-only depths 0 and 1 (at most 256 * 255 nodes) pass through the driver.
+of that length. Counts of those strings and of words cover all training documents and nothing is
+pruned: blocks of documents count their own and send packed arrays to shards, which add them up; the
+strings of a shard end their contexts in the same pairs of bytes, so that it holds whole subtrees
+below depth 1. Probabilities go back to the blocks shard by shard. No table that grows with the corpus
+is broadcast or collected; of the trees only depths 0 and 1 (at most 257 * 255 nodes) pass through
+the driver.
 
 Defined results: null text is empty; an empty text has its end token alone and a model score of 0;
 before a text's first byte the context is zero bytes; repeated rows count repeatedly; further columns
@@ -29,14 +31,14 @@ from recallspark.llm.common import held_out, small_slices, text_bytes
 from recallspark.plans.scratch import Scratch
 from recallspark.plans.shipping import ensure_on_executors
 
-#: Bytes of context, remainder of the held-out split, and text bytes of a block of documents.
-DEPTH, MODULUS, BLOCK_BYTES = 3, 10, 8 << 20
-#: Text bytes of a block that are looked up at a time.
-SLICE_BYTES = 1 << 20
+#: Bytes of context (2 to 6), remainder of the held-out split, and text bytes of a block of documents.
+DEPTH, MODULUS, BLOCK_BYTES = 6, 10, 16 << 20
+#: Text bytes of a block that are counted or looked up at a time, and counts that wait to be added up.
+SLICE_BYTES, WAITING = 1 << 20, 4_000_000
+#: Shards of strings and of words (a power of two), and blocks that share a copy of a shard's values.
+SHARDS, GROUP_BLOCKS = 256, 64
 #: The end token's key among word hashes.
 END_KEY = xxhash.xxh3_64_intdigest(b"\n") - (1 << 63)
-_NODES = 255
-
 
 def word_key(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w) - (1 << 63)
@@ -44,33 +46,73 @@ def word_key(w: bytes) -> int:
 
 def grams(flat: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
     """Each byte with its ``depth`` predecessors in the same text, packed with the byte lowest."""
-    kind = np.uint32 if depth <= 3 else np.int64
-    out = flat.astype(kind)
+    out = flat.astype(np.int64)
     for k in range(1, depth + 1):
-        before = np.zeros(len(flat), kind)
+        before = np.zeros(len(flat), np.int64)
         before[k:] = flat[:-k]
         for j in range(k):  # the first k bytes of a text have nothing so far back
             at = offsets[:-1] + j
             before[at[at < offsets[1:]]] = 0
-        out |= before << kind(8 * k)
+        out |= before << (8 * k)
     return out
 
 
-#: Cells of a direct table over the pairs of bytes that a block holds; wider alphabets are sorted.
-MOST_CELLS = 1 << 23
+def pack(x: np.ndarray) -> bytes:
+    """Numbers of eight bytes, compressed by byte planes, after their count."""
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
+    return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(b: bytes, kind: type = np.int64) -> np.ndarray:
+    n = int.from_bytes(b[:8], "little")
+    planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=8 * n, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view(kind).ravel()
+
+
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    if not len(key):
+        return key, n
+    order = np.argsort(key)
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[starts], np.add.reduceat(n[order], starts)
+
+
+class _Sum:
+    """Adds up counts by key; what waits is bounded, besides the distinct keys."""
 
+    def __init__(self):
+        self.keys, self.counts, self.waiting = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
 
-def cells(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """Each packed string's place in a table of (older pair, newer pair), and the table's strings."""
-    if codes.dtype != np.uint32 or not len(codes):
-        return None
-    old, new = (codes >> np.uint32(16)).astype(np.uint16), codes.astype(np.uint16)
-    olds, news = (np.flatnonzero(np.bincount(x, minlength=1 << 16)) for x in (old, new))
-    if len(olds) * len(news) > MOST_CELLS:
-        return None
-    row, column = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
-    row[olds], column[news] = np.arange(len(olds)) * len(news), np.arange(len(news))
-    return row[old] + column[new], (olds[:, None] << 16 | news).ravel()
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > max(WAITING, len(self.keys[0])):
+            self.total()
+
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        key, n = added(self.keys, self.counts)
+        self.keys, self.counts, self.waiting = [key], [n], 0
+        return key, n
+
+
+def shard_of(keys: np.ndarray, word: bool) -> np.ndarray:
+    """Shards of words by their hash, of strings by the last two bytes of the context."""
+    if word:
+        return keys & (SHARDS - 1)
+    return ((keys >> 8 & 0xFFFF) * 0x9E3779B1 >> 16) & (SHARDS - 1)
+
+
+def _sharded(keys: np.ndarray, counts: np.ndarray, word: bool) -> list[tuple[bool, int, bytes, bytes]]:
+    """(word, shard, keys, counts) of sorted keys, packed by shard."""
+    shard = shard_of(keys, word).astype(np.uint16)
+    order = np.argsort(shard, kind="stable")
+    keys, counts, shard = keys[order], counts[order], shard[order]
+    cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: len(shard)], len(shard))
+    return [(word, int(shard[a]), pack(keys[a:b]), pack(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -90,170 +132,230 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - math.log(math.pi)
 
 
+#: ``log_kt`` of small counts.
+_SMALL = 128
+_KT = log_kt(*np.divmod(np.arange(_SMALL * _SMALL), _SMALL)).reshape(_SMALL, _SMALL)
+
+
+def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    low = np.maximum(zeros, ones) < _SMALL
+    out = _KT[np.where(low, zeros, 0).astype(np.int64), np.where(low, ones, 0).astype(np.int64)]
+    out[~low] = log_kt(zeros[~low], ones[~low])
+    return out
+
+
 class _Level:
     """Nodes of one depth: sorted keys (context, place in the byte) with counts and ln weights."""
 
     def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
-        self.keys, inverse = np.unique(keys, return_inverse=True)
+        self.keys, self.inverse = np.unique(keys, return_inverse=True)
         n = len(self.keys)
-        self.zeros, self.ones = np.bincount(inverse, zeros, n), np.bincount(inverse, ones, n)
-        own = log_kt(self.zeros, self.ones)
+        self.zeros, self.ones = np.bincount(self.inverse, zeros, n), np.bincount(self.inverse, ones, n)
+        own = _log_kt(self.zeros, self.ones)
         if below is None:  # the deepest contexts stand by their own estimate
             self.odds, self.weighted = np.full(n, np.inf), own
         else:
-            rest = np.bincount(inverse, below, n)
+            rest = np.bincount(self.inverse, below, n)
             self.odds = own - rest
             self.weighted = np.logaddexp(own, rest) - math.log(2)
 
-    def chance(self, at: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    def mixed(self, at: np.ndarray, bit: np.ndarray, deeper: np.ndarray | None) -> np.ndarray:
+        """Probability of each decision by the node at ``at``, mixed with that of the deeper nodes."""
         seen = np.where(bit == 1, self.ones[at], self.zeros[at])
-        return (seen + 0.5) / (self.zeros[at] + self.ones[at] + 1)
-
-
-def _levels(gram: np.ndarray, count: np.ndarray, depth: int) -> tuple[list[_Level], np.ndarray, np.ndarray]:
-    """Levels ``depth`` to 1 of the trees of one last byte, and place and bit of each decision."""
-    byte, context = gram & 255, gram >> 8
-    j = np.arange(8)
-    place = (1 << j) | (byte[:, None] >> (8 - j))
-    bit = (byte[:, None] >> (7 - j)) & 1
-    many = np.broadcast_to(count[:, None], place.shape).astype(float)
-    levels: list[_Level] = []
-    keys = (context[:, None] << 8 | place).ravel()
-    level = _Level(keys, (many * (bit == 0)).ravel(), (many * (bit == 1)).ravel(), None)
-    levels.append(level)
-    for d in range(depth - 1, 0, -1):
+        own = (seen + 0.5) / (self.zeros[at] + self.ones[at] + 1)
+        if deeper is None:
+            return own
+        share = 1 / (1 + np.exp(-np.clip(self.odds, -700, 700)))[at]
+        return share * own + (1 - share) * deeper
+
+
+def _decision(gram: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Place and bit of the decision ``j`` of each string's last byte."""
+    byte = gram & 255
+    return (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
+
+
+def _levels(gram: np.ndarray, count: np.ndarray, depth: int, j: int) -> Iterator[tuple[_Level, np.ndarray]]:
+    """Levels ``depth`` to 2 of the trees of one decision, and each string's node there."""
+    place, bit = _decision(gram, j)
+    level = _Level((gram >> 8) << 8 | place, count * (bit == 0), count * (bit == 1), None)
+    at = level.inverse
+    yield level, at
+    for d in range(depth - 1, 1, -1):
         ctx = (level.keys >> 8) & ((1 << 8 * d) - 1)
         level = _Level(ctx << 8 | (level.keys & 255), level.zeros, level.ones, level.weighted)
-        levels.append(level)
-    return levels, place, bit
+        at = level.inverse[at]
+        yield level, at
+
+
+def _shard_tops(gram: np.ndarray, count: np.ndarray, depth: int) -> pa.RecordBatch:
+    """Nodes of depth 2 of a shard: (last, key, zeros, ones, weighted)."""
+    tops = []
+    for j in range(8):
+        for level, _ in _levels(gram, count, depth, j):
+            pass
+        tops.append(level)
+    key, zeros, ones, weighted = (np.concatenate([getattr(x, k) for x in tops]) for k in ("keys", "zeros", "ones", "weighted"))
+    return pa.RecordBatch.from_pydict({"last": key >> 8 & 255, "key": key, "zeros": zeros, "ones": ones, "weighted": weighted})
 
 
-def _mix(levels: list[_Level], gram: np.ndarray, place: np.ndarray, bit: np.ndarray, depth: int, root: _Level) -> np.ndarray:
+def _first_level(table: pa.Table) -> pa.Table:
+    """Sums of the nodes of depth 2 at their parents of depth 1, in the order of the keys."""
+    table = table.sort_by("key")
+    key, zeros, ones, weighted = (table.column(c).to_numpy() for c in ("key", "zeros", "ones", "weighted"))
+    parent, inverse = np.unique(key & 0xFFFF, return_inverse=True)
+    return pa.table({"key": parent} | {k: np.bincount(inverse, x, len(parent)) for k, x in (("zeros", zeros), ("ones", ones), ("below", weighted))})
+
+
+def _shard_scores(gram: np.ndarray, count: np.ndarray, depth: int, first: _Level, root: _Level) -> np.ndarray:
     """log10 probability of each string's last byte after its context."""
-    context = (gram >> 8)[:, None]
-    p = None
-    for i, level in enumerate([*levels, root]):
-        d = depth - i
-        at = np.searchsorted(level.keys, (context & ((1 << 8 * d) - 1)) << 8 | place)
-        own = level.chance(at, bit)
-        if p is None:
-            p = own
-        else:
-            share = 1 / (1 + np.exp(-np.clip(level.odds[at], -700, 700)))
-            p = share * own + (1 - share) * p
-    return np.log10(p).sum(axis=1)
+    out = np.zeros(len(gram))
+    for j in range(8):
+        place, bit = _decision(gram, j)
+        p = None
+        for level, at in _levels(gram, count, depth, j):
+            p = level.mixed(at, bit, p)
+        p = first.mixed(np.searchsorted(first.keys, (gram >> 8 & 255) << 8 | place), bit, p)
+        out += np.log10(root.mixed(np.searchsorted(root.keys, place), bit, p))
+    return out
+
+
+def _add_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row with the sums of all rows (word, shard, key, n) of a shard."""
+    total, word, shard = _Sum(), None, None
+    for rb in batches:
+        for word, shard, key, n in zip(*(rb.column(c).to_pylist() for c in ("word", "shard", "key", "n"))):
+            total.add(unpack(key), unpack(n))
+    key, n = total.total()
+    yield pa.RecordBatch.from_pydict({"word": [word], "shard": pa.array([shard], pa.int32()), "key": [pack(key)], "n": [pack(n)]})
+
+
+def _shard_values(sums: DataFrame, depth: int) -> DataFrame:
+    """(shard, key, value) of the shards of strings in ``sums``, packed."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for key, n in zip(rb.column("key").to_pylist(), rb.column("n").to_pylist()):
+                yield _shard_tops(unpack(key), unpack(n), depth)
+
+    tops = sums.select("key", "n").mapInArrow(top, "last long, key long, zeros double, ones double, weighted double")
+    rows = tops.groupBy("last").applyInArrow(_first_level, "key long, zeros double, ones double, below double").toArrow()  # at most 256 * 255 rows
+    rows = rows.sort_by("key")
+    first = _Level(*(rows.column(c).to_numpy() for c in ("key", "zeros", "ones", "below")))
+    root = _Level(first.keys & 255, first.zeros, first.ones, first.weighted)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for shard, key, n in zip(*(rb.column(c).to_pylist() for c in ("shard", "key", "n"))):
+                value = _shard_scores(unpack(key), unpack(n), depth, first, root)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "key": [key], "value": [pack(value)]})
+
+    return sums.select("shard", "key", "n").mapInArrow(score, "shard int, key binary, value binary")
 
 
 def string_scores(counts: DataFrame, depth: int) -> DataFrame:
     """(key, value) of each string in ``counts`` (key, n): log10 probability of its last byte."""
-    by_last = F.shiftright("key", 8).bitwiseAND(F.lit(255))
 
-    def top(table: pa.Table) -> pa.Table:
-        gram, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-        levels, _, _ = _levels(gram, n, depth)
-        x = levels[-1]
-        return pa.table({"place": x.keys & 255, "zeros": x.zeros, "ones": x.ones, "weighted": x.weighted})
+    def put(table: pa.Table) -> pa.Table:
+        key, n = added([table.column("key").to_numpy()], [table.column("n").to_numpy()])
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "key": [pack(key)], "n": [pack(n)]})
 
-    grouped = counts.select("key", "n").groupBy(by_last.alias("last"))
-    rows = grouped.applyInArrow(top, "place long, zeros double, ones double, weighted double").toArrow()  # at most 256 * 255 rows
-    root = _Level(*(rows.column(c).to_numpy() for c in ("place", "zeros", "ones", "weighted")))
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for key, value in zip(rb.column("key").to_pylist(), rb.column("value").to_pylist()):
+                yield pa.RecordBatch.from_pydict({"key": unpack(key), "value": unpack(value, np.float64)})
 
-    def score(table: pa.Table) -> pa.Table:
-        gram, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-        out = np.zeros(len(gram))
-        levels, _, _ = _levels(gram, n, depth)
-        for a in range(0, len(gram), 100_000):
-            g = gram[a : a + 100_000]
-            byte, j = g & 255, np.arange(8)
-            out[a : a + 100_000] = _mix(levels, g, (1 << j) | (byte[:, None] >> (8 - j)), (byte[:, None] >> (7 - j)) & 1, depth, root)
-        return pa.table({"key": gram, "value": out})
+    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    dealt = counts.select(F.pmod(pair, F.lit(SHARDS)).cast("int").alias("shard"), F.col("key").cast("long").alias("key"), F.col("n").cast("long").alias("n"))
+    sums = Scratch.of(counts.sparkSession).save(dealt.groupBy("shard").applyInArrow(put, "shard int, key binary, n binary"))
+    return _shard_values(sums, depth).mapInArrow(take, "key long, value double")
 
-    return grouped.applyInArrow(score, "key long, value double")
+
+def _words(part: pa.RecordBatch) -> list[list[bytes]]:
+    flat, offsets = text_bytes(part, "text")
+    raw = flat.tobytes()
+    return [raw[a:b].lower().split() for a, b in zip(offsets[:-1], offsets[1:])]
 
 
 def _count_block(table: pa.Table, depth: int) -> pa.Table:
-    """(block, word, key, n): strings and words of a block, with their counts in training texts."""
+    """(block, word, shard, key, n): strings and words of a block, with their counts in training texts."""
     rb = table.combine_chunks().to_batches()[0]
     train = ~rb.column("held_out").to_numpy(zero_copy_only=False)
-    parts, at = [], 0
+    strings, words, at = _Sum(), _Sum(), 0
+    words.add(np.array([END_KEY], np.int64), np.array([train.sum()], np.int64))
     for part in small_slices(iter([rb]), "text", SLICE_BYTES):
         flat, offsets = text_bytes(part, "text")
-        codes = grams(flat, offsets, depth)
-        counted = np.repeat(train[at : at + part.num_rows], np.diff(offsets))
+        on = train[at : at + part.num_rows]
         at += part.num_rows
-        if (table_of := cells(codes)) is not None:
-            place, string = table_of
-            total, times = np.bincount(place, minlength=len(string)), np.bincount(place[counted], minlength=len(string))
-            parts.append((string[total > 0], times[total > 0]))
-        else:
-            string, inverse = np.unique(codes, return_inverse=True)
-            parts.append((string, np.bincount(inverse[counted], minlength=len(string))))
-    strings, inverse = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-    times = np.bincount(inverse, np.concatenate([n for _, n in parts]), len(strings)).astype(np.int64)
-    flat, offsets = text_bytes(rb, "text")
-    words: dict[bytes, int] = {}
-    raw = flat.tobytes()
-    for i, on in enumerate(train.tolist()):
-        for w in raw[offsets[i] : offsets[i + 1]].lower().split():
-            words[w] = words.get(w, 0) + on
-    keys = np.array([*map(word_key, words), END_KEY], np.int64)
-    n = np.array([*words.values(), int(train.sum())], np.int64)
+        codes = grams(flat, offsets, depth) << 1 | np.repeat(on, np.diff(offsets))
+        codes.sort()
+        starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
+        strings.add(codes[starts] >> 1, np.diff(starts, append=len(codes)) * (codes[starts] & 1))
+        seen: dict[bytes, int] = {}
+        for own, counts in zip(_words(part), on.tolist()):
+            for w in own:
+                seen[w] = seen.get(w, 0) + counts
+        words.add(np.fromiter(map(word_key, seen), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
+    rows = _sharded(*strings.total(), False) + _sharded(*words.total(), True)
+    word, shard, key, n = zip(*rows)
     block = table.column("block")[0].as_py()
-    key = np.concatenate([strings.astype(np.int64), keys])
-    many = np.concatenate([times, n])
-    is_word = np.arange(len(key)) >= len(strings)
-    return pa.table({"block": np.full(len(key), block, np.int64), "word": is_word, "key": key, "n": many})
+    return pa.table({"block": np.full(len(rows), block, np.int64), "word": list(word), "shard": pa.array(shard, pa.int32()), "key": list(key), "n": list(n)})
+
+
+def _look_up(table: pa.Table) -> pa.Table:
+    """(block, word, key, value) of the blocks' rows of a shard, by its row without a block."""
+    block, word, key, value = (table.column(c).to_pylist() for c in ("block", "word", "key", "value"))
+    at = block.index(None)
+    keys, values = unpack(key[at]), unpack(value[at], np.float64)
+    own = [i for i, b in enumerate(block) if b is not None]
+    found = [pack(values[np.searchsorted(keys, unpack(key[i]))]) for i in own]
+    return pa.table({"block": pa.array([block[i] for i in own], pa.int64()), "word": [word[i] for i in own], "key": pa.array([key[i] for i in own], pa.binary()), "value": pa.array(found, pa.binary())})
+
+
+def _known(table: pa.Table, word: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of a block's words or strings, and their values."""
+    rows = [(k, v) for w, k, v in zip(*(table.column(c).to_pylist() for c in ("word", "key", "value"))) if w == word]
+    key = np.concatenate([np.zeros(0, np.int64), *(unpack(k) for k, _ in rows)])
+    value = np.concatenate([np.zeros(0), *(unpack(v, np.float64) for _, v in rows)])
+    order = np.argsort(key)
+    return key[order], value[order]
 
 
 def _score_block(texts: pa.Table, known: pa.Table, depth: int, train_tokens: int, distinct: int) -> pa.Table:
     if not texts.num_rows:
         return pa.table({k: pa.array([], t) for k, t in _SCORE_TYPES.items()})
     rb = texts.combine_chunks().to_batches()[0]
-    flat, offsets = text_bytes(rb, "text")
-    is_word = known.column("word").to_numpy()
-    key, value = known.column("key").to_numpy(), known.column("value").to_numpy()
-    g, gv = key[~is_word], value[~is_word]
-    order = np.argsort(g)
-    g, gv = g[order], gv[order]
-    scores = []
+    (g, gv), (words, counts) = _known(known, False), _known(known, True)
+    end = float(counts[np.searchsorted(words, END_KEY)])
+    below = train_tokens + 0.1 * (distinct + 1)
+    scores, sizes, n_tokens, n_known, base = [], [], [], [], []
     for part in small_slices(iter([rb]), "text", SLICE_BYTES):
-        own, begins = text_bytes(part, "text")
-        codes = grams(own, begins, depth)
-        if (table_of := cells(codes)) is not None:
-            place, string = table_of
-            values = gv[np.minimum(np.searchsorted(g, string), len(g) - 1)][place]  # strings that don't occur are never looked up
-        else:
-            values = gv[np.searchsorted(g, codes)]
+        flat, offsets = text_bytes(part, "text")
+        codes = grams(flat, offsets, depth)
+        order = np.argsort(codes)
+        values = np.empty(len(codes))
+        values[order] = gv[np.searchsorted(g, codes[order])]
         total = np.append(0.0, np.cumsum(values))
-        scores.append(total[begins[1:]] - total[begins[:-1]])
-    score = np.concatenate(scores)
-    counts = dict(zip(key[is_word].tolist(), value[is_word].tolist()))
-    below = train_tokens + 0.1 * (distinct + 1)
-    seen: dict[bytes, float] = {}
-    end = counts.get(END_KEY, 0.0)
-    raw = flat.tobytes()
-    n_tokens, n_known, base = [], [], []
-    for i in range(rb.num_rows):
-        words = raw[offsets[i] : offsets[i + 1]].lower().split()
-        c = []
-        for w in words:
-            v = seen.get(w)
-            if v is None:
-                v = seen[w] = counts[word_key(w)]
-            c.append(v)
-        c = np.array([*c, end])
-        n_tokens.append(len(c))
-        n_known.append(int((c > 0).sum()))
-        base.append(float(np.log10((c + 0.1) / below).sum()))
-    n = rb.num_rows
-    bits = np.where(np.diff(offsets) > 0, -score / math.log10(2) / np.maximum(np.diff(offsets), 1), 0.0)
+        scores.append(total[offsets[1:]] - total[offsets[:-1]])
+        sizes.append(np.diff(offsets))
+        docs = _words(part)
+        own = list({w for d in docs for w in d})
+        at = np.searchsorted(words, np.fromiter(map(word_key, own), np.int64, len(own)))
+        get = dict(zip(own, counts[at].tolist())).__getitem__
+        for d in docs:
+            c = np.array([*map(get, d), end])
+            n_tokens.append(len(c))
+            n_known.append(int((c > 0).sum()))
+            base.append(float(np.log10((c + 0.1) / below).sum()))
+    score, size = np.concatenate(scores), np.concatenate(sizes)
+    bits = np.where(size > 0, -score / math.log10(2) / np.maximum(size, 1), 0.0)
     return pa.table(
         {
             "doc_id": rb.column("doc_id"),
             "held_out": rb.column("held_out"),
             "n_tokens": pa.array(n_tokens, pa.int64()),
             "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([train_tokens] * n, pa.int64()),
+            "train_tokens": pa.array([train_tokens] * rb.num_rows, pa.int64()),
             "base_score": pa.array(base, pa.float64()),
             "score": pa.array(score, pa.float64()),
             "bits_per_byte": pa.array(bits, pa.float64()),
@@ -275,13 +377,28 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, modulus: int = MODULUS, blo
     blocks = max(1, math.ceil(size / block_bytes))
     block = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks))
     dealt = source.select("doc_id", "text", held_out("doc_id", modulus).alias("held_out"), block.alias("block"))
-    counted = scratch.save(dealt.groupBy("block").applyInArrow(lambda t: _count_block(t, depth), "block long, word boolean, key long, n long"))
+    counted = scratch.save(dealt.groupBy("block").applyInArrow(lambda t: _count_block(t, depth), "block long, word boolean, shard int, key binary, n binary"))
+    scratch.release_shuffles()
+    sums = scratch.save(counted.select("word", "shard", "key", "n").groupBy("word", "shard").applyInArrow(_add_shard, "word boolean, shard int, key binary, n binary"))
+    scratch.release_shuffles()
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for shard, key, n in zip(*(rb.column(c).to_pylist() for c in ("shard", "key", "n"))):
+                n = unpack(n)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "key": [key], "value": [pack(n.astype(float))], "tokens": [int(n.sum())], "seen": [int((n > 0).sum())]})
+
+    counts = scratch.save(sums.where("word").select("shard", "key", "n").mapInArrow(words, "shard int, key binary, value binary, tokens long, seen long"))
+    train_tokens, distinct = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
+    strings = scratch.save(_shard_values(sums.where("not word"), depth))
+    scratch.drop(sums)
+    values = counts.select(F.lit(True).alias("word"), "shard", "key", "value").union(strings.select(F.lit(False).alias("word"), "shard", "key", "value"))
+    groups = F.explode(F.array(*[F.lit(i).cast("long") for i in range((blocks - 1) // GROUP_BLOCKS + 1)]))
+    values = values.select(F.lit(None).cast("long").alias("block"), "word", "shard", "key", "value", groups.alias("part"))
+    asked = counted.select("block", "word", "shard", "key", F.lit(None).cast("binary").alias("value"), F.floor(F.col("block") / GROUP_BLOCKS).alias("part"))
+    known = scratch.save(asked.union(values).groupBy("word", "shard", "part").applyInArrow(_look_up, "block long, word boolean, key binary, value binary"))
+    scratch.drop(counted, strings, counts)
     scratch.release_shuffles()
-    sums = scratch.save(counted.groupBy("word", "key").agg(F.sum("n").alias("n")))
-    train_tokens, distinct = sums.where("word").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    strings = scratch.save(string_scores(sums.where("not word").select("key", "n"), depth))
-    values = sums.where("word").select("word", "key", F.col("n").cast("double").alias("value")).union(strings.select(F.lit(False).alias("word"), "key", "value"))
-    known = counted.select("block", "word", "key").join(values, ["word", "key"])
 
     def score(texts: pa.Table, table: pa.Table) -> pa.Table:
         return _score_block(texts, table, depth, train_tokens, distinct)

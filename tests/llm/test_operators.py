@@ -256,3 +256,14 @@ def test_classifiers_learn_and_hold(spark, none):
         assert sum(r.predicted == truth[r.doc_id][k] for r in held) > 0.95 * len(held)
         assert run(none, y).count() == 0
         assert {r.score for r in run(docs.limit(5), y.limit(0)).collect()} == {0.5}
+
+
+def test_context_tree_reaches_six_bytes(spark):
+    # the byte after "=xxxxx" is told by the byte six places back alone
+    rng = np.random.default_rng(2)
+    text = "".join(c + "_____" + c.upper() for c in rng.choice(list("abcdefghijkl"), 3000))
+    lots = spark.createDataFrame([(i, text[k : k + 2100], "") for i, k in enumerate(range(0, len(text), 2100))], DOC)
+    deep, flat = (np.mean([r.bits_per_byte for r in context_tree.score_texts(lots, **d).collect()]) for d in ({}, {"depth": 3}))
+    assert deep < 0.8 * flat
+    many = {r.doc_id: r.score for r in context_tree.score_texts(lots, block_bytes=4000).collect()}  # blocks don't change scores
+    assert all(abs(many[r.doc_id] - r.score) < 1e-6 for r in context_tree.score_texts(lots).collect())
