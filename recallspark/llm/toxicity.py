@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
 Inputs are words and characters: a word's vector is its own row of a hashed table and the mean of the
-rows of its character 3- to 5-grams. Rows start with the log odds that training documents with the
+rows of its character 3- to 5-grams. Words over 40 bytes are read as parts that overlap by four bytes,
+so that every gram is in some part. Rows start with the log odds that training documents with the
 word or gram are toxic; of the grams' odds the highest is taken. Two gated recurrent layers read each window of words in
 both directions, attention pools their states, and a logistic unit scores the window. Windows
 overlap by half, all are scored, and a document scores as its highest window.
@@ -35,6 +36,8 @@ WINDOW, STRIDE = 24, 12
 WORD_ROWS, GRAM_ROWS, WIDTH, HIDDEN = 1 << 15, 1 << 15, 6, 8
 MOST_DOCS, MOST_BYTES, MODULUS = 5000, 10 << 20, 5
 WORDS_KNOWN, SLICE_BYTES = 60_000, 1 << 18
+#: Bytes of a part of a long word, and those that it shares with the next.
+PART, SHARED = 40, 4
 PAD = 0
 
 
@@ -48,7 +51,7 @@ def word_rows(words: list[bytes]) -> np.ndarray:
 
 def gram_rows(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(word, row) of all character 3- to 5-grams of words, with their ends marked."""
-    marked = [b"^" + w[:40].lower() + b"$" for w in words]
+    marked = [b"^" + w.lower() + b"$" for w in words]
     flat = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
     sizes = np.array([len(w) for w in marked])
     owner = np.repeat(np.arange(len(words)), sizes)
@@ -71,7 +74,10 @@ _STRIP = b".,;:!?\"'()[]{}*#$%&|<>"
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return [w.strip(_STRIP) or w for w in text.split()]
+    words = [w.strip(_STRIP) or w for w in text.split()]
+    if max(map(len, words), default=0) <= PART:
+        return words
+    return [w[a : a + PART] for w in words for a in range(0, max(1, len(w) - SHARED), PART - SHARED)]
 
 
 @dataclass
@@ -316,17 +322,14 @@ class Scorer:
         self.size += n
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
-        docs = [t.split() for t in texts]
+        docs = [words_of(t) for t in texts]
         fresh = {w for d in docs for w in d}
         fresh = [w for w in fresh if w not in self.known]
         if self.size + len(fresh) > WORDS_KNOWN:
             self._clear()
             fresh = list({w for d in docs for w in d})
         if fresh:
-            stripped = [w.strip(_STRIP) or w for w in fresh]
-            at = self.size
-            self._add(stripped)
-            self.known.update(zip(fresh, range(at, at + len(fresh))))
+            self._add(fresh)
         get = self.known.__getitem__
         rows, owner = [], []
         for i, d in enumerate(docs):

@@ -267,3 +267,20 @@ def test_context_tree_reaches_six_bytes(spark):
     assert deep < 0.8 * flat
     many = {r.doc_id: r.score for r in context_tree.score_texts(lots, block_bytes=4000).collect()}  # blocks don't change scores
     assert all(abs(many[r.doc_id] - r.score) < 1e-6 for r in context_tree.score_texts(lots).collect())
+
+
+def test_toxic_terms_late_in_long_words():
+    glued = "_".join(["alpha", "beta", "gamma"] * 9).encode()
+    for k in range(len(glued)):
+        assert any(glued[k : k + 5] in part for part in toxicity.words_of(glued))
+    assert b"".join(p[4 * (i > 0) :] for i, p in enumerate(toxicity.words_of(glued))) == glued
+    rng = np.random.default_rng(4)
+    texts, labels = [], []
+    for i in range(300):
+        t = list(rng.choice(WORDS[:7], 60))
+        if i % 4 == 0:
+            t[rng.integers(0, 60)] = "idiot"
+        texts.append(" ".join(t).encode())
+        labels.append(int(i % 4 == 0))
+    clean, late = toxicity.Scorer(toxicity.train(texts, labels))([glued, glued[:80] + b"_idiot_" + glued[80:]])
+    assert late > clean + 0.3
