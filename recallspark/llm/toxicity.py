@@ -349,17 +349,21 @@ class Scorer:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int = MODULUS, most_docs: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> tuple[list[bytes], list[int]]:
-    """Texts and labels of training documents, at most so many and so many bytes, in hash order."""
+    """Texts and labels of training documents, at most so many and so many bytes, in hash order.
+
+    Texts that don't fit into the bytes left are passed over.
+    """
     y = labels.where(F.col(target).isNotNull() & ~held_out("doc_id", modulus)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)  # so few that every task can hold them
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     picked = own.join(F.broadcast(y), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "y").limit(most_docs)
     texts, out, size = [], [], 0
     for row in picked.toLocalIterator():
-        size += len(row["text"])
-        if size > most_bytes:
-            break
-        texts.append(row["text"].encode())
+        text = row["text"].encode()
+        if size + len(text) > most_bytes:  # a long text doesn't end the sample
+            continue
+        size += len(text)
+        texts.append(text)
         out.append(int(row["y"]))
     return texts, out
 

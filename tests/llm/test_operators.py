@@ -284,3 +284,12 @@ def test_toxic_terms_late_in_long_words():
         labels.append(int(i % 4 == 0))
     clean, late = toxicity.Scorer(toxicity.train(texts, labels))([glued, glued[:80] + b"_idiot_" + glued[80:]])
     assert late > clean + 0.3
+
+
+def test_sample_passes_over_texts_that_do_not_fit(spark):
+    train = [i for i in range(200) if crc32(str(i).encode()) % 5]
+    y = spark.createDataFrame([(i, i % 2) for i in train], "doc_id long, toxic int")
+    sizes = {i: 5000 if k % 4 == 0 else 10 for k, i in enumerate(train)}
+    docs = spark.createDataFrame([(i, "é" * (n // 2), "x") for i, n in sizes.items()], DOC)
+    texts, labels = toxicity.labelled_sample(docs, y, "toxic", most_bytes=2000)
+    assert len(texts) == len(labels) == sum(n == 10 for n in sizes.values()) and set(labels) == {0, 1}
