@@ -1,4 +1,4 @@
-"""Suffix arrays by induced sorting, with whole buckets induced at a time, and permuted prefixes.
+"""Suffix arrays by recursive induced sorting, with whole buckets induced at a time, and permuted prefixes.
 
 Suffixes are classified as smaller (S) or larger (L) than their successor. The leftmost S suffixes
 of each run sort all others: scanning buckets in order, every sorted suffix places the one that
@@ -9,8 +9,13 @@ linear and the number of waves is the longest run of a byte.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
+#: Names of a reduced string that are ordered without another recursion.
+SHORT = 1 << 18
+
 
 def _types(s: np.ndarray) -> np.ndarray:
     """True where the suffix is smaller than its successor; the last counts as S."""
@@ -101,8 +106,8 @@ def _names(s: np.ndarray, lms: np.ndarray, by_order: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _order_of_names(rank: np.ndarray) -> np.ndarray:
-    """Suffix order of the reduced string: names of pairs, pairs of pairs, until all differ."""
+def _short_order(rank: np.ndarray) -> np.ndarray:
+    """Suffix order by names of pairs, pairs of pairs and so on until all differ: the recursion's end."""
     n, step = len(rank), 1
     while rank.max() < n - 1:
         shifted = np.zeros(n, np.int64)
@@ -112,6 +117,24 @@ def _order_of_names(rank: np.ndarray) -> np.ndarray:
     return np.argsort(rank, kind="stable")
 
 
+def _order_of_names(rank: np.ndarray) -> np.ndarray:
+    """Suffix order of the reduced string: by induced sorting again, and where it is short by doubling.
+
+    For the recursion names are written as two digits of a base near the square root of their number,
+    which keeps their order and the buckets few; every other suffix of what is written begins a name.
+    """
+    names = int(rank.max()) + 1
+    if names == len(rank):
+        return np.argsort(rank)
+    if len(rank) <= SHORT:
+        return _short_order(rank)
+    base = math.isqrt(names - 1) + 1
+    digits = np.empty(2 * len(rank) + 1, np.int32)
+    digits[:-1:2], digits[1::2], digits[-1] = rank // base + 1, rank % base + 1, 0
+    order = suffix_array(digits)
+    return order[(order % 2 == 0) & (order < 2 * len(rank))] // 2
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Start positions in suffix order; s ends with its only and smallest symbol 0."""
     symbols = int(s.max()) + 1

@@ -3,17 +3,21 @@
 Every window of ``length`` bytes belongs to its minimizer, the k-gram in it with the least hash
 (leftmost of equals). Equal windows have equal minimizers, so windows are sharded by that hash and no
 repeat is lost; neighbouring windows with one minimizer travel together as one stretch of text.
-Minimizers are counted first, and only stretches whose minimizer occurs twice are sent. A shard first sets aside stretches equal to an earlier one, then the minimizers with one stretch, and
-sorts all suffixes of what is left by induced sorting. Suffixes whose common prefix with their
-predecessor reaches the length are equal windows; all but the earliest are repeats.
+Minimizers are counted first, and only stretches whose minimizer occurs twice are sent. Stretches equal
+to an earlier one of their block are set aside before the shuffle, and those equal to an earlier one
+of their shard in it. All suffixes of what is left are sorted by induced sorting, and suffixes whose
+common prefix with their predecessor reaches the length are equal windows; all but the earliest are
+repeats.
 
-Each task holds one block of stretches. A minimizer with more different stretches than a block hands
-its windows on, as 128-bit hashes, to an aggregation that Spark combines before the shuffle. Stretches
-that recur within one input block are set aside before the shuffle too, which thins hot passages.
+A minimizer with many different surroundings is split before the shuffle: windows are told apart by
+where the minimizer lies in them, which equal windows agree on, in ranges so short that all windows of
+a range share a longer string; that string names the shard. The shortest range is one place, where the
+string is the window. What is sorted at once stays bounded, at any number of surroundings.
 
 Defined results: null text is empty; texts shorter than the length lose nothing; a window is earlier
 than another if its doc_id is smaller, or its start in the same document; null ids come first; rows
-that repeat an id and its text count as one document; cuts need not respect characters, so the
+that repeat an id and its text count as one document; rows that repeat an id with different texts are
+documents of their own, ordered by a hash of the text; cuts need not respect characters, so the
 cleaned text drops broken ones; further columns are ignored; an empty table gives an empty table.
 """
 
@@ -25,8 +29,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from recallspark.llm.common import small_slices, text_bytes
 from recallspark.llm.induced_sort import permuted_prefixes, suffix_array
@@ -34,9 +39,10 @@ from recallspark.plans.scratch import Scratch
 from recallspark.plans.shipping import ensure_on_executors
 
 LENGTH, GRAM = 100, 24
-#: Bytes of text cut at a time, longest part of one document, stretch bytes sorted at a time, and
-#: different stretches of a minimizer beyond which its windows are handed on.
-SLICE_BYTES, PART_BYTES, SHARD_BYTES, MANY = 1 << 19, 1 << 21, 1 << 20, 4000
+#: Bytes of text cut at a time, longest part of one document, and stretch bytes sorted at a time.
+SLICE_BYTES, PART_BYTES, SHARD_BYTES = 1 << 19, 1 << 21, 1 << 20
+#: Ranges that a minimizer's windows are split into, as a power of two, beyond so many different stretches.
+SPLITS = ((40_000, 7), (4_000, 3))
 #: Text bytes of a block of documents that is cut in one task.
 BLOCK_BYTES = 6 << 20
 NULL_ID = -(1 << 63)
@@ -83,8 +89,9 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 def stretches(flat: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Minimizer hash, start and byte length of each run of windows with one minimizer."""
-    none = (np.zeros(0, np.int64),) * 3
+    """Minimizer hash, its place, start and byte length of each run of windows with one minimizer,
+    and a hash that differs between most different runs of a minimizer."""
+    none = (np.zeros(0, np.int64),) * 5
     if len(flat) < length:
         return none
     grams = _gram_hashes(flat, gram, _BASE[0])
@@ -104,92 +111,135 @@ def stretches(flat: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     starts = np.flatnonzero(valid & first)
     if not len(starts):
         return none
-    run = np.add.reduceat(valid.astype(np.int64), starts) if len(starts) else starts
-    return grams[least[starts]].view(np.int64), starts, run + length - 1
+    size = np.add.reduceat(valid.astype(np.int64), starts) + length - 1
+    look = (grams[starts] ^ (grams[starts + size - gram] << np.uint64(1))).view(np.int64) ^ size
+    return grams[least[starts]].view(np.int64), least[starts], starts, size, look
 
 
 def _pieces(rb: pa.RecordBatch, length: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Bytes, offsets, ids and first offset of pieces of a batch; a very long text gives several."""
+    """Bytes, offsets, row numbers and first offset of pieces of a batch; a very long text gives several."""
+    at = 0
     for part in small_slices(iter([rb]), "text", SLICE_BYTES):
         flat, offsets = text_bytes(part, "text")
-        ids = part.column("doc_id").to_numpy()
+        rows = np.arange(at, at + part.num_rows)
+        at += part.num_rows
         if len(flat) <= PART_BYTES:
-            yield flat, offsets, ids, np.zeros(len(ids), np.int64)
+            yield flat, offsets, rows, np.zeros(len(rows), np.int64)
             continue
         for a in range(0, len(flat) - length + 1, PART_BYTES):
             own = flat[a : a + PART_BYTES + length - 1]
-            yield own, np.array([0, len(own)]), ids, np.array([a])
+            yield own, np.array([0, len(own)]), rows, np.array([a])
 
 
 def _mark(length: int, gram: int):
-    """(shard, block, n): stretches of each shard and block, combined within a slice."""
+    """(shard, block, n, looks): stretches of each shard and block in a slice, and about how many differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in small_slices(batches, "text", SLICE_BYTES):
+        for part in batches:
             block = part.column("block").to_numpy()
-            for flat, offsets, _, _ in _pieces(part, length):
-                shard, starts, _ = stretches(flat, offsets, length, gram)
-                row = np.searchsorted(offsets, starts, side="right") - 1
-                key = block[row]
-                order = np.lexsort((shard, key))
-                shard, key = shard[order], key[order]
-                first = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (key[1:] != key[:-1]))) if len(shard) else order
+            for flat, offsets, rows, _ in _pieces(part, length):
+                shard, _, starts, _, look = stretches(flat, offsets, length, gram)
+                key = block[rows[np.searchsorted(offsets, starts, side="right") - 1]]
+                order = np.lexsort((look, shard, key))
+                shard, key, look = shard[order], key[order], look[order]
+                change = np.append(True, (shard[1:] != shard[:-1]) | (key[1:] != key[:-1])) if len(shard) else np.zeros(0, bool)
+                first = np.flatnonzero(change)
                 n = np.diff(np.append(first, len(shard)))
-                yield pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(key[first]), pa.array(n, pa.int64())], ["shard", "block", "n"])
+                other = change.copy()
+                other[1:] |= look[1:] != look[:-1]
+                looks = np.add.reduceat(other.astype(np.int64), first) if len(first) else n
+                yield pa.RecordBatch.from_arrays([pa.array(shard[first]), pa.array(key[first]), pa.array(n, pa.int64()), pa.array(looks, pa.int64())], ["shard", "block", "n", "looks"])
 
     return run
 
 
-def _cut(length: int, gram: int):
-    """Rows of a block of documents: stretches of shards met twice, and those set aside (null data)."""
+_CUT_SCHEMA = pa.schema({"shard": pa.int64(), "doc_id": pa.int64(), "tag": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "data": pa.binary()})
+_CUT_DDL = "shard long, doc_id long, tag long, start long, stop long, data binary"
 
-    def run(texts: pa.Table, shards: pa.Table) -> pa.Table:
-        wanted = np.unique(shards.column("shard").to_numpy())
-        out = [_cut_block(*piece, length, gram, wanted) for rb in texts.combine_chunks().to_batches() for piece in _pieces(rb, length)]
-        return pa.Table.from_batches(out) if out else _CUT_SCHEMA.empty_table()
 
-    return run
+def _repeated(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows equal in ``same``: the earliest, and those at later places."""
+    if not len(doc):
+        return (np.zeros(0, np.int64),) * 2
+    order = np.lexsort((start, tag, doc, *same))
+    again = np.zeros(len(order), bool)
+    again[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in same])
+    head = order[np.maximum.accumulate(np.where(again, -1, np.arange(len(order))))]
+    later = again & ((doc[order] != doc[head]) | (tag[order] != tag[head]) | (start[order] != start[head]))
+    return np.sort(order[~again]), order[later]
 
 
-_CUT_SCHEMA = pa.schema({"shard": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "stop": pa.int64(), "data": pa.binary()})
+def split_runs(flat: np.ndarray, shard: np.ndarray, place: np.ndarray, start: np.ndarray, size: np.ndarray, level: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Stretches cut into ranges of the minimizer's place: (stretch, longer-named shard, start, size)."""
+    width = -(-(length - gram + 1) // (1 << level))
+    ranges = np.arange(-(-(length - gram + 1) // width))
+    near = place[:, None] - ranges * width  # the last window that starts so far before the minimizer
+    low = np.maximum(start[:, None], near - width + 1)
+    high = np.minimum((start + size - length)[:, None], near)
+    own, which = np.nonzero(low <= high)
+    low, high = low[own, which], high[own, which]
+    name = _gram_hashes(flat, length - width + 1, _BASE[1])[near[own, which]]
+    name = _mix(name ^ shard[own].view(np.uint64) ^ (which.astype(np.uint64) + np.uint64(1)))
+    return own, name.view(np.int64), low, high - low + length
+
+
+def _cut(length: int, gram: int):
+    """Rows of a block of documents: stretches of shards met twice, and those set aside (null data)."""
 
+    def run(texts: pa.Table, shards: pa.Table) -> pa.Table:
+        wanted, at = np.unique(shards.column("shard").to_numpy(), return_index=True)
+        levels = shards.column("level").to_numpy()[at]
+        if not len(wanted) or not texts.num_rows:
+            return _CUT_SCHEMA.empty_table()
+        doc_ids, tags = texts.column("doc_id").to_numpy(), texts.column("tag").to_numpy()
+        found, at = [], 0  # (row, shard, start, size, hashes of both ends, bytes)
+        for rb in texts.to_batches():
+            for flat, offsets, rows, first in _pieces(rb, length):
+                shard, place, start, size, _ = stretches(flat, offsets, length, gram)
+                slot = np.minimum(np.searchsorted(wanted, shard), len(wanted) - 1)
+                met = wanted[slot] == shard
+                if not met.any():
+                    continue
+                shard, place, start, size, level = shard[met], place[met], start[met], size[met], levels[slot[met]]
+                runs = [(shard[level == 0], start[level == 0], size[level == 0])]
+                for deep in np.unique(level[level > 0]).tolist():
+                    x = level == deep
+                    runs.append(split_runs(flat, shard[x], place[x], start[x], size[x], deep, length, gram)[1:])
+                shard, start, size = (np.concatenate(x) for x in zip(*runs))
+                # the first and last windows of a stretch cover it: hashes of both name its text
+                h1 = _gram_hashes(flat, length, _BASE[0])[start]
+                h2 = _gram_hashes(flat, length, _BASE[1])[start + size - length]
+                row = np.searchsorted(offsets, start, side="right") - 1
+                place_in_doc, number = start - offsets[row] + first[row], rows[row] + at
+                keep, aside = _repeated(doc_ids[number], tags[number], place_in_doc, h2, h1, size)
+                sent = gather(flat, start[keep], size[keep])
+                found.append((number, shard, place_in_doc, size, h1, h2, keep, aside, sent))
+            at += rb.num_rows
+        return _block_rows(found, doc_ids, tags) if found else _CUT_SCHEMA.empty_table()
 
-def _cut_block(flat, offsets, ids, first, length: int, gram: int, wanted: np.ndarray) -> pa.RecordBatch:
-    shard, starts, sizes = stretches(flat, offsets, length, gram)
-    met = wanted[np.minimum(np.searchsorted(wanted, shard), len(wanted) - 1)] == shard if len(wanted) else np.zeros(len(shard), bool)
-    shard, starts, sizes = shard[met], starts[met], sizes[met]
-    row = np.searchsorted(offsets, starts, side="right") - 1
-    doc, start = ids[row], starts - offsets[row] + first[row]
-    if len(starts):
-        # the first and last windows of a stretch cover it: hashes of both name its text
-        h1 = _gram_hashes(flat, length, _BASE[0])[starts]
-        h2 = _gram_hashes(flat, length, _BASE[1])[starts + sizes - length]
-        order = np.lexsort((start, doc, h2, h1, sizes))
-        again = np.zeros(len(order), bool)
-        again[1:] = (h1[order][1:] == h1[order][:-1]) & (h2[order][1:] == h2[order][:-1]) & (sizes[order][1:] == sizes[order][:-1])
-        head = np.maximum.accumulate(np.where(again, -1, np.arange(len(order))))
-        later = again & ((doc[order] != doc[order][head]) | (start[order] != start[order][head]))
-        keep, aside = np.sort(order[~again]), order[later]
-    else:
-        keep = aside = np.zeros(0, np.int64)
-    pick = np.concatenate([keep, aside])
-    lengths = sizes[keep]
-    data = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.py_buffer(gather(flat, starts[keep], lengths) if len(keep) else b"")])
-    if len(aside):
-        data = pa.concat_arrays([data, pa.nulls(len(aside), pa.binary())])
-    return pa.RecordBatch.from_arrays(
-        [pa.array(shard[pick]), pa.array(doc[pick]), pa.array(start[pick]), pa.array(start[pick] + sizes[pick]), data],
-        ["shard", "doc_id", "start", "stop", "data"],
-    )
+    return run
 
 
-_OUT = ["doc_id", "start", "stop", "h1", "h2"]
+def _block_rows(found: list[tuple[np.ndarray, ...]], doc_ids: np.ndarray, tags: np.ndarray) -> pa.Table:
+    """Rows of all pieces of a block, those equal to an earlier one of another piece set aside too."""
+    picked = [tuple(x[f[6]] for x in f[:6]) for f in found]
+    number, shard, start, size, h1, h2 = (np.concatenate(x) for x in zip(*picked))
+    sent = np.concatenate([f[8] for f in found])
+    begins = np.cumsum(size) - size
+    keep, later = _repeated(doc_ids[number], tags[number], start, h2, h1, size)
+    lengths = size[keep]
+    data = pa.Array.from_buffers(pa.binary(), len(keep), [None, pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.py_buffer(gather(sent, begins[keep], lengths))])
+    asides = [tuple(x[f[7]] for x in (f[0], f[2], f[3])) for f in found] + [(number[later], start[later], size[later])]
+    a_number, a_start, a_size = (np.concatenate(x) for x in zip(*asides))
+    number, start, size = (np.concatenate(x) for x in ((number[keep], a_number), (start[keep], a_start), (size[keep], a_size)))
+    # rows that are settled go anywhere, so that none of them meet in a hot shard
+    anywhere = _mix(tags[a_number].view(np.uint64) + a_start.astype(np.uint64) * np.uint64(_BASE[0]))
+    columns = [np.append(shard[keep], anywhere.view(np.int64)), doc_ids[number], tags[number], start, start + size]
+    return pa.Table.from_arrays([*map(pa.array, columns), pa.concat_arrays([data, pa.nulls(len(a_number), pa.binary())])], schema=_CUT_SCHEMA)
 
 
-def _rows(doc, start, stop, h1=None, h2=None) -> pa.RecordBatch:
-    n = len(doc)
-    hashes = [pa.array(h, pa.int64()) if h is not None else pa.nulls(n, pa.int64()) for h in (h1, h2)]
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, stop)] + hashes, _OUT)
+def _rows(doc, tag, start, stop) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, tag, start, stop)], ["doc_id", "tag", "start", "stop"])
 
 
 def repeats_by_suffix_array(parts: list[bytes], length: int) -> list[np.ndarray]:
@@ -225,132 +275,105 @@ def _runs(at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _Shard:
-    """Collects minimizers with several stretches and sorts them a block at a time."""
+    """Collects shards with several different stretches and sorts them a block at a time."""
 
     def __init__(self, length: int):
         self.length, self.parts, self.where, self.bytes = length, [], [], 0
 
-    def add(self, group: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        """Different stretches of one minimizer, earliest first."""
-        for doc, start, data in group:
+    def add(self, group: list[tuple[int, int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+        """Different stretches of one shard, earliest first."""
+        for *where, data in group:
             self.parts.append(data)
-            self.where.append((doc, start))
+            self.where.append(where)
             self.bytes += len(data)
         if self.bytes >= SHARD_BYTES:
             yield from self.flush()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if self.parts:
-            doc, start, stop = [], [], []
-            for (d, at), found in zip(self.where, repeats_by_suffix_array(self.parts, self.length)):
-                a, b = _runs(found, self.length)
-                doc += [d] * len(a)
-                start += (a + at).tolist()
-                stop += (b + at).tolist()
+            out = [[], [], [], []]
+            for (doc, tag, at), found in zip(self.where, repeats_by_suffix_array(self.parts, self.length)):
+                for a, b in zip(*(x.tolist() for x in _runs(found, self.length))):
+                    for x, v in zip(out, (doc, tag, a + at, b + at)):
+                        x.append(v)
             self.parts, self.where, self.bytes = [], [], 0
-            if doc:
-                yield _rows(doc, start, stop)
-
-    def hand_on(self, group: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
-        if not group:
-            return
-        parts = [x[2] for x in group]
-        flat = np.frombuffer(b"".join(parts), np.uint8)
-        sizes = np.array([len(p) for p in parts])
-        ends = np.cumsum(sizes)
-        windows = sizes - self.length + 1
-        row = np.repeat(np.arange(len(parts)), windows)
-        inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        at = (ends - sizes)[row] + inner
-        h1, h2 = (_gram_hashes(flat, self.length, b)[at].view(np.int64) for b in _BASE)
-        doc, start = np.array([x[0] for x in group])[row], np.array([x[1] for x in group])[row] + inner
-        yield _rows(doc, start, start + self.length, h1, h2)
+            if out[0]:
+                yield _rows(*out)
 
 
 def _sort_shards(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(length)
-        open_hash, group, seen, many = None, [], {}, False
+        open_hash, group, seen = None, [], {}
         for rb in batches:
             if not rb.num_rows:
                 continue
-            keys, doc, start, stop = (rb.column(c).to_numpy() for c in ("shard", "doc_id", "start", "stop"))
+            keys, *where = (rb.column(c).to_numpy() for c in ("shard", "doc_id", "tag", "start", "stop"))
             data = rb.column("data")
             null = data.is_null().to_numpy(zero_copy_only=False)
-            aside = [doc[null], start[null], stop[null]]
+            aside = [x[null] for x in where]
             rows = np.flatnonzero(~null)
             if len(rows):
                 k = keys[rows]
-                # minimizers met once in this batch need no look at their text, but at its edges
+                # shards met once in this batch need no look at their text, but at its edges
                 once = np.ones(len(k), bool)
                 once[1:] &= k[1:] != k[:-1]
                 once[:-1] &= k[1:] != k[:-1]
                 once[0] = once[-1] = False
-                more = [[], [], []]
+                more = [[], [], [], []]
                 for i in rows[~once].tolist():
-                    key, text, at = int(keys[i]), data[i].as_py(), (int(doc[i]), int(start[i]))
+                    key, text, at = int(keys[i]), data[i].as_py(), tuple(int(x[i]) for x in where)
                     if key != open_hash:
-                        if many or len(group) > 1:
-                            yield from (shard.hand_on if many else shard.add)(group)
-                        open_hash, group, seen, many = key, [], {}, False
-                    elif len(group) >= MANY:
-                        yield from shard.hand_on(group)
-                        group, seen, many = [], {}, True
+                        if len(group) > 1:
+                            yield from shard.add(group)
+                        open_hash, group, seen = key, [], {}
                     first = seen.get(text)
                     if first is None:
-                        seen[text] = at
-                        group.append((*at, text))
-                    elif at != first:
-                        for x, v in zip(more, (*at, int(stop[i]))):
+                        seen[text] = at[:3]
+                        group.append((*at[:3], text))
+                    elif at[:3] != first:
+                        for x, v in zip(more, at):
                             x.append(v)
                 aside = [np.concatenate([a, np.array(b, np.int64)]) for a, b in zip(aside, more)]
             if len(aside[0]):
                 yield _rows(*aside)
-        if many or len(group) > 1:
-            yield from (shard.hand_on if many else shard.add)(group)
+        if len(group) > 1:
+            yield from shard.add(group)
         yield from shard.flush()
 
     return run
 
 
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, tag and text of every row; the tag tells apart different texts of one id."""
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+
+
 def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, start, stop) of repeats, overlapping spans not yet merged. ``source``: doc_id, text."""
+    """(doc_id, tag, start, stop) of repeats, overlapping spans not yet merged. ``source``: doc_id, tag, text."""
     ensure_on_executors(source.sparkSession)
     scratch = Scratch.of(source.sparkSession)
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    source = source.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-    marks = source.mapInArrow(_mark(length, gram), "shard long, block long, n long").repartition("shard")
-    twice = marks.groupBy("shard").agg(F.sum("n").alias("n")).where("n > 1").select("shard")
-    shards = scratch.save(marks.select("shard", "block").join(twice, "shard", "left_semi"))
-    del marks, twice
+    source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(blocks)))
+    marks = source.mapInArrow(_mark(length, gram), "shard long, block long, n long, looks long")
+    whole = Window.partitionBy("shard")
+    counted = marks.select("shard", "block", F.sum("n").over(whole).alias("n"), F.sum("looks").over(whole).alias("looks")).where("n > 1")
+    level = F.coalesce(*[F.when(F.col("looks") > n, k) for n, k in SPLITS], F.lit(0)).alias("level")
+    shards = scratch.save(counted.select("shard", "block", level))
     scratch.release_shuffles()
-    cut = source.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_cut(length, gram), "shard long, doc_id long, start long, stop long, data binary")
-    dealt = cut.repartition("shard").sortWithinPartitions("shard", "doc_id", "start")
-    found = scratch.save(dealt.mapInArrow(_sort_shards(length), "doc_id long, start long, stop long, h1 long, h2 long"))
+    cut = source.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_cut(length, gram), _CUT_DDL)
+    dealt = cut.repartition("shard").sortWithinPartitions("shard", "doc_id", "tag", "start")
+    found = scratch.save(dealt.mapInArrow(_sort_shards(length), "doc_id long, tag long, start long, stop long"))
+    scratch.drop(shards)
     scratch.release_shuffles()
-    spans = found.where("h1 is null").select("doc_id", "start", "stop")
-    windows = found.where("h1 is not null")
-    if windows.isEmpty():
-        return spans
-    first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "start")).alias("f"))
-    later = windows.join(first, ["h1", "h2"]).where(F.struct("doc_id", "start") > F.col("f"))
-    return spans.union(later.select("doc_id", "start", "stop"))
-
-
-def _apply_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The input rows, as ``row``, beside the cleaned text."""
-    for rb in batches:
-        at = 0
-        for out in _apply(iter([rb])):
-            n = out.num_rows
-            yield pa.RecordBatch.from_arrays([rb.column("row").slice(at, n), out.column("clean_text")], ["row", "clean_text"])
-            at += n
+    return found
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Figures and cleaned text of every row, beside its id and its column ``row``."""
     for rb in small_slices(batches, "text", SLICE_BYTES):
-        ids, out = rb.column("doc_id"), [[], [], [], [], []]
+        out = [[], [], [], [], []]
         text, spans = rb.column("text").cast(pa.large_binary()), rb.column("spans")
         for i in range(rb.num_rows):
             t = text[i].as_py() or b""
@@ -372,26 +395,29 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = b"".join(kept)
             for x, v in zip(out, (len(t), removed, n, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", errors="ignore"))):
                 x.append(v)
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "clean_text"])
+        yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("row"), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.string())], ["doc_id", "row", "n_bytes", "n_removed", "n_spans", "kept_sha256", "clean_text"])
+
+
+def _cleaned(source: DataFrame, length: int, gram: int) -> DataFrame:
+    """``source`` (doc_id, tag, text, row) with the figures and cleaned texts instead of tag and text."""
+    spans = repeated_spans(source.select("doc_id", "tag", "text"), length, gram).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    joined = source.join(spans, ["doc_id", "tag"], "left")
+    figures = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string")
+    return joined.mapInArrow(_apply, StructType([*joined.select("doc_id", "row").schema, *figures]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and clean_text of every row."""
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_spans(source, length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = source.join(spans, "doc_id", "left")
-    out = joined.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string")
-    return out.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))
+    source = _identified(docs, id_col, text_col).withColumn("row", F.lit(True))
+    return _cleaned(source, length, gram).drop("row").withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))
 
 
 def clean_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The documents (doc_id, text and any other columns) with repeats cut out of their texts."""
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), "text", row.alias("row"))
-    spans = repeated_spans(source.select("doc_id", "text"), length, gram).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    joined = source.join(spans, "doc_id", "left")
-    schema = joined.select("row", F.col("text").alias("clean_text")).schema
-    out = joined.mapInArrow(_apply_rows, schema)
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*[F.col(c) for c in others]).alias("row")
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("tag"), "text", row)
+    out = _cleaned(source, length, gram)
     return out.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 
