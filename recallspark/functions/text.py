@@ -5,25 +5,27 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 
-def ascii_tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
+def _unmarked() -> tuple[str, str]:
+    """Letters that are a base letter with marks, and their base letters."""
+    pairs = ((chr(c), "".join(x for x in unicodedata.normalize("NFD", chr(c)) if not unicodedata.category(x).startswith("M"))) for c in range(0xC0, 0x2000))
+    pairs = [(a, b) for a, b in pairs if len(b) == 1 and a != b]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def unicode_tokens(text: pd.Series) -> pd.Series:
-    """Tokens of any script: marks are dropped after decomposition, letters and digits kept."""
+_MARKED, _BASE = _unmarked()
 
-    def one(t: str | None) -> list[str]:
-        plain = "".join(c for c in unicodedata.normalize("NFD", t or "") if unicodedata.category(c)[0] != "M")
-        return [w for w in re.split(r"[\W_]+", plain.lower()) if w]
 
-    return text.map(one)
+def tokens(text: Column) -> Column:
+    """Lower-case runs of letters and digits of any script, without marks; for ASCII runs of a-z and 0-9.
+
+    Letters beyond U+2000 that are composed with marks stay as they are.
+    """
+    plain = F.regexp_replace(F.translate(text, _MARKED, _BASE), r"\p{M}+", "")
+    return F.filter(F.split(F.lower(plain), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def query_tokens(query: Column) -> Column:

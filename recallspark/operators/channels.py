@@ -2,50 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.functions import scoring
 from recallspark.functions.entities import entities
-from recallspark.functions.text import ascii_tokens, normalize_identifiers
-from recallspark.operators.retrieval import B, K1
+from recallspark.functions.text import normalize_identifiers
+from recallspark.operators.retrieval import count_terms
 
 
-def bm25(rows: DataFrame, terms: list[str], weight: float = 1.0, prefix: bool = False, key: str = "id") -> DataFrame:
-    """(id, bm25, matched) of rows (id, text) that hold any term; the best row of each key.
+def channel(rows: DataFrame, terms: list[str], prefix: bool = False, key: str = "id", k: int = 50) -> DataFrame:
+    """(id, matched, bm25): the k best keys of rows (key, text) with all terms; where none has all, with any.
 
-    Lengths count characters, document frequencies count keys. Of the rows only counts of the query's
-    terms are kept, so the statistics are one row whatever the table's size.
+    A key counts by its best row.
     """
-
-    def count_of(w: str) -> Column:
-        return F.size(F.filter("tokens", lambda t: t.startswith(w) if prefix else t == w)).cast("double")
-
-    counts = [count_of(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    tf = rows.select(F.col(key).alias("id"), F.length("text").cast("double").alias("dl"), ascii_tokens(F.col("text")).alias("tokens")).select("id", "dl", *counts)
-    seen = tf.groupBy("id").agg(*[F.max(f"tf{i}").alias(f"tf{i}") for i in range(len(terms))])
-    df = seen.agg(*[F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))])
-    stats = tf.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl")).crossJoin(df)
-    score: Column = F.lit(0.0)
-    matched: Column = F.lit(0)
-    for i in range(len(terms)):
-        f = weight * F.col(f"tf{i}")
-        score = score + scoring.scoped_idf(F.col("n"), F.col(f"df{i}")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        matched = matched + (F.col(f"tf{i}") > 0).cast("int")
-    scored = tf.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0.0)) > 0).crossJoin(F.broadcast(stats))  # one row of statistics
-    return scored.select("id", score.alias("bm25"), matched.alias("matched")).groupBy("id").agg(F.max_by("matched", F.struct("matched", "bm25")).alias("matched"), F.max_by("bm25", F.struct("matched", "bm25")).alias("bm25"))
-
-
-def all_or_any(scored: DataFrame, terms: int) -> DataFrame:
-    """Rows with all terms; where no row has all, rows with any."""
-    best = scored.agg(F.max("matched").alias("most"))
-    return scored.crossJoin(F.broadcast(best)).where((F.col("matched") == terms) | (F.col("most") < terms)).drop("most")
+    c = count_terms(rows, terms, "text", prefix=prefix, key=key)
+    scored = c.hits.select("id", c.bm25(1.0).alias("bm25"), c.matched.alias("matched"))
+    if c.most == c.terms:
+        scored = scored.where(F.col("matched") == c.terms)
+    best = F.max(F.struct("matched", "bm25")).alias("b")
+    return scored.groupBy("id").agg(best).select("id", "b.matched", "b.bm25").orderBy(F.desc("bm25"), "id").limit(k)
 
 
 def identifier_search(memories: DataFrame, terms: list[str], k: int = 50) -> DataFrame:
     """The k best by normalised identifiers of the content."""
-    rows = memories.select("id", normalize_identifiers(F.col("content")).alias("text"))
-    return all_or_any(bm25(rows, terms), len(terms)).orderBy(F.desc("bm25"), "id").limit(k)
+    return channel(memories.select("id", normalize_identifiers(F.col("content")).alias("text")), terms, k=k)
 
 
 def entity_rows(memories: DataFrame) -> DataFrame:
@@ -56,7 +36,7 @@ def entity_rows(memories: DataFrame) -> DataFrame:
 def entity_search(named: DataFrame, terms: list[str], k: int = 50) -> DataFrame:
     """The k best memories by prefixes of their entities' identifiers; a memory counts by its best entity."""
     rows = named.select("memory_id", normalize_identifiers(F.col("entity_text")).alias("text"))
-    return all_or_any(bm25(rows, terms, prefix=True, key="memory_id"), len(terms)).orderBy(F.desc("bm25"), "id").limit(k)
+    return channel(rows, terms, prefix=True, key="memory_id", k=k)
 
 
 def entity_lookup(named: DataFrame, name: str, k: int = 20) -> DataFrame:

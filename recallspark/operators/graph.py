@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.operators.components import connected_components
+from recallspark.operators.retrieval import nearest_many
+from recallspark.operators.visibility import valid_at
 from recallspark.plans.scratch import Scratch
 
 
@@ -17,25 +20,156 @@ def neighbours(links: DataFrame, start: int, k: int) -> DataFrame:
     return edges.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def walk(links: DataFrame, start: int, depth: int = 2) -> DataFrame:
-    """(id, hops, similarity): nodes within reach over either direction, by fewest hops, then best edge."""
+def auto_links(vectors: DataFrame, fresh: DataFrame, k: int = 20, below: float = 0.837) -> DataFrame:
+    """(source_id, target_id, similarity): semantic links in both directions between fresh vectors and their
+    at most k nearest ones that are close enough. Both tables are (id, embedding)."""
+    near = nearest_many(vectors, fresh, k, below)
+    similarity = F.greatest(1 - F.col("distance") * F.col("distance") / 2, F.lit(0.0)).alias("similarity")
+    ways = F.explode(F.array(F.struct(F.col("query_id").alias("s"), F.col("id").alias("t")), F.struct(F.col("id").alias("s"), F.col("query_id").alias("t")))).alias("w")
+    return near.select(ways, similarity).select(F.col("w.s").alias("source_id"), F.col("w.t").alias("target_id"), "similarity").dropDuplicates(["source_id", "target_id"])
+
+
+def _both_ways(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(a, b, similarity) in both directions, the best of each pair; both ends are among ``nodes`` if given."""
     both = links.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "similarity").union(links.select("target_id", "source_id", "similarity"))
-    both = both.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
-    spark = links.sparkSession
+    if nodes is not None:
+        ids = nodes.select(F.col("id").alias("a"))
+        both = both.join(ids, "a", "left_semi").join(ids.select(F.col("a").alias("b")), "b", "left_semi").select("a", "b", "similarity")
+    return both.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))
+
+
+def walk(links: DataFrame, start: int, depth: int = 2, nodes: DataFrame | None = None, shown: DataFrame | None = None, k: int | None = None) -> DataFrame:
+    """(id, hops, similarity): nodes within reach over either direction, by fewest hops, then best edge.
+
+    The walk stays among ``nodes`` (those in scope); only those of ``shown`` (valid, not superseded) are
+    returned, but it may pass through others.
+    """
+    spark, scratch = links.sparkSession, Scratch.of(links.sparkSession)
+    both = scratch.save(_both_ways(links, nodes))
     seen = spark.createDataFrame([(start, 0, None)], "id long, hops int, similarity double")
+    if nodes is not None:
+        seen = seen.join(nodes.select("id"), "id", "left_semi")
     edge = seen
     for hop in range(1, depth + 1):
         reach = edge.select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("id")).agg(F.max("similarity").alias("similarity"))
-        edge = reach.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"), "similarity")
+        edge = scratch.save(reach.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"), "similarity"))
         seen = seen.union(edge)
-    return seen.where("hops > 0")
+    out = seen.where("hops > 0")
+    if shown is not None:
+        out = out.join(shown.select("id"), "id", "left_semi")
+    return out if k is None else out.orderBy("hops", F.desc("similarity"), "id").limit(k)
+
 
+def closure(links: DataFrame, seeds: DataFrame, as_of: int | None = None, most_steps: int = 500) -> DataFrame:
+    """(seed, id): all that supersedes links connect to each seed, itself included, in either direction.
 
-def personalised_rank(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """(id, rank): random walks that restart at the seeds; weights are similarities; mass of dead ends is lost."""
+    Links judged after ``as_of`` don't exist yet. The loop stops when nothing new is found.
+    """
     scratch = Scratch.of(links.sparkSession)
-    both = links.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "similarity").union(links.select("target_id", "source_id", "similarity"))
-    weights = both.groupBy("a", "b").agg(F.max(F.greatest("similarity", F.lit(0.0))).alias("w"))
+    rows = links.where(F.col("link_type") == "supersedes")
+    if as_of is not None:
+        rows = rows.where(F.coalesce("judged_at", "created_at") <= as_of)
+    both = scratch.save(_both_ways(rows).select("a", "b"))
+    seen = scratch.save(seeds.select(F.col("id").alias("seed"), "id").distinct())
+    edge = seen
+    for _ in range(most_steps):
+        step = edge.select("seed", F.col("id").alias("a")).join(both, "a").select("seed", F.col("b").alias("id")).distinct()
+        edge = scratch.save(step.join(seen, ["seed", "id"], "left_anti"))
+        if edge.isEmpty():
+            break
+        then = scratch.save(seen.union(edge))
+        scratch.drop(seen)
+        seen = then
+    return seen
+
+
+def history(memories: DataFrame, links: DataFrame, start: int, as_of: int | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """Versions of a memory, oldest first, and the supersedes links between them."""
+    ids = closure(links, memories.where(F.col("id") == start)).select("id")
+    rows = memories.join(ids, "id", "left_semi")
+    inside = links.where(F.col("link_type") == "supersedes")
+    if as_of is not None:
+        rows = rows.where(valid_at(as_of, F.col("valid_from"), F.col("valid_until")))
+        inside = inside.where(F.coalesce("judged_at", "created_at") <= as_of)
+    rows = rows.orderBy("created_at", "id").limit(limit)
+    ends = rows.select(F.col("id").alias("source_id"))
+    inside = inside.join(ends, "source_id", "left_semi").join(ends.select(F.col("source_id").alias("target_id")), "target_id", "left_semi")
+    return rows, inside
+
+
+def chain_depth(links: DataFrame, most: int = 100) -> DataFrame:
+    """(id, depth): versions from each memory back along its revisions, itself included.
+
+    Every memory has at most one revision that it replaces: the least id where there are several.
+    """
+    scratch = Scratch.of(links.sparkSession)
+    back = links.where((F.col("link_type") == "supersedes") & (F.col("revision") > 0)).groupBy(F.col("source_id").alias("at")).agg(F.min("target_id").alias("next"))
+    back = scratch.save(back)
+    edge = back.select(F.col("at").alias("id"), F.col("next").alias("at"), F.lit(2).alias("depth"))
+    out = [edge]
+    for depth in range(3, most + 2):
+        edge = scratch.save(edge.join(back, "at").where(F.col("next") != F.col("id")).select("id", F.col("next").alias("at"), F.lit(depth).alias("depth")))
+        if edge.isEmpty():
+            break
+        out.append(edge)
+    found = out[0]
+    for e in out[1:]:
+        found = found.union(e)
+    return found.groupBy("id").agg(F.max("depth").alias("depth"))
+
+
+def duplicate_groups(memories: DataFrame, links: DataFrame, threshold: float = 0.95, limit: int | None = 50) -> DataFrame:
+    """(id, representative, similarity): members of groups joined by links above the threshold.
+
+    The limit counts pairs, most similar first. The representative has the largest importance times
+    uses; members without a link of their own to it take the threshold as similarity.
+    """
+    ids = memories.select("id", "importance", "access_count")
+    pairs = links.where((F.col("similarity") > threshold) & (F.col("source_id") < F.col("target_id"))).select("source_id", "target_id", "similarity")
+    pairs = pairs.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_semi").join(ids.select(F.col("id").alias("target_id")), "target_id", "left_semi")
+    if limit is not None:
+        pairs = pairs.orderBy(F.desc("similarity"), "source_id", "target_id").limit(limit)
+    pairs = Scratch.of(links.sparkSession).save(pairs)
+    groups = connected_components(pairs, "source_id", "target_id").join(ids, "id")
+    weight = F.struct((F.col("importance") * (F.col("access_count") + 1)).alias("w"), F.negative("id"))
+    lead = groups.groupBy("component").agg(F.max_by("id", weight).alias("representative"))
+    edges = pairs.select(F.col("source_id").alias("id"), F.col("target_id").alias("representative"), "similarity").union(pairs.select("target_id", "source_id", "similarity"))
+    edges = edges.groupBy("id", "representative").agg(F.max("similarity").alias("similarity"))
+    members = groups.join(lead, "component").where(F.col("id") != F.col("representative")).select("id", "representative")
+    return members.join(edges, ["id", "representative"], "left").withColumn("similarity", F.coalesce("similarity", F.lit(threshold)))
+
+
+def contradiction_candidates(lexical: DataFrame, vector: DataFrame, k: int = 10, least_cosine: float = 0.75) -> DataFrame:
+    """(subject, id, score, source): the k best candidates of each subject from lexical (subject, id, rank
+    from 0) and vector lists (subject, id, distance), those that both lists have first."""
+    near = vector.select("subject", "id", F.greatest(1 - F.col("distance") * F.col("distance") / 2, F.lit(0.0)).alias("vec"), F.lit(None).cast("int").alias("rank")).where(F.col("vec") >= least_cosine)
+    both = near.union(lexical.select("subject", "id", F.lit(None).cast("double"), "rank")).groupBy("subject", "id").agg(F.max("vec").alias("vec"), F.min("rank").alias("rank"))
+    word = F.when(F.col("rank").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("rank") / 20.0)).otherwise(0.0)
+    shared = F.col("vec").isNotNull() & F.col("rank").isNotNull()
+    score = 0.6 * F.coalesce("vec", F.lit(0.0)) + 0.4 * word + F.when(shared, 0.2).otherwise(0.0)
+    source = F.when(shared, "both").when(F.col("vec").isNotNull(), "vec").otherwise("fts")
+    out = both.select("subject", "id", score.alias("score"), source.alias("source"))
+    w = Window.partitionBy("subject").orderBy(F.desc("score"), "id")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
+def personalised_rank(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, reach: int | None = None, nodes: DataFrame | None = None) -> DataFrame:
+    """(id, rank): random walks that restart at the seeds; weights are similarities; mass of dead ends is lost.
+
+    With ``reach`` only nodes within so many hops of the seeds take part; where they are fewer than three,
+    the rank of the others is their best edge's similarity.
+    """
+    scratch = Scratch.of(links.sparkSession)
+    weights = _both_ways(links, nodes).select("a", "b", F.greatest("similarity", F.lit(0.0)).alias("w"))
+    if reach is not None:
+        weights = scratch.save(weights)
+        near = scratch.save(seeds.select("id"))
+        for _ in range(reach):
+            near = scratch.save(near.union(near.select(F.col("id").alias("a")).join(weights, "a").select(F.col("b").alias("id"))).distinct())
+        if near.count() < 3:
+            out = near.join(seeds.select("id"), "id", "left_anti").join(weights.select(F.col("b").alias("id"), "w"), "id")
+            return out.groupBy("id").agg(F.max("w").alias("rank"))
+        weights = weights.join(near.select(F.col("id").alias("a")), "a", "left_semi").join(near.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b", "w")
     total = weights.groupBy("a").agg(F.sum("w").alias("s"), F.count(F.lit(1)).alias("n"))
     steps = scratch.save(weights.join(total, "a").select("a", "b", F.when(F.col("s") > 0, F.col("w") / F.col("s")).otherwise(1.0 / F.col("n")).alias("p")))
     n = seeds.count()

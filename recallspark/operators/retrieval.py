@@ -2,75 +2,218 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import scoring
-from recallspark.functions.text import ascii_tokens
+from recallspark.functions.text import tokens
+from recallspark.plans.scratch import Scratch
 
 K1, B, CONTENT_WEIGHT = 1.2, 0.75, 10.0
+#: Query vectors compared in one pass over the table.
+QUERY_BLOCK = 1024
 
 
-def scoped_bm25(memories: DataFrame, terms: list[str], content: str = "content") -> DataFrame:
-    """(id, bm25, matched): rows that hold any term, scored by the scope's own statistics.
+@dataclass
+class Counted:
+    """Rows that hold any of the terms (id, dl, tf0...), written once, and the scope's statistics."""
+
+    hits: DataFrame
+    terms: int
+    rows: int
+    mean: float
+    df: list[int]
+    most: int
+
+    @property
+    def matched(self) -> Column:
+        return sum(((F.col(f"tf{i}") > 0).cast("int") for i in range(self.terms)), F.lit(0))
+
+    def bm25(self, weight: float) -> Column:
+        """Lengths are characters; the column's weight multiplies counts before saturation."""
+        score: Column = F.lit(0.0)
+        for i in range(self.terms):
+            tf = weight * F.col(f"tf{i}")
+            idf = scoring.scoped_idf(F.lit(float(self.rows)), F.lit(float(self.df[i])))
+            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(self.mean or 1.0)))
+        return score
+
 
-    The scope is what the caller passes. Lengths are characters; the column's weight multiplies term
-    counts before saturation. Only counts of the query's terms leave the rows.
+def count_terms(rows: DataFrame, terms: list[str], content: str = "content", prefix: bool = False, phrase: bool = False, key: str = "id") -> Counted:
+    """Counts terms in one pass over the texts; the scope is what the caller passes.
+
+    Only rows with hits are written, and a second pass, over lengths alone, counts the scope. With
+    ``phrase`` the terms count once, where they follow each other. Document frequencies count keys.
     """
-    tokens = ascii_tokens(F.col(content))
+    words = tokens(F.col(content))
 
     def count_of(term: str) -> Column:
-        return F.size(F.filter("tokens", lambda t: t == term)).cast("double")
+        return F.size(F.filter("t", lambda t: t.startswith(term) if prefix else t == term)).cast("double")
+
+    if phrase:
+        joined = F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" "))
+        counts = [joined.contains(" " + " ".join(terms) + " ").cast("double").alias("tf0")]
+    else:
+        counts = [count_of(w).alias(f"tf{i}") for i, w in enumerate(terms)]
+    n = len(counts)
+    names = [f"tf{i}" for i in range(n)]
+    found = rows.select(F.col(key).alias("id"), F.length(content).cast("double").alias("dl"), words.alias("t")).select("id", "dl", *counts)
+    found = found.where(F.greatest(*map(F.col, names), F.lit(0.0)) > 0)
+    hits = Scratch.of(rows.sparkSession).save(found)
+    size, mean = rows.agg(F.count(F.lit(1)), F.avg(F.length(content))).first()
+    by_key = hits.groupBy("id").agg(*[F.max(c).alias(c) for c in names]) if key != "id" else hits
+    each = by_key.agg(*[F.count_if(F.col(c) > 0) for c in names], F.max(sum(((F.col(c) > 0).cast("int") for c in names), F.lit(0)))).first()
+    return Counted(hits, n, size, float(mean or 0), [int(x) for x in each[:n]], int(each[n] or 0))
 
-    counts = [count_of(w) for w in terms]
-    rows = memories.select("id", F.length(content).cast("double").alias("dl"), tokens.alias("tokens")).select("id", "dl", *[c.alias(f"tf{i}") for i, c in enumerate(counts)])
-    stats = rows.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("double")).alias(f"df{i}") for i in range(len(terms))])
-    hits = rows.where(F.greatest(*[F.col(f"tf{i}") for i in range(len(terms))], F.lit(0.0)) > 0)
-    joined = hits.crossJoin(F.broadcast(stats))  # one row of statistics
-    parts = []
-    for i in range(len(terms)):
-        tf = CONTENT_WEIGHT * F.col(f"tf{i}")
-        parts.append(scoring.scoped_idf(F.col("n"), F.col(f"df{i}")) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
-    score, matched = parts[0], (F.col("tf0") > 0).cast("int")
-    for i, p in enumerate(parts[1:], 1):
-        score, matched = score + p, matched + (F.col(f"tf{i}") > 0).cast("int")
-    return joined.select("id", score.alias("bm25"), matched.alias("matched"))
+
+def scoped_bm25(memories: DataFrame, terms: list[str], content: str = "content") -> DataFrame:
+    """(id, bm25, matched): rows that hold any term, scored by the scope's own statistics."""
+    c = count_terms(memories, terms, content)
+    return c.hits.select("id", c.bm25(CONTENT_WEIGHT).alias("bm25"), c.matched.alias("matched"))
 
 
-def lexical_search(memories: DataFrame, terms: list[str], content: str = "content") -> DataFrame:
-    """(id, relevance): all terms must occur; where nothing has all and there are more than two, any.
+def relevance(c: Counted, weight: float = CONTENT_WEIGHT, window: int | None = None) -> DataFrame:
+    """(id, relevance, bm25): rows with all terms; where nothing has all and there are more than two, any.
 
-    Where all idf are at their floor, relevance is the share of terms that a row matches.
+    Of more rows than ``window`` the shortest count. Where all idf are at their floor, or nothing
+    fits, relevance is the share of terms that a row matches.
     """
-    scored = scoped_bm25(memories, terms, content)
-    scored = scored.join(F.broadcast(scored.agg(F.max("matched").alias("most"))), how="cross")
-    fitting = scored.where((F.col("matched") == len(terms)) | ((F.col("most") < len(terms)) & F.lit(len(terms) > 2)))
-    best = fitting.agg(F.max("bm25").alias("top"))
-    out = fitting.join(F.broadcast(best), how="cross")
-    return out.select("id", F.when(F.col("top") >= 1e-3, scoring.bm25_relevance(F.col("bm25"), len(terms))).otherwise(F.col("matched") / len(terms)).alias("relevance"))
+    fitting = c.hits
+    if c.most == c.terms:
+        fitting = fitting.where(c.matched == c.terms)
+    elif c.terms <= 2:
+        fitting = fitting.limit(0)
+    if window is not None:
+        fitting = fitting.orderBy("dl", "id").limit(window)
+    scored = fitting.select("id", c.bm25(weight).alias("bm25"), c.matched.alias("matched"))
+    top = scored.agg(F.max("bm25")).first()[0] or 0.0
+    if top / max(1, c.terms) >= 1e-3:
+        return scored.select("id", scoring.bm25_relevance(F.col("bm25"), c.terms).alias("relevance"), "bm25")
+    return c.hits.select("id", (c.matched / c.terms).alias("relevance"), F.lit(None).cast("double").alias("bm25"))
+
+
+def lexical_search(memories: DataFrame, terms: list[str], content: str = "content", phrase: bool = False, window: int | None = None) -> DataFrame:
+    """(id, relevance) of one lexical list."""
+    return relevance(count_terms(memories, terms, content, phrase=phrase), window=window).select("id", "relevance")
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
-    """(id, distance): the k nearest by Euclidean distance, exactly; ties go to the smaller id."""
+def nearest(vectors: DataFrame, query: list[float], k: int, scope: DataFrame | None = None) -> DataFrame:
+    """(id, distance): the k nearest by Euclidean distance, exactly; ties go to the smaller id.
+
+    The scope's ids are chosen first, so that rows outside never take a place.
+    """
+    if scope is not None:
+        vectors = vectors.join(scope.select("id"), "id", "left_semi")
     target = F.array(*[F.lit(float(x)) for x in query])
     return vectors.select("id", scoring.l2_distance(F.col("embedding"), target).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def fuse(memories: DataFrame, lexical: DataFrame, vector: DataFrame, now: int, k: int, weights: dict[str, float] = scoring.SEMANTIC_WEIGHTS) -> DataFrame:
-    """The k best of both lists' candidates by weighted relevance, recency, access and importance."""
-    candidates = lexical.select("id", F.col("relevance").alias("fts")).join(vector.select("id", scoring.distance_relevance(F.col("distance")).alias("vec")), "id", "full_outer")
-    rows = memories.join(candidates, "id")
+def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, below: float | None = None) -> DataFrame:
+    """(query_id, id, distance): the k nearest other vectors of every query, closer than ``below``.
+
+    Both tables are (id, embedding). Queries go to all vectors in blocks of ``QUERY_BLOCK``; every
+    task keeps k candidates of each query, so what is merged is bounded by tasks, not rows. Null
+    vectors find nothing.
+    """
+    spark, out = vectors.sparkSession, None
+    block: list[tuple[int, list[float]]] = []
+
+    def compare(part: list[tuple[int, list[float]]]) -> DataFrame:
+        shared = spark.sparkContext.broadcast(([i for i, _ in part], np.array([v for _, v in part], float)))  # one block
+
+        def run(batches):
+            ids, q = shared.value
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for rb in batches:
+                rows = pa.Table.from_batches([rb]).filter(pa.compute.is_valid(rb.column("embedding")))
+                if not rows.num_rows:
+                    continue
+                own = rows.column("id").to_numpy()
+                v = np.array(rows.column("embedding").to_pylist(), float)
+                for j, i in enumerate(ids):
+                    d = np.sqrt(((v - q[j]) ** 2).sum(axis=1))
+                    ok = (own != i) & ((d < below) if below is not None else True)
+                    x, y = best.get(j, (np.zeros(0, np.int64), np.zeros(0)))
+                    x, y = np.append(x, own[ok]), np.append(y, d[ok])
+                    order = np.lexsort((x, y))[:k]
+                    best[j] = x[order], y[order]
+            for j, (x, y) in best.items():
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[j]] * len(x), pa.int64()), "id": pa.array(x, pa.int64()), "distance": pa.array(y, pa.float64())})
+
+        return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(run, "query_id long, id long, distance double")
+
+    for row in queries.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").toLocalIterator():
+        block.append((row["id"], list(row["embedding"])))
+        if len(block) == QUERY_BLOCK:
+            out, block = compare(block) if out is None else out.union(compare(block)), []
+    if block or out is None:
+        last = compare(block) if block else vectors.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance")).limit(0)
+        out = last if out is None else out.union(last)
+    w = Window.partitionBy("query_id").orderBy("distance", "id")
+    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
+
+
+def candidates(lists: dict[str, DataFrame], vector: DataFrame | None) -> DataFrame:
+    """(id, fts, vec, place): lexical lists (id, relevance) averaged, and the vector list (id, distance).
+
+    Lists named ``ident`` or ``entity`` that found nothing don't dilute the others. ``place`` orders
+    candidates by the first list that has them and their rank there.
+    """
+    used = {k: v for k, v in lists.items() if k.split(":")[0] not in ("ident", "entity") or not v.isEmpty()}
+    parts = []
+    for i, rows in enumerate(used.values()):
+        w = Window.orderBy(F.desc("relevance"), "id")  # a list is bounded by its over-fetch
+        parts.append(rows.select("id", (F.col("relevance") / max(1, len(used))).alias("fts"), F.lit(0.0).alias("vec"), F.struct(F.lit(i).alias("list"), F.row_number().over(w).alias("rank")).alias("place")))
+    if vector is not None:
+        w = Window.orderBy("distance", "id")
+        parts.append(vector.select("id", F.lit(0.0).alias("fts"), scoring.distance_relevance(F.col("distance")).alias("vec"), F.struct(F.lit(len(used)).alias("list"), F.row_number().over(w).alias("rank")).alias("place")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.groupBy("id").agg(F.sum("fts").alias("fts"), F.max("vec").alias("vec"), F.min("place").alias("place"))
+
+
+def shared_out(weights: dict[str, float]) -> dict[str, float]:
+    """Weights where there are no vectors: theirs goes to the others in proportion."""
+    rest = sum(v for k, v in weights.items() if k != "vec")
+    return {k: 0.0 if k == "vec" else v * (rest + weights["vec"]) / rest for k, v in weights.items()}
+
+
+def fuse(memories: DataFrame, lists: dict[str, DataFrame], vector: DataFrame | None, now: int, k: int, kind: str = "semantic", least: float | None = None, rerank: DataFrame | None = None, alpha: float = 0.5, top_n: int = 20) -> DataFrame:
+    """The k best candidates: id, score, relevance, the share of each signal, and the reason (the largest).
+
+    Weights follow the query's kind; ties go to the earlier candidate. ``rerank`` (id, rerank) is mixed
+    into the ``top_n`` best, all others counting as neutral.
+    """
+    weights = scoring.WEIGHT_PROFILES[kind]
+    if vector is None or vector.isEmpty():
+        weights, vector = shared_out(weights), None
+    rows = memories.join(candidates(lists, vector), "id")
     signals = {
-        "fts": F.coalesce("fts", F.lit(0.0)),
-        "vec": F.coalesce("vec", F.lit(0.0)),
+        "fts": F.col("fts"),
+        "vec": F.col("vec"),
         "recency": scoring.recency(now, F.col("created_at"), F.col("last_accessed"), F.col("importance"), F.col("access_count")),
         "access": scoring.access_prior(F.col("access_count")),
         "importance": F.col("importance"),
     }
-    total: Column = F.lit(0.0)
-    for name, signal in signals.items():
-        total = total + weights[name] * signal
-    return rows.select("id", total.alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    rows = rows.select("id", "place", *[(weights[name] * x).alias(f"s_{name}") for name, x in signals.items()])
+    total = sum((F.col(f"s_{name}") for name in signals), F.lit(0.0))
+    evidence = weights["fts"] + weights["vec"]
+    rows = rows.withColumn("score", total).withColumn("relevance", (F.col("s_fts") + F.col("s_vec")) / evidence)
+    top = F.greatest(*[F.col(f"s_{name}") for name in signals])
+    rows = rows.withColumn("reason", F.coalesce(*[F.when(F.col(f"s_{name}") == top, F.lit(name)) for name in signals]))
+    if rerank is not None:
+        rank = F.row_number().over(Window.orderBy(F.desc("score"), "place"))  # candidates of one query
+        near = rows.withColumn("_n", rank).join(rerank.select("id", "rerank"), "id", "left")
+        given = F.when(F.col("_n") <= top_n, F.col("rerank"))
+        rows = near.withColumn("score", scoring.rerank_blend(F.col("score"), given, alpha)).drop("_n", "rerank")
+    if least is not None:
+        rows = rows.where(F.col("score") >= least)
+    return rows.orderBy(F.desc("score"), "place").limit(k).drop("place")
 
 
 def pack_within_budget(ranked: DataFrame, budget: int, group: str, order: list[str], length: str = "chars") -> DataFrame:

@@ -68,14 +68,15 @@ def scope_statistics(spark, d):
     return memories(spark, d).groupBy("namespace").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("content")).alias("chars"))
 
 
-@query("document_frequency", WITH + "SELECT t AS term, count(*) AS df FROM (SELECT DISTINCT id, unnest(list_filter(regexp_split_to_array(lower(content), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM m) GROUP BY t")
+@query("document_frequency", WITH + r"SELECT t AS term, count(*) AS df FROM (SELECT DISTINCT id, unnest(list_filter(regexp_split_to_array(lower(strip_accents(content)), '[^\p{L}\p{N}]+'), lambda x: x <> '')) AS t FROM m) GROUP BY t")
 def document_frequency(spark, d):
-    terms = F.explode(F.array_distinct(text.ascii_tokens(F.col("content")))).alias("term")
+    terms = F.explode(F.array_distinct(text.tokens(F.col("content")))).alias("term")
     return memories(spark, d).select(terms).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 _TF = ", ".join(f"10.0 * len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for i, w in enumerate(TERMS))
-_BM25 = f"""tok AS (SELECT id, length(content) AS dl, regexp_split_to_array(lower(content), '[^a-z0-9]+') AS t FROM m WHERE starts_with(namespace, '/p/en/')),
+_SPLIT = r"[^\p{L}\p{N}]+"
+_BM25 = f"""tok AS (SELECT id, length(content) AS dl, regexp_split_to_array(lower(strip_accents(content)), '{_SPLIT}') AS t FROM m WHERE starts_with(namespace, '/p/en/')),
 tf AS (SELECT id, dl, {_TF} FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(TERMS)))} FROM tf),
 sc AS (SELECT id, {" + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(TERMS)))} AS bm25,
   {" + ".join(f"(tf{i} > 0)::INT" for i in range(len(TERMS)))} AS matched FROM tf, st WHERE {" OR ".join(f"tf{i} > 0" for i in range(len(TERMS)))})"""
@@ -99,7 +100,9 @@ def lexical_search(spark, d):
 
 
 _QUERY_VECTOR = [1.0 if i % 2 else -0.5 for i in range(64)]
-_VEC = f"""vec AS (SELECT vec_id AS id, sqrt(list_sum(list_transform(list_zip(embedding, {_QUERY_VECTOR}), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2])))) AS distance FROM embeddings ORDER BY distance, id LIMIT 50)"""
+_DISTANCE = f"sqrt(list_sum(list_transform(list_zip(embedding, {_QUERY_VECTOR}), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2]))))"
+_VEC = f"vec AS (SELECT vec_id AS id, {_DISTANCE} AS distance FROM embeddings ORDER BY distance, id LIMIT 50)"
+_SCOPED_VEC = f"vec AS (SELECT vec_id AS id, {_DISTANCE} AS distance FROM embeddings WHERE vec_id IN (SELECT id FROM m WHERE starts_with(namespace, '/p/en/')) ORDER BY distance, id LIMIT 50)"
 
 
 @query("nearest_vectors", f"WITH {_VEC} SELECT id, round(distance, 6) AS distance FROM vec")
@@ -108,15 +111,53 @@ def nearest_vectors(spark, d):
     return retrieval.nearest(v, _QUERY_VECTOR, 50).select("id", F.round("distance", 6).alias("distance"))
 
 
-@query("hybrid_search", f"""{_M}, {_LEX}, {_VEC}, c AS (SELECT coalesce(lex.id, vec.id) AS id, coalesce(relevance, 0) AS fts,
-  coalesce(least(greatest(1 - distance * distance / 2, 0), 1), 0) AS v FROM lex FULL JOIN vec ON lex.id = vec.id)
-SELECT m.id, round(0.2 * fts + 0.35 * v + 0.15 * exp(-greatest(({NOW} - coalesce(last_accessed, created_at)) / 86400000.0::DOUBLE, 0) / (365 * greatest(importance + 0.3 * ln(access_count + 1), 0.1)))
-  + 0.1 * least(ln(access_count + 1) / ln(100), 1) + 0.2 * importance, 6) AS score FROM m JOIN c ON m.id = c.id WHERE starts_with(namespace, '/p/en/') ORDER BY score DESC, m.id LIMIT 20""")
+def _fused(parts: str, weights: dict[str, float]) -> str:
+    """SQL of the fused score over ``c`` (id, fts, v)."""
+    recency = f"exp(-greatest(({NOW} - coalesce(last_accessed, created_at)) / 86400000.0::DOUBLE, 0) / (365 * greatest(importance + 0.3 * ln(access_count + 1), 0.1)))"
+    w = weights
+    return f"""{parts} SELECT m.id, round({w["fts"]} * fts + {w["vec"]} * v + {w["recency"]} * {recency} + {w["access"]} * least(ln(access_count + 1) / ln(100), 1) + {w["importance"]} * importance, 6) AS score,
+  round(({w["fts"]} * fts + {w["vec"]} * v) / {w["fts"] + w["vec"]}, 6) AS relevance FROM m JOIN c ON m.id = c.id ORDER BY score DESC, m.id LIMIT 20"""
+
+
+_PARTS = f"""{_M}, {_LEX}, {_SCOPED_VEC}, c AS (SELECT coalesce(lex.id, vec.id) AS id, coalesce(relevance, 0) AS fts,
+  coalesce(least(greatest(1 - distance * distance / 2, 0), 1), 0) AS v FROM lex FULL JOIN vec ON lex.id = vec.id)"""
+
+
+def _vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+@query("hybrid_search", _fused(_PARTS, scoring.SEMANTIC_WEIGHTS))
 def hybrid_search(spark, d):
     m = _english(spark, d)
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    out = retrieval.fuse(m, retrieval.lexical_search(m, list(TERMS)), retrieval.nearest(v, _QUERY_VECTOR, 50), NOW, 20)
-    return out.select("id", F.round("score", 6).alias("score"))
+    out = retrieval.fuse(m, {"fts": retrieval.lexical_search(m, list(TERMS))}, retrieval.nearest(_vectors(spark, d), _QUERY_VECTOR, 50, m), NOW, 20)
+    return out.select("id", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"))
+
+
+_PHRASE = r"""ph AS (SELECT id, length(content) AS dl, contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(content)), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ', ' in the ') AS hit FROM m WHERE starts_with(namespace, '/p/en/')),
+ps AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (hit) AS df FROM ph),
+pb AS (SELECT id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * 10 * 2.2 / (10 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM ph, ps WHERE hit),
+plex AS (SELECT id, CASE WHEN (SELECT max(s) FROM pb) >= 1e-3 THEN s / (1 + s) ELSE 1 END AS relevance FROM pb)"""
+
+
+@query("phrase_search", f"{_M}, {_PHRASE} SELECT id, round(relevance, 6) AS relevance FROM plex")
+def phrase_search(spark, d):
+    return retrieval.lexical_search(_english(spark, d), ["in", "the"], phrase=True).select("id", F.round("relevance", 6).alias("relevance"))
+
+
+@query("expanded_search", _fused(f"""{_M}, {_LEX}, {_PHRASE}, c AS (SELECT id, sum(relevance) / 2 AS fts, 0 AS v FROM (SELECT id, relevance FROM lex UNION ALL SELECT id, relevance FROM plex) GROUP BY id)""", retrieval.shared_out(scoring.WEIGHT_PROFILES["temporal"])))
+def expanded_search(spark, d):
+    m = _english(spark, d)
+    lists = {"fts": retrieval.lexical_search(m, list(TERMS)), "fts:phrase": retrieval.lexical_search(m, ["in", "the"], phrase=True), "ident": m.select("id", F.lit(0.0).alias("relevance")).limit(0)}
+    out = retrieval.fuse(m, lists, None, NOW, 20, kind="temporal")
+    return out.select("id", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"))
+
+
+@query("auto_links", """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS id, sqrt(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: (z[1]::DOUBLE - z[2]) * (z[1]::DOUBLE - z[2])))) AS distance FROM embeddings q JOIN embeddings e ON e.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS n FROM p WHERE distance < 1.2) SELECT DISTINCT unnest([query_id, id]) AS source_id, unnest([id, query_id]) AS target_id, round(greatest(1 - distance * distance / 2, 0), 6) AS similarity FROM r WHERE n <= 20""")
+def auto_links(spark, d):
+    v = _vectors(spark, d)
+    return graph.auto_links(v, v.where("id % 50 = 0"), below=1.2).select("source_id", "target_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("trust_tiers", _M + f""", s AS (SELECT id, pinned, 0.5 * importance + 0.3 * least(ln(access_count + 1) / ln(100), 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import importlib
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,3 +22,10 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+def loaded():
+    """This module, after all modules that register queries have been imported."""
+    for name in ("queries", "report_queries", "upkeep_queries", "episode_queries"):
+        importlib.import_module(f"recallspark.plans.{name}")
+    return sys.modules[__name__]

@@ -28,8 +28,27 @@ SELECT doc_id AS source_id, doc_id - 1 - doc_id % 5 AS target_id,
 FROM documents WHERE doc_id - 1 - doc_id % 5 >= 0"""
 
 
-def _view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    return spark.sql(sql.replace("FROM documents", "FROM {documents}"), documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+#: Episodes, their sessions and citations, made of conversations.
+EPISODES_SQL = f"""
+SELECT conv_id * 1000 + turn AS id, concat('/p/c', CAST(conv_id % 4 AS STRING)) AS namespace, conv_id AS session_id, 'chat' AS source,
+  concat(CAST(conv_id AS STRING), ':', CAST(turn AS STRING)) AS external_id, role, text AS content, turn AS turn_index,
+  CASE WHEN conv_id % 9 <> 0 THEN {EPOCH} + conv_id * {HOUR} + turn * 60000 END AS occurred_at,
+  CASE WHEN conv_id % 3 = 0 THEN 'session' WHEN conv_id % 3 = 1 THEN 'durable' ELSE 'ephemeral' END AS retention,
+  CASE WHEN conv_id % 3 = 2 THEN {EPOCH} + conv_id * 30 * {HOUR} END AS expires_at,
+  CASE WHEN turn % 5 = 4 THEN 'superseded' ELSE 'current' END AS source_state, conv_id % 7 AS task_id,
+  CASE WHEN conv_id % 13 = 0 THEN 'personal' END AS visibility, concat('u', CAST(conv_id % 4 AS STRING)) AS owner
+FROM conversations"""
+
+SESSIONS_SQL = f"""
+SELECT DISTINCT conv_id AS id, {EPOCH} + conv_id * {HOUR} AS started_at, CASE WHEN conv_id % 2 = 0 THEN {EPOCH} + conv_id * {HOUR} + 500000 END AS ended_at FROM conversations"""
+
+CITATIONS_SQL = """
+SELECT conv_id % 40 AS memory_id, conv_id * 1000 + turn AS episode_id, CASE WHEN turn % 2 = 0 THEN CAST(turn AS INT) END AS span_start,
+  CASE WHEN turn % 2 = 0 THEN CAST(turn + 9 AS INT) END AS span_end FROM conversations WHERE turn % 3 = 0"""
+
+
+def _view(spark: SparkSession, sf_dir: str, sql: str, name: str = "documents") -> DataFrame:
+    return spark.sql(sql.replace(f"FROM {name}", f"FROM {{{name}}}"), **{name: spark.read.parquet(f"{sf_dir}/{name}.parquet")})
 
 
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +59,18 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, LINKS_SQL)
 
 
+def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, EPISODES_SQL, "conversations")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, SESSIONS_SQL, "conversations")
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _view(spark, sf_dir, CITATIONS_SQL, "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

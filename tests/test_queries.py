@@ -6,10 +6,9 @@ import duckdb
 import pandas as pd
 import pytest
 
-from recallspark.plans import queries as _queries  # noqa: F401
-from recallspark.plans import report_queries as _reports  # noqa: F401
-from recallspark.plans import upkeep_queries as _more  # noqa: F401
-from recallspark.plans.registry import ORACLES, QUERIES
+from recallspark.plans import registry
+
+QUERIES, ORACLES = registry.loaded().QUERIES, registry.ORACLES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
