@@ -164,3 +164,66 @@ def prefix_similarity(a: Column, b: Column) -> Column:
 def mentions(content: Column, scope: str) -> Column:
     """Holds the scope's name as a word of its own."""
     return content.rlike(r"(?i)(^|[^A-Za-z0-9_])" + re.escape(scope) + r"($|[^A-Za-z0-9_])")
+
+
+def quoted_terms(query: Column) -> Column:
+    """What stands in double quotes, each once, in order; doubled quotes inside stand for one."""
+    found = F.regexp_extract_all(query, F.lit(r'"((?:[^"]|"")*)"'), F.lit(1))
+    return F.array_distinct(F.filter(F.transform(found, lambda t: F.replace(t, F.lit('""'), F.lit('"'))), lambda t: t != ""))
+
+
+def shared_rare_tokens(a: Column, b: Column, common: list[str], least: int = 4) -> Column:
+    """Tokens that both texts hold, but for common ones and short ones."""
+    both = F.array_intersect(tokens(a), tokens(b))
+    return F.filter(F.array_except(both, F.array(*map(F.lit, common)) if common else F.array().cast("array<string>")), lambda t: F.length(t) >= least)
+
+
+def exact_match(text: Column, answers: Column) -> Column:
+    """Holds any of the answers (array of arrays) as a part, after normalising both."""
+    plain = normalize_answer(text)
+    return F.exists(F.flatten(answers), lambda a: plain.contains(normalize_answer(a)))
+
+
+def line_chunks(text: Column, size: int) -> Column:
+    """Whole lines joined to chunks of at most ``size`` characters; a longer line is a chunk of its own."""
+    start = F.struct(F.lit("").alias("open"), F.array().cast("array<string>").alias("done"), F.lit(True).alias("none"))
+
+    def add(acc: Column, line: Column) -> Column:
+        fits = ~acc["none"] & (F.length(acc["open"]) + 1 + F.length(line) <= size)
+        done = F.when(fits | acc["none"], acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+        return F.struct(F.when(fits, F.concat(acc["open"], F.lit("\n"), line)).otherwise(line).alias("open"), done.alias("done"), F.lit(False).alias("none"))
+
+    return F.aggregate(F.split(text, "\n"), start, add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+
+
+#: Words that an archive's query does without.
+ARCHIVE_STOPWORDS = (
+    "a about an and are as at be been but by "
+    "can could did do does for from had has have "
+    "how i if in into is it its me my not of "
+    "on or our should so than that the their them "
+    "then there these they this to was we were what "
+    "when where which who why will with would you your"
+).split()
+
+
+def archive_tokens(query: Column, most: int = 12) -> Column:
+    """Words of a query to an archive: letters, digits and underscores, two characters at least, no stopwords."""
+    words = F.regexp_extract_all(F.lower(query), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    kept = F.filter(words, lambda t: (F.length(t) >= 2) & ~t.isin(*ARCHIVE_STOPWORDS))
+    return F.slice(F.array_distinct(kept), 1, most)
+
+
+def iso_day(at: Column) -> Column:
+    return F.date_format(F.timestamp_millis(at), "yyyy-MM-dd")
+
+
+def retry_delay(attempt: Column, base_ms: int = 1000, most_ms: int = 60_000, jitter: Column | None = None) -> Column:
+    """Doubles with each attempt up to a bound; ``jitter`` (0 to 1) takes up to half of it away."""
+    full = F.least(F.lit(float(most_ms)), base_ms * F.pow(F.lit(2.0), attempt))
+    return F.floor(full * (1 - 0.5 * jitter)) if jitter is not None else F.floor(full)
+
+
+def value_index(at: Column, start: Column, step_ms: int, values: int) -> Column:
+    """Index of a slot's value at a time, where values change every ``step_ms``; null before the first."""
+    return F.when(at >= start, F.least(F.floor((at - start) / step_ms), F.lit(values - 1)))

@@ -39,10 +39,13 @@ def holm(tests: DataFrame) -> DataFrame:
 
 
 def frontier(systems: DataFrame) -> DataFrame:
-    """Systems that no other beats in accuracy or cost without losing in the other."""
-    a, b = systems.alias("a"), systems.alias("b")
-    beaten = (F.col("b.accuracy") >= F.col("a.accuracy")) & (F.col("b.cost") <= F.col("a.cost")) & ((F.col("b.accuracy") > F.col("a.accuracy")) | (F.col("b.cost") < F.col("a.cost")))
-    return a.join(b, beaten, "left_anti").select("a.*")
+    """Systems that no other beats in accuracy or cost without losing in the other: those of the best
+    accuracy at their cost that no cheaper one reaches. Only distinct costs meet in one window."""
+    best = systems.groupBy("cost").agg(F.max("accuracy").alias("_best"))
+    cheaper = F.max("_best").over(Window.orderBy("cost").rowsBetween(Window.unboundedPreceding, -1))
+    bound = best.select("cost", "_best", cheaper.alias("_cheaper"))
+    good = (F.col("accuracy") == F.col("_best")) & (F.col("_cheaper").isNull() | (F.col("_cheaper") < F.col("accuracy")))
+    return systems.join(bound, "cost").where(good).select(*systems.columns)
 
 
 def threshold_sweep(pairs: DataFrame, low: int = 50, high: int = 99) -> DataFrame:

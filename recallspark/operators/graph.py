@@ -142,7 +142,8 @@ def duplicate_groups(memories: DataFrame, links: DataFrame, threshold: float = 0
 def contradiction_candidates(lexical: DataFrame, vector: DataFrame, k: int = 10, least_cosine: float = 0.75) -> DataFrame:
     """(subject, id, score, source): the k best candidates of each subject from lexical (subject, id, rank
     from 0) and vector lists (subject, id, distance), those that both lists have first."""
-    near = vector.select("subject", "id", F.greatest(1 - F.col("distance") * F.col("distance") / 2, F.lit(0.0)).alias("vec"), F.lit(None).cast("int").alias("rank")).where(F.col("vec") >= least_cosine)
+    close = vector.where(1 - F.col("distance") * F.col("distance") / 2 >= least_cosine)
+    near = close.select("subject", "id", F.greatest(1 - F.col("distance") * F.col("distance") / 2, F.lit(0.0)).alias("vec"), F.lit(None).cast("int").alias("rank"))
     both = near.union(lexical.select("subject", "id", F.lit(None).cast("double"), "rank")).groupBy("subject", "id").agg(F.max("vec").alias("vec"), F.min("rank").alias("rank"))
     word = F.when(F.col("rank").isNotNull(), F.greatest(F.lit(0.0), 1 - F.col("rank") / 20.0)).otherwise(0.0)
     shared = F.col("vec").isNotNull() & F.col("rank").isNotNull()

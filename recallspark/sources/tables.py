@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: The start of the views' clock, and the time that queries take as now.
 EPOCH, HOUR, NOW = 1_735_689_600_000, 3_600_000, 1_760_000_000_000
@@ -73,18 +72,3 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def json_array(spark: SparkSession, path: str, stride: int = 1, limit: int | None = None) -> DataFrame:
-    """Rows of a top-level JSON array: every stride-th, then at most so many."""
-    rows = spark.read.option("multiLine", True).json(path)
-    if stride > 1:
-        rows = rows.withColumn("_i", F.monotonically_increasing_id()).where(F.col("_i") % stride == 0).drop("_i")
-    return rows.limit(limit) if limit is not None else rows
-
-
-def fact_pool(lines: DataFrame, column: str = "context") -> DataFrame:
-    """(serial, fact) of numbered lines."""
-    line = F.explode(F.split(column, "\n")).alias("line")
-    out = lines.select(line).where(F.col("line").rlike(r"^\d+\.\s*.+$"))
-    return out.select(F.regexp_extract("line", r"^(\d+)\.", 1).cast("long").alias("serial"), F.regexp_extract("line", r"^\d+\.\s*(.+)$", 1).alias("fact"))
