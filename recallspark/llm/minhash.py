@@ -3,8 +3,8 @@
 1. Every text becomes its set of word shingles (64-bit hashes), a MinHash signature, band keys of the
    signature, and an odd sketch: each sample (place, minimum) flips one bit of a bitmap, so that the
    population count of two bitmaps' XOR estimates how many samples differ.
-2. Texts with equal sets form one class, which goes on as its smallest doc_id. This pre-aggregates
-   groups of exact copies of any size.
+2. Texts with equal sets form one class, which goes on as one node with one of their texts. This
+   pre-aggregates groups of exact copies of any size.
 3. Within each band bucket all members are compared with one centre, again with another centre while
    much is left; members of one component are never compared again. What is left in buckets of
    several components is compared exhaustively: in blocks, each member outside the bucket's largest
@@ -16,7 +16,9 @@ A pair at similarity 0.8 shares no bucket with probability (1 - 0.8 ** 4) ** 32
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; texts with
 fewer words than a shingle have their whole word sequence as one; rows with equal doc_id are one
-node; further columns are ignored; an empty table gives an empty table.
+node, with the links of all their texts; rows without doc_id are nodes by their sets, and come after
+all ids: a component without ids has component_id null and its rows are kept; further columns are
+ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.llm.common import small_slices, sorted_groups
@@ -42,6 +44,8 @@ SAMPLES = BANDS * ROWS
 MOST_ROUNDS, PAIRS_A_ROW, BLOCK = 8, 500, 512
 WORDS_KNOWN = 300_000
 SLICE_BYTES = 2 << 20
+#: Stands for a missing id, after all others.
+NULL_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -117,7 +121,10 @@ def most_odd_bits(threshold: float, deviations: float = 5.5) -> int:
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, cls (128-bit digest of the set), bands and sketch; null without shingles."""
+    """doc_id, tag, n_shingles, cls (128-bit digest of the set), bands and sketch; null without shingles.
+
+    ``docs``: doc_id, tag (a hash of the text) and text.
+    """
     ensure_on_executors(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,9 +141,14 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             bands, sketch = list(band_keys(sig)), list(odd_sketch(sig))
             for i in np.flatnonzero(~some).tolist():
                 bands[i] = sketch[i] = None
-            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), pa.array(counts, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "cls", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("tag"), pa.array(counts, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "tag", "n_shingles", "cls", "bands", "sketch"])
+
+    return docs.mapInArrow(run, "doc_id long, tag long, n_shingles long, cls binary, bands array<long>, sketch array<long>")
+
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, cls binary, bands array<long>, sketch array<long>")
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a column of equally long lists."""
+    return col.combine_chunks().flatten().to_numpy().reshape(len(col), -1)
 
 
 def _plausible(na: Column, nb: Column, sa: Column, sb: Column, threshold: float) -> Column:
@@ -191,7 +203,7 @@ def _exhaustive(members: DataFrame, text: DataFrame, words: int, threshold: floa
     def links_of(cell: pa.Table, shingle: Shingler) -> tuple[list[int], list[int]]:
         outer = cell.column("outer").to_numpy()
         rep, comp, n = (cell.column(c).to_numpy() for c in ("rep", "comp", "n"))
-        sketch = np.array(cell.column("sketch").to_pylist(), np.int64).view(np.uint64)
+        sketch = _matrix(cell.column("sketch")).view(np.uint64)
         rows, root, a_out, b_out = np.flatnonzero(~outer), {c: c for c in comp.tolist()}, [], []
 
         def find(c: int) -> int:
@@ -236,8 +248,8 @@ def _exhaustive(members: DataFrame, text: DataFrame, words: int, threshold: floa
         for cell in sorted_groups(batches, ["key", "s", "m"]):
             outer = cell.column("outer").to_numpy()
             comp, n = cell.column("comp").to_numpy(), cell.column("n").to_numpy()
-            sketch = np.array(cell.column("sketch").to_pylist(), np.int64).view(np.uint64)
-            bands = np.array(cell.column("bands").to_pylist(), np.int64)
+            sketch = _matrix(cell.column("sketch")).view(np.uint64)
+            bands = _matrix(cell.column("bands"))
             key = cell.column("key")[0].as_py()
             rows, use = np.flatnonzero(~outer), np.zeros(len(outer), bool)
             for i in np.flatnonzero(outer).tolist():
@@ -257,22 +269,37 @@ def _exhaustive(members: DataFrame, text: DataFrame, words: int, threshold: floa
     return cells.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept of every row."""
+def _same_id(f: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the nodes of rows that repeat an id with different sets."""
+    own = f.where(f"cls is not null and doc_id <> {NULL_ID}")
+    several = own.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("doc_id")
+    nodes = own.join(several, "doc_id", "left_semi").join(classes, "cls").select("doc_id", "node").distinct()
+    least = nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return nodes.join(least, "doc_id").where("a <> node").select("a", F.col("node").alias("b"))
+
+
+def groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, tag, n_shingles, node (null without shingles, equal in a component) and component_id of every row."""
     spark = docs.sparkSession
     scratch = Scratch.of(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     f = scratch.save(features(source, words))
-    classes = scratch.save(f.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("rep")))
-    reps = f.join(classes.select(F.col("rep").alias("doc_id"), "cls"), ["doc_id", "cls"], "left_semi").dropDuplicates(["doc_id", "cls"])
-
-    exploded = reps.select(F.explode("bands").alias("key"), F.col("doc_id").alias("rep"))
+    found_classes = f.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
+    # a class is named by its smallest id, where that has no other text, else by a hash
+    same = Window.partitionBy(F.when(F.col("low") < NULL_ID, F.col("low")).otherwise(F.xxhash64("cls"))).orderBy("cls")
+    name = F.when((F.row_number().over(same) == 1) & (F.col("low") < NULL_ID), F.col("low")).otherwise(-F.abs(F.xxhash64("cls")))
+    classes = scratch.save(found_classes.select("cls", "low", name.alias("node")))
+    reps = f.join(classes.select(F.col("low").alias("doc_id"), "cls", "node"), ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
+    reps = scratch.save(reps.select("node", "doc_id", "tag", "n_shingles", "bands", "sketch"))
+
+    exploded = reps.select(F.explode("bands").alias("key"), F.col("node").alias("rep"))
     several = exploded.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("key")
     members = scratch.save(exploded.join(several, "key"))
-    active = members.select(F.col("rep").alias("doc_id")).distinct()
-    active = scratch.save(reps.join(active, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "sketch", "bands"))
-    reps_text = source.join(active.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    text = scratch.save(reps_text)
+    active = reps.join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
+    active = scratch.save(active.select(F.col("node").alias("rep"), "doc_id", "tag", F.col("n_shingles").alias("n"), "sketch", "bands"))
+    scratch.drop(reps)
+    reps_text = source.join(active.select("doc_id", "tag", "rep"), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
+    text = scratch.save(reps_text.select(F.col("rep").alias("doc_id"), "text"))
     scratch.release_shuffles()
 
     def joined(pairs: DataFrame) -> DataFrame:
@@ -298,6 +325,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
         return scratch.save(moved.union(fresh))
 
     labels: DataFrame | None = None
+    twins = scratch.save(_same_id(f, classes))
+    if not twins.isEmpty():
+        labels = merged(labels, twins)
+    work = 0
     for i in range(MOST_ROUNDS):
         m = with_comp(labels)
         order = F.col("rep") if i == 0 else F.xxhash64("rep", F.lit(i))
@@ -317,10 +348,45 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_
         found = scratch.save(_exhaustive(m.select("key", "rep", "comp", "n", "sketch", "bands"), text, words, threshold, BLOCK))
         if not found.isEmpty():
             labels = merged(labels, found)
-    out = f.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left")
+    out = f.select("doc_id", "tag", "n_shingles", "cls").join(classes, "cls", "left").drop("cls")
     if labels is not None:
-        out = out.join(labels, out.rep == labels.id, "left").withColumn("rep", F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+        lows = labels.join(classes.select(F.col("node").alias("id"), "low"), "id").groupBy("component").agg(F.min("low").alias("least"))
+        by_node = labels.join(lows, "component").select(F.col("id").alias("node"), "component", "least")
+        out = out.join(by_node, "node", "left").withColumn("low", F.coalesce("least", "low")).withColumn("node", F.coalesce("component", "node"))
+    missing = F.lit(NULL_ID)
+    component = F.coalesce("low", "doc_id")
+    return out.select(F.nullif("doc_id", missing).alias("doc_id"), "tag", "n_shingles", "node", F.nullif(component, missing).alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links) and kept of every row."""
+    out = groups(docs, words, threshold, id_col, text_col)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others), with one row of each component: that of the smallest
+    id, of its texts the one of the smallest hash; rows without words all stay."""
+    scratch = Scratch.of(docs.sparkSession)
+    rows = scratch.save(groups(docs, words, threshold).where("node is not null").select("doc_id", "tag", "node"))
+    key = F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "tag")
+    first = rows.groupBy("node").agg(F.min(key).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = rows.join(first, "node")
+    stays = key.eqNullSafe(F.col("first"))
+    gone = twice.where(~stays).select("doc_id", "tag").distinct()
+    again = scratch.save(twice.where(stays).groupBy("doc_id", "tag").count().where("count > 1").select("doc_id", "tag"))
+    tag, doc_id = F.xxhash64("text"), F.col("doc_id").cast("long")
+
+    def matches(keys: DataFrame):
+        k = keys.toDF("_doc_id", "_tag")
+        return k, (doc_id.eqNullSafe(k["_doc_id"])) & (tag == k["_tag"])
+
+    kept = docs.join(*matches(gone), "left_anti")
+    if again.isEmpty():
+        return kept
+    k, same = matches(again)
+    repeated = kept.join(k, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(k, same, "left_anti").unionByName(repeated)
 
 
 def op8_minhash(spark, sf_dir: str) -> DataFrame:

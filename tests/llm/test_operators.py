@@ -43,7 +43,9 @@ def none(spark):
     return spark.createDataFrame([], DOC)
 
 
-def test_suffix_arrays_and_prefixes():
+@pytest.mark.parametrize("short", [induced_sort.SHORT, 0])
+def test_suffix_arrays_and_prefixes(short, monkeypatch):
+    monkeypatch.setattr(induced_sort, "SHORT", short)
     rng = np.random.default_rng(1)
     for _ in range(200):
         s = np.append(rng.integers(1, 2 + rng.integers(1, 4), rng.integers(0, 50)), 0).astype(np.int16)
@@ -57,12 +59,10 @@ def test_suffix_arrays_and_prefixes():
             assert common[b] == k
 
 
-@pytest.mark.parametrize("many", [4000, 2])
-def test_repeats(docs, rows, none, many, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "MANY", many)
-    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(docs).collect()}
-    seen = set()
-    for i, t in sorted(rows):
+def removed(rows):
+    """Bytes, removed bytes, spans and digest of each text in order, by sets of windows."""
+    seen, out = set(), []
+    for _, t in rows:
         b = (t or "").encode()
         hit = np.zeros(len(b), bool)
         for k in range(len(b) - 99):
@@ -70,11 +70,35 @@ def test_repeats(docs, rows, none, many, monkeypatch):
                 hit[k : k + 100] = True
             seen.add(b[k : k + 100])
         kept = bytes(x for x, h in zip(b, hit) if not h)
-        assert (got[i].n_bytes, got[i].n_removed, got[i].kept_sha256) == (len(b), hit.sum(), hashlib.sha256(kept).hexdigest())
-        assert got[i].n_spans == (np.diff(np.append(0, hit.astype(int))) == 1).sum()
+        out.append((len(b), int(hit.sum()), int((np.diff(np.append(0, hit.astype(int))) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("splits", [suffix_dedup.SPLITS, ((2, 3),), ((3, 7), (1, 1))])
+def test_repeats(docs, rows, none, splits, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SPLITS", splits)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 4000)
+    got = {r.doc_id: tuple(r)[1:5] for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert got == {i: x for (i, _), x in zip(sorted(rows), removed(sorted(rows)))}
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_repeats_of_ids_and_long_texts(spark):
+    rng = np.random.default_rng(8)
+    shared = "".join(map(chr, rng.integers(97, 123, 131)))
+    rows = [(1, shared + " one"), (1, "zz " + shared), (None, shared), (None, shared), (2, "short")]
+    docs = spark.createDataFrame([(i, t, i, "s", 7) for i, t in rows], "doc_id long, text string, start long, shard string, tag int")
+    out = suffix_dedup.clean_documents(docs)
+    assert out.columns == docs.columns
+    assert sorted(r.text for r in out.collect()) == sorted([" one", "short", "zz ", shared, shared])
+    kept = {(r.doc_id, r.n_removed) for r in suffix_dedup.remove_repeats(docs).collect()}
+    assert kept == {(None, 0), (1, 131), (2, 0)}  # rows that repeat id and text are one document
+    long = "".join(map(chr, rng.integers(97, 123, (2 << 20) + 4000)))
+    at = (2 << 20) - 150
+    docs = spark.createDataFrame([(1, long), (2, "#" + long[at : at + 300] + "#"), (3, None)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(docs).collect()) == [(1, 0, 0), (2, 300, 1), (3, 0, 0)]
+
+
 @pytest.mark.parametrize("block,pairs", [(512, 500), (2, 0)])
 def test_near_duplicates(spark, rows, none, block, pairs, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)
@@ -115,6 +139,18 @@ def test_near_duplicates(spark, rows, none, block, pairs, monkeypatch):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_of_missing_and_repeated_ids(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, one), (7, two), (9, two), (3, one), (None, one), (None, "c d e f g h"), (None, "c d e f g h"), (5, None), (6, " ")]
+    docs = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id long, text string, node string, tag int")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(7, 56, 3, False), (9, 56, 3, False), (3, 56, 3, True), (None, 56, 3, False), (None, 2, None, True), (5, 0, 5, True), (6, 0, 6, True)}
+    kept = minhash.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(3, one), (None, "c d e f g h"), (5, None), (6, " ")]))
+    assert minhash.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_context_tree(docs, rows, none):
     got = {r.doc_id: r for r in context_tree.score_texts(docs).collect()}
     train = [(i, t) for i, t in rows if crc32(str(i).encode()) % 10]
@@ -125,22 +161,71 @@ def test_context_tree(docs, rows, none):
         base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
         assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (len(tokens), sum(count[w] > 0 for w in tokens), n)
         assert abs(got[i].base_score - base) < 1e-6 and got[i].score <= 0
+    assert context_tree.score_texts(none).count() == 0
+
+
+def slow_tree(train, depth):
+    """log10 probability of a text, by trees of dictionaries."""
+    count, below = {}, {}
+    for t in train:
+        b = bytes(depth) + t
+        for at in range(depth, len(b)):
+            for j in range(8):
+                place, bit = 1 << j | b[at] >> 8 - j, b[at] >> 7 - j & 1
+                for d in range(depth + 1):
+                    node = place, b[at - d : at]
+                    count.setdefault(node, [0, 0])[bit] += 1
+                    if d < depth:
+                        below.setdefault(node, set()).add((place, b[at - d - 1 : at]))
+    known = {}
+
+    def own(n):
+        return math.lgamma(n[0] + 0.5) + math.lgamma(n[1] + 0.5) - math.lgamma(sum(n) + 1) - math.log(math.pi)
+
+    def weighted(node):
+        if node not in known:
+            alone = own(count[node])
+            rest = sum(map(weighted, below[node])) if len(node[1]) < depth else None
+            known[node] = alone if rest is None else np.logaddexp(alone, rest) - math.log(2)
+        return known[node]
+
+    def chance(b, at, j, d):
+        place, bit = 1 << j | b[at] >> 8 - j, b[at] >> 7 - j & 1
+        node = place, b[at - d : at]
+        n = count.get(node, (0, 0))
+        alone = (n[bit] + 0.5) / (sum(n) + 1)
+        if d == depth:
+            return alone
+        rest = sum(map(weighted, below.get(node, ())))
+        share = 1 / (1 + math.exp(min(700, max(-700, rest - own(n)))))
+        return share * alone + (1 - share) * chance(b, at, j, d + 1)
+
+    def score(t):
+        b = bytes(depth) + t
+        return sum(math.log10(chance(b, at, j, 0)) for at in range(depth, len(b)) for j in range(8))
+
+    return score
+
+
+@pytest.mark.parametrize("depth", [2, 6])
+def test_context_tree_against_a_slow_tree(spark, depth):
+    texts = ["Ab abab", "ab ba é", "", None, "zzz zz", "abba ABBA abba", "ab ab"] * 3
+    rows = [(None if i == 4 else i, t, "x") for i, t in enumerate(texts)]
+    score = slow_tree([lower(t).encode() for i, t, _ in rows if crc32(b"" if i is None else str(i).encode()) % 10], depth)
+    got = context_tree.score_texts(spark.createDataFrame(rows, "doc_id long, text string, word string"), depth=depth, block_bytes=60)
+    got = {r.doc_id: r for r in got.collect()}
+    for i, t, _ in rows:
+        assert abs(got[i].score - score(lower(t).encode())) < 1e-5 and (got[i].score == 0) == (not t)
     # the probabilities of all bytes after one context sum to one
     import pyarrow as pa
 
-    counts = {}
-    for _, t in train:
-        b = b"\0\0\0" + (t or "").encode()
-        for k in range(3, len(b)):
-            key = int.from_bytes(b[k - 3 : k + 1], "big")
-            counts[key] = counts.get(key, 0) + 1
-    context = next(iter(counts)) >> 8
-    for b in range(256):
-        counts.setdefault(context << 8 | b, 0)
-    frame = docs.sparkSession.createDataFrame(pa.table({"key": list(counts), "n": list(counts.values())}))
-    chance = [10**r.value for r in context_tree.string_scores(frame, 3).collect() if r.key >> 8 == context]
-    assert len(chance) == 256 and abs(sum(chance) - 1) < 1e-9
-    assert context_tree.score_texts(none).count() == 0
+    flat = np.frombuffer(b"abab ab baab", np.uint8)
+    keys = np.unique(context_tree.grams(flat, np.array([0, len(flat)]), depth))
+    every = keys[3] >> 8 << 8 | np.arange(256)
+    counts = dict.fromkeys([*keys.tolist(), *every.tolist()], 0) | dict.fromkeys(keys.tolist(), 2)
+    frame = spark.createDataFrame(pa.table({"key": list(counts), "n": list(counts.values())}))
+    chance = [10**r.value for r in context_tree.string_scores(frame, depth).collect() if r.key in set(every.tolist())]
+    assert len(chance) == 256 and abs(sum(chance) - 1) < 1e-5
 
 
 def test_round_trip(docs, rows, none):
