@@ -60,6 +60,20 @@ def walk(links: DataFrame, start: int, depth: int = 2, nodes: DataFrame | None =
     return out if k is None else out.orderBy("hops", F.desc("similarity"), "id").limit(k)
 
 
+def reach(links: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
+    """(id, hops, link_type, source_id): each node that the seeds reach, by its first edge in the order of
+    hops, kind of link and source."""
+    scratch = Scratch.of(links.sparkSession)
+    both = links.select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), "link_type").union(links.select("target_id", "source_id", "link_type"))
+    seen = scratch.save(seeds.select("id", F.lit(0).alias("hops"), F.lit(None).cast("string").alias("link_type"), F.lit(None).cast("long").alias("source_id")))
+    edge = seen
+    for hop in range(1, hops + 1):
+        step = edge.select(F.col("id").alias("a")).join(both, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("link_type", F.col("a").alias("source_id"))).alias("e"))
+        edge = scratch.save(step.join(seen.select("id"), "id", "left_anti").select("id", F.lit(hop).alias("hops"), "e.link_type", "e.source_id"))
+        seen = seen.union(edge)
+    return seen.where("hops > 0")
+
+
 def closure(links: DataFrame, seeds: DataFrame, as_of: int | None = None, most_steps: int = 500) -> DataFrame:
     """(seed, id): all that supersedes links connect to each seed, itself included, in either direction.
 

@@ -121,7 +121,8 @@ def assembled(items: DataFrame, budget: int, recipe: str = "default", quotas: di
 
         def buy(acc: Column, x: Column) -> Column:
             take = lambda n, cut: F.struct((acc["left"] - n).cast("int").alias("left"), F.concat(acc["kept"], F.array(F.struct(x["place"].alias("place"), x["id"].alias("id"), n.cast("int").alias("chars")))).alias("kept"), cut.alias("cut"))
-            return F.when(x["chars"] <= acc["left"], take(x["chars"], acc["cut"])).when(acc["left"] > LEAST_ITEM, take(acc["left"], F.lit(True))).otherwise(F.struct(acc["left"].alias("left"), acc["kept"].alias("kept"), F.lit(True).alias("cut")))
+            again = F.exists(acc["kept"], lambda k: k["id"] == x["id"])
+            return F.when(again, acc).when(x["chars"] <= acc["left"], take(x["chars"], acc["cut"])).when(acc["left"] > LEAST_ITEM, take(acc["left"], F.lit(True))).otherwise(F.struct(acc["left"].alias("left"), acc["kept"].alias("kept"), F.lit(True).alias("cut")))
 
         return F.aggregate(fresh, start, buy)
 
@@ -142,7 +143,11 @@ def assembled(items: DataFrame, budget: int, recipe: str = "default", quotas: di
             better = F.col(f"c_{k}") & (F.col("_room") - F.col("_p.left") > F.col(f"u_{k}"))
             out = out.withColumn("_n", F.when(better, F.col("_room") - F.col("_p.left")).otherwise(F.col(f"u_{k}"))).withColumn(f"k_{k}", F.when(better, F.col("_p.kept")).otherwise(F.col(f"k_{k}")))
             out = out.withColumn("_used", F.col("_used") + F.col("_n") - F.col(f"u_{k}")).withColumn(f"u_{k}", F.col("_n"))
-    parts = F.flatten(F.array(*[F.transform(f"k_{k}", lambda x, k=k: F.struct(F.lit(k).alias("kind"), x["place"].alias("place"), x["id"].alias("id"), x["chars"].alias("chars"))) for k in spec]))
+
+    def named(k: str) -> Column:
+        return F.transform(f"k_{k}", lambda x: F.struct(F.lit(k).alias("kind"), x["place"].alias("place"), x["id"].alias("id"), x["chars"].alias("chars")))
+
+    parts = F.flatten(F.array(*map(named, spec)))
     return out.select(group, F.explode(parts).alias("x")).select(group, "x.*")
 
 

@@ -204,7 +204,7 @@ def scope_roll_up(spark, d):
 @query("promoted_patterns", _M + """, r AS (SELECT namespace, content, row_number() OVER (PARTITION BY namespace ORDER BY importance DESC, id) AS n, count(*) OVER (PARTITION BY namespace) AS rows FROM m)
 SELECT namespace, max(rows) AS rows, string_agg(substring(content, 1, 160), ' | ' ORDER BY n) AS extract FROM r WHERE n <= 3 AND rows >= 8 GROUP BY namespace""")
 def promoted_patterns(spark, d):
-    return lifecycle.promotion(memories(spark, d))
+    return lifecycle.promotion(memories(spark, d)).drop("promoted_from")
 
 
 @query("idle_sessions", _M + f"SELECT session_id, max(created_at) AS last FROM m GROUP BY session_id HAVING max(created_at) < {EPOCH + 970 * HOUR} - 43200000")
@@ -273,7 +273,19 @@ def link_components(spark, d):
     return components.connected_components(e)
 
 
-@query("personalised_rank")
+_STEP = """r{i} AS (SELECT coalesce(q.id, s.id) AS id, 0.15 * coalesce(s.mass, 0) + 0.85 * coalesce(q.m, 0) AS rank FROM (SELECT t.b AS id, sum(r.rank * t.p) AS m FROM r{j} r JOIN t ON t.a = r.id GROUP BY t.b) q FULL JOIN s ON s.id = q.id)"""
+
+
+def rank_sql(rounds: int = 20, near: bool = False) -> str:
+    """Random walks that restart at two seeds, a fixed number of rounds; with ``near`` within three hops."""
+    base = ", e AS MATERIALIZED (SELECT a, b, max(w) AS w FROM (SELECT source_id AS a, target_id AS b, greatest(similarity, 0) AS w FROM l UNION ALL SELECT target_id, source_id, greatest(similarity, 0) FROM l) GROUP BY 1, 2){near}, z AS (SELECT a, sum(w) AS s, count(*) AS n FROM {edges} e GROUP BY a), t AS MATERIALIZED (SELECT e.a, e.b, CASE WHEN s > 0 THEN w / s ELSE 1 / n END AS p FROM {edges} e JOIN z ON z.a = e.a), s AS (SELECT id, 0.5::DOUBLE AS mass FROM m WHERE id IN (3, 77)), r0 AS (SELECT id, mass AS rank FROM s)"
+    steps = ", ".join(_STEP.format(i=i, j=i - 1).replace(" AS (SELECT coalesce", " AS MATERIALIZED (SELECT coalesce", 1) for i in range(1, rounds + 1))
+    within = ", h(id, n) AS (SELECT id, 0 FROM m WHERE id IN (3, 77) UNION SELECT e.b, n + 1 FROM h JOIN e ON e.a = h.id WHERE n < 3), o AS MATERIALIZED (SELECT * FROM e WHERE a IN (SELECT id FROM h) AND b IN (SELECT id FROM h))"
+    base = base.replace("{near}", within if near else "").replace("{edges}", "o" if near else "e")
+    return f"{_M.replace('WITH', 'WITH RECURSIVE', 1)}{base}, {steps} SELECT id, round(rank, 9) AS rank FROM r{rounds}"
+
+
+@query("personalised_rank", rank_sql())
 def personalised_rank(spark, d):
     seeds = memories(spark, d).where("id IN (3, 77)").select("id")
     return graph.personalised_rank(links(spark, d), seeds).select("id", F.round("rank", 9).alias("rank"))

@@ -135,7 +135,14 @@ def changed_digests(spark, d):
     return digests.changed(fresh, fresh.where("namespace LIKE '/p/en/%'")).select("namespace")
 
 
-@query("nav_digests")
+_NAV_KEEP = _KEEP.replace("2000", "1200")
+
+
+@query("nav_digests", f"""{_M}, n AS (SELECT DISTINCT unnest([regexp_extract(namespace, '^(/p/[a-z]+)', 1), namespace]) AS path, unnest(['/p', regexp_extract(namespace, '^(/p/[a-z]+)', 1)]) AS parent FROM m), c AS (SELECT n.*, (SELECT count(*) FROM m WHERE namespace = n.path) AS k FROM n),
+x AS (SELECT namespace AS path, 0 AS kind, row_number() OVER (PARTITION BY namespace ORDER BY created_at, id) AS n, '- [' || type || '] ' || substring(trim(string_split(regexp_replace(content, '[.!?]', chr(1), 'g'), chr(1))[1], ' '), 1, 120) AS line FROM m WHERE pinned
+UNION ALL SELECT * FROM (SELECT namespace, 1, row_number() OVER (PARTITION BY namespace ORDER BY id) AS n, '[topic] ' || trim(substring(content, 1, 60), ' ') FROM m WHERE id % 17 = 0) WHERE n <= 5
+UNION ALL SELECT * FROM (SELECT parent, 3, row_number() OVER (PARTITION BY parent ORDER BY k DESC, path) AS n, '[child] ' || path || ' (' || k || ')' FROM c) WHERE n <= 8),
+q AS (SELECT path, l, array_to_string(l, chr(10)) AS w, {_NAV_KEEP} AS k FROM (SELECT path, list(line ORDER BY kind, n) AS l FROM x GROUP BY path)) SELECT path, CASE WHEN length(w) <= 1200 THEN w ELSE substr(array_to_string(l[1:k], chr(10)) || chr(10) || '…(' || (len(l) - k) || ' more)', 1, 1200) END AS digest FROM q""")
 def nav_digests(spark, d):
     m = memories(spark, d)
     topics = m.where("id % 17 = 0").select("namespace", F.col("id").alias("place"), F.substring("content", 1, 60).alias("summary"))

@@ -24,7 +24,9 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:  # only where no cluster names a folder, as in tests on one machine
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             base = tempfile.mkdtemp(prefix="recallspark-")
         self.root = f"{base.rstrip('/')}/recallspark-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
         self._paths: dict[int, str] = {}

@@ -39,7 +39,7 @@ def expanded_queries(spark, d):
     return _noise(spark, d).select("event_id", F.array_join(text.expand_query(F.col("q")), "|").alias("variants"))
 
 
-@query("entity_query_tokens")
+@query("entity_query_tokens", "SELECT event_id, array_to_string(list_filter(['foo', 'bar', event_type, 'kind', 'v' || event_id, 'rare', 'token'], lambda t: length(t) >= 3), '|') AS words FROM events")
 def entity_query_tokens(spark, d):
     return _noise(spark, d).select("event_id", F.array_join(entities.entity_terms(F.col("q")), "|").alias("words"))
 

@@ -8,6 +8,7 @@ from recallspark.functions import answers, entities, json_values, scoring, text
 from recallspark.operators import allocation, archive, channels, evaluation, upkeep, visibility
 from recallspark.plans.queries import HIDDEN, WITH
 from recallspark.plans.registry import query
+from recallspark.plans.shipping import ensure_on_executors
 from recallspark.sources.tables import NOW, links, memories, table
 
 _M = WITH.rstrip()
@@ -92,11 +93,20 @@ def prefix_families(spark, d):
     return upkeep.lexical_families(_ranked(spark, d), whole_prefix=True).select("id", "keeper", "siblings")
 
 
-@query("retention_plan")
+_CURRENT = "cur AS (SELECT m.*, coalesce(g.degree, 0) AS degree, coalesce(g.won, 0) AS won FROM m LEFT JOIN g USING (id) WHERE archived_at IS NULL AND id NOT IN (SELECT target_id FROM l WHERE link_type = 'supersedes' AND confidence >= 0.8))"
+_DEGREES = "g AS (SELECT id, count(*) AS degree, sum(w) AS won FROM (SELECT source_id AS id, (link_type = 'supersedes' AND coalesce(confidence >= 0.8, false))::INT AS w FROM l UNION ALL SELECT target_id, 0 FROM l WHERE source_id <> target_id) GROUP BY id)"
+_WORTH = f"round(greatest(0, least(1, 0.4 * importance + 0.2 * least(ln(access_count + 1) / ln(50), 1) + 0.1 * exp(-greatest({NOW} - coalesce(last_accessed, created_at), 0) / 86400000.0::DOUBLE / 30) + 0.15 * least(degree / 8, 1) + 0.15)), 6)"
+_TRUST_SQL = f"0.5 * importance + 0.3 * least(ln(access_count + 1) / ln(100), 1) + 0.2 * exp(-greatest(({NOW} - created_at) / 86400000.0::DOUBLE, 0) / (30 * greatest(importance + 0.3 * ln(access_count + 1), 0.1)))"
+
+
+@query("retention_plan", f"""{_M}, {_DEGREES}, {_CURRENT}, f AS (SELECT *, first_value(id) OVER (w ORDER BY pinned DESC, importance DESC, access_count DESC, degree DESC, created_at, id) AS keeper, count(*) OVER (w) - 1 AS siblings, count(*) OVER () AS n, {_WORTH} AS score, {_TRUST_SQL} AS t FROM cur WINDOW w AS (PARTITION BY namespace, type, substring(coalesce(content, ''), 1, 48))),
+p AS (SELECT id, CASE WHEN t >= 0.7 THEN 'hot' WHEN t >= 0.3 THEN 'warm' ELSE 'cold' END AS tier, score, CASE WHEN n < 500 THEN 'corpus_too_small' WHEN pinned THEN 'pinned' WHEN id % 17 = 0 THEN 'shareable' WHEN id % 19 = 0 THEN 'promotion' WHEN won > 0 THEN 'adjudication_winner' WHEN t >= 0.7 THEN 'hot_tier' WHEN siblings = 0 OR id = keeper THEN 'non_redundant' WHEN {NOW} - coalesce(last_accessed, created_at) < 14 * 86400000 THEN 'recently_used' WHEN score >= 0.35 THEN 'above_threshold' ELSE 'low_retention' END AS reason FROM f)
+SELECT id, tier, reason, round(score, 4) AS score FROM p""")
 def retention_plan(spark, d):
     x = links(spark, d)
     rows = visibility.current(_ranked(spark, d), x).withColumn("shareable", F.col("id") % 17 == 0).withColumn("origin", F.when(F.col("id") % 19 == 0, "promotion"))
-    return upkeep.retention_plan(rows.drop("degree"), x, upkeep.lexical_families(rows), NOW)
+    plan = upkeep.retention_plan(rows.drop("degree"), x, upkeep.lexical_families(rows, whole_prefix=True), NOW)
+    return plan.select("id", "tier", "reason", F.round("score", 4).alias("score"))
 
 
 @query("adjudicated_links", _M + f""", v AS (SELECT doc_id AS s, doc_id - 7 AS t, CASE doc_id % 4 WHEN 0 THEN 'contradicts' WHEN 1 THEN 'updates' WHEN 2 THEN 'duplicate' ELSE 'unrelated' END AS r, (doc_id % 101) / 100.0::DOUBLE AS c FROM documents WHERE doc_id >= 7),
@@ -163,13 +173,15 @@ def allocation_bought(spark, d):
 
 @query("answer_scores")
 def answer_scores(spark, d):
+    ensure_on_executors(spark)
     c = table(spark, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("truth"))
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(answers.answer_score("text", "truth", (F.col("turn") % 4 + 1).cast("int")), 6).alias("score"))
 
 
-@query("canonical_props")
+@query("canonical_props", """SELECT event_id, '{"k":' || json_extract_string(props, '$.k') || '}' AS json, NULL::VARCHAR AS fault FROM events""")
 def canonical_props(spark, d):
+    ensure_on_executors(spark)
     schema = {"type": "object", "additionalProperties": {}}
     return table(spark, d, "events").select("event_id", json_values.canonical_json("props").alias("json"), json_values.schema_fault(F.col("props"), schema).alias("fault"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallspark.operators import graph, reports, retrieval, versions, visibility
 from recallspark.operators.channels import entity_rows
-from recallspark.plans.queries import _DISTANCE, _M, _QUERY_VECTOR, AS_OF, HIDDEN, _vectors
+from recallspark.plans.queries import _DISTANCE, _M, _QUERY_VECTOR, AS_OF, HIDDEN, _vectors, rank_sql
 from recallspark.plans.registry import query
 from recallspark.sources.tables import CITATIONS_SQL, EPOCH, HOUR, citations, links, memories
 
@@ -60,7 +60,7 @@ def scoped_walk(spark, d):
     return graph.walk(x, 52, 4, nodes=n, shown=visibility.current(n, x)).select("id", "hops")
 
 
-@query("reachable_rank")
+@query("reachable_rank", rank_sql(near=True))
 def reachable_rank(spark, d):
     seeds = memories(spark, d).where("id IN (3, 77)").select("id")
     return graph.personalised_rank(links(spark, d), seeds, reach=3).select("id", F.round("rank", 9).alias("rank"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -33,3 +33,22 @@ def append_once(batch: DataFrame, path: str, identity: list[str]) -> None:
     if stored is not None:
         fresh = fresh.join(stored.select(*identity), identity, "left_anti")
     fresh.write.mode("append").parquet(path)
+
+
+def first_within(events: DataFrame, keys: list[str], ttl: str) -> DataFrame:
+    """The first event of each key within a time to live; keys are forgotten once the watermark passes it.
+
+    Over a batch the state never expires, so each key's first event stays.
+    """
+    out = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    if out.isStreaming:
+        return out.withWatermark("ts", ttl).dropDuplicatesWithinWatermark(keys)
+    w = Window.partitionBy(*keys).orderBy("ts")
+    return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def drained(stream: DataFrame, apply, checkpoint: str, every: str | None = None):
+    """Starts a query that hands micro-batches to ``apply(batch, number)``: every so often, or, without
+    ``every``, all that there is and then stops. A batch may come again after a failure."""
+    writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
