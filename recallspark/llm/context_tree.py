@@ -1,5 +1,7 @@
 """Language-model scoring by context-tree weighting over bytes, with a word model as base.
 
+Both models read the texts with A-Z lower-cased.
+
 Each byte is eight binary decisions; the decisions at one place of that binary tree share a context
 tree over the preceding bytes, which mixes Krichevsky-Trofimov estimates of all depths by weights
 learnt from the training texts. With the counts fixed, the probability of a byte after its context
@@ -7,13 +9,15 @@ depends only on the last ``depth`` bytes and the byte, so texts are scored by th
 of that length. Counts of those strings and of words cover all training documents and nothing is
 pruned: blocks of documents count their own and send packed arrays to shards, which add them up; the
 strings of a shard end their contexts in the same pairs of bytes, so that it holds whole subtrees
-below depth 1. Probabilities go back to the blocks shard by shard. No table that grows with the corpus
-is broadcast or collected; of the trees only depths 0 and 1 (at most 257 * 255 nodes) pass through
-the driver.
+below depth 1. Shards become more as the corpus grows. Probabilities, in single precision, go back to
+the blocks shard by shard. No table that grows with the corpus is broadcast or collected; of the trees
+only depths 0 and 1 (at most 257 * 255 nodes) pass through the driver.
 
 Defined results: null text is empty; an empty text has its end token alone and a model score of 0;
-before a text's first byte the context is zero bytes; repeated rows count repeatedly; further columns
-are ignored; without training documents all estimates are uniform; an empty table gives an empty one.
+before a text's first byte the context is zero bytes; repeated rows count repeatedly, and rows that
+repeat an id and its text share a block; null ids are scored like others, the split takes them as '';
+further columns are ignored; without training documents all estimates are uniform; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -35,8 +39,9 @@ from recallspark.plans.shipping import ensure_on_executors
 DEPTH, MODULUS, BLOCK_BYTES = 6, 10, 16 << 20
 #: Text bytes of a block that are counted or looked up at a time, and counts that wait to be added up.
 SLICE_BYTES, WAITING = 1 << 20, 4_000_000
-#: Shards of strings and of words (a power of two), and blocks that share a copy of a shard's values.
-SHARDS, GROUP_BLOCKS = 256, 64
+#: Shards of strings and of words at least and at most (powers of two), text bytes to a shard between,
+#: and blocks that share a copy of a shard's values.
+SHARDS, MOST_SHARDS, SHARD_BYTES, GROUP_BLOCKS = 256, 1 << 16, 64 << 20, 64
 #: The end token's key among word hashes.
 END_KEY = xxhash.xxh3_64_intdigest(b"\n") - (1 << 63)
 
@@ -44,8 +49,15 @@ def word_key(w: bytes) -> int:
     return xxhash.xxh3_64_intdigest(w) - (1 << 63)
 
 
+def lowered(flat: np.ndarray) -> np.ndarray:
+    return np.where((flat >= 65) & (flat <= 90), flat + np.uint8(32), flat)
+
+
 def grams(flat: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
-    """Each byte with its ``depth`` predecessors in the same text, packed with the byte lowest."""
+    """Each byte with its ``depth`` predecessors in the same text, the nearest highest and the byte lowest.
+
+    Contexts of all lengths are prefixes of such a number, so sorted strings hold subtrees together.
+    """
     out = flat.astype(np.int64)
     for k in range(1, depth + 1):
         before = np.zeros(len(flat), np.int64)
@@ -53,20 +65,36 @@ def grams(flat: np.ndarray, offsets: np.ndarray, depth: int) -> np.ndarray:
         for j in range(k):  # the first k bytes of a text have nothing so far back
             at = offsets[:-1] + j
             before[at[at < offsets[1:]]] = 0
-        out |= before << (8 * k)
+        out |= before << (8 * (depth + 1 - k))
     return out
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Numbers of eight bytes, compressed by byte planes, after their count."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T)
+def pack(x: np.ndarray, ascending: bool = False) -> bytes:
+    """Numbers, or the gaps between ascending ones, compressed by byte planes, after their count."""
+    if ascending:
+        x = np.diff(x, prepend=x[:0].dtype.type(0))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
     return len(x).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpack(b: bytes, kind: type = np.int64) -> np.ndarray:
-    n = int.from_bytes(b[:8], "little")
-    planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=8 * n, codec="zstd"), np.uint8)
-    return np.ascontiguousarray(planes.reshape(8, n).T).view(kind).ravel()
+def unpack(b: bytes, kind: type = np.int64, ascending: bool = False) -> np.ndarray:
+    n, width = int.from_bytes(b[:8], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(b[8:], decompressed_size=width * n, codec="zstd"), np.uint8)
+    x = np.ascontiguousarray(planes.reshape(width, n).T).view(kind).ravel()
+    return np.cumsum(x) if ascending else x
+
+
+def pack_keys(x: np.ndarray) -> bytes:
+    return pack(x, ascending=True)
+
+
+def unpack_keys(b: bytes) -> np.ndarray:
+    return unpack(b, ascending=True)
+
+
+def unpack_values(b: bytes, word: bool) -> np.ndarray:
+    """Counts of words, or log probabilities of strings."""
+    return unpack(b, np.float64 if word else np.float32)
 
 
 def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,20 +127,20 @@ class _Sum:
         return key, n
 
 
-def shard_of(keys: np.ndarray, word: bool) -> np.ndarray:
+def shard_of(keys: np.ndarray, word: bool, depth: int, shards: int) -> np.ndarray:
     """Shards of words by their hash, of strings by the last two bytes of the context."""
     if word:
-        return keys & (SHARDS - 1)
-    return ((keys >> 8 & 0xFFFF) * 0x9E3779B1 >> 16) & (SHARDS - 1)
+        return keys & (shards - 1)
+    return ((keys >> 8 * (depth - 1) & 0xFFFF) * 0x9E3779B1 >> 16) & (shards - 1)
 
 
-def _sharded(keys: np.ndarray, counts: np.ndarray, word: bool) -> list[tuple[bool, int, bytes, bytes]]:
+def _sharded(keys: np.ndarray, counts: np.ndarray, word: bool, depth: int, shards: int) -> list[tuple[bool, int, bytes, bytes]]:
     """(word, shard, keys, counts) of sorted keys, packed by shard."""
-    shard = shard_of(keys, word).astype(np.uint16)
+    shard = shard_of(keys, word, depth, shards).astype(np.uint16)
     order = np.argsort(shard, kind="stable")
     keys, counts, shard = keys[order], counts[order], shard[order]
     cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: len(shard)], len(shard))
-    return [(word, int(shard[a]), pack(keys[a:b]), pack(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+    return [(word, int(shard[a]), pack_keys(keys[a:b]), pack(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -147,8 +175,12 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 class _Level:
     """Nodes of one depth: sorted keys (context, place in the byte) with counts and ln weights."""
 
-    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None):
-        self.keys, self.inverse = np.unique(keys, return_inverse=True)
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None, ascending: bool = False):
+        if ascending:
+            new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+            self.keys, self.inverse = keys[new], np.cumsum(new) - 1
+        else:
+            self.keys, self.inverse = np.unique(keys, return_inverse=True)
         n = len(self.keys)
         self.zeros, self.ones = np.bincount(self.inverse, zeros, n), np.bincount(self.inverse, ones, n)
         own = _log_kt(self.zeros, self.ones)
@@ -175,15 +207,19 @@ def _decision(gram: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
     return (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
 
 
+def _parent(keys: np.ndarray) -> np.ndarray:
+    """Node keys without the byte of their context that is furthest back."""
+    return keys >> 16 << 8 | keys & 255
+
+
 def _levels(gram: np.ndarray, count: np.ndarray, depth: int, j: int) -> Iterator[tuple[_Level, np.ndarray]]:
-    """Levels ``depth`` to 2 of the trees of one decision, and each string's node there."""
+    """Levels ``depth`` to 2 of the trees of one decision, and each string's node there; ``gram`` ascends."""
     place, bit = _decision(gram, j)
-    level = _Level((gram >> 8) << 8 | place, count * (bit == 0), count * (bit == 1), None)
+    level = _Level((gram >> 8) << 8 | place, count * (bit == 0), count * (bit == 1), None, ascending=True)
     at = level.inverse
     yield level, at
-    for d in range(depth - 1, 1, -1):
-        ctx = (level.keys >> 8) & ((1 << 8 * d) - 1)
-        level = _Level(ctx << 8 | (level.keys & 255), level.zeros, level.ones, level.weighted)
+    for _ in range(depth - 2):
+        level = _Level(_parent(level.keys), level.zeros, level.ones, level.weighted)
         at = level.inverse[at]
         yield level, at
 
@@ -196,14 +232,14 @@ def _shard_tops(gram: np.ndarray, count: np.ndarray, depth: int) -> pa.RecordBat
             pass
         tops.append(level)
     key, zeros, ones, weighted = (np.concatenate([getattr(x, k) for x in tops]) for k in ("keys", "zeros", "ones", "weighted"))
-    return pa.RecordBatch.from_pydict({"last": key >> 8 & 255, "key": key, "zeros": zeros, "ones": ones, "weighted": weighted})
+    return pa.RecordBatch.from_pydict({"last": key >> 16, "key": key, "zeros": zeros, "ones": ones, "weighted": weighted})
 
 
 def _first_level(table: pa.Table) -> pa.Table:
     """Sums of the nodes of depth 2 at their parents of depth 1, in the order of the keys."""
     table = table.sort_by("key")
     key, zeros, ones, weighted = (table.column(c).to_numpy() for c in ("key", "zeros", "ones", "weighted"))
-    parent, inverse = np.unique(key & 0xFFFF, return_inverse=True)
+    parent, inverse = np.unique(_parent(key), return_inverse=True)
     return pa.table({"key": parent} | {k: np.bincount(inverse, x, len(parent)) for k, x in (("zeros", zeros), ("ones", ones), ("below", weighted))})
 
 
@@ -215,7 +251,7 @@ def _shard_scores(gram: np.ndarray, count: np.ndarray, depth: int, first: _Level
         p = None
         for level, at in _levels(gram, count, depth, j):
             p = level.mixed(at, bit, p)
-        p = first.mixed(np.searchsorted(first.keys, (gram >> 8 & 255) << 8 | place), bit, p)
+        p = first.mixed(np.searchsorted(first.keys, gram >> 8 * depth << 8 | place), bit, p)
         out += np.log10(root.mixed(np.searchsorted(root.keys, place), bit, p))
     return out
 
@@ -225,9 +261,9 @@ def _add_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, word, shard = _Sum(), None, None
     for rb in batches:
         for word, shard, key, n in zip(*(rb.column(c).to_pylist() for c in ("word", "shard", "key", "n"))):
-            total.add(unpack(key), unpack(n))
+            total.add(unpack_keys(key), unpack(n))
     key, n = total.total()
-    yield pa.RecordBatch.from_pydict({"word": [word], "shard": pa.array([shard], pa.int32()), "key": [pack(key)], "n": [pack(n)]})
+    yield pa.RecordBatch.from_pydict({"word": [word], "shard": pa.array([shard], pa.int32()), "key": [pack_keys(key)], "n": [pack(n)]})
 
 
 def _shard_values(sums: DataFrame, depth: int) -> DataFrame:
@@ -236,7 +272,7 @@ def _shard_values(sums: DataFrame, depth: int) -> DataFrame:
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for key, n in zip(rb.column("key").to_pylist(), rb.column("n").to_pylist()):
-                yield _shard_tops(unpack(key), unpack(n), depth)
+                yield _shard_tops(unpack_keys(key), unpack(n), depth)
 
     tops = sums.select("key", "n").mapInArrow(top, "last long, key long, zeros double, ones double, weighted double")
     rows = tops.groupBy("last").applyInArrow(_first_level, "key long, zeros double, ones double, below double").toArrow()  # at most 256 * 255 rows
@@ -247,26 +283,26 @@ def _shard_values(sums: DataFrame, depth: int) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for shard, key, n in zip(*(rb.column(c).to_pylist() for c in ("shard", "key", "n"))):
-                value = _shard_scores(unpack(key), unpack(n), depth, first, root)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "key": [key], "value": [pack(value)]})
+                value = _shard_scores(unpack_keys(key), unpack(n), depth, first, root)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "key": [key], "value": [pack(value.astype(np.float32))]})
 
     return sums.select("shard", "key", "n").mapInArrow(score, "shard int, key binary, value binary")
 
 
-def string_scores(counts: DataFrame, depth: int) -> DataFrame:
+def string_scores(counts: DataFrame, depth: int, shards: int = SHARDS) -> DataFrame:
     """(key, value) of each string in ``counts`` (key, n): log10 probability of its last byte."""
 
     def put(table: pa.Table) -> pa.Table:
         key, n = added([table.column("key").to_numpy()], [table.column("n").to_numpy()])
-        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "key": [pack(key)], "n": [pack(n)]})
+        return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int32()), "key": [pack_keys(key)], "n": [pack(n)]})
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for key, value in zip(rb.column("key").to_pylist(), rb.column("value").to_pylist()):
-                yield pa.RecordBatch.from_pydict({"key": unpack(key), "value": unpack(value, np.float64)})
+                yield pa.RecordBatch.from_pydict({"key": unpack_keys(key), "value": unpack_values(value, False).astype(float)})
 
-    pair = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
-    dealt = counts.select(F.pmod(pair, F.lit(SHARDS)).cast("int").alias("shard"), F.col("key").cast("long").alias("key"), F.col("n").cast("long").alias("n"))
+    pair = F.shiftright("key", 8 * (depth - 1)).bitwiseAND(F.lit(0xFFFF))
+    dealt = counts.select(F.pmod(pair, F.lit(shards)).cast("int").alias("shard"), F.col("key").cast("long").alias("key"), F.col("n").cast("long").alias("n"))
     sums = Scratch.of(counts.sparkSession).save(dealt.groupBy("shard").applyInArrow(put, "shard int, key binary, n binary"))
     return _shard_values(sums, depth).mapInArrow(take, "key long, value double")
 
@@ -277,17 +313,14 @@ def _words(part: pa.RecordBatch) -> list[list[bytes]]:
     return [raw[a:b].lower().split() for a, b in zip(offsets[:-1], offsets[1:])]
 
 
-def _count_block(table: pa.Table, depth: int) -> pa.Table:
+def _count_block(table: pa.Table, depth: int, shards: int) -> pa.Table:
     """(block, word, shard, key, n): strings and words of a block, with their counts in training texts."""
-    rb = table.combine_chunks().to_batches()[0]
-    train = ~rb.column("held_out").to_numpy(zero_copy_only=False)
-    strings, words, at = _Sum(), _Sum(), 0
-    words.add(np.array([END_KEY], np.int64), np.array([train.sum()], np.int64))
-    for part in small_slices(iter([rb]), "text", SLICE_BYTES):
+    strings, words = _Sum(), _Sum()
+    for part in small_slices(iter(table.to_batches()), "text", SLICE_BYTES):
         flat, offsets = text_bytes(part, "text")
-        on = train[at : at + part.num_rows]
-        at += part.num_rows
-        codes = grams(flat, offsets, depth) << 1 | np.repeat(on, np.diff(offsets))
+        on = ~part.column("held_out").to_numpy(zero_copy_only=False)
+        words.add(np.array([END_KEY], np.int64), np.array([on.sum()], np.int64))
+        codes = grams(lowered(flat), offsets, depth) << 1 | np.repeat(on, np.diff(offsets))
         codes.sort()
         starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1])[: len(codes)])
         strings.add(codes[starts] >> 1, np.diff(starts, append=len(codes)) * (codes[starts] & 1))
@@ -296,7 +329,7 @@ def _count_block(table: pa.Table, depth: int) -> pa.Table:
             for w in own:
                 seen[w] = seen.get(w, 0) + counts
         words.add(np.fromiter(map(word_key, seen), np.int64, len(seen)), np.fromiter(seen.values(), np.int64, len(seen)))
-    rows = _sharded(*strings.total(), False) + _sharded(*words.total(), True)
+    rows = _sharded(*strings.total(), False, depth, shards) + _sharded(*words.total(), True, depth, shards)
     word, shard, key, n = zip(*rows)
     block = table.column("block")[0].as_py()
     return pa.table({"block": np.full(len(rows), block, np.int64), "word": list(word), "shard": pa.array(shard, pa.int32()), "key": list(key), "n": list(n)})
@@ -306,17 +339,17 @@ def _look_up(table: pa.Table) -> pa.Table:
     """(block, word, key, value) of the blocks' rows of a shard, by its row without a block."""
     block, word, key, value = (table.column(c).to_pylist() for c in ("block", "word", "key", "value"))
     at = block.index(None)
-    keys, values = unpack(key[at]), unpack(value[at], np.float64)
+    keys, values = unpack_keys(key[at]), unpack_values(value[at], word[at])
     own = [i for i, b in enumerate(block) if b is not None]
-    found = [pack(values[np.searchsorted(keys, unpack(key[i]))]) for i in own]
+    found = [pack(values[np.searchsorted(keys, unpack_keys(key[i]))]) for i in own]
     return pa.table({"block": pa.array([block[i] for i in own], pa.int64()), "word": [word[i] for i in own], "key": pa.array([key[i] for i in own], pa.binary()), "value": pa.array(found, pa.binary())})
 
 
 def _known(table: pa.Table, word: bool) -> tuple[np.ndarray, np.ndarray]:
     """Sorted keys of a block's words or strings, and their values."""
     rows = [(k, v) for w, k, v in zip(*(table.column(c).to_pylist() for c in ("word", "key", "value"))) if w == word]
-    key = np.concatenate([np.zeros(0, np.int64), *(unpack(k) for k, _ in rows)])
-    value = np.concatenate([np.zeros(0), *(unpack(v, np.float64) for _, v in rows)])
+    key = np.concatenate([np.zeros(0, np.int64), *(unpack_keys(k) for k, _ in rows)])
+    value = np.concatenate([np.zeros(0, np.float32), *(unpack_values(v, word) for _, v in rows)])
     order = np.argsort(key)
     return key[order], value[order]
 
@@ -324,14 +357,13 @@ def _known(table: pa.Table, word: bool) -> tuple[np.ndarray, np.ndarray]:
 def _score_block(texts: pa.Table, known: pa.Table, depth: int, train_tokens: int, distinct: int) -> pa.Table:
     if not texts.num_rows:
         return pa.table({k: pa.array([], t) for k, t in _SCORE_TYPES.items()})
-    rb = texts.combine_chunks().to_batches()[0]
     (g, gv), (words, counts) = _known(known, False), _known(known, True)
     end = float(counts[np.searchsorted(words, END_KEY)])
     below = train_tokens + 0.1 * (distinct + 1)
     scores, sizes, n_tokens, n_known, base = [], [], [], [], []
-    for part in small_slices(iter([rb]), "text", SLICE_BYTES):
+    for part in small_slices(iter(texts.to_batches()), "text", SLICE_BYTES):
         flat, offsets = text_bytes(part, "text")
-        codes = grams(flat, offsets, depth)
+        codes = grams(lowered(flat), offsets, depth)
         order = np.argsort(codes)
         values = np.empty(len(codes))
         values[order] = gv[np.searchsorted(g, codes[order])]
@@ -351,11 +383,11 @@ def _score_block(texts: pa.Table, known: pa.Table, depth: int, train_tokens: int
     bits = np.where(size > 0, -score / math.log10(2) / np.maximum(size, 1), 0.0)
     return pa.table(
         {
-            "doc_id": rb.column("doc_id"),
-            "held_out": rb.column("held_out"),
+            "doc_id": texts.column("doc_id"),
+            "held_out": texts.column("held_out"),
             "n_tokens": pa.array(n_tokens, pa.int64()),
             "n_known": pa.array(n_known, pa.int64()),
-            "train_tokens": pa.array([train_tokens] * rb.num_rows, pa.int64()),
+            "train_tokens": pa.array([train_tokens] * texts.num_rows, pa.int64()),
             "base_score": pa.array(base, pa.float64()),
             "score": pa.array(score, pa.float64()),
             "bits_per_byte": pa.array(bits, pa.float64()),
@@ -375,9 +407,10 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, modulus: int = MODULUS, blo
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    block = F.pmod(F.xxhash64("doc_id", F.crc32(F.col("text").cast("binary"))), F.lit(blocks))
+    shards = min(MOST_SHARDS, max(SHARDS, 1 << math.ceil(size / SHARD_BYTES).bit_length()))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
     dealt = source.select("doc_id", "text", held_out("doc_id", modulus).alias("held_out"), block.alias("block"))
-    counted = scratch.save(dealt.groupBy("block").applyInArrow(lambda t: _count_block(t, depth), "block long, word boolean, shard int, key binary, n binary"))
+    counted = scratch.save(dealt.groupBy("block").applyInArrow(lambda t: _count_block(t, depth, shards), "block long, word boolean, shard int, key binary, n binary"))
     scratch.release_shuffles()
     sums = scratch.save(counted.select("word", "shard", "key", "n").groupBy("word", "shard").applyInArrow(_add_shard, "word boolean, shard int, key binary, n binary"))
     scratch.release_shuffles()
@@ -396,9 +429,7 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, modulus: int = MODULUS, blo
     groups = F.explode(F.array(*[F.lit(i).cast("long") for i in range((blocks - 1) // GROUP_BLOCKS + 1)]))
     values = values.select(F.lit(None).cast("long").alias("block"), "word", "shard", "key", "value", groups.alias("part"))
     asked = counted.select("block", "word", "shard", "key", F.lit(None).cast("binary").alias("value"), F.floor(F.col("block") / GROUP_BLOCKS).alias("part"))
-    known = scratch.save(asked.union(values).groupBy("word", "shard", "part").applyInArrow(_look_up, "block long, word boolean, key binary, value binary"))
-    scratch.drop(counted, strings, counts)
-    scratch.release_shuffles()
+    known = asked.union(values).groupBy("word", "shard", "part").applyInArrow(_look_up, "block long, word boolean, key binary, value binary")
 
     def score(texts: pa.Table, table: pa.Table) -> pa.Table:
         return _score_block(texts, table, depth, train_tokens, distinct)
