@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import scoring
+from recallspark.operators import visibility
+from recallspark.operators.digests import cut_lines
 
 #: Similarity of near-duplicates, characters below which a cut memory, topic or item is dropped.
 NEAR_DUPLICATE, LEAST_MEMORY, LEAST_TOPIC, LEAST_ITEM = 0.95, 16, 24, 16
@@ -215,3 +217,43 @@ def archive_search(memories: DataFrame, lexical: DataFrame, vector: DataFrame, h
         return found
     near = vector.where(1 - F.col("distance") * F.col("distance") / 2 >= least_cosine).orderBy("distance", "id").limit(k)
     return live.select("id").join(near.select("id"), "id", "left_semi")
+
+
+def channel(ranked: DataFrame, memories: DataFrame, links: DataFrame, now: int, scope: str | None = None, caller: str | None = None, least_trust: float = 0.0, group: str = "query_id") -> DataFrame:
+    """Ranked candidates (group, id, place and what else the search says) as they are served.
+
+    Rows that the caller may not read are dropped here once more, whatever found them; each id counts
+    once; rows below the trust floor go before near-duplicates do, so that a trusted sibling of an
+    untrusted row stays; what is left gets its tier and its counts, and a new place without gaps.
+    """
+    own = visibility.visible_to(caller, F.col("visibility"), F.col("owner"))
+    if scope is not None:
+        own = own & visibility.in_scope(F.col("namespace"), scope, subtree=False)
+    found = ranked.select(group, "id", "place", *[c for c in ("score", "relevance", "reason") if c in ranked.columns])
+    rows = first_of_each(found, group).join(memories.where(own), "id")
+    kept = with_counts(without_near_duplicates(trusted(rows, now, least_trust), links, group), links, now)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("place")))
+
+
+def dropped(ranked: DataFrame, served: DataFrame, group: str = "query_id") -> DataFrame:
+    """(group, candidates, served) of every query."""
+    a = ranked.groupBy(group).agg(F.count_distinct("id").alias("candidates"))
+    b = served.groupBy(group).agg(F.count(F.lit(1)).alias("served"))
+    return a.join(b, group, "left").fillna(0, ["served"])
+
+
+def full_context(turns: DataFrame, budget: int, group: str = "session_id") -> DataFrame:
+    """Turns (group, place, content) from the first on, as long as all of them fit, lines and all."""
+    w = Window.partitionBy(group).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    used = F.sum(F.length("content") + 1).over(w) - 1
+    return turns.withColumn("used", used).where(F.col("used") <= budget)
+
+
+def briefs(items: DataFrame, budget: int) -> DataFrame:
+    """(task_id, brief): open items of every task, by kind and age, cut to a budget with a note of the rest.
+
+    ``items``: task_id, kind, first_seq, text, status (null: open). A task's items are few.
+    """
+    line = F.concat(F.lit("- ["), F.col("kind"), F.lit("] "), F.col("text"))
+    rows = items.where("status IS NULL").groupBy("task_id").agg(F.sort_array(F.collect_list(F.struct("kind", "first_seq", line.alias("line")))).alias("l"))
+    return rows.select("task_id", cut_lines(F.transform("l", lambda x: x["line"]), budget).alias("brief"))

@@ -9,8 +9,14 @@ from pyspark.sql import functions as F
 SUPERSEDES_AT = 0.8
 
 
-def in_scope(namespace: Column, scope: str, subtree: bool = True) -> Column:
-    """Exactly the scope, or it and all below it; a sibling that shares a prefix is outside."""
+def in_scope(namespace: Column, scope: str, subtree: bool = True, fold: bool = False) -> Column:
+    """Exactly the scope, or it and all below it; a sibling that shares a prefix is outside.
+
+    With ``fold``, as for the local owner, scopes below may differ in ASCII case.
+    """
+    if fold and subtree:
+        upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+        return (namespace == scope) | F.translate(namespace, upper, lower).startswith(F.translate(F.lit(scope + "/"), upper, lower))
     same = namespace == scope
     return same | namespace.startswith(scope + "/") if subtree else same
 
@@ -26,6 +32,11 @@ def granted(namespace: Column, prefixes: list[str]) -> Column:
     return out
 
 
+def covered(paths: Column, prefixes: list[str]) -> Column:
+    """Those of an array of scopes that a grant reaches: a funnel doesn't climb above it."""
+    return F.filter(paths, lambda p: granted(p, prefixes))
+
+
 def valid_at(when: int, valid_from: Column, valid_until: Column) -> Column:
     return (valid_from <= when) & (valid_until.isNull() | (valid_until >= when))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from recallspark.functions.text import ancestors
 from recallspark.operators import digests, recall, reports, retrieval, visibility
 from recallspark.plans.queries import _DISTANCE, _M, _QUERY_VECTOR, HIDDEN, _vectors
 from recallspark.plans.registry import query
@@ -214,3 +215,47 @@ def cached_vectors(spark, d):
 def distinct_scopes(spark, d):
     row = memories(spark, d).agg(F.count_distinct("owner").alias("owners"), F.count_distinct("namespace").alias("namespaces"), F.count_distinct("session_id").alias("sessions"))
     return row.unpivot([], ["owners", "namespaces", "sessions"], "name", "n")
+
+
+@query("recall_channel", f"""{_M.replace("WITH", "WITH RECURSIVE", 1)}, p AS (SELECT id, id // 25 AS query_id, row_number() OVER (PARTITION BY id // 25 ORDER BY id) AS place FROM m WHERE (visibility IS NULL OR visibility <> 'personal' OR owner = 'u1') AND (pinned OR {_TRUST} >= 0.3)),
+e AS (SELECT source_id AS a, target_id AS b FROM l WHERE similarity >= 0.95 UNION SELECT target_id, source_id FROM l WHERE similarity >= 0.95),
+k(query_id, place, kept) AS (SELECT DISTINCT query_id, 0::BIGINT, []::BIGINT[] FROM p UNION ALL SELECT k.query_id, p.place, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.a = p.id AND list_contains(k.kept, e.b)) THEN k.kept ELSE list_append(k.kept, p.id) END FROM k JOIN p ON p.query_id = k.query_id AND p.place = k.place + 1)
+SELECT query_id, unnest(kept) AS id, unnest(range(1, len(kept) + 1)) AS place FROM (SELECT query_id, kept, place, max(place) OVER (PARTITION BY query_id) AS top FROM k) WHERE place = top""")
+def recall_channel(spark, d):
+    m = memories(spark, d)
+    ranked = m.select("id", F.floor(F.col("id") / 25).alias("query_id"), F.col("id").alias("place"))
+    out = recall.channel(ranked.union(ranked.withColumn("place", F.col("place") + 1_000_000)), m, links(spark, d), NOW, caller="u1", least_trust=0.3)
+    return out.select("query_id", "id", F.col("place").cast("long").alias("place"))
+
+
+@query("full_context", "SELECT conv_id AS session_id, turn AS place FROM (SELECT *, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS used FROM conversations) WHERE used <= 900")
+def full_context(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("place"), F.col("text").alias("content"))
+    return recall.full_context(c, 900).select("session_id", "place")
+
+
+@query("task_briefs", f"""WITH i AS (SELECT user_id AS task_id, event_type AS kind, event_id AS first_seq, '- [' || event_type || '] ' || props AS line FROM events WHERE event_id % 4 <> 0),
+q AS (SELECT task_id, l, array_to_string(l, chr(10)) AS w, {_KEEP.replace("2000", "300")} AS k FROM (SELECT task_id, list(line ORDER BY kind, first_seq) AS l FROM i GROUP BY 1)) SELECT task_id, CASE WHEN length(w) <= 300 THEN w ELSE substr(array_to_string(l[1:k], chr(10)) || chr(10) || '…(' || (len(l) - k) || ' more)', 1, 300) END AS brief FROM q""")
+def task_briefs(spark, d):
+    i = F.col("event_id")
+    items = table(spark, d, "events").select(F.col("user_id").alias("task_id"), F.col("event_type").alias("kind"), i.alias("first_seq"), F.col("props").alias("text"), F.when(i % 4 == 0, "done").alias("status"))
+    return recall.briefs(items, 300)
+
+
+@query("covered_scopes", f"{_M} SELECT id, CASE WHEN starts_with(namespace, '/p/en/') THEN '/p/en,' || namespace ELSE '' END AS scopes FROM m")
+def covered_scopes(spark, d):
+    return memories(spark, d).select("id", F.array_join(visibility.covered(ancestors(F.col("namespace")), ["/p/en"]), ",").alias("scopes"))
+
+
+@query("folded_scope", f"{_M} SELECT id FROM m WHERE starts_with(lower(namespace), '/p/en//')")
+def folded_scope(spark, d):
+    return memories(spark, d).where(visibility.in_scope(F.col("namespace"), "/P/EN", fold=True)).select("id")
+
+
+@query("reranked_search", f"{_M}, c AS (SELECT id, 0.5 / (1 + id % 9) AS fts, 0 AS v FROM m WHERE id % 4 = 0), s AS (SELECT m.id, {1 / (1 - 0.35)} * (0.2 * fts + 0.15 * exp(-greatest(({NOW} - coalesce(last_accessed, created_at)) / 86400000.0::DOUBLE, 0) / (365 * greatest(importance + 0.3 * ln(access_count + 1), 0.1))) + 0.1 * least(ln(access_count + 1) / ln(100), 1) + 0.2 * importance) AS score, fts FROM m JOIN c USING (id)), "
+    "r AS (SELECT *, row_number() OVER (ORDER BY score DESC, fts DESC, id) AS n FROM s) SELECT id, round(0.4 * CASE WHEN n <= 20 THEN least(greatest(0.5 + (id % 10 / 10.0 - 0.5) * 2, 0), 1) ELSE 0.5 END + 0.6 * score, 5) AS score FROM r ORDER BY 0.4 * CASE WHEN n <= 20 THEN least(greatest(0.5 + (id % 10 / 10.0 - 0.5) * 2, 0), 1) ELSE 0.5 END + 0.6 * score DESC, fts DESC, id LIMIT 15")
+def reranked_search(spark, d):
+    m = memories(spark, d)
+    lists = {"fts": m.where("id % 4 = 0").select("id", (0.5 / (1 + F.col("id") % 9)).alias("relevance"))}
+    scores = m.select("id", (F.col("id") % 10 / 10).alias("rerank"))
+    return retrieval.fuse(m, lists, None, NOW, 15, rerank=scores, alpha=0.4).select("id", F.round("score", 5).alias("score"))
