@@ -47,6 +47,21 @@ def export(rows: DataFrame, links: DataFrame, layers: list[str], home: str = "/h
     return kept, inner
 
 
+def snapshot(rows: DataFrame, links: DataFrame, entities: DataFrame, vectors: DataFrame, sessions: DataFrame, layers: list[str], home: str = "/home/user") -> dict[str, DataFrame]:
+    """All tables of an archive: its rows, the links among them, their entities and vectors, and their sessions,
+    with home folders scrubbed from entities and summaries."""
+    kept, inner = export(rows, links, layers, home)
+    ids = kept.select("id")
+    own = entities.join(ids.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").withColumn("entity_text", scrub_homes(F.col("entity_text")))
+    used = sessions.join(kept.select(F.col("session_id").alias("id")).distinct(), "id", "left_semi")
+    return {"memories": kept, "links": inner, "entities": own, "embeddings": vectors.join(ids, "id", "left_semi"), "sessions": used}
+
+
+def manifest(tables: dict[str, DataFrame], schema: int, model: str, dim: int, at: int) -> dict:
+    """What describes an archive: versions, and how many rows each table has."""
+    return {"schema": schema, "model": model, "dim": dim, "created_at": at, "rows": {name: df.count() for name, df in tables.items()}}
+
+
 def importable(manifest: dict, schema: int, model: str, dim: int) -> list[str]:
     """Why an archive can't be read here; empty if it can."""
     faults = [] if manifest.get("schema", 0) <= schema else [f"schema {manifest['schema']} is newer than {schema}"]

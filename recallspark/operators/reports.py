@@ -55,6 +55,39 @@ def reversed_links(links: DataFrame, pairs: DataFrame) -> DataFrame:
     return links.join(undone, ["source_id", "target_id", "link_type"], "left_anti").select(*links.columns)
 
 
+def restored(memories: DataFrame, links: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Memories after superseding links of the pairs are taken back: targets are open and out of the archive
+    again, and judged or waiting rows of both ends are not to be judged anew ('skipped').
+
+    Pairs without such a link change nothing. ``memories`` has adjudication_state.
+    """
+    hit = links.where("link_type = 'supersedes'").join(pairs.select("source_id", "target_id"), ["source_id", "target_id"], "left_semi")
+    targets = hit.select(F.col("target_id").alias("id"), F.lit(True).alias("_target")).distinct()
+    ends = hit.select(F.col("source_id").alias("id")).union(hit.select("target_id")).distinct().withColumn("_end", F.lit(True))
+    rows = memories.join(targets, "id", "left").join(ends, "id", "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    settled = yes("_end") & F.col("adjudication_state").isin("done", "pending")
+    changed = {"valid_until": F.when(~yes("_target"), F.col("valid_until")), "archived_at": F.when(~yes("_target"), F.col("archived_at")), "adjudication_state": F.when(settled, "skipped").otherwise(F.col("adjudication_state"))}
+    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in memories.columns])
+
+
+#: Characters of a query and ids of results that a retrieval event keeps, and days and rows of a ledger.
+QUERY_CHARS, RESULT_IDS, LEDGER_DAYS, LEDGER_ROWS = 2000, 50, 90, 100_000
+
+
+def retrieval_events(calls: DataFrame, log_queries: bool = True) -> DataFrame:
+    """Events of calls (tool, query, result_ids, latency_ms, created_at): lengths and counts are true, what
+    is stored of the query and the ids is bounded."""
+    n = F.size("result_ids")
+    query = F.substring("query", 1, QUERY_CHARS) if log_queries else F.lit(None).cast("string")
+    return calls.select("tool", query.alias("query"), F.coalesce(F.length("query"), F.lit(0)).alias("query_chars"), n.alias("result_count"), F.slice("result_ids", 1, RESULT_IDS).alias("result_ids"), F.greatest(F.round("latency_ms"), F.lit(0)).cast("long").alias("latency_ms"), "created_at")
+
+
+def pruned_ledger(events: DataFrame, now: int, days: int = LEDGER_DAYS, cap: int = LEDGER_ROWS) -> DataFrame:
+    """What a ledger (id, ts) keeps: the newest rows that are young enough, by the retention rule."""
+    return newest(events.where(F.col("ts") >= now - days * 86_400_000), "id", cap)
+
+
 def patched(memories: DataFrame, patches: DataFrame, key: str = "id") -> DataFrame:
     """Rows after patches (key, seq, columns): of each column the last value that isn't null stands."""
     columns = [c for c in patches.columns if c not in (key, "seq")]

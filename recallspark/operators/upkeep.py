@@ -169,3 +169,11 @@ def derived_from(edges: DataFrame, roots: DataFrame) -> DataFrame:
 def purge(rows: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows left once the roots are forgotten together with everything derived from them."""
     return rows.join(derived_from(edges, roots), "id", "left_anti")
+
+
+def forgotten(items: DataFrame, tombstones: DataFrame, barriers: DataFrame) -> DataFrame:
+    """Items of sources (source, item_id, generation) that may be applied: not those with a tombstone,
+    under whatever revision, nor those of a generation at or before their source's barrier."""
+    live = items.join(tombstones.select("source", "item_id").distinct(), ["source", "item_id"], "left_anti")
+    last = barriers.groupBy("source").agg(F.max("generation").alias("_barrier"))
+    return live.join(last, "source", "left").where(F.col("_barrier").isNull() | (F.col("generation") > F.col("_barrier"))).select(*items.columns)

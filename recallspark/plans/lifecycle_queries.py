@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recallspark.operators import graph, lifecycle, reports, visibility
-from recallspark.plans.queries import _M, HIDDEN
+from recallspark.operators import archive, graph, lifecycle, reports, upkeep, visibility
+from recallspark.operators.channels import entity_rows
+from recallspark.plans.queries import _M, HIDDEN, _vectors
 from recallspark.plans.registry import query
-from recallspark.sources.tables import EPOCH, HOUR, NOW, links, memories, table
+from recallspark.sources.tables import EPOCH, HOUR, NOW, links, memories, sessions, table
 from recallspark.streaming import ledgers
 
 
@@ -82,3 +83,41 @@ SELECT id, hops, link_type, source_id FROM r WHERE n = 1""")
 def node_reach(spark, d):
     return graph.reach(links(spark, d), memories(spark, d).where("id = 50"))
 
+
+
+@query("restored_rows", _M + """, h AS (SELECT source_id, target_id FROM l WHERE link_type = 'supersedes' AND source_id % 8 = 0), a AS (SELECT m.*, CASE id % 3 WHEN 0 THEN 'done' WHEN 1 THEN 'pending' ELSE 'failed' END AS st, id IN (SELECT target_id FROM h) AS t, id IN (SELECT source_id FROM h UNION SELECT target_id FROM h) AS e FROM m)
+SELECT id, CASE WHEN NOT t THEN valid_until END AS valid_until, CASE WHEN NOT t THEN archived_at END AS archived_at, CASE WHEN e AND st IN ('done', 'pending') THEN 'skipped' ELSE st END AS adjudication_state FROM a""")
+def restored_rows(spark, d):
+    i = F.col("id")
+    m = memories(spark, d).withColumn("adjudication_state", F.when(i % 3 == 0, "done").when(i % 3 == 1, "pending").otherwise("failed"))
+    x = links(spark, d)
+    return reports.restored(m, x, x.where("source_id % 8 = 0")).select("id", "valid_until", "archived_at", "adjudication_state")
+
+
+@query("retrieval_events", "SELECT user_id, count(*) AS result_count, least(count(*), 50) AS kept, 2500 AS query_chars, 2000 AS stored_chars FROM events GROUP BY user_id")
+def retrieval_events(spark, d):
+    calls = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("event_id").alias("result_ids")).select(F.col("user_id").cast("string").alias("tool"), F.repeat(F.lit("x"), F.lit(2500)).alias("query"), "result_ids", F.lit(1.4).alias("latency_ms"), F.lit(NOW).alias("created_at"))
+    out = reports.retrieval_events(calls)
+    return out.select(F.col("tool").cast("long").alias("user_id"), F.col("result_count").cast("long").alias("result_count"), F.size("result_ids").cast("long").alias("kept"), "query_chars", F.length("query").alias("stored_chars"))
+
+
+@query("pruned_ledger", f"SELECT event_id AS id FROM events WHERE event_id * {HOUR} >= {4000 * HOUR - 90 * 86_400_000} ORDER BY event_id DESC LIMIT 3000")
+def pruned_ledger(spark, d):
+    e = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * HOUR).alias("ts"))
+    return reports.pruned_ledger(e, 4000 * HOUR, cap=3000).select("id")
+
+
+@query("snapshot_tables", _M + f""", s AS (SELECT id, session_id FROM m WHERE id % 3 = 0 AND type IN ('fact', 'note') AND archived_at IS NULL AND id NOT IN ({HIDDEN})) SELECT 'memories' AS name, count(*) AS n FROM s
+UNION ALL SELECT 'links', count(*) FROM l WHERE source_id IN (SELECT id FROM s) AND target_id IN (SELECT id FROM s) UNION ALL SELECT 'embeddings', count(*) FROM embeddings WHERE vec_id IN (SELECT id FROM s) UNION ALL SELECT 'sessions', count(DISTINCT conv_id) FROM conversations WHERE conv_id IN (SELECT session_id FROM s)""")
+def snapshot_tables(spark, d):
+    m = memories(spark, d).withColumn("shareable", F.col("id") % 3 == 0)
+    tables = archive.snapshot(m, links(spark, d), entity_rows(m.limit(0)), _vectors(spark, d), sessions(spark, d), ["fact", "note"])
+    rows = archive.manifest({k: tables[k] for k in ("memories", "links", "embeddings", "sessions")}, 1, "m", 64, NOW)["rows"]
+    return spark.createDataFrame(list(rows.items()), "name string, n long")
+
+
+@query("applied_items", "SELECT source, doc_id AS item_id FROM documents WHERE doc_id % 6 <> 0 AND NOT (source = 'src1' AND doc_id % 10 <= 4)")
+def applied_items(spark, d):
+    x = table(spark, d, "documents").select("source", F.col("doc_id").alias("item_id"), (F.col("doc_id") % 10).alias("generation"))
+    barriers = spark.createDataFrame([("src1", 2), ("src1", 4)], "source string, generation long")
+    return upkeep.forgotten(x, x.where("item_id % 6 = 0"), barriers).select("source", "item_id")
