@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from recallspark.functions import entities, scoring, text
 from recallspark.operators.digests import to_millis
-from recallspark.plans.queries import _DISTANCE, _M, _QUERY_VECTOR, _vectors
+from recallspark.plans.queries import _M, _QUERY_VECTOR, _vectors
 from recallspark.plans.registry import query
 from recallspark.sources import readers
 from recallspark.sources.tables import EPOCH, HOUR, memories, table
