@@ -39,6 +39,11 @@ WORDS_KNOWN, SLICE_BYTES = 60_000, 1 << 18
 #: Bytes of a part of a long word, and those that it shares with the next.
 PART, SHARED = 40, 4
 PAD = 0
+#: Windows without common words that a document's score takes, the logit of one that it lacks, share of
+#: the documents that smooths the evidence (and documents at least), and the tables' rate against the network's.
+TOP, MISSING, SMOOTH, SMOOTH_LEAST, TABLE_RATE = 3, -8.0, 0.0125, 4.0, 2.0
+#: Rounds of training at least and at most, and documents gone through in between.
+EPOCHS, MOST_EPOCHS, PASSES = 8, 40, 20_000
 
 
 _ODD = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xFF51AFD7ED558CCD))
@@ -89,19 +94,10 @@ class Model:
     p: dict[str, np.ndarray]
 
     def vectors(self, words: list[bytes]) -> np.ndarray:
-        """Inputs of words: their own rows, the means of their grams' rows, and the strongest gram's evidence."""
         out = np.empty((len(words), 2 * WIDTH), np.float32)
         for a in range(0, len(words), 8_000):
-            part = words[a : a + 8_000]
-            owner, rows = gram_rows(part)
-            n = len(part)
-            out[a : a + n, :WIDTH] = self.words[word_rows(part)]
-            many = np.maximum(np.bincount(owner, minlength=n), 1)
-            for c in range(1, WIDTH):
-                out[a : a + n, WIDTH + c] = np.bincount(owner, self.grams[rows, c], n) / many
-            lead = np.full(n, -8.0, np.float32)
-            np.maximum.at(lead, owner, self.grams[rows, 0])
-            out[a : a + n, WIDTH] = np.where(lead > -8, lead, 0)
+            units = _Units(words[a : a + 8_000])
+            out[a : a + 8_000] = _vectors(self.words, self.grams, units.word, units.gram, units.bounds[:-1])
         return out
 
 
@@ -189,6 +185,7 @@ def _gradients(p: dict, x: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
     for k, gi in (("1", g1), ("2", g2)):
         out["w" + k] = flat(x).T @ flat(gi)
         out["b" + k] = flat(gi).sum(axis=0)
+    out["x"] = (flat(g1) @ p["w1"].T + flat(g2) @ p["w2"].T).reshape(x.shape)
     return float(loss), out
 
 
@@ -199,95 +196,223 @@ def _windows(n: int) -> np.ndarray:
     return np.append(np.arange(0, n - WINDOW, STRIDE), n - WINDOW)
 
 
-def _evidence(docs: list[list[bytes]], label: np.ndarray, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Tables with the smoothed log odds of toxic documents as first component."""
-    tables, toxic = [], label > 0
+def _evidence(coded: list[np.ndarray], toxic: np.ndarray, units: _Units, smooth: float) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed log odds of toxic documents for the rows of both tables."""
     counts = [np.zeros((2, WORD_ROWS)), np.zeros((2, GRAM_ROWS))]
-    index = {w: i for i, w in enumerate({w for d in docs for w in d})}
-    vocabulary = list(index)
-    own_word = word_rows(vocabulary)
-    owner, own_gram = gram_rows(vocabulary)
-    order = np.argsort(owner, kind="stable")
-    own_gram, bounds = own_gram[order], np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
-    for words, t in zip(docs, toxic.tolist()):
-        at = [index[w] for w in set(words)]
-        if at:
-            counts[0][int(t), np.unique(own_word[at])] += 1
-            counts[1][int(t), np.unique(np.concatenate([own_gram[bounds[i] : bounds[i + 1]] for i in at]))] += 1
-    share = toxic.mean()
+    for own, t in zip(coded, toxic.tolist()):
+        at = np.unique(own) - 1
+        if len(at):
+            counts[0][int(t), np.unique(units.word[at])] += 1
+            counts[1][int(t), np.unique(units.gram[units.spans(at)[0]])] += 1
+    share = min(max(toxic.mean(), 0.01), 0.99) if len(toxic) else 0.5
+    out = []
     for c in counts:
-        base = 4.0
-        odds = np.log((c[1] + base * share) / share) - np.log((c[0] + base * (1 - share)) / (1 - share))
-        table = rng.normal(0, 0.05, (c.shape[1], WIDTH)).astype(np.float32)
-        table[:, 0] = np.clip(odds, -4, 4)
-        table[PAD] = 0
-        tables.append(table)
-    return tables[0], tables[1]
-
-
-def train(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int = 6, batch: int = 256) -> Model | None:
-    """Fits the network to labelled texts; None without labels of both kinds."""
+        odds = np.log((c[1] + smooth * share) / share) - np.log((c[0] + smooth * (1 - share)) / (1 - share))
+        out.append(np.clip(odds, -4, 4).astype(np.float32))
+        out[-1][PAD] = 0
+    return out[0], out[1]
+
+
+class _Units:
+    """Table rows of a vocabulary's words and of their grams, word by word."""
+
+    def __init__(self, vocabulary: list[bytes]):
+        self.word = word_rows(vocabulary)
+        owner, rows = gram_rows(vocabulary)
+        order = np.argsort(owner, kind="stable")
+        self.gram = rows[order]
+        self.bounds = np.searchsorted(owner[order], np.arange(len(vocabulary) + 1))
+
+    def spans(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the grams of some words, and each word's first among them; every word has grams."""
+        sizes = self.bounds[at + 1] - self.bounds[at]
+        ends = np.cumsum(sizes)
+        return np.repeat(self.bounds[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), ends - sizes
+
+
+def _vectors(words: np.ndarray, grams: np.ndarray, word: np.ndarray, gram: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Inputs of words: their own rows, the means of their grams' rows, and the strongest gram's evidence."""
+    out = np.empty((len(word), 2 * WIDTH), np.float32)
+    out[:, :WIDTH] = words[word]
+    rows = grams[gram]
+    sizes = np.diff(np.append(starts, len(gram)))
+    out[:, WIDTH + 1 :] = np.add.reduceat(rows[:, 1:], starts) / sizes[:, None]
+    out[:, WIDTH] = np.maximum.reduceat(rows[:, 0], starts)
+    return out
+
+
+class _Trained:
+    """Both tables while they are trained: sums of squared gradients set each row's rate."""
+
+    def __init__(self, words: np.ndarray, grams: np.ndarray):
+        self.tables = words, grams
+        self.squares = np.full_like(words, 1e-6), np.full_like(grams, 1e-6)
+
+    def descend(self, word: np.ndarray, gram: np.ndarray, starts: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        """One step against the gradients of words' vectors; the evidence in the first column stays."""
+        sizes = np.diff(np.append(starts, len(gram)))
+        shared = np.repeat(grad[:, WIDTH + 1 :] / sizes[:, None], sizes, axis=0)
+        for table, square, rows, g in zip(self.tables, self.squares, (word, gram), (grad[:, 1:WIDTH], shared)):
+            own, inverse = np.unique(rows, return_inverse=True)
+            total = np.stack([np.bincount(inverse, g[:, c], len(own)) for c in range(g.shape[1])], axis=1).astype(np.float32)
+            square[own, 1:] += total * total
+            table[own, 1:] -= rate * total / np.sqrt(square[own, 1:])
+
+
+def _best_windows(logit: np.ndarray, owner: np.ndarray, start: np.ndarray, docs: int) -> np.ndarray:
+    """Per document: logits of its best window, of the best that share no word with it, of the best
+    that share none with both; and the log of all windows' odds, averaged and added up."""
+    out = np.full((docs, TOP + 2), MISSING)
+    rest = logit.astype(float).copy()
+    for k in range(TOP):
+        np.maximum.at(out[:, k], owner, rest)
+        where = np.full(docs, -(1 << 40))
+        top = (rest == out[owner, k]) & (rest > MISSING)
+        np.maximum.at(where, owner[top], start[top])
+        rest[np.abs(start - where[owner]) < WINDOW] = MISSING
+    odds = np.bincount(owner, np.exp(np.minimum(logit, 4)), docs)
+    out[:, TOP] = np.log(odds / np.maximum(np.bincount(owner, minlength=docs), 1) + 1e-3)
+    out[:, TOP + 1] = np.log(odds + 1e-3)
+    return out
+
+
+def _fit_top(x: np.ndarray, label: np.ndarray, rounds: int = 60) -> np.ndarray:
+    """Weights (the last is the bias) of a logistic regression, by Newton steps with a small penalty."""
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    w = np.zeros(x.shape[1])
+    penalty = np.append(np.full(x.shape[1] - 1, 1.0), 1e-6)
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (q * (1 - q))[:, None]).T @ x + np.diag(penalty), x.T @ (q - label) + penalty * w)
+        w -= step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
+
+
+def train(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int | None = None, batch: int = 256) -> Model | None:
+    """Fits tables, network and the weights of a document's best windows; None without labels of both kinds.
+
+    The evidence of a word in a document comes from the other half of the documents while the network
+    is trained, as it will for documents that it has not seen; the final tables hold that of all.
+    """
     label = np.array(labels, np.float32)
     if not len(label) or label.min() == label.max():
         return None
     rng = np.random.default_rng(seed)
     docs = [words_of(t) for t in texts]
-    model = Model(*_evidence(docs, label, rng), {})
-    size = 2 * WIDTH
-    init = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
-    p = {"w1": init(size, 3 * HIDDEN), "w2": init(size, 3 * HIDDEN), "b1": np.zeros(3 * HIDDEN, np.float32), "b2": np.zeros(3 * HIDDEN, np.float32), "u1": init(HIDDEN, 3 * HIDDEN), "u2": init(HIDDEN, 3 * HIDDEN), "a": init(2 * HIDDEN, HIDDEN), "v": init(HIDDEN, 1)[:, 0], "o": init(2 * HIDDEN, 1)[:, 0], "c": np.zeros(1, np.float32)}
-    model.p = p
     vocabulary = list({w for d in docs for w in d})
     index = {w: i + 1 for i, w in enumerate(vocabulary)}
-    table = np.concatenate([np.zeros((1, size), np.float32), model.vectors(vocabulary)])
+    units = _Units(vocabulary)
     coded = [np.array([index[w] for w in words], np.int32) for words in docs]
-    rows, owner = [], []
+    half = rng.permutation(len(docs)) % 2
+    every = np.arange(len(docs))
+    gram, starts = units.spans(np.arange(len(vocabulary)))
+    gram = units.gram[gram]
+
+    def of(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _evidence([coded[i] for i in own], label[own] > 0, units, max(SMOOTH_LEAST, SMOOTH * len(docs)))
+
+    def known(pair: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Evidence of the vocabulary's words and of their strongest grams, after padding."""
+        own = np.stack([pair[0][units.word], np.maximum.reduceat(pair[1][gram], starts) if len(vocabulary) else pair[0][units.word]], axis=1)
+        return np.concatenate([np.zeros((1, 2), np.float32), own])
+
+    other = np.stack([known(of(every[half == 1 - k])) for k in (0, 1)])  # by a document's half
+    words, grams = (rng.normal(0, 0.05, (n, WIDTH)).astype(np.float32) for n in (WORD_ROWS, GRAM_ROWS))
+    trained = _Trained(words, grams)
+    size = 2 * WIDTH
+    init = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s).astype(np.float32)
+    p = {"w1": init(size, 3 * HIDDEN), "w2": init(size, 3 * HIDDEN), "b1": np.zeros(3 * HIDDEN, np.float32), "b2": np.zeros(3 * HIDDEN, np.float32), "u1": init(HIDDEN, 3 * HIDDEN), "u2": init(HIDDEN, 3 * HIDDEN), "a": init(2 * HIDDEN, HIDDEN), "v": init(HIDDEN, 1)[:, 0], "o": init(2 * HIDDEN, 1)[:, 0], "c": np.zeros(1, np.float32)}
+    rows, owner, begin = [], [], []
     for i, own in enumerate(coded):
         padded = np.append(own, np.zeros(max(0, WINDOW - len(own)), np.int32))
-        starts = _windows(len(own))
-        rows.append(padded[starts[:, None] + np.arange(WINDOW)])
-        owner.append(np.full(len(starts), i))
-    rows, owner = np.concatenate(rows), np.concatenate(owner)
-    evidence = table[:, [0, WIDTH]].max(axis=1)[rows]
-    best = np.sort(evidence, axis=1)[:, -2:].sum(axis=1)
+        at = _windows(len(own))
+        rows.append(padded[at[:, None] + np.arange(WINDOW)])
+        owner.append(np.full(len(at), i))
+        begin.append(at)
+    rows, owner, begin = np.concatenate(rows), np.concatenate(owner), np.concatenate(begin)
+
+    def inputs(own: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """Word vectors (T, n, 2 * WIDTH) of windows, their words' places, and what the words are made of."""
+        here, place = np.unique(rows[own], return_inverse=True)
+        place = place.reshape(rows[own].shape)
+        real = here[here > 0] - 1
+        at, first = units.spans(real)
+        made = units.word[real], units.gram[at], first
+        x = np.zeros((len(here), size), np.float32)
+        if len(real):
+            x[len(here) - len(real) :] = _vectors(words, grams, *made)
+        x = x[place]
+        x[:, :, [0, WIDTH]] = other[half[owner[own]][:, None], rows[own]]
+        return np.ascontiguousarray(x.transpose(1, 0, 2)), place, made
+
+    def score_all() -> np.ndarray:
+        table = np.zeros((len(vocabulary) + 1, size), np.float32)
+        for a in range(0, len(vocabulary), 20_000):
+            real = np.arange(a, min(a + 20_000, len(vocabulary)))
+            at, first = units.spans(real)
+            table[1 + real] = _vectors(words, grams, units.word[real], units.gram[at], first)
+        out = np.empty(len(rows))
+        for k in (0, 1):
+            table[:, [0, WIDTH]] = other[k]
+            one, two = table @ p["w1"] + p["b1"], table @ p["w2"] + p["b2"]
+            mine = np.flatnonzero(half[owner] == k)
+            for a in range(0, len(mine), 8192):
+                out[mine[a : a + 8192]] = score_rows(p, None, rows[mine[a : a + 8192]], (one, two))
+        return out
+
+    best = other[half[owner][:, None], rows].max(axis=2)
+    best = np.sort(best, axis=1)[:, -3:].sum(axis=1)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
+    epochs = epochs or min(MOST_EPOCHS, max(EPOCHS, PASSES // len(docs)))
     for epoch in range(epochs):
         order = np.lexsort((-best, owner))
-        rank = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         per_doc = np.empty(len(order), np.int64)
-        per_doc[order] = rank
+        per_doc[order] = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
         toxic = label[owner] > 0
-        clean = np.flatnonzero(~toxic & (per_doc < 6))  # a clean document's hardest windows, and some others
-        more = np.flatnonzero(~toxic & (per_doc >= 6))
+        clean = np.flatnonzero(~toxic & (per_doc < 4))  # a clean document's hardest windows, and some others
+        more = np.flatnonzero(~toxic & (per_doc >= 4))
         some = rng.choice(more, min(len(more), len(clean)), replace=False)
-        hot = np.flatnonzero(toxic & (per_doc < 1))
-        hot = np.repeat(hot, 3)
+        hot = np.repeat(np.flatnonzero(toxic & (per_doc < 2)), 3)
         pick = rng.permutation(np.concatenate([hot, clean, some]))
         for a in range(0, len(pick), batch):
             own = pick[a : a + batch]
-            _, grads = _gradients(p, np.ascontiguousarray(table[rows[own]].transpose(1, 0, 2)), label[owner[own]])
+            x, place, made = inputs(own)
+            _, grads = _gradients(p, x, label[owner[own]])
+            g = grads.pop("x").transpose(1, 0, 2).reshape(-1, size)
+            n = int(place.max()) + 1
+            total = np.stack([np.bincount(place.ravel(), g[:, c], n) for c in range(size)], axis=1).astype(np.float32)
             step += 1
             rate = 0.01 * (1 - 0.8 * epoch / epochs)
+            if len(made[0]):
+                trained.descend(*made, total[n - len(made[0]) :], TABLE_RATE * rate)
             for k, g in grads.items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
                 p[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-        best = np.concatenate([score_rows(p, table, rows[a : a + 8192]) for a in range(0, len(rows), 8192)])
-    # the threshold that documents are judged by is 0.5: shift scores to balance both errors there
-    top = np.zeros(len(docs))
-    np.maximum.at(top, owner, best)
-    p["shift"] = np.array([_balance(top, label)], np.float32)
-    return model
+        best = score_all()
+    words[:, 0], grams[:, 0] = of(every)
+    words[PAD] = grams[PAD] = 0
+    x = _best_windows(_logit(best), owner, begin, len(docs))
+    p["top"] = _fit_top(x, label)
+    # documents are judged at 0.5: move the bias to where both errors balance
+    p["top"][-1] -= _balance(x @ p["top"][:-1] + p["top"][-1], label)
+    return Model(words, grams, p)
+
+
+def _logit(score: np.ndarray) -> np.ndarray:
+    score = np.clip(score.astype(float), 1e-7, 1 - 1e-7)
+    return np.log(score) - np.log(1 - score)
 
 
-def _balance(top: np.ndarray, label: np.ndarray) -> float:
-    logit = np.log(np.clip(top, 1e-7, 1 - 1e-7)) - np.log(1 - np.clip(top, 1e-7, 1 - 1e-7))
-    cuts = np.linspace(-8, 8, 161)
+def _balance(logit: np.ndarray, label: np.ndarray) -> float:
+    """The cut of best F1, the middle of all such."""
+    cuts = np.linspace(-6, 6, 121)
     f1 = [2 * ((logit >= c) & (label > 0)).sum() / max(1, (logit >= c).sum() + (label > 0).sum()) for c in cuts]
-    near = cuts[np.array(f1) >= max(f1) - 1e-9]
-    return float(near.mean())
+    return float(cuts[np.array(f1) >= max(f1) - 1e-9].mean())
 
 
 def score_rows(p: dict, table: np.ndarray, rows: np.ndarray, projected: tuple | None = None) -> np.ndarray:
@@ -331,7 +456,7 @@ class Scorer:
         if fresh:
             self._add(fresh)
         get = self.known.__getitem__
-        rows, owner = [], []
+        rows, owner, begin = [], [], []
         for i, d in enumerate(docs):
             own = np.fromiter(map(get, d), np.int64, len(d))
             if len(own) < WINDOW:
@@ -339,13 +464,12 @@ class Scorer:
             starts = _windows(len(d))
             rows.append(own[starts[:, None] + np.arange(WINDOW)])
             owner.append(np.full(len(starts), i))
+            begin.append(starts)
         rows, owner = np.concatenate(rows), np.concatenate(owner)
         p = self.model.p
         out = np.concatenate([_forward(p, (self.one[rows[a : a + 2048].T], self.two[rows[a : a + 2048].T]))[0] for a in range(0, len(rows), 2048)])
-        top = np.zeros(len(docs))
-        np.maximum.at(top, owner, out)
-        top = np.clip(top, 1e-7, 1 - 1e-7)
-        return _sigmoid(np.log(top) - np.log(1 - top) - float(p["shift"][0]))
+        x = _best_windows(_logit(out), owner, np.concatenate(begin), len(docs))
+        return _sigmoid(x @ p["top"][:-1] + p["top"][-1])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int = MODULUS, most_docs: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> tuple[list[bytes], list[int]]:
