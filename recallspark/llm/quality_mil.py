@@ -1,6 +1,7 @@
 """Quality by attention-based multiple-instance learning over passages, in numpy.
 
-A document is a bag of passages of 48 words. Every passage is encoded from its measures (classes of
+A document is a bag of passages of 48 words. Every passage is encoded from its words, as the mean of
+their rows in a hashed table that is trained with the rest, and from its measures (classes of
 characters, word lengths, words and three-word windows that recur in the passage or earlier in the
 document, line breaks); gated attention weights, learnt from document labels alone, say how much each
 passage counts, and the weighted sum of the encodings is scored.
@@ -27,6 +28,8 @@ from recallspark.llm.toxicity import labelled_sample
 from recallspark.plans.shipping import ensure_on_executors
 
 PASSAGE, ENCODED, ATTENTION = 48, 16, 12
+#: Rows and width of the word table.
+WORD_ROWS, WIDTH = 1 << 15, 8
 MOST_DOCS, MOST_BYTES, MODULUS = 6000, 12 << 20, 5
 SLICE_BYTES = 1 << 20
 
@@ -56,8 +59,9 @@ def _recurs(group: np.ndarray, key: np.ndarray) -> np.ndarray:
     return again
 
 
-def passages(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Measures of every passage (n, FEATURES) and the text that each belongs to."""
+def passages(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Measures of every passage (n, FEATURES), the text that each belongs to, each passage's number of
+    words, and all words' rows in the word table, passage by passage."""
     docs = len(offsets) - 1
     kind = _CLASS[flat]
     solid = kind > LINE
@@ -86,15 +90,16 @@ def passages(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     size = np.maximum(counts.sum(axis=1), 1)
     x[:, :CLASSES] = np.sqrt(counts / size[:, None])
     if not len(starts):
-        return x, owner
+        return x, owner, np.zeros(total, np.int64), np.zeros(0, np.int64)
     stops = np.flatnonzero(solid & np.append(~solid[1:], True))
     edge = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(flat))]
     edge = edge[solid[edge - 1] & solid[edge]] - 1  # words that a text's end cuts
     stops = np.union1d(stops, edge)
     length = stops - starts + 1
-    place = np.minimum(np.arange(len(flat)) - np.repeat(starts, np.diff(np.append(starts, len(flat)))) if starts[0] == 0 else np.arange(len(flat)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(flat)]]))), 63)
-    powers = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
-    value = (flat.astype(np.uint64) + np.uint64(1)) * powers[place] * solid
+    begun = np.append(0, starts)  # bytes before the first word count as after an empty one
+    place = np.arange(len(flat)) - np.repeat(begun, np.diff(np.append(begun, len(flat))))
+    powers = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64))
+    value = (flat.astype(np.uint64) + np.uint64(1)) * powers[np.minimum(place, len(powers) - 1)] * solid
     h = _mix(np.add.reduceat(value, starts) + length.astype(np.uint64))
     many = np.maximum(np.bincount(own, minlength=total), 1)
     mean = lambda v: np.bincount(own, v, total) / many
@@ -111,16 +116,27 @@ def passages(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     x[:, CLASSES + 5] = mean(_recurs(doc_of_word, three))
     x[:, CLASSES + 6] = np.minimum(many, PASSAGE) / PASSAGE
     x[:, CLASSES + 7] = np.log1p(n_words[owner]) / 10
-    return x, owner
+    lower = flat + np.uint8(32) * ((flat >= 65) & (flat <= 90))
+    folded = _mix(np.add.reduceat((lower.astype(np.uint64) + np.uint64(1)) * powers[np.minimum(place, len(powers) - 1)] * solid, starts))
+    return x, owner, np.bincount(own, minlength=total), (folded >> np.uint64(40)).astype(np.int64) % WORD_ROWS
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _forward(p: dict, x: np.ndarray, first: np.ndarray):
+def _word_means(table: np.ndarray, sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Mean row of every passage's words; zeros without words."""
+    out = np.zeros((len(sizes), table.shape[1]), table.dtype)
+    some = sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(table[rows], (np.cumsum(sizes) - sizes)[some]) / sizes[some, None]
+    return out
+
+
+def _forward(p: dict, x: np.ndarray, words: np.ndarray, first: np.ndarray):
     """Scores of bags whose passages begin at ``first``, with what the backward pass needs."""
-    x = (x - p["mean"]) / p["scale"]
+    x = np.concatenate([(x - p["mean"]) / p["scale"], words], axis=1)
     h = np.tanh(x @ p["w"] + p["b"])
     tan, gate = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
     energy = (tan * gate) @ p["a"]
@@ -132,8 +148,9 @@ def _forward(p: dict, x: np.ndarray, first: np.ndarray):
     return _sigmoid(bag @ p["o"] + p["c"]), (x, h, tan, gate, weight, bag, n)
 
 
-def _gradients(p: dict, x: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict:
-    score, (x, h, tan, gate, weight, bag, n) = _forward(p, x, first)
+def _gradients(p: dict, x: np.ndarray, words: np.ndarray, first: np.ndarray, label: np.ndarray) -> dict:
+    """Gradients of the mean log loss, those of the passages' word means among them."""
+    score, (x, h, tan, gate, weight, bag, n) = _forward(p, x, words, first)
     g = (score - label) / len(label)
     out = {"o": bag.T @ g, "c": g.sum(keepdims=True)}
     g_bag = np.repeat(g[:, None] * p["o"], n, axis=0)
@@ -145,6 +162,7 @@ def _gradients(p: dict, x: np.ndarray, first: np.ndarray, label: np.ndarray) ->
     out["v"], out["u"] = h.T @ g_tan, h.T @ g_gate
     g_h = (weight[:, None] * g_bag + g_tan @ p["v"].T + g_gate @ p["u"].T) * (1 - h**2)
     out["w"], out["b"] = x.T @ g_h, g_h.sum(axis=0)
+    out["words"] = g_h @ p["w"][FEATURES:].T
     return out
 
 
@@ -154,37 +172,46 @@ def train(texts: list[bytes], labels: list[int], seed: int = 11, epochs: int = 2
     if not len(label) or label.min() == label.max():
         return None
     rng = np.random.default_rng(seed)
-    bags: list[np.ndarray] = []
+    bags: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     for a in range(0, len(texts), 200):
         part = texts[a : a + 200]
         offsets = np.append(0, np.cumsum([len(t) for t in part])).astype(np.int64)
-        x, owner = passages(np.frombuffer(b"".join(part), np.uint8), offsets)
-        bags += np.split(x, np.flatnonzero(np.diff(owner)) + 1)
-    everything = np.concatenate(bags)
+        x, owner, sizes, rows = passages(np.frombuffer(b"".join(part), np.uint8), offsets)
+        cuts = np.flatnonzero(np.diff(owner)) + 1
+        bags += zip(np.split(x, cuts), np.split(sizes, cuts), np.split(rows, np.cumsum(sizes)[cuts - 1]))
+    everything = np.concatenate([b[0] for b in bags])
     init = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
-    p = {"w": init(FEATURES, ENCODED), "b": np.zeros(ENCODED), "v": init(ENCODED, ATTENTION), "u": init(ENCODED, ATTENTION), "a": init(ATTENTION, 1)[:, 0], "o": init(ENCODED, 1)[:, 0], "c": np.zeros(1)}
+    p = {"w": init(FEATURES + WIDTH, ENCODED), "b": np.zeros(ENCODED), "v": init(ENCODED, ATTENTION), "u": init(ENCODED, ATTENTION), "a": init(ATTENTION, 1)[:, 0], "o": init(ENCODED, 1)[:, 0], "c": np.zeros(1)}
+    table, squares = rng.normal(0, 0.1, (WORD_ROWS, WIDTH)), np.full((WORD_ROWS, WIDTH), 1e-4)
     fixed = {"mean": everything.mean(axis=0), "scale": everything.std(axis=0) + 1e-3}
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
     for epoch in range(epochs):
         order = rng.permutation(len(bags))
         for a in range(0, len(order), batch):
-            own = order[a : a + batch]
-            n = np.array([len(bags[i]) for i in own])
-            grads = _gradients(p | fixed, np.concatenate([bags[i] for i in own]), np.cumsum(n) - n, label[own])
+            own = [bags[i] for i in order[a : a + batch]]
+            n = np.array([len(b[0]) for b in own])
+            sizes, rows = np.concatenate([b[1] for b in own]), np.concatenate([b[2] for b in own])
+            grads = _gradients(p | fixed, np.concatenate([b[0] for b in own]), _word_means(table, sizes, rows), np.cumsum(n) - n, label[order[a : a + batch]])
             step += 1
+            rate = 0.01 * (1 - 0.9 * epoch / epochs)
+            of_words = np.repeat(grads.pop("words") / np.maximum(sizes, 1)[:, None], sizes, axis=0)
+            here, at = np.unique(rows, return_inverse=True)
+            total = np.stack([np.bincount(at, of_words[:, c], len(here)) for c in range(WIDTH)], axis=1)
+            squares[here] += total * total
+            table[here] -= rate * total / np.sqrt(squares[here])
             for k, g in grads.items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                p[k] -= 0.01 * (1 - 0.9 * epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return {k: v.astype(np.float32) for k, v in (p | fixed).items()}
+                p[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    return {k: v.astype(np.float32) for k, v in (p | fixed | {"table": table}).items()}
 
 
 def score_slice(model: dict, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    x, owner = passages(flat, offsets)
+    x, owner, sizes, rows = passages(flat, offsets)
     first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-    return _forward(model, x, first)[0].astype(float)
+    return _forward(model, x, _word_means(model["table"], sizes, rows), first)[0].astype(float)
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = MODULUS) -> DataFrame:
@@ -196,7 +223,7 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus:
 def apply_quality(docs: DataFrame, model: dict | None, threshold: float = 0.3, modulus: int = MODULUS) -> DataFrame:
     spark = docs.sparkSession
     ensure_on_executors(spark)
-    shared = spark.sparkContext.broadcast(model)  # a few kilobytes
+    shared = spark.sparkContext.broadcast(model)  # a megabyte, by the table's parameters
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in small_slices(batches, "text", SLICE_BYTES):
