@@ -13,12 +13,14 @@ bisecting planes costs no more than the bound. Pairs found are confirmed by cosi
 precision, and counted in the first table in which their difference is within the bound, so each
 link counts once without any table of pairs.
 
-Equal vectors of a label form one class with a weight. Cells with many vectors are compared in
+Labels keep apart by two hashes of 64 bits, one in a cell's name and one in its rows. Equal vectors of
+a label form one class with a weight. Cells with many vectors are compared in
 blocks, so that no task holds a whole cell.
 
 Defined results: rows with a null label, or whose vector is null, empty, zero or holds null or
-non-finite components, link with nothing; vectors of different length don't link; rows with equal
-vec_id and vector count as separate rows of one node; further columns are ignored; an empty table
+non-finite components, link with nothing; so do rows without vec_id, whose component_id is null and
+which are kept; vectors of different length don't link; rows with equal vec_id and vector count as
+separate rows of one node, and those with different vectors as one node that has the links of both; further columns are ignored; an empty table
 gives an empty table.
 """
 
@@ -149,8 +151,11 @@ def cells(unit: np.ndarray, salt: np.ndarray, cosine: float, scale: float, block
     return out
 
 
-def _matrix(col: pa.Array) -> np.ndarray:
-    x = np.array(col.to_pylist(), float)
+def _matrix(col: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Unit vectors of a list column whose rows have one length and no nulls."""
+    x = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    x = x.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square is lost
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -199,9 +204,11 @@ def _compare(cosine: float, blocks: int):
             ids = cell.column("id").to_numpy()
             if not len(m) or not len(q) or (len(m) == 1 and len(q) == 1 and ids[m[0]] == ids[q[0]]):
                 continue
-            x = _matrix(cell.column("v").combine_chunks())
+            x = _matrix(cell.column("v"))
             hit = x[q] @ x[m].T >= cosine
             hit &= ids[q][:, None] != ids[m][None, :]
+            kind = cell.column("kind").to_numpy()
+            hit &= kind[q][:, None] == kind[m][None, :]
             a, b = np.nonzero(hit)
             if not len(a):
                 continue
@@ -238,7 +245,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, scale: float = SCALE,
     # every decoding of a link must stay among lattice differences of squared length 4 at most
     if scale * (2 - 2 * cosine) ** 0.5 > 0.89:
         raise ValueError("the scale is too large for links this far apart")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("v"), F.col(label_col).alias("label"))
+    vector = F.col(vector_col)
+    if dict(vectors.dtypes).get(vector_col) != "array<float>":
+        vector = vector.cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), vector.alias("v"), F.col(label_col).alias("label"))
     finite = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     good = rows.where(F.coalesce(finite, F.lit(False)) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     classes = scratch.save(good.groupBy("label", "v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("weight")))
@@ -254,7 +264,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, scale: float = SCALE,
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     members = keys.where("stored").select("key", "table", "id").join(asked, "key").select("key", "table", "id", one("mbs").alias("mb"), every("qbs").alias("qb"), F.lit(True).alias("stored"))
     queries = looking.select("key", "table", "id").join(asked, "key").select("key", "table", "id", every("mbs").alias("mb"), one("qbs").alias("qb"), F.lit(False).alias("stored"))
-    filled_cells = members.unionByName(queries).join(classes.select("id", "v", "weight"), "id")
+    filled_cells = members.unionByName(queries).join(classes.select("id", "v", "weight", F.xxhash64(F.lit("kind"), "label").alias("kind")), "id")
     dealt = filled_cells.repartition("key", "mb", "qb").sortWithinPartitions("key", "mb", "qb")
     found = scratch.save(dealt.mapInArrow(_compare(cosine, blocks), "id long, n long, other long, is_count boolean"))
     scratch.release_shuffles()
