@@ -3,16 +3,21 @@
 Whole sequences are cut off the front of each document first; only the rest, shorter than a sequence,
 is packed. The histogram of rest lengths has as many bins as a sequence has tokens, so the plan is
 made on the driver in bounded memory: lengths are placed longest first, and all documents of a length
-move together by counts. Documents then find their pattern by their rank among the rests of equal length; ranks
-are counted in salted groups with offsets, so no length lands in one task.
+move together by counts. Documents then find their pattern by their rank among the rests of equal
+length; ranks are counted in salted groups with offsets, so no length lands in one task. There are more
+groups as rows grow, those of whole sequences without bound, those of rests up to ``MOST_SALTS``.
+
+A sequence that its pieces fill exactly to a power of two needs no padding, all others are padded to
+the full length; pieces say where they lie, and nothing here depends on the padding.
 
 Defined results: null text counts as empty, so it is the end id alone; a document of n tokens gives
 ceil(n / length) pieces that cover it without gaps; repeated ids are packed as separate documents
-when their rows differ only in place; an empty table gives no rows; further columns are ignored.
+when their rows differ only in place; null ids are packed like others and stay null; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -27,6 +32,8 @@ from recallspark.plans.scratch import Scratch
 from recallspark.plans.shipping import ensure_on_executors
 
 SEQUENCE, END_ID, SALTS = 2048, 1, 64
+#: Groups of the rests of a length at most, and rows to a group between.
+MOST_SALTS, GROUP_ROWS = 1024, 500_000
 
 
 def shortest_pack_first(histogram: dict[int, int], size: int = SEQUENCE) -> list[tuple[int, tuple[int, ...]]]:
@@ -94,12 +101,15 @@ def _slots(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.nd
     return {x: tuple(np.array(v, np.int64) for v in zip(*rows)) for x, rows in slots.items()}
 
 
-def pack(piece_rows: DataFrame, size: int = SEQUENCE, salts: int = SALTS) -> DataFrame:
+def pack(piece_rows: DataFrame, size: int = SEQUENCE, salts: int = SALTS, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Adds sequence_id and offset to pieces; a piece of ``size`` tokens is a sequence by itself."""
     spark = piece_rows.sparkSession
     scratch = Scratch.of(spark)
-    rows = scratch.save(piece_rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(salts)).cast("int")))
-    counts = rows.groupBy("length", "salt").count().collect()  # at most size * salts rows
+    saved = scratch.save(piece_rows)
+    groups = max(salts, math.ceil(saved.count() / group_rows))
+    several = F.when(F.col("length") == size, groups).otherwise(min(groups, max(salts, MOST_SALTS)))
+    rows = saved.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), several).cast("int"))
+    counts = rows.groupBy("length", "salt").count().collect()  # at most size * MOST_SALTS rows, and one for each group of whole sequences
     histogram: dict[int, int] = {}
     for r in counts:
         histogram[r["length"]] = histogram.get(r["length"], 0) + r["count"]
