@@ -5,11 +5,13 @@ cut there is certain. Each pretoken is cut at all such pairs, the fragments are
 independently, and their ids are concatenated. Pretokens recur, so each worker keeps a bounded table
 of those already encoded; the table changes cost only, never results.
 
-Special tokens that the vocabulary file lists are matched in texts first, as the library does.
+Fragments are merged in the order of the vocabulary's ids. That is the order of its merges only where
+each merge makes the next larger id, so a vocabulary for which this or another assumption fails is
+refused. Special tokens that the vocabulary file lists are matched in texts first, as the library does.
 Decoding looks up every id's bytes and reads the concatenation as UTF-8 with replacement.
 
 Defined results: null text counts as empty and has no ids; texts of any length are taken whole;
-repeated rows give repeated results; further columns are ignored; an empty table gives an empty one.
+null ids stay null; repeated rows give repeated results; further columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -39,6 +41,23 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def _check(spec: dict, ranks: dict[bytes, int], chars: dict[str, int]) -> None:
+    """Raises where merging by ids, or matching special tokens as they are, would differ from the file."""
+    model, last = spec["model"], -1
+    for merge in model["merges"]:
+        left, right = merge.split(" ") if isinstance(merge, str) else merge
+        made = ranks.get(bytes(chars[c] for c in left + right), -1)
+        if made <= last:
+            raise ValueError(f"merge {left!r} {right!r} doesn't make the next larger id")
+        last = made
+    if any(bytes([b]) not in ranks for b in range(256)):
+        raise ValueError("the vocabulary lacks single bytes")
+    if model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        raise ValueError("the model's options change how pairs are merged")
+    if any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") or t.get("normalized") for t in spec["added_tokens"]):
+        raise ValueError("special tokens are to be matched as they are")
+
+
 class ForcedBoundaryBpe:
     """Encoder and decoder of one vocabulary file in the tokenizers library's JSON format."""
 
@@ -52,6 +71,7 @@ class ForcedBoundaryBpe:
         chars = _byte_of_char()
         ranks = {bytes(chars[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        _check(spec, ranks, chars)
         for token in special:
             ranks.pop(token.encode(), None)
         self.bytes_of = [b""] * (max([*ranks.values(), *special.values()]) + 1)
@@ -68,6 +88,7 @@ class ForcedBoundaryBpe:
         self.pretokens = regex.compile(public_tokenizers.PATTERN).findall
         self.special = {k: np.array([v], "<u4").tobytes() for k, v in special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")").split if special else None
+        self.starts = {k[0] for k in special}
         self.known: dict[str, bytes] = {}
 
     def fragments(self, piece: bytes) -> list[bytes]:
@@ -94,7 +115,7 @@ class ForcedBoundaryBpe:
     def encode_packed(self, text: str) -> bytes:
         """The text's ids as little-endian unsigned 32-bit integers."""
         get, make = self.known.get, self._encode_pretoken
-        if self.split_special and "<" in text:
+        if self.split_special and any(c in text for c in self.starts):
             out = []
             for part in self.split_special(text):
                 if part in self.special:
