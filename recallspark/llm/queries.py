@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recallspark.llm import bpe, context_tree, lattice, minhash, packing, quality_mil, quality_rules, suffix_dedup, toxicity, url_filter
+from recallspark.llm import bpe, context_tree, fill_middle, lattice, minhash, packing, quality_mil, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_lattice": lattice.op1_lattice,
@@ -15,9 +15,11 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_bpe": bpe.op9_bpe,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op12_fill_middle": fill_middle.op12_fill_middle,
 }
 
 ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op12_fill_middle": fill_middle.ORACLE_SQL,
 }
