@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from recallspark.llm import bpe, context_tree, fill_middle, lattice, minhash, packing, positional_index, quality_mil, quality_rules, suffix_dedup, toxicity, url_filter
+from recallspark.llm import bpe, context_tree, conversation_repair, fill_middle, lattice, minhash, packing, positional_index, quality_mil, quality_rules, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_lattice": lattice.op1_lattice,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_bpe": bpe.op9_bpe,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
     "op12_fill_middle": fill_middle.op12_fill_middle,
     "op13_decontamination": positional_index.op13_decontamination,
 }
@@ -22,6 +23,7 @@ QUERIES = {
 ORACLES = {
     "op4_quality_rules": quality_rules.ORACLE_SQL,
     "op10_url_filter": url_filter.ORACLE_SQL,
+    "op11_conversation_repair": conversation_repair.ORACLE_SQL,
     "op12_fill_middle": fill_middle.ORACLE_SQL,
     "op13_decontamination": positional_index.ORACLE_SQL,
 }
