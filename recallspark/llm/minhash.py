@@ -44,8 +44,6 @@ SAMPLES = BANDS * ROWS
 MOST_ROUNDS, PAIRS_A_ROW, BLOCK = 8, 500, 512
 WORDS_KNOWN = 300_000
 SLICE_BYTES = 2 << 20
-#: Stands for a missing id, after all others.
-NULL_ID = (1 << 63) - 1
 
 _rng = np.random.default_rng(20240229)
 _A = (_rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -271,7 +269,7 @@ def _exhaustive(members: DataFrame, text: DataFrame, words: int, threshold: floa
 
 def _same_id(f: DataFrame, classes: DataFrame) -> DataFrame:
     """Links (a, b) between the nodes of rows that repeat an id with different sets."""
-    own = f.where(f"cls is not null and doc_id <> {NULL_ID}")
+    own = f.where("cls is not null and doc_id is not null")
     several = own.groupBy("doc_id").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo <> hi").select("doc_id")
     nodes = own.join(several, "doc_id", "left_semi").join(classes, "cls").select("doc_id", "node").distinct()
     least = nodes.groupBy("doc_id").agg(F.min("node").alias("a"))
@@ -282,14 +280,15 @@ def groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str
     """doc_id, tag, n_shingles, node (null without shingles, equal in a component) and component_id of every row."""
     spark = docs.sparkSession
     scratch = Scratch.of(spark)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
     f = scratch.save(features(source, words))
     found_classes = f.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("low"))
     # a class is named by its smallest id, where that has no other text, else by a hash
-    same = Window.partitionBy(F.when(F.col("low") < NULL_ID, F.col("low")).otherwise(F.xxhash64("cls"))).orderBy("cls")
-    name = F.when((F.row_number().over(same) == 1) & (F.col("low") < NULL_ID), F.col("low")).otherwise(-F.abs(F.xxhash64("cls")))
+    same = Window.partitionBy("low", F.when(F.col("low").isNull(), F.xxhash64("cls"))).orderBy("cls")
+    name = F.when((F.row_number().over(same) == 1) & F.col("low").isNotNull(), F.col("low")).otherwise(-F.abs(F.xxhash64("cls")))
     classes = scratch.save(found_classes.select("cls", "low", name.alias("node")))
-    reps = f.join(classes.select(F.col("low").alias("doc_id"), "cls", "node"), ["doc_id", "cls"]).dropDuplicates(["doc_id", "cls"])
+    named = classes.select(F.col("low").alias("_low"), F.col("cls").alias("_cls"), "node")
+    reps = f.join(named, (f["cls"] == F.col("_cls")) & f["doc_id"].eqNullSafe(F.col("_low"))).dropDuplicates(["doc_id", "cls"])
     reps = scratch.save(reps.select("node", "doc_id", "tag", "n_shingles", "bands", "sketch"))
 
     exploded = reps.select(F.explode("bands").alias("key"), F.col("node").alias("rep"))
@@ -298,7 +297,8 @@ def groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str
     active = reps.join(members.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
     active = scratch.save(active.select(F.col("node").alias("rep"), "doc_id", "tag", F.col("n_shingles").alias("n"), "sketch", "bands"))
     scratch.drop(reps)
-    reps_text = source.join(active.select("doc_id", "tag", "rep"), ["doc_id", "tag"]).dropDuplicates(["doc_id", "tag"])
+    wanted = active.select(F.col("doc_id").alias("_doc_id"), F.col("tag").alias("_tag"), "rep")
+    reps_text = source.join(wanted, (F.col("tag") == F.col("_tag")) & F.col("doc_id").eqNullSafe(F.col("_doc_id"))).dropDuplicates(["rep"])
     text = scratch.save(reps_text.select(F.col("rep").alias("doc_id"), "text"))
     scratch.release_shuffles()
 
@@ -353,9 +353,7 @@ def groups(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str
         lows = labels.join(classes.select(F.col("node").alias("id"), "low"), "id").groupBy("component").agg(F.min("low").alias("least"))
         by_node = labels.join(lows, "component").select(F.col("id").alias("node"), "component", "least")
         out = out.join(by_node, "node", "left").withColumn("low", F.coalesce("least", "low")).withColumn("node", F.coalesce("component", "node"))
-    missing = F.lit(NULL_ID)
-    component = F.coalesce("low", "doc_id")
-    return out.select(F.nullif("doc_id", missing).alias("doc_id"), "tag", "n_shingles", "node", F.nullif(component, missing).alias("component_id"))
+    return out.select("doc_id", "tag", "n_shingles", "node", F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -45,7 +45,7 @@ SLICE_BYTES, PART_BYTES, SHARD_BYTES = 1 << 19, 1 << 21, 1 << 20
 SPLITS = ((40_000, 7), (4_000, 3))
 #: Text bytes of a block of documents that is cut in one task.
 BLOCK_BYTES = 6 << 20
-NULL_ID = -(1 << 63)
+LEAST_ID = -(1 << 63)
 
 _BASE = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 
@@ -344,9 +344,14 @@ def _sort_shards(length: int):
     return run
 
 
-def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tag and text of every row; the tag tells apart different texts of one id."""
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64(text_col).alias("tag"), F.col(text_col).alias("text"))
+def _identified(docs: DataFrame, row: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, tag, text and ``row`` of every row; the tag tells apart different texts of one id.
+
+    Rows without id stand at the least id, before rows that have it: by the sign of their tags.
+    """
+    doc_id, tag, least = F.col(id_col).cast("long"), F.xxhash64(text_col), F.lit(LEAST_ID)
+    signed = F.when(doc_id.isNull(), tag.bitwiseOR(least)).when(doc_id == least, tag.bitwiseAND(~LEAST_ID)).otherwise(tag)
+    return docs.select(F.coalesce(doc_id, least).alias("doc_id"), signed.alias("tag"), F.col(text_col).alias("text"), row.alias("row"))
 
 
 def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -408,16 +413,14 @@ def _cleaned(source: DataFrame, length: int, gram: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and clean_text of every row."""
-    source = _identified(docs, id_col, text_col).withColumn("row", F.lit(True))
-    return _cleaned(source, length, gram).drop("row").withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NULL_ID)))
+    source = _identified(docs, F.col(id_col).cast("long"), id_col, text_col)
+    return _cleaned(source, length, gram).withColumn("doc_id", F.col("row")).drop("row")
 
 
 def clean_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """The documents (doc_id, text and any other columns) with repeats cut out of their texts."""
     others = [c for c in docs.columns if c != "text"]
-    row = F.struct(*[F.col(c) for c in others]).alias("row")
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.xxhash64("text").alias("tag"), "text", row)
-    out = _cleaned(source, length, gram)
+    out = _cleaned(_identified(docs, F.struct(*[F.col(c) for c in others])), length, gram)
     return out.select(*[F.col("clean_text").alias("text") if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
 

@@ -139,6 +139,17 @@ def test_near_duplicates(spark, rows, none, block, pairs, monkeypatch):
     assert minhash.near_duplicates(none).count() == 0
 
 
+def test_ids_at_both_ends(spark):
+    one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    least, most = -(1 << 63), (1 << 63) - 1
+    docs = spark.createDataFrame([(most, one), (5, one), (6, two), (None, one), (None, "p q"), (most, "r s"), (least, "t u")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs).collect()}
+    assert got == {(most, 56, 5, False), (5, 56, 5, True), (6, 56, 6, True), (None, 56, 5, False), (None, 1, None, True), (most, 1, 5, False), (least, 1, least, True)}
+    docs = spark.createDataFrame([(least, one), (None, one), (least, two), (most, two), (None, two)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_removed > 0, len(r.clean_text)) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == sorted([(str(least), True, 0), (str(least), True, 0), (str(most), True, 0), ("None", False, len(one)), ("None", False, len(two))])
+
+
 def test_near_duplicates_of_missing_and_repeated_ids(spark):
     one, two = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
     rows = [(7, one), (7, two), (9, two), (3, one), (None, one), (None, "c d e f g h"), (None, "c d e f g h"), (5, None), (6, " ")]
@@ -283,12 +294,13 @@ def test_quality_rules(docs, rows, none):
 def test_urls(spark):
     urls = ["http://a.example.com/en/7x", "http://a.example.com/en/8", "HTTP://X.NET/de/8?q", "https://example.net/de/81#a", "http://notcom/en/", None, "no scheme", "http://www.spam-farm.example.org/fr/5/", "http://spam-farm.example.org/fr/5000", "http://COM/en/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
-    for limit in (100_000, 10):
+    listed = url_filter.farm_list(spark.createDataFrame([(5, "fr"), (5000, "de"), (6, None), (None, "fr"), (5, "fr")], "doc_id long, lang string"))
+    for limit in (0, 3, 100_000):  # salted, broadcast of confirmed hits, broadcast of the list
         url_filter.BROADCAST_ENTRIES = limit
-        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages, url_filter.farm_list(spark)).collect()}
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.url_filter(pages, listed).collect()}
         assert got == {0: ("example.com/en/7", "allow"), 1: ("com/en/", "block"), 2: ("net/de/", "block"), 3: ("example.net/de/8", "block"), 4: (None, "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "block"), 8: (None, "allow"), 9: ("com/en/", "block")}
     url_filter.BROADCAST_ENTRIES = 100_000
-    assert url_filter.url_filter(pages.limit(0), url_filter.farm_list(spark)).count() == 0
+    assert url_filter.url_filter(pages.limit(0), listed).count() == 0
 
 
 def test_vectors(spark):
