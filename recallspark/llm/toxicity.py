@@ -301,7 +301,7 @@ def train(texts: list[bytes], labels: list[int], seed: int = 7, epochs: int | No
         return None
     rng = np.random.default_rng(seed)
     docs = [words_of(t) for t in texts]
-    vocabulary = list({w for d in docs for w in d})
+    vocabulary = sorted({w for d in docs for w in d})  # sums must not depend on the order of a set
     index = {w: i + 1 for i, w in enumerate(vocabulary)}
     units = _Units(vocabulary)
     coded = [np.array([index[w] for w in words], np.int32) for words in docs]
@@ -448,11 +448,11 @@ class Scorer:
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         docs = [words_of(t) for t in texts]
-        fresh = {w for d in docs for w in d}
-        fresh = [w for w in fresh if w not in self.known]
+        own = sorted({w for d in docs for w in d})
+        fresh = [w for w in own if w not in self.known]
         if self.size + len(fresh) > WORDS_KNOWN:
             self._clear()
-            fresh = list({w for d in docs for w in d})
+            fresh = own
         if fresh:
             self._add(fresh)
         get = self.known.__getitem__
@@ -475,21 +475,24 @@ class Scorer:
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: int = MODULUS, most_docs: int = MOST_DOCS, most_bytes: int = MOST_BYTES) -> tuple[list[bytes], list[int]]:
     """Texts and labels of training documents, at most so many and so many bytes, in hash order.
 
-    Texts that don't fit into the bytes left are passed over.
+    Texts that don't fit into the bytes left are passed over. Lengths are gathered first, so no task and
+    not the driver ever holds more text than the bound.
     """
     y = labels.where(F.col(target).isNotNull() & ~held_out("doc_id", modulus)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).alias("y"))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)  # so few that every task can hold them
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    picked = own.join(F.broadcast(y), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").select("text", "y").limit(most_docs)
-    texts, out, size = [], [], 0
-    for row in picked.toLocalIterator():
-        text = row["text"].encode()
-        if size + len(text) > most_bytes:  # a long text doesn't end the sample
-            continue
-        size += len(text)
-        texts.append(text)
-        out.append(int(row["y"]))
-    return texts, out
+    sizes = own.join(F.broadcast(y), "doc_id").select("doc_id", "y", F.xxhash64("text").alias("tag"), F.octet_length("text").alias("n"))
+    picked, size = [], 0
+    for row in sizes.where(F.col("n") <= most_bytes).orderBy(F.xxhash64("doc_id"), "doc_id", "tag").limit(most_docs).collect():
+        if size + row["n"] <= most_bytes:  # a long text doesn't end the sample
+            size += row["n"]
+            picked.append((len(picked), row["doc_id"], row["tag"], int(row["y"])))
+    if not picked:
+        return [], []
+    chosen = docs.sparkSession.createDataFrame(picked, "place long, doc_id long, tag long, y int")
+    texts = own.withColumn("tag", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "tag"]).dropDuplicates(["place"])
+    rows = texts.orderBy("place").select("text", "y").collect()
+    return [r["text"].encode() for r in rows], [r["y"] for r in rows]
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, modulus: int = MODULUS) -> DataFrame:

@@ -1,5 +1,10 @@
 """The two classifiers: gradients by differences, a slow forward pass, and what edge cases give."""
 
+import os
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 
@@ -136,3 +141,17 @@ def test_classifiers_on_edges(spark, column):
     none = T.toxicity(docs, labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5} and T.toxicity(docs.limit(0), labels).count() == 0
     assert Q.quality(docs.limit(0), labels).count() == 0
+
+
+def test_scores_do_not_depend_on_the_order_of_sets():
+    code = """
+import numpy as np
+from recallspark.llm import toxicity
+rng = np.random.default_rng(4)
+docs = [b" ".join(rng.choice([b"w%d" % k for k in range(300)], 40)) for _ in range(60)]
+docs = [d + b" idiot" * (i % 2) for i, d in enumerate(docs)]
+model = toxicity.train(docs, [i % 2 for i in range(60)])
+print(toxicity.Scorer(model)(docs).tolist())
+"""
+    seen = {subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONHASHSEED": seed, "PYTHONPATH": str(Path(__file__).resolve().parents[2])}, capture_output=True, text=True, check=True).stdout for seed in "12"}
+    assert len(seen) == 1
