@@ -24,7 +24,8 @@ def tokens(text: Column) -> Column:
 
     Letters beyond U+2000 that are composed with marks stay as they are.
     """
-    plain = F.regexp_replace(F.translate(text, _MARKED, _BASE), r"\p{M}+", "")
+    marked = F.regexp_replace(F.translate(text, _MARKED, _BASE), r"\p{M}+", "")
+    plain = F.when(F.octet_length(text) == F.length(text), text).otherwise(marked)  # ASCII has no marks
     return F.filter(F.split(F.lower(plain), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 

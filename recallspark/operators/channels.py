@@ -15,8 +15,8 @@ def channel(rows: DataFrame, terms: list[str], prefix: bool = False, key: str =
 
     A key counts by its best row.
     """
-    c = count_terms(rows, terms, "text", prefix=prefix, key=key)
-    scored = c.hits.select("id", c.bm25(1.0).alias("bm25"), c.matched.alias("matched"))
+    c = count_terms(rows, terms, {"text": 1.0}, prefix=prefix, key=key)
+    scored = c.hits.select("id", c.bm25.alias("bm25"), c.matched.alias("matched"))
     if c.most == c.terms:
         scored = scored.where(F.col("matched") == c.terms)
     best = F.max(F.struct("matched", "bm25")).alias("b")

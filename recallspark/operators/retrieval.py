@@ -13,92 +13,131 @@ from recallspark.functions import scoring
 from recallspark.functions.text import tokens
 from recallspark.plans.scratch import Scratch
 
-K1, B, CONTENT_WEIGHT = 1.2, 0.75, 10.0
+K1, B, CONTENT_WEIGHT, TAG_WEIGHT = 1.2, 0.75, 10.0, 5.0
+#: Rows of a scope that a list ranks, and candidates of an unscoped list for each result, at least.
+SCOPED_WINDOW, OVER_FETCH, LEAST_FETCH = 2000, 5, 50
+#: BM25 for each term below which a list is ranked by coverage.
+LEAST_BM25 = 1e-3
 #: Query vectors compared in one pass over the table.
 QUERY_BLOCK = 1024
 
 
+def over_fetch(k: int) -> int:
+    return max(OVER_FETCH * k, LEAST_FETCH)
+
+
 @dataclass
 class Counted:
-    """Rows that hold any of the terms (id, dl, tf0...), written once, and the scope's statistics."""
+    """Rows that hold any of the terms (id, dl, tf0_0, ... by term and field), and the scope's statistics."""
 
     hits: DataFrame
     terms: int
+    weights: tuple[float, ...]
     rows: int
     mean: float
     df: list[int]
     most: int
 
+    def holds(self, term: int) -> Column:
+        return F.greatest(*[F.col(f"tf{term}_{j}") for j in range(len(self.weights))], F.lit(0.0)) > 0
+
     @property
     def matched(self) -> Column:
-        return sum(((F.col(f"tf{i}") > 0).cast("int") for i in range(self.terms)), F.lit(0))
+        return sum((self.holds(i).cast("int") for i in range(self.terms)), F.lit(0))
+
+    def term_bm25(self, term: int) -> Column:
+        """Lengths are characters; a field's weight multiplies its counts before saturation."""
+        norm = K1 * (1 - B + B * F.col("dl") / F.lit(self.mean or 1.0))
+        idf = scoring.scoped_idf(F.lit(float(self.rows)), F.lit(float(self.df[term])))
+        tf = [w * F.col(f"tf{term}_{j}") for j, w in enumerate(self.weights)]
+        return idf * sum((x * (K1 + 1) / (x + norm) for x in tf), F.lit(0.0))
+
+    @property
+    def bm25(self) -> Column:
+        return sum((self.term_bm25(i) for i in range(self.terms)), F.lit(0.0))
 
-    def bm25(self, weight: float) -> Column:
-        """Lengths are characters; the column's weight multiplies counts before saturation."""
-        score: Column = F.lit(0.0)
-        for i in range(self.terms):
-            tf = weight * F.col(f"tf{i}")
-            idf = scoring.scoped_idf(F.lit(float(self.rows)), F.lit(float(self.df[i])))
-            score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(self.mean or 1.0)))
-        return score
 
+def count_names(terms: int, fields: int) -> list[str]:
+    return [f"tf{i}_{j}" for i in range(terms) for j in range(fields)]
 
-def count_terms(rows: DataFrame, terms: list[str], content: str = "content", prefix: bool = False, phrase: bool = False, key: str = "id") -> Counted:
+
+def counted(hits: DataFrame, terms: int, weights: tuple[float, ...], rows: int, mean: float | None, by_key: DataFrame | None = None) -> Counted:
+    """Document frequencies of written hits, in one aggregation."""
+    c = Counted(hits, terms, weights, rows, float(mean or 0), [], 0)
+    each = (hits if by_key is None else by_key).agg(*[F.count_if(c.holds(i)) for i in range(terms)], F.max(c.matched)).first()
+    c.df, c.most = [int(x) for x in each[:terms]], int(each[terms] or 0)
+    return c
+
+
+def count_terms(rows: DataFrame, terms: list[str], fields: dict[str, float] | None = None, prefix: bool = False, phrase: bool = False, key: str = "id") -> Counted:
     """Counts terms in one pass over the texts; the scope is what the caller passes.
 
-    Only rows with hits are written, and a second pass, over lengths alone, counts the scope. With
-    ``phrase`` the terms count once, where they follow each other. Document frequencies count keys.
+    ``fields``: weights of text columns. Only rows with hits are written, and a second pass, over lengths
+    alone, counts the scope. With ``phrase`` the terms count once, where they follow each other in a field.
+    Document frequencies count keys.
     """
-    words = tokens(F.col(content))
-
-    def count_of(term: str) -> Column:
-        return F.size(F.filter("t", lambda t: t.startswith(term) if prefix else t == term)).cast("double")
-
-    if phrase:
-        joined = F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" "))
-        counts = [joined.contains(" " + " ".join(terms) + " ").cast("double").alias("tf0")]
-    else:
-        counts = [count_of(w).alias(f"tf{i}") for i, w in enumerate(terms)]
-    n = len(counts)
-    names = [f"tf{i}" for i in range(n)]
-    found = rows.select(F.col(key).alias("id"), F.length(content).cast("double").alias("dl"), words.alias("t")).select("id", "dl", *counts)
-    found = found.where(F.greatest(*map(F.col, names), F.lit(0.0)) > 0)
+    fields = fields or {"content": CONTENT_WEIGHT}
+    length = sum((F.length(F.coalesce(F.col(f), F.lit(""))) for f in fields), F.lit(0))
+
+    def count_of(term: str, words: str) -> Column:
+        return F.size(F.filter(words, lambda t: t.startswith(term) if prefix else t == term)).cast("double")
+
+    def counts_of(words: str) -> list[Column]:
+        if phrase:
+            joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+            return [joined.contains(" " + " ".join(terms) + " ").cast("double")]
+        return [count_of(w, words) for w in terms]
+
+    words = [tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"w{j}") for j, f in enumerate(fields)]
+    found = rows.select(F.col(key).alias("id"), length.cast("double").alias("dl"), *words)
+    n = 1 if phrase else len(terms)
+    names = count_names(n, len(fields))
+    found = found.select("id", "dl", *[c.alias(f"tf{i}_{j}") for j in range(len(fields)) for i, c in enumerate(counts_of(f"w{j}"))])
+    found = found.where(F.greatest(*map(F.col, names), F.lit(0.0), F.lit(0.0)) > 0)
     hits = Scratch.of(rows.sparkSession).save(found)
-    size, mean = rows.agg(F.count(F.lit(1)), F.avg(F.length(content))).first()
-    by_key = hits.groupBy("id").agg(*[F.max(c).alias(c) for c in names]) if key != "id" else hits
-    each = by_key.agg(*[F.count_if(F.col(c) > 0) for c in names], F.max(sum(((F.col(c) > 0).cast("int") for c in names), F.lit(0)))).first()
-    return Counted(hits, n, size, float(mean or 0), [int(x) for x in each[:n]], int(each[n] or 0))
+    size, mean = rows.agg(F.count(F.lit(1)), F.avg(length)).first()
+    by_key = hits.groupBy("id").agg(*[F.max(c).alias(c) for c in names]) if key != "id" else None
+    return counted(hits, n, tuple(fields.values()), size, mean, by_key)
 
 
-def scoped_bm25(memories: DataFrame, terms: list[str], content: str = "content") -> DataFrame:
+def scoped_bm25(memories: DataFrame, terms: list[str], fields: dict[str, float] | None = None) -> DataFrame:
     """(id, bm25, matched): rows that hold any term, scored by the scope's own statistics."""
-    c = count_terms(memories, terms, content)
-    return c.hits.select("id", c.bm25(CONTENT_WEIGHT).alias("bm25"), c.matched.alias("matched"))
+    c = count_terms(memories, terms, fields)
+    return c.hits.select("id", c.bm25.alias("bm25"), c.matched.alias("matched"))
 
 
-def relevance(c: Counted, weight: float = CONTENT_WEIGHT, window: int | None = None) -> DataFrame:
-    """(id, relevance, bm25): rows with all terms; where nothing has all and there are more than two, any.
+def relevance(c: Counted, window: int = SCOPED_WINDOW, scoped: bool = True) -> DataFrame:
+    """(id, relevance, bm25), at most ``window`` rows: those with all terms; where nothing has all and there are more than two, any.
 
-    Of more rows than ``window`` the shortest count. Where all idf are at their floor, or nothing
-    fits, relevance is the share of terms that a row matches.
+    Of more rows than the window a scope's shortest count, or without scope the best. Where all idf are at
+    their floor, or nothing fits, relevance is the share of terms in whose own window a row lies. Each
+    window is a top-k that tasks take before anything is gathered.
     """
     fitting = c.hits
     if c.most == c.terms:
         fitting = fitting.where(c.matched == c.terms)
     elif c.terms <= 2:
         fitting = fitting.limit(0)
-    if window is not None:
-        fitting = fitting.orderBy("dl", "id").limit(window)
-    scored = fitting.select("id", c.bm25(weight).alias("bm25"), c.matched.alias("matched"))
+
+    def bounded(rows: DataFrame, score: Column) -> DataFrame:
+        order = F.col("dl") if scoped else F.desc("s")
+        top = rows.withColumn("s", score).orderBy(order, "id").limit(window)
+        return top.where(F.col("dl").isNotNull()).drop("s")  # holds later projections above the limit, so that it stays a top-k
+
+    scored = bounded(fitting, c.bm25).select("id", c.bm25.alias("bm25"))
     top = scored.agg(F.max("bm25")).first()[0] or 0.0
-    if top / max(1, c.terms) >= 1e-3:
+    if top / max(1, c.terms) >= LEAST_BM25:
         return scored.select("id", scoring.bm25_relevance(F.col("bm25"), c.terms).alias("relevance"), "bm25")
-    return c.hits.select("id", (c.matched / c.terms).alias("relevance"), F.lit(None).cast("double").alias("bm25"))
+    lists = [bounded(c.hits.where(c.holds(i)), c.term_bm25(i)).select("id") for i in range(c.terms)]
+    both = lists[0] if lists else c.hits.limit(0).select("id")
+    for one in lists[1:]:
+        both = both.union(one)
+    return both.groupBy("id").agg((F.count(F.lit(1)) / max(1, c.terms)).alias("relevance")).withColumn("bm25", F.lit(None).cast("double"))
 
 
-def lexical_search(memories: DataFrame, terms: list[str], content: str = "content", phrase: bool = False, window: int | None = None) -> DataFrame:
+def lexical_search(memories: DataFrame, terms: list[str], fields: dict[str, float] | None = None, phrase: bool = False, window: int = SCOPED_WINDOW, scoped: bool = True) -> DataFrame:
     """(id, relevance) of one lexical list."""
-    return relevance(count_terms(memories, terms, content, phrase=phrase), window=window).select("id", "relevance")
+    return relevance(count_terms(memories, terms, fields, phrase=phrase), window, scoped).select("id", "relevance")
 
 
 def nearest(vectors: DataFrame, query: list[float], k: int, scope: DataFrame | None = None) -> DataFrame:
@@ -160,14 +199,15 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, below: float |
 def candidates(lists: dict[str, DataFrame], vector: DataFrame | None) -> DataFrame:
     """(id, fts, vec, place): lexical lists (id, relevance) averaged, and the vector list (id, distance).
 
+    Of each lexical list the best rows count, up to the window of a scope, which tasks cut before ranks are given.
     Lists named ``ident`` or ``entity`` that found nothing don't dilute the others. ``place`` orders
     candidates by the first list that has them and their rank there.
     """
     used = {k: v for k, v in lists.items() if k.split(":")[0] not in ("ident", "entity") or not v.isEmpty()}
     parts = []
     for i, rows in enumerate(used.values()):
-        w = Window.orderBy(F.desc("relevance"), "id")  # a list is bounded by its over-fetch
-        parts.append(rows.select("id", (F.col("relevance") / max(1, len(used))).alias("fts"), F.lit(0.0).alias("vec"), F.struct(F.lit(i).alias("list"), F.row_number().over(w).alias("rank")).alias("place")))
+        w = Window.orderBy(F.desc("relevance"), "id")
+        parts.append(rows.orderBy(F.desc("relevance"), "id").limit(SCOPED_WINDOW).select("id", (F.col("relevance") / max(1, len(used))).alias("fts"), F.lit(0.0).alias("vec"), F.struct(F.lit(i).alias("list"), F.row_number().over(w).alias("rank")).alias("place")))
     if vector is not None:
         w = Window.orderBy("distance", "id")
         parts.append(vector.select("id", F.lit(0.0).alias("fts"), scoring.distance_relevance(F.col("distance")).alias("vec"), F.struct(F.lit(len(used)).alias("list"), F.row_number().over(w).alias("rank")).alias("place")))
