@@ -65,7 +65,7 @@ f AS (SELECT *, 10.0 * len(list_filter(t, lambda x: x = 'the')) AS a, 10.0 * len
 st AS (SELECT count(*) AS n, avg(dl) AS m, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM f),
 w AS (SELECT f.* FROM f WHERE a > 0 AND b > 0 ORDER BY dl, id LIMIT 50),
 sc AS (SELECT id, greatest(ln((n - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * dl / m)) + greatest(ln((n - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * dl / m)) AS bm FROM w, st),
-cov AS (SELECT id, ((a > 0)::INT + (b > 0)::INT) / 2.0 AS rel FROM f WHERE a > 0 OR b > 0),
+cov AS (SELECT id, count(*) / 2.0 AS rel FROM ((SELECT id FROM f WHERE a > 0 ORDER BY dl, id LIMIT 50) UNION ALL (SELECT id FROM f WHERE b > 0 ORDER BY dl, id LIMIT 50)) GROUP BY id),
 lx AS (SELECT id, CAST((bm / 2) / (1 + bm / 2) AS DOUBLE) AS rel FROM sc WHERE (SELECT max(bm) FROM sc) / 2 >= 1e-3 UNION ALL SELECT id, CAST(rel AS DOUBLE) FROM cov WHERE coalesce((SELECT max(bm) FROM sc), 0) / 2 < 1e-3)"""
 _FUSE = scoring.SEMANTIC_WEIGHTS
 _REST = 1 / (1 - _FUSE["vec"])

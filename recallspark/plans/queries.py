@@ -78,10 +78,13 @@ _TF = ", ".join(f"10.0 * len(list_filter(t, lambda x: x = '{w}')) AS tf{i}" for
 _SPLIT = r"[^\p{L}\p{N}]+"
 _BM25 = f"""tok AS (SELECT id, length(content) AS dl, regexp_split_to_array(lower(strip_accents(content)), '{_SPLIT}') AS t FROM m WHERE starts_with(namespace, '/p/en/')),
 tf AS (SELECT id, dl, {_TF} FROM tok), st AS (SELECT count(*) AS n, avg(dl) AS avgdl, {", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(len(TERMS)))} FROM tf),
-sc AS (SELECT id, {" + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(TERMS)))} AS bm25,
+sc AS (SELECT id, dl, {", ".join(f"tf{i}" for i in range(len(TERMS)))}, {" + ".join(f"greatest(ln((n - df{i} + 0.5) / (df{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(TERMS)))} AS bm25,
   {" + ".join(f"(tf{i} > 0)::INT" for i in range(len(TERMS)))} AS matched FROM tf, st WHERE {" OR ".join(f"tf{i} > 0" for i in range(len(TERMS)))})"""
-_LEX = f"""{_BM25}, fit AS (SELECT *, max(bm25) OVER () AS top FROM sc WHERE matched = {len(TERMS)} OR (SELECT max(matched) FROM sc) < {len(TERMS)}),
-lex AS (SELECT id, CASE WHEN top >= 1e-3 THEN (bm25 / {len(TERMS)}) / (1 + bm25 / {len(TERMS)}) ELSE matched / {len(TERMS)} END AS relevance FROM fit)"""
+#: A scope's list ranks its shortest rows, up to the window; by coverage, those of each term.
+_SHARE = " UNION ALL ".join(f"(SELECT id FROM sc WHERE tf{i} > 0 ORDER BY dl, id LIMIT {retrieval.SCOPED_WINDOW})" for i in range(len(TERMS)))
+_LEX = f"""{_BM25}, fit AS (SELECT *, max(bm25) OVER () AS top FROM (SELECT * FROM sc WHERE matched = {len(TERMS)} OR (SELECT max(matched) FROM sc) < {len(TERMS)} ORDER BY dl, id LIMIT {retrieval.SCOPED_WINDOW})),
+lex AS (SELECT id, (bm25 / {len(TERMS)}) / (1 + bm25 / {len(TERMS)}) AS relevance FROM fit WHERE top / {len(TERMS)} >= {retrieval.LEAST_BM25}
+UNION ALL SELECT id, count(*) / {len(TERMS)} FROM ({_SHARE}) WHERE coalesce((SELECT max(bm25) FROM fit), 0) / {len(TERMS)} < {retrieval.LEAST_BM25} GROUP BY id)"""
 _M = WITH.rstrip()
 
 
@@ -134,9 +137,9 @@ def hybrid_search(spark, d):
     return out.select("id", F.round("score", 6).alias("score"), F.round("relevance", 6).alias("relevance"))
 
 
-_PHRASE = r"""ph AS (SELECT id, length(content) AS dl, contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(content)), '[^\p{L}\p{N}]+'), lambda x: x <> ''), ' ') || ' ', ' in the ') AS hit FROM m WHERE starts_with(namespace, '/p/en/')),
+_PHRASE = rf"""ph AS (SELECT id, length(content) AS dl, contains(' ' || array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(content)), '{_SPLIT}'), lambda x: x <> ''), ' ') || ' ', ' in the ') AS hit FROM m WHERE starts_with(namespace, '/p/en/')),
 ps AS (SELECT count(*) AS n, avg(dl) AS avgdl, count(*) FILTER (hit) AS df FROM ph),
-pb AS (SELECT id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * 10 * 2.2 / (10 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM ph, ps WHERE hit),
+pb AS (SELECT id, greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * 10 * 2.2 / (10 + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS s FROM ph, ps WHERE hit ORDER BY dl, id LIMIT {retrieval.SCOPED_WINDOW}),
 plex AS (SELECT id, CASE WHEN (SELECT max(s) FROM pb) >= 1e-3 THEN s / (1 + s) ELSE 1 END AS relevance FROM pb)"""
 
 

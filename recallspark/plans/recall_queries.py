@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recallspark.functions.text import ancestors
 from recallspark.operators import digests, recall, reports, retrieval, visibility
-from recallspark.plans.queries import _DISTANCE, _M, _QUERY_VECTOR, HIDDEN, _vectors
+from recallspark.plans.queries import _DISTANCE, _LEX, _M, _QUERY_VECTOR, HIDDEN, TERMS, _english, _vectors
 from recallspark.plans.registry import query
 from recallspark.sources.tables import EPOCH, HOUR, NOW, links, memories, table
 
@@ -252,10 +252,10 @@ def folded_scope(spark, d):
     return memories(spark, d).where(visibility.in_scope(F.col("namespace"), "/P/EN", fold=True)).select("id")
 
 
-@query("reranked_search", f"{_M}, c AS (SELECT id, 0.5 / (1 + id % 9) AS fts, 0 AS v FROM m WHERE id % 4 = 0), s AS (SELECT m.id, {1 / (1 - 0.35)} * (0.2 * fts + 0.15 * exp(-greatest(({NOW} - coalesce(last_accessed, created_at)) / 86400000.0::DOUBLE, 0) / (365 * greatest(importance + 0.3 * ln(access_count + 1), 0.1))) + 0.1 * least(ln(access_count + 1) / ln(100), 1) + 0.2 * importance) AS score, fts FROM m JOIN c USING (id)), "
+@query("reranked_search", f"{_M}, {_LEX}, c AS (SELECT id, relevance AS fts, 0 AS v FROM lex), s AS (SELECT m.id, {1 / (1 - 0.35)} * (0.2 * fts + 0.15 * exp(-greatest(({NOW} - coalesce(last_accessed, created_at)) / 86400000.0::DOUBLE, 0) / (365 * greatest(importance + 0.3 * ln(access_count + 1), 0.1))) + 0.1 * least(ln(access_count + 1) / ln(100), 1) + 0.2 * importance) AS score, fts FROM m JOIN c USING (id)), "
     "r AS (SELECT *, row_number() OVER (ORDER BY score DESC, fts DESC, id) AS n FROM s) SELECT id, round(0.4 * CASE WHEN n <= 20 THEN least(greatest(0.5 + (id % 10 / 10.0 - 0.5) * 2, 0), 1) ELSE 0.5 END + 0.6 * score, 5) AS score FROM r ORDER BY 0.4 * CASE WHEN n <= 20 THEN least(greatest(0.5 + (id % 10 / 10.0 - 0.5) * 2, 0), 1) ELSE 0.5 END + 0.6 * score DESC, fts DESC, id LIMIT 15")
 def reranked_search(spark, d):
     m = memories(spark, d)
-    lists = {"fts": m.where("id % 4 = 0").select("id", (0.5 / (1 + F.col("id") % 9)).alias("relevance"))}
+    lists = {"fts": retrieval.lexical_search(_english(spark, d), list(TERMS))}
     scores = m.select("id", (F.col("id") % 10 / 10).alias("rerank"))
     return retrieval.fuse(m, lists, None, NOW, 15, rerank=scores, alpha=0.4).select("id", F.round("score", 5).alias("score"))
