@@ -24,6 +24,7 @@ from recallspark.functions import scoring
 from recallspark.functions.text import tokens
 from recallspark.operators.retrieval import B, CONTENT_WEIGHT, K1, TAG_WEIGHT, Counted, count_names, counted
 from recallspark.plans.scratch import Scratch
+from recallspark.sources.generations import Generations
 
 #: Partitions of terms, files in each at most, and lower bits of ids that a block spans.
 BUCKETS, FILES, BLOCK_BITS = 64, 4, 12
@@ -45,34 +46,28 @@ class PostingsIndex:
     @classmethod
     def create(cls, docs: DataFrame, path: str, fields: dict[str, float] | None = None, buckets: int = BUCKETS, bits: int = BLOCK_BITS) -> PostingsIndex:
         index = cls(docs.sparkSession, path, tuple((fields or FIELDS).items()), buckets, bits)
-        index._write(index._counted(docs), index._lengths(docs), f"{path}/full-{0:08d}")
+        index._write(index._counted(docs), index._lengths(docs), index._all.folder(0, full=True))
         return index
 
     # -- generations
 
-    def _files(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    @property
+    def _all(self) -> Generations:
+        return Generations(self.spark, self.path, "docs")
 
     def generations(self) -> list[str]:
         """Folders of the newest full generation and of the batches after it, oldest first."""
-        fs, path_of = self._files()
-        names = [s.getPath().getName() for s in fs.listStatus(path_of(self.path))]
-        done = [n for n in names if fs.exists(path_of(f"{self.path}/{n}/docs/_SUCCESS"))]
-        number = lambda n: int(n.split("-")[1])
-        base = max(number(n) for n in done if n.startswith("full-"))
-        return sorted((n for n in done if number(n) > base or n == f"full-{base:08d}"), key=number)
+        return self._all.names()
 
     def add(self, docs: DataFrame, deleted: DataFrame | None = None, number: int | None = None) -> int:
         """Writes a batch of new and changed documents and of deleted ids; the same ``number`` again replaces it."""
-        last = int(self.generations()[-1].split("-")[1])
+        last = Generations.number(self.generations()[-1])
         number = last + 1 if number is None else number
         lengths = self._lengths(docs)
         if deleted is not None:
             gone = deleted.select(F.col("id").cast("long").alias("id")).where("id is not null").distinct().join(lengths.select("id"), "id", "left_anti")
             lengths = lengths.unionByName(gone.select("id", F.lit(0).alias("dl"), F.lit(True).alias("deleted")))
-        self._write(self._counted(docs), lengths, f"{self.path}/part-{number:08d}")
+        self._write(self._counted(docs), lengths, self._all.folder(number))
         return number
 
     def compact(self) -> None:
@@ -80,12 +75,9 @@ class PostingsIndex:
         old = self.generations()
         if len(old) == 1:
             return
-        number = int(old[-1].split("-")[1]) + 1
-        names = [f for f, _ in self.fields]
-        self._write(self._live(None).select("term", "id", "dl", *names), self.documents(), f"{self.path}/full-{number:08d}")
-        fs, path_of = self._files()
-        for name in old:
-            fs.delete(path_of(f"{self.path}/{name}"), True)
+        names, folder = [f for f, _ in self.fields], self._all.folder(Generations.number(old[-1]) + 1, full=True)
+        self._write(self._live(None).select("term", "id", "dl", *names), self.documents(), folder)
+        self._all.drop(old)
 
     # -- writing
 
