@@ -74,27 +74,63 @@ def reach(links: DataFrame, seeds: DataFrame, hops: int = 3) -> DataFrame:
     return seen.where("hops > 0")
 
 
-def closure(links: DataFrame, seeds: DataFrame, as_of: int | None = None, most_steps: int = 500) -> DataFrame:
+def closure(links: DataFrame, seeds: DataFrame, as_of: int | None = None) -> DataFrame:
     """(seed, id): all that supersedes links connect to each seed, itself included, in either direction.
 
-    Links judged after ``as_of`` don't exist yet. The loop stops when nothing new is found.
+    Links judged after ``as_of`` don't exist yet. Components are contracted, each step halving what is
+    left of a chain, so the number of steps grows with the logarithm of its length.
     """
-    scratch = Scratch.of(links.sparkSession)
     rows = links.where(F.col("link_type") == "supersedes")
     if as_of is not None:
         rows = rows.where(F.coalesce("judged_at", "created_at") <= as_of)
-    both = scratch.save(_both_ways(rows).select("a", "b"))
-    seen = scratch.save(seeds.select(F.col("id").alias("seed"), "id").distinct())
-    edge = seen
-    for _ in range(most_steps):
-        step = edge.select("seed", F.col("id").alias("a")).join(both, "a").select("seed", F.col("b").alias("id")).distinct()
-        edge = scratch.save(step.join(seen, ["seed", "id"], "left_anti"))
-        if edge.isEmpty():
-            break
-        then = scratch.save(seen.union(edge))
-        scratch.drop(seen)
-        seen = then
-    return seen
+    member = Scratch.of(links.sparkSession).save(connected_components(rows, "source_id", "target_id"))
+    own = seeds.select(F.col("id").alias("seed")).distinct()
+    named = own.join(member.select(F.col("id").alias("seed"), "component"), "seed")
+    return named.join(member, "component").select("seed", "id").union(own.select("seed", F.col("seed").alias("id"))).distinct()
+
+
+def pointer_ends(pointers: DataFrame) -> DataFrame:
+    """(id, end, steps, loops): where following ``pointers`` (id, next) from each id leads, and in how many steps.
+
+    Every round doubles the length of all pointers that haven't arrived, so chains of n steps take log2(n)
+    rounds. Pointers that run into a loop never arrive: for them ``end`` is the least id of the loop, ``steps``
+    counts the different ids after the first, and ``loops`` is true. Of several pointers of an id the least counts.
+    """
+    scratch = Scratch.of(pointers.sparkSession)
+    single = scratch.save(pointers.where("id is not null and next is not null").groupBy("id").agg(F.min("next").alias("next")))
+    ends = single.select(F.col("id").alias("_id"))
+    start = single.join(ends, F.col("next") == F.col("_id"), "left")
+    now = scratch.save(start.select("id", F.col("next").alias("at"), F.lit(1).cast("long").alias("steps"), F.col("_id").isNull().alias("done")))
+    total, length = now.count(), 1
+    while not now.where("not done").isEmpty() and length <= total:
+        then = now.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("done").alias("_done"))
+        moved = now.where("not done").join(then, "at").select("id", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_done").alias("done"))
+        fresh = scratch.save(now.where("done").unionByName(moved))
+        scratch.drop(now)
+        now, length = fresh, 2 * length
+    arrived = now.where("done").select("id", F.col("at").alias("end"), "steps", F.lit(False).alias("loops"))
+    rest = now.where("not done")
+    if rest.isEmpty():
+        return arrived
+    return arrived.unionByName(_looping(single, rest))
+
+
+def _looping(single: DataFrame, rest: DataFrame) -> DataFrame:
+    """Ends of pointers that run into loops. ``rest`` has gone so far that all of it is inside them."""
+    scratch = Scratch.of(single.sparkSession)
+    inside = rest.select(F.col("at").alias("id")).distinct().join(single, "id")
+    inside = scratch.save(inside)
+    # all ids of a loop are places that some pointer has reached, and a loop is a component of its own
+    names = connected_components(inside, "id", "next")
+    loops = scratch.save(inside.select("id").join(names, "id", "left").select("id", F.coalesce("component", "id").alias("end")))
+    size = loops.groupBy("end").agg(F.count(F.lit(1)).alias("size"))
+    own = loops.join(size, "end").select("id", "end", (F.col("size") - 1).alias("steps"))
+    tails = rest.select("id").join(loops.select("id"), "id", "left_anti").join(single, "id")
+    out = own
+    if not tails.isEmpty():
+        to_loop = pointer_ends(tails).select("id", F.col("end").alias("at"), "steps")
+        out = own.unionByName(to_loop.join(own.select(F.col("id").alias("at"), "end", F.col("steps").alias("round")), "at").select("id", "end", (F.col("steps") + F.col("round")).alias("steps")))
+    return out.select("id", "end", F.col("steps").cast("long").alias("steps"), F.lit(True).alias("loops"))
 
 
 def history(memories: DataFrame, links: DataFrame, start: int, as_of: int | None = None, limit: int = 50) -> tuple[DataFrame, DataFrame]:
@@ -112,24 +148,13 @@ def history(memories: DataFrame, links: DataFrame, start: int, as_of: int | None
 
 
 def chain_depth(links: DataFrame, most: int = 100) -> DataFrame:
-    """(id, depth): versions from each memory back along its revisions, itself included.
+    """(id, depth): versions from each memory back along its revisions, itself included, at most ``most`` + 1.
 
-    Every memory has at most one revision that it replaces: the least id where there are several.
+    Every memory has at most one revision that it replaces: the least id where there are several. A loop
+    counts each of its versions once.
     """
-    scratch = Scratch.of(links.sparkSession)
-    back = links.where((F.col("link_type") == "supersedes") & (F.col("revision") > 0)).groupBy(F.col("source_id").alias("at")).agg(F.min("target_id").alias("next"))
-    back = scratch.save(back)
-    edge = back.select(F.col("at").alias("id"), F.col("next").alias("at"), F.lit(2).alias("depth"))
-    out = [edge]
-    for depth in range(3, most + 2):
-        edge = scratch.save(edge.join(back, "at").where(F.col("next") != F.col("id")).select("id", F.col("next").alias("at"), F.lit(depth).alias("depth")))
-        if edge.isEmpty():
-            break
-        out.append(edge)
-    found = out[0]
-    for e in out[1:]:
-        found = found.union(e)
-    return found.groupBy("id").agg(F.max("depth").alias("depth"))
+    back = links.where((F.col("link_type") == "supersedes") & (F.col("revision") > 0)).select(F.col("source_id").alias("id"), F.col("target_id").alias("next"))
+    return pointer_ends(back).select("id", F.least(F.col("steps") + 1, F.lit(most + 1)).alias("depth"))
 
 
 def duplicate_groups(memories: DataFrame, links: DataFrame, threshold: float = 0.95, limit: int | None = 50) -> DataFrame:
