@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import scoring, text
 from recallspark.plans.scratch import Scratch
+from recallspark.plans.shipping import ensure_on_executors
 
 #: Confidences from which a verdict hides its target, and below which it is dropped.
 RELATION_THRESHOLDS = {"contradicts": 0.8, "updates": 0.9, "duplicate": 0.95}
@@ -39,6 +43,62 @@ def degrees(links: DataFrame) -> DataFrame:
     return out.union(into).groupBy("id").agg(F.sum("d").alias("degree"), F.sum("do").alias("duplicates_out"), F.sum("so").alias("supersedes_out"), F.sum("dt").alias("duplicate_target"))
 
 
+def needed_prefix(length: int, threshold: float) -> int:
+    """The least common prefix with which a text of this length, the longer of two, is similar enough."""
+    k = max(0, min(length, int(threshold * length) - 1))
+    while k < length and k / length < threshold:
+        k += 1
+    return k
+
+
+def _prefix_nodes(threshold: float):
+    """Each text's own node and those that it touches: its prefixes of the lengths that a similar text may need."""
+
+    def run(batches):
+        for rb in batches:
+            cls, g, node, k, own = [], [], [], [], []
+            for c, group, text_ in zip(*(rb.column(x).to_pylist() for x in ("cls", "g", "content"))):
+                need = needed_prefix(len(text_), threshold)
+                h = hashlib.blake2b(text_[:need].encode(), digest_size=16)
+                for at in range(need, len(text_) + 1):
+                    if at > need:
+                        h.update(text_[at - 1].encode())
+                    cls.append(c)
+                    g.append(group)
+                    node.append(h.digest())
+                    k.append(at)
+                    own.append(at == need)
+                if len(cls) > 100_000:
+                    yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "g": pa.array(g, pa.int64()), "k": pa.array(k, pa.int32()), "node": pa.array(node, pa.binary()), "own": pa.array(own, pa.bool_())})
+                    cls, g, node, k, own = [], [], [], [], []
+            yield pa.RecordBatch.from_pydict({"cls": pa.array(cls, pa.int64()), "g": pa.array(g, pa.int64()), "k": pa.array(k, pa.int32()), "node": pa.array(node, pa.binary()), "own": pa.array(own, pa.bool_())})
+
+    return run
+
+
+def _leading(texts: DataFrame, touches: DataFrame, scratch: Scratch) -> DataFrame:
+    """(cls): texts that lead families. ``texts``: cls, o (the first row's place); ``touches``: cls, node, own.
+
+    In each round all texts that come before every similar text still open lead, and the texts similar
+    to them are settled. A node's least place stands for all texts that touch it, so similar pairs are never listed.
+    """
+    leaders, open_ = None, texts.select("cls", "o")
+    while True:
+        rows = touches.join(open_, "cls")
+        first = rows.groupBy("node").agg(F.min("o").alias("any"), F.min(F.when(F.col("own"), F.col("o"))).alias("owner"))
+        # of a text's own node all that touch it count, of the other nodes their owners
+        seen = F.when(F.col("own"), F.least("any", "owner")).otherwise(F.col("owner"))
+        least = rows.join(first, "node").groupBy("cls", "o").agg(F.min(seen).alias("least"))
+        new = scratch.save(least.where(F.coalesce("least", "o") >= F.col("o")).select("cls"))
+        leaders = new if leaders is None else leaders.union(new)
+        led = touches.join(new, "cls").groupBy("node").agg(F.max("own").alias("by_owner"))
+        gone = touches.join(led, "node").where("own or by_owner").select("cls").union(new).distinct()
+        rest = scratch.save(open_.join(gone, "cls", "left_anti"))
+        open_ = rest
+        if rest.isEmpty():
+            return leaders
+
+
 def lexical_families(rows: DataFrame, prefix_chars: int = PREFIX_CHARS, threshold: float = SIMILARITY, whole_prefix: bool = False) -> DataFrame:
     """(id, keeper, similarity, siblings): each row's family among those of its namespace, type and opening.
 
@@ -46,33 +106,43 @@ def lexical_families(rows: DataFrame, prefix_chars: int = PREFIX_CHARS, threshol
     a group leads a family; each row joins the earlier leader that it resembles most, from
     ``threshold`` on, else leads another. With ``whole_prefix`` a group is one family.
 
-    Each round finds the next leader of all groups at once and compares it with its group, so that no
-    group is gathered in one task; there are as many rounds as the group of most families has.
-    Texts are taken as they are; null texts form a family of each namespace and type.
+    Two texts are similar where their common prefix reaches what the longer one needs: where the shorter
+    touches the node of the longer one's needed prefix. Equal texts are one. Texts meet by these nodes
+    alone, so neither a group nor its pairs are gathered, and all leaders that depend on no other are
+    found in one round. At most one leader touches a node, so rows meet few leaders.
+    Texts are taken as they are; null texts form a family of each namespace and type. Prefixes are compared by 128-bit digests.
     """
     scratch = Scratch.of(rows.sparkSession)
     order = F.struct((~F.col("pinned")).alias("p"), F.negative("importance").alias("i"), F.negative("access_count").alias("a"), F.negative("degree").alias("d"), F.col("created_at").alias("c"), F.col("id").alias("id"))
     content = F.coalesce("content", F.lit(""))
     base = rows.select("id", content.alias("content"), F.xxhash64("namespace", "type", F.substring(content, 1, prefix_chars)).alias("g"), order.alias("o"))
-    base = scratch.save(base.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("g"))))
-    single = base.where("size = 1").select("id", F.col("id").alias("keeper"), F.lit(1.0).alias("similarity"))
-    state = base.where("size > 1").select("id", "content", "g", "o", F.lit(None).cast("long").alias("keeper"), F.lit(None).cast("double").alias("similarity"))
-    done, held = single, None
-    while True:
-        lead = state.where("keeper IS NULL").groupBy("g").agg(F.min("o").alias("lo"))
-        lead = lead.join(base.select(F.col("id").alias("lid"), F.col("content").alias("lc")), F.col("lo.id") == F.col("lid"))
-        near = F.lit(1.0) if whole_prefix else text.prefix_similarity(F.col("content"), F.col("lc"))
-        got = state.join(lead.select("g", "lo", "lid", "lc"), "g", "left").withColumn("s", F.when(F.col("lid").isNotNull() & (F.col("o") > F.col("lo")), near))
-        better = (F.col("s") >= threshold) & (F.col("similarity").isNull() | (F.col("s") > F.col("similarity")))
-        own = F.col("id") == F.col("lid")
-        keeper = F.when(own | better, F.col("lid")).otherwise(F.col("keeper"))
-        similarity = F.when(own, 2.0).when(better, F.col("s")).otherwise(F.col("similarity"))  # a leader is never outdone
-        fresh = scratch.save(got.select("id", "content", "g", "o", keeper.alias("keeper"), similarity.alias("similarity")))
-        scratch.drop(held)
-        state = held = fresh
-        if state.where("keeper IS NULL").isEmpty():
-            break
-    done = done.union(state.select("id", "keeper", F.least("similarity", F.lit(1.0))))
+    if whole_prefix:
+        lead = base.groupBy("g").agg(F.min("o").alias("lo"), F.count(F.lit(1)).alias("n"))
+        return base.join(lead, "g").select("id", F.col("lo.id").alias("keeper"), F.lit(1.0).alias("similarity"), (F.col("n") - 1).alias("siblings"))
+    base = scratch.save(base.withColumn("cls", F.xxhash64("g", F.sha2("content", 256))))
+    texts = base.groupBy("cls").agg(F.first("g").alias("g"), F.min("o").alias("o"), F.first("content").alias("content"))
+    several = base.groupBy("g").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).where("lo < hi").select("g")
+    texts = scratch.save(texts)
+    ensure_on_executors(rows.sparkSession)
+    crowded = texts.join(several, "g", "left_semi")
+    nodes = crowded.select("cls", "g", "content").mapInArrow(_prefix_nodes(threshold), "cls long, g long, k int, node binary, own boolean")
+    nodes = scratch.save(nodes.select("cls", F.struct("g", "k", "node").alias("node"), "own"))
+    # only nodes that some text owns, and that two texts touch, tell texts apart
+    shared = nodes.groupBy("node").agg(F.max("own").alias("owned"), F.count(F.lit(1)).alias("n")).where("owned and n > 1").select("node")
+    touches = scratch.save(nodes.join(shared, "node"))
+    apart = texts.join(touches.select("cls").distinct(), "cls", "left_anti").select("cls")
+    leaders = apart
+    if not touches.isEmpty():
+        leaders = apart.union(_leading(texts.join(touches.select("cls").distinct(), "cls", "left_semi"), touches, scratch))
+    leaders = scratch.save(leaders.join(texts, "cls").select(F.col("cls").alias("lcls"), F.col("o").alias("lo"), F.col("content").alias("lc")))
+    by_node = touches.join(leaders.select("lcls"), F.col("cls") == F.col("lcls"), "left_semi").select("node", F.col("cls").alias("lcls"), F.col("own").alias("lown"))
+    met = touches.join(by_node, "node").where("(own or lown) and cls <> lcls").select("cls", "lcls").distinct()
+    pairs = met.join(texts.select("cls", "content"), "cls").join(leaders, "lcls").select("cls", "lo", text.prefix_similarity(F.col("content"), F.col("lc")).alias("s")).where(F.col("s") >= threshold)
+    own = leaders.select(F.col("lcls").alias("cls"), "lo", F.lit(1.0).alias("s"))
+    choices = pairs.union(own).groupBy("cls").agg(F.collect_list(F.struct((-F.col("s")).alias("s"), "lo")).alias("choices"))  # few leaders of a text
+    before = F.filter("choices", lambda c: c["lo"] <= F.col("o"))
+    best = base.join(choices, "cls").select("id", F.array_min(before).alias("b"))
+    done = scratch.save(best.select("id", F.col("b.lo.id").alias("keeper"), (-F.col("b.s")).alias("similarity")))
     members = done.groupBy("keeper").agg((F.count(F.lit(1)) - 1).alias("siblings"))
     return done.join(members, "keeper").select("id", "keeper", "similarity", "siblings")
 

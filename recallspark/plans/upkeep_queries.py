@@ -81,7 +81,22 @@ def _ranked(spark, d):
     return memories(spark, d).join(upkeep.degrees(links(spark, d)).select("id", "degree"), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
 
 
-@query("lexical_families")
+# rows of a group one by one, in order of use: each joins the most similar leader so far, or leads
+_LCP = "len(list_filter(range(1, least(length(p.content), length(x.content)) + 1), lambda i: p.content[1:i] = x.content[1:i]))"
+_NEAR = f"CASE WHEN p.content = x.content THEN 1.0 ELSE {_LCP} / greatest(length(p.content), length(x.content)) END"
+
+
+@query("lexical_families", _M.replace("WITH", "WITH RECURSIVE", 1) + f""", g AS (SELECT id, count(*) AS degree FROM (SELECT source_id AS id FROM l UNION ALL SELECT target_id FROM l WHERE source_id <> target_id) GROUP BY id),
+p AS (SELECT m.id, coalesce(content, '') AS content, dense_rank() OVER (ORDER BY namespace, type, substring(coalesce(content, ''), 1, 48)) AS grp,
+  row_number() OVER (PARTITION BY namespace, type, substring(coalesce(content, ''), 1, 48) ORDER BY pinned DESC, importance DESC, access_count DESC, coalesce(degree, 0) DESC, created_at, m.id) AS n FROM m LEFT JOIN g ON m.id = g.id),
+s AS (SELECT p.grp, p.n, x.n AS earlier, {_NEAR} AS near FROM p JOIN p x ON x.grp = p.grp AND x.n < p.n),
+k(grp, n, leaders) AS (SELECT DISTINCT grp, 0::BIGINT, []::BIGINT[] FROM p UNION ALL
+  SELECT k.grp, k.n + 1, CASE WHEN EXISTS (SELECT 1 FROM s WHERE s.grp = k.grp AND s.n = k.n + 1 AND near >= 0.95 AND list_contains(k.leaders, s.earlier)) THEN k.leaders ELSE list_append(k.leaders, k.n + 1) END
+  FROM k JOIN p ON p.grp = k.grp AND p.n = k.n + 1),
+c AS (SELECT s.grp, s.n, s.earlier, near FROM s JOIN k ON k.grp = s.grp AND k.n = s.n WHERE near >= 0.95 AND list_contains(k.leaders, s.earlier) AND NOT list_contains(k.leaders, s.n)
+  UNION ALL SELECT grp, n, n, 1.0 FROM k WHERE list_contains(leaders, n)),
+b AS (SELECT grp, n, arg_min(earlier, {{'s': -near, 'e': earlier}}) AS e, max(near) AS near FROM c GROUP BY 1, 2)
+SELECT p.id, h.id AS keeper, round(near, 6) AS similarity, count(*) OVER (PARTITION BY h.id) - 1 AS siblings FROM b JOIN p ON p.grp = b.grp AND p.n = b.n JOIN p h ON h.grp = b.grp AND h.n = b.e""")
 def lexical_families(spark, d):
     return upkeep.lexical_families(_ranked(spark, d)).select("id", "keeper", F.round("similarity", 6).alias("similarity"), "siblings")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recallspark.functions import answers, json_values, scoring, text
 from recallspark.functions.entities import entities, entity_terms
+from recallspark.plans.scratch import Scratch
 from recallspark.operators import allocation, archive, channels, evaluation, upkeep
 
 ROWS = "id long, namespace string, type string, content string, importance double, access_count int, degree int, pinned boolean, created_at long, last_accessed long"
@@ -51,6 +52,32 @@ def test_families_match_leader_by_leader(spark, threshold):
     assert got == _families(rows, threshold)
 
 
+def test_families_of_long_texts_with_many_leaders(spark):
+    rng = random.Random(3)
+    stem = "".join(rng.choice("abcd ") for _ in range(400))
+    texts = [stem[: rng.randrange(48, 400)] + "".join(rng.choice("xyz") for _ in range(rng.randrange(0, 12))) for _ in range(400)]
+    rows = [(i, "/p", "note", t, rng.randrange(5) / 10, rng.randrange(3), 0, False, rng.randrange(50), None) for i, t in enumerate(texts)]
+    for threshold in (0.95, 0.97):
+        got = {r.id: r.keeper for r in upkeep.lexical_families(spark.createDataFrame(rows, ROWS), threshold=threshold).collect()}
+        assert got == _families(rows, threshold) and len(set(got.values())) > 40
+
+
+def test_a_crowded_group_takes_few_rounds(spark, monkeypatch):
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, *a, **k: saved.append(1) or save(self, *a, **k))
+    opening, rng = "the same opening of all texts, " * 2, random.Random(5)
+    rows = [(i, "/p", "note", opening + f"{rng.randrange(3000):06d}" * 12 + "." * rng.randrange(4), 0.1, 0, 0, False, rng.randrange(10**6), None) for i in range(10_000)]
+    got = {r.id: r.keeper for r in upkeep.lexical_families(spark.createDataFrame(rows, ROWS)).collect()}
+    assert len(saved) <= 16
+    by_number = {}
+    for r in rows:
+        by_number.setdefault(r[3].rstrip("."), []).append(r)
+    want = {}
+    for own in by_number.values():  # texts of other numbers are too far apart
+        want |= _families(own, 0.95)
+    assert got == want and len(set(got.values())) > 2500
+
+
 def test_families_of_nothing_and_of_copies(spark):
     assert upkeep.lexical_families(spark.createDataFrame([], ROWS)).count() == 0
     copies = [(i, "/p", "note", "same text " * 9, 0.1, 0, 0, False, 5, None) for i in range(300)]
