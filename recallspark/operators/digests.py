@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions.text import first_sentence
+from recallspark.plans.scratch import Scratch
 
 #: Lines of a navigation digest by kind, its length, and the bounds of health.
 TOPICS, PROMOTED, CHILDREN, NAV_CHARS = 5, 4, 8, 1200
 THIN, STALE_MS = 3, 7 * 86_400_000
+#: Levels of a consolidation at most, and room for the note of a cut digest.
+MOST_DEPTH, NOTE_CHARS = 64, 24
+#: Parts of a large group that are cut apart before the group is.
+PARTS = 64
 
 
 def cut_lines(lines: Column, budget: int) -> Column:
@@ -72,6 +77,76 @@ def nav_digests(memories: DataFrame, topics: DataFrame, nodes: DataFrame, budget
     return lists.select("path", cut_lines(F.transform("l", lambda x: x["line"]), budget).alias("digest"))
 
 
+def packed_lines(lines: Column, budget: int, reserve: int = NOTE_CHARS) -> Column:
+    """All lines where they fit; else the first that leave room for a note of how many more there are; of a
+    first line that alone is too long, its beginning. No lines are an empty text."""
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("kept"), F.lit(False).alias("full"))
+
+    def add(acc: Column, x: Column) -> Column:
+        cost = F.length(x) + F.when(acc["kept"] > 0, 1).otherwise(0)
+        fits = ~acc["full"] & (acc["used"] + cost + reserve <= budget)
+        return F.struct((acc["used"] + F.when(fits, cost).otherwise(0)).alias("used"), (acc["kept"] + fits.cast("int")).alias("kept"), (~fits).alias("full"))
+
+    kept = F.aggregate(lines, start, add)["kept"]
+    cut = F.concat(F.array_join(F.slice(lines, F.lit(1), kept), "\n"), F.lit("\n…("), (F.size(lines) - kept).cast("string"), F.lit(" more)"))
+    whole = F.array_join(lines, "\n")
+    begun = F.concat(F.substring(F.get(lines, F.lit(0)), 1, max(budget - 1, 1)), F.lit("…"))
+    return F.when(F.length(whole) <= budget, whole).when(kept == 0, begun).otherwise(F.substring(cut, 1, budget))
+
+
+def _first(rows: DataFrame, by: str, order: list, most: int) -> DataFrame:
+    """At most so many rows of each group, with their place; groups of any size are cut in parts first."""
+    part = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)))
+    near = part.withColumn("_n", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))).where(F.col("_n") <= most)
+    return near.withColumn("_n", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("_n") <= most).drop("_part")
+
+
+def consolidated(memories: DataFrame, topics: DataFrame, nodes: DataFrame, root: str, budget: int = NAV_CHARS, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """(path, depth, digest): navigation digests of a scope and all below it, children before their parents.
+
+    A digest condenses the scope's pins, topics, promoted patterns and the digests that its first children
+    got in the same pass, each under the child's path. The tree is folded level by level from its deepest
+    one, so there are as many rounds as levels, whatever their width.
+
+    ``memories``: namespace, type, content, pinned, origin, importance, created_at, id. ``topics``: namespace,
+    summary, updated_at, id. ``nodes``: path, parent_path, depth. Scopes deeper than ``most_depth`` below
+    the root are left out, as are scopes without a node.
+    """
+    scratch = Scratch.of(memories.sparkSession)
+    inside = scratch.save(nodes.where((F.col("path") == root) | F.col("path").startswith(root + "/")).select("path", "parent_path", "depth"))
+    bounds = inside.agg(F.min("depth"), F.max("depth")).first()
+    if bounds[0] is None:
+        return inside.select("path", "depth", F.lit("").alias("digest"))
+    trimmed = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    pins = digests(memories).select(F.col("namespace").alias("path"), F.lit(0).alias("kind"), F.lit(1).alias("n"), trimmed(F.col("content")).alias("lines"))
+    summaries = topics.where(F.trim("summary") != "").select(F.col("namespace").alias("path"), "updated_at", "id", F.trim("summary").alias("s"))
+    topic = _first(summaries, "path", [F.desc("updated_at"), "id"], TOPICS).select("path", F.lit(1), "_n", F.array(F.concat(F.lit("[topic] "), "s")))
+    promoted = memories.where("origin = 'promotion'").select(F.col("namespace").alias("path"), "importance", "created_at", "id", F.substring(F.trim(F.get(F.split("content", "\n"), F.lit(0))), 1, 160).alias("s"))
+    pattern = _first(promoted, "path", [F.desc("importance"), F.desc("created_at"), "id"], PROMOTED).select("path", F.lit(2), "_n", F.array(F.concat(F.lit("[pattern] "), "s")))
+    own = scratch.save(pins.union(topic).union(pattern).join(inside.select("path"), "path"))
+    first_children = scratch.save(_first(inside.where("parent_path is not null").select("parent_path", "path"), "parent_path", ["path"], CHILDREN))
+    below, levels = None, []
+    for depth in range(min(bounds[1], bounds[0] + most_depth), bounds[0] - 1, -1):
+        here = inside.where(F.col("depth") == depth).select("path", "depth")
+        parts = own.join(here.select("path"), "path")
+        if below is not None:
+            told = first_children.join(below.select("path", "digest"), "path")
+            lines = trimmed(F.col("digest"))
+            name = F.concat(F.lit("[child "), "path", F.lit("] "))
+            tail = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.concat(F.lit("  "), x))
+            said = F.when(F.size(lines) == 0, F.array(F.concat(name, F.lit("(no digest yet)")))).otherwise(F.concat(F.array(F.concat(name, F.get(lines, F.lit(0)))), tail))
+            parts = parts.union(told.select(F.col("parent_path").alias("path"), F.lit(3), "_n", said.alias("lines")))
+        gathered = parts.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("kind", "n", "lines"))).alias("l"))  # bounded by the kinds
+        lines = F.flatten(F.transform("l", lambda x: x["lines"]))
+        done = here.join(gathered.select("path", packed_lines(lines, budget).alias("digest")), "path", "left")
+        below = scratch.save(done.select("path", "depth", F.coalesce("digest", F.lit("")).alias("digest")))
+        levels.append(below)
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return out
+
+
 def upserted_clusters(found: DataFrame, stored: DataFrame) -> DataFrame:
     """(id, member_ids): found clusters (key, member_ids) take the id of the first stored one (id, member_ids)
     that shares a member, and are new without."""
