@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.operators.components import connected_components
-from recallspark.operators.retrieval import nearest_many
+from recallspark.operators.vector_join import nearest_many
 from recallspark.operators.visibility import valid_at
 from recallspark.plans.scratch import Scratch
 

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +16,6 @@ K1, B, CONTENT_WEIGHT, TAG_WEIGHT = 1.2, 0.75, 10.0, 5.0
 SCOPED_WINDOW, OVER_FETCH, LEAST_FETCH = 2000, 5, 50
 #: BM25 for each term below which a list is ranked by coverage.
 LEAST_BM25 = 1e-3
-#: Query vectors compared in one pass over the table.
-QUERY_BLOCK = 1024
 
 
 def over_fetch(k: int) -> int:
@@ -151,51 +147,6 @@ def nearest(vectors: DataFrame, query: list[float], k: int, scope: DataFrame | N
     return vectors.select("id", scoring.l2_distance(F.col("embedding"), target).alias("distance")).orderBy("distance", "id").limit(k)
 
 
-def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, below: float | None = None) -> DataFrame:
-    """(query_id, id, distance): the k nearest other vectors of every query, closer than ``below``.
-
-    Both tables are (id, embedding). Queries go to all vectors in blocks of ``QUERY_BLOCK``; every
-    task keeps k candidates of each query, so what is merged is bounded by tasks, not rows. Null
-    vectors find nothing.
-    """
-    spark, out = vectors.sparkSession, None
-    block: list[tuple[int, list[float]]] = []
-
-    def compare(part: list[tuple[int, list[float]]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(([i for i, _ in part], np.array([v for _, v in part], float)))  # one block
-
-        def run(batches):
-            ids, q = shared.value
-            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for rb in batches:
-                rows = pa.Table.from_batches([rb]).filter(pa.compute.is_valid(rb.column("embedding")))
-                if not rows.num_rows:
-                    continue
-                own = rows.column("id").to_numpy()
-                v = np.array(rows.column("embedding").to_pylist(), float)
-                for j, i in enumerate(ids):
-                    d = np.sqrt(((v - q[j]) ** 2).sum(axis=1))
-                    ok = (own != i) & ((d < below) if below is not None else True)
-                    x, y = best.get(j, (np.zeros(0, np.int64), np.zeros(0)))
-                    x, y = np.append(x, own[ok]), np.append(y, d[ok])
-                    order = np.lexsort((x, y))[:k]
-                    best[j] = x[order], y[order]
-            for j, (x, y) in best.items():
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[j]] * len(x), pa.int64()), "id": pa.array(x, pa.int64()), "distance": pa.array(y, pa.float64())})
-
-        return vectors.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(run, "query_id long, id long, distance double")
-
-    for row in queries.where("embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding").toLocalIterator():
-        block.append((row["id"], list(row["embedding"])))
-        if len(block) == QUERY_BLOCK:
-            out, block = compare(block) if out is None else out.union(compare(block)), []
-    if block or out is None:
-        last = compare(block) if block else vectors.select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("distance")).limit(0)
-        out = last if out is None else out.union(last)
-    w = Window.partitionBy("query_id").orderBy("distance", "id")
-    return out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).drop("n")
-
-
 def candidates(lists: dict[str, DataFrame], vector: DataFrame | None) -> DataFrame:
     """(id, fts, vec, place): lexical lists (id, relevance) averaged, and the vector list (id, distance).
 
