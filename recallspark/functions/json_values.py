@@ -89,6 +89,32 @@ def value_fault(text: str | None, schema: dict) -> str | None:
     return fault(v, schema)
 
 
+def _written(v: Column, depth: int) -> Column:
+    """A VARIANT in one spelling: keys sorted, numbers as doubles, strings quoted; null below the last level."""
+    kind = F.schema_of_variant(v)
+    is_object, is_array = kind.startswith("OBJECT"), kind.startswith("ARRAY")
+    number = F.try_variant_get(v, "$", "double")
+    scalar = F.when(kind == "VOID", "null").when(kind == "BOOLEAN", F.try_variant_get(v, "$", "string")).when(kind == "STRING", F.to_json(v)).otherwise(F.when(~F.isnan(number) & (F.abs(number) < float("inf")), (number + 0.0).cast("string")))
+    if depth == 0:
+        return F.when(~is_object & ~is_array, scalar)
+    members, items = F.try_variant_get(v, "$", "map<string,variant>"), F.try_variant_get(v, "$", "array<variant>")
+    quoted = lambda k: F.concat(F.to_json(F.call_function("to_variant_object", F.array(k))), F.lit(":"))
+    # one list of parts for objects and arrays alike, so that a level names the next one only once
+    parts = F.when(is_object, F.transform(F.array_sort(F.map_keys(members)), lambda k: F.struct(quoted(k).alias("k"), F.element_at(members, k).alias("v")))).when(is_array, F.transform(items, lambda x: F.struct(F.lit("").alias("k"), x.alias("v"))))
+    inner = F.aggregate(parts, F.lit(""), lambda acc, c: F.concat(acc, F.lit(","), c["k"], _written(c["v"], depth - 1)))  # null as soon as a part is
+    return F.when(is_object | is_array, F.concat(F.when(is_object, "{").otherwise("["), inner, F.when(is_object, "}").otherwise("]"))).otherwise(scalar)
+
+
+def canonical_key(text: Column, depth: int = MOST_DEPTH) -> Column:
+    """A digest that two JSON texts share where their values are equal: whatever the order of keys, spaces
+    and spelling of numbers, but 1, "1" and true apart. Built-ins only, so it can be joined on.
+
+    Null for null, for what isn't JSON, repeats a key or is nested deeper than ``depth``, and for texts over the bound.
+    """
+    written = _written(F.try_parse_json(text), depth)
+    return F.when(F.octet_length(written) <= MOST_BYTES, F.sha2(written.cast("binary"), 256))
+
+
 @F.pandas_udf(StringType())
 def canonical_json(text: pd.Series) -> pd.Series:
     return text.map(canonical)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recallspark.functions.json_values import canonical_key
 from recallspark.functions.text import ancestors
 
 
@@ -139,13 +140,32 @@ def clusters_visible(clusters: DataFrame, readable: DataFrame) -> DataFrame:
 
 
 def assertions(facts: DataFrame, memories: DataFrame, predicate: str, value: str | None = None, until: int | None = None, k: int = 50) -> DataFrame:
-    """Typed facts (memory_id, subject, predicate, value, observed_at) of the memories in reach, newest first."""
+    """Typed facts (memory_id, subject, predicate, value, observed_at) of the memories in reach, newest first.
+
+    ``value`` is JSON; facts have it where theirs is the same value, however it is spelled.
+    """
     out = facts.where(F.col("predicate") == predicate)
-    out = out if value is None else out.where(F.col("value") == value)
+    out = out if value is None else out.where(canonical_key(F.col("value")) == canonical_key(F.lit(value)))
     out = out if until is None else out.where(F.col("observed_at") <= until)
     return out.join(memories.select(F.col("id").alias("memory_id")), "memory_id", "left_semi").orderBy(F.desc("observed_at"), "memory_id").limit(k)
 
 
+def same_assertions(facts: DataFrame) -> DataFrame:
+    """(memory_id, first_id, n): of each fact the first one that says the same, and how many do.
+
+    Facts (memory_id, subject, predicate, value, observed_at) say the same where subject, predicate and
+    the JSON value are equal. They are counted by key before they are joined to, so a value that a third of
+    all facts have is one row. Facts whose value isn't JSON say nothing and are left out.
+    """
+    keyed = facts.withColumn("key", canonical_key(F.col("value"))).where("key is not null")
+    by = [F.col("subject"), F.col("predicate"), F.col("key")]
+    first = keyed.groupBy(F.xxhash64("subject", "predicate", F.col("subject").isNull(), "key").alias("h"), *by).agg(F.min(F.struct("observed_at", "memory_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.select("h", F.col("subject").alias("_s"), F.col("predicate").alias("_p"), F.col("key").alias("_k"), F.col("first.memory_id").alias("first_id"), "n")
+    rows = keyed.withColumn("h", F.xxhash64("subject", "predicate", F.col("subject").isNull(), "key"))
+    same = (rows["h"] == first["h"]) & F.col("subject").eqNullSafe(F.col("_s")) & F.col("predicate").eqNullSafe(F.col("_p")) & (F.col("key") == F.col("_k"))
+    return rows.join(first, same).select("memory_id", "first_id", "n")
+
+
 def chain_keys(components: DataFrame, memories: DataFrame) -> DataFrame:
     """(id, chain_key): for chains (id, component) without any keyed member, a key named by the oldest."""
     m = components.join(memories.select("id", "created_at", "state_key"), "id")

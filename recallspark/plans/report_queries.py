@@ -116,3 +116,20 @@ h AS (SELECT component, arg_min(m.id, m.created_at) AS oldest FROM c JOIN m USIN
 def chain_keys(spark, d):
     e = links(spark, d).where("link_type = 'supersedes'").select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
     return reports.chain_keys(components.connected_components(e), memories(spark, d))
+
+
+#: Props of events in several spellings, some with other keys or as text.
+_SPELLED = """CASE event_id % 4 WHEN 0 THEN '{"k": ' || (event_id % 7) || ', "of": [true, null]}' WHEN 1 THEN ' { "of" : [ true , null ], "k" : ' || (event_id % 7) || '.0 }' WHEN 2 THEN '{"k": "' || (event_id % 7) || '", "of": [true, null]}' ELSE 'k=' || (event_id % 7) END"""
+
+
+@query("same_assertions", """WITH f AS (SELECT event_id, user_id % 20 AS subject, event_type, ts, event_id % 7 AS k, event_id % 4 = 2 AS quoted FROM events WHERE event_id % 4 <> 3)
+SELECT event_id AS memory_id, first_value(event_id) OVER (w ORDER BY ts, event_id) AS first_id, count(*) OVER (w) AS n FROM f WINDOW w AS (PARTITION BY subject, event_type, k, quoted)""")
+def same_assertions(spark, d):
+    facts = table(spark, d, "events").select(F.col("event_id").alias("memory_id"), (F.col("user_id") % 20).alias("subject"), F.col("event_type").alias("predicate"), F.expr(_SPELLED).alias("value"), F.col("ts").alias("observed_at"))
+    return reports.same_assertions(facts)
+
+
+@query("assertions_of_value", _M + """ SELECT event_id AS memory_id FROM events WHERE event_type = 'click' AND event_id % 4 < 2 AND event_id % 7 = 3 AND event_id IN (SELECT id FROM m) ORDER BY ts DESC, event_id LIMIT 50""")
+def assertions_of_value(spark, d):
+    facts = table(spark, d, "events").select(F.col("event_id").alias("memory_id"), F.col("user_id").alias("subject"), F.col("event_type").alias("predicate"), F.expr(_SPELLED).alias("value"), F.col("ts").alias("observed_at"))
+    return reports.assertions(facts, memories(spark, d), "click", '{"of": [true, null], "k": 3e0}').select("memory_id")
