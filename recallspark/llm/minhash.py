@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import small_slices, sorted_groups
+from recallspark.llm.common import lean, small_slices, sorted_groups
 from recallspark.operators.components import connected_components
 from recallspark.plans.scratch import Scratch
 from recallspark.plans.shipping import ensure_on_executors
@@ -141,7 +141,7 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                 bands[i] = sketch[i] = None
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("tag"), pa.array(counts, pa.int64()), pa.array(cls, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], ["doc_id", "tag", "n_shingles", "cls", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, tag long, n_shingles long, cls binary, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, tag long, n_shingles long, cls binary, bands array<long>, sketch array<long>")
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
@@ -178,7 +178,7 @@ def _confirm(pairs: DataFrame, source: DataFrame, words: int, threshold: float)
     text = source.select("doc_id", "text")
     one = pairs.join(text.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(text.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return two.select("a", "b", "text_a", "text_b").mapInArrow(lean(run), "a long, b long")
 
 
 def _exhaustive(members: DataFrame, text: DataFrame, words: int, threshold: float, block: int) -> DataFrame:
@@ -262,9 +262,9 @@ def _exhaustive(members: DataFrame, text: DataFrame, words: int, threshold: floa
 
     by = ("key", "s", "m")
     cells = outside.union(inside).repartition(*by).sortWithinPartitions(*by)
-    cells = cells.mapInArrow(plausible, cells.drop("bands").schema)  # only these rows need their texts
+    cells = cells.mapInArrow(lean(plausible), cells.drop("bands").schema)  # only these rows need their texts
     cells = cells.join(text.select(F.col("doc_id").alias("rep"), "text"), "rep").repartition(*by).sortWithinPartitions(*by)
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def _same_id(f: DataFrame, classes: DataFrame) -> DataFrame:

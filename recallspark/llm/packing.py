@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.llm.bpe import SLICE_BYTES, default_vocabulary, encoder
-from recallspark.llm.common import small_slices, texts
+from recallspark.llm.common import lean, small_slices, texts
 from recallspark.plans.scratch import Scratch
 from recallspark.plans.shipping import ensure_on_executors
 
@@ -83,7 +83,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, size: int = SEQUENCE,
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc, start, length, crc, total)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return source.mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def _slots(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -146,7 +146,7 @@ def pack(piece_rows: DataFrame, size: int = SEQUENCE, salts: int = SALTS, group_
 
     w = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
     ranked = rows.withColumn("rank", F.row_number().over(w).cast("long") - 1)
-    return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recallspark.llm.common import held_out, small_slices, text_bytes
+from recallspark.llm.common import held_out, lean, small_slices, text_bytes
 from recallspark.llm.toxicity import labelled_sample
 from recallspark.plans.shipping import ensure_on_executors
 
@@ -231,7 +231,7 @@ def apply_quality(docs: DataFrame, model: dict | None, threshold: float = 0.3, m
             yield pa.RecordBatch.from_arrays([rb.column("doc_id"), rb.column("held_out"), pa.array(score, pa.float64())], ["doc_id", "held_out", "score"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", modulus).alias("held_out"), "text")
-    out = source.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    out = source.mapInArrow(lean(run), "doc_id long, held_out boolean, score double")
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -247,7 +247,7 @@ def keep_good(docs: DataFrame, model: dict | None, threshold: float = 0.3) -> Da
                 rb = rb.filter(pa.array(score_slice(shared.value, *text_bytes(rb, "text")) >= threshold))
             yield rb
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

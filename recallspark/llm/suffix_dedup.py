@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from recallspark.llm.common import small_slices, text_bytes
+from recallspark.llm.common import lean, small_slices, text_bytes
 from recallspark.llm.induced_sort import permuted_prefixes, suffix_array
 from recallspark.plans.scratch import Scratch
 from recallspark.plans.shipping import ensure_on_executors
@@ -361,7 +361,7 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     size = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     source = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(blocks)))
-    marks = source.mapInArrow(_mark(length, gram), "shard long, block long, n long, looks long")
+    marks = source.mapInArrow(lean(_mark(length, gram)), "shard long, block long, n long, looks long")
     whole = Window.partitionBy("shard")
     counted = marks.select("shard", "block", F.sum("n").over(whole).alias("n"), F.sum("looks").over(whole).alias("looks")).where("n > 1")
     level = F.coalesce(*[F.when(F.col("looks") > n, k) for n, k in SPLITS], F.lit(0)).alias("level")
@@ -369,7 +369,7 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     scratch.release_shuffles()
     cut = source.groupBy("block").cogroup(shards.groupBy("block")).applyInArrow(_cut(length, gram), _CUT_DDL)
     dealt = cut.repartition("shard").sortWithinPartitions("shard", "doc_id", "tag", "start")
-    found = scratch.save(dealt.mapInArrow(_sort_shards(length), "doc_id long, tag long, start long, stop long"))
+    found = scratch.save(dealt.mapInArrow(lean(_sort_shards(length)), "doc_id long, tag long, start long, stop long"))
     scratch.drop(shards)
     scratch.release_shuffles()
     return found
@@ -408,7 +408,7 @@ def _cleaned(source: DataFrame, length: int, gram: int) -> DataFrame:
     spans = repeated_spans(source.select("doc_id", "tag", "text"), length, gram).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     joined = source.join(spans, ["doc_id", "tag"], "left")
     figures = StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string, clean_text string")
-    return joined.mapInArrow(_apply, StructType([*joined.select("doc_id", "row").schema, *figures]))
+    return joined.mapInArrow(lean(_apply), StructType([*joined.select("doc_id", "row").schema, *figures]))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
