@@ -53,13 +53,13 @@ def candidate_recall(spark, d):
     return runs.candidate_recall(e, e.where("id % 3 = 0"))
 
 
-_SYSTEMS = "g AS (SELECT 's' || (l_linenumber % 3) AS system, l_orderkey AS question_id, l_returnflag AS reader, CASE WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS question_type, bool_or(l_quantity > 25) AS correct, min(l_quantity) AS tokens FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2, 3, 4)"
+_SYSTEMS = "g AS (SELECT 's' || (l_linenumber % 3) AS system, l_orderkey AS question_id, l_returnflag AS reader, CASE WHEN l_orderkey % 2 = 0 THEN 'even' ELSE 'odd' END AS question_type, bool_or(l_quantity > 25) AS correct, min(l_quantity) AS tokens FROM lineitem GROUP BY 1, 2, 3, 4)"
 _GRADED = "x AS (SELECT system, question_id, min(question_type) AS question_type, bool_or(correct) AS correct FROM g GROUP BY 1, 2)"
 _COMMON = "c AS (SELECT question_id FROM x GROUP BY 1 HAVING count(*) = 3)"
 
 
 def _systems(spark, d):
-    x = table(spark, d, "lineitem").where("l_linenumber <= 3")
+    x = table(spark, d, "lineitem")
     kind = F.when(F.col("l_orderkey") % 2 == 0, "even").otherwise("odd")
     by = [F.concat(F.lit("s"), (F.col("l_linenumber") % 3).cast("string")).alias("system"), F.col("l_orderkey").alias("question_id"), F.col("l_returnflag").alias("reader"), kind.alias("question_type")]
     return x.groupBy(*by).agg(F.bool_or(F.col("l_quantity") > 25).alias("correct"), F.min("l_quantity").alias("tokens"))
@@ -110,10 +110,10 @@ def state_accuracy(spark, d):
     return runs.state_accuracy(probes, answers)
 
 
-@query("guide_violations", "WITH g AS (SELECT CASE WHEN doc_id % 2 = 0 THEN '/p/a' ELSE '/q' END AS namespace, text AS excerpt FROM documents WHERE doc_id % 10 < 2) SELECT namespace, excerpt, 'out of tree' AS violation FROM g WHERE namespace = '/q' UNION ALL SELECT namespace, excerpt, 'leak' FROM g WHERE excerpt IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
+@query("guide_violations", "WITH g AS (SELECT CASE WHEN doc_id % 2 = 0 THEN '/p/a' ELSE '/q' END AS namespace, text AS excerpt FROM documents) SELECT namespace, excerpt, 'out of tree' AS violation FROM g WHERE namespace = '/q' UNION ALL SELECT namespace, excerpt, 'leak' FROM g WHERE excerpt IN (SELECT text FROM documents WHERE doc_id % 3 = 0)")
 def guide_violations(spark, d):
     x = table(spark, d, "documents")
-    g = x.where("doc_id % 10 < 2").select(F.when(F.col("doc_id") % 2 == 0, "/p/a").otherwise("/q").alias("namespace"), F.col("text").alias("excerpt"))
+    g = x.select(F.when(F.col("doc_id") % 2 == 0, "/p/a").otherwise("/q").alias("namespace"), F.col("text").alias("excerpt"))
     return runs.guide_violations(g, x.where("doc_id % 3 = 0").select(F.col("text").alias("content")), "/p")
 
 

@@ -129,8 +129,8 @@ def decoded_rows(spark, d):
     return readers.decoded(rows).select("id", F.array_join("tags", "|").alias("tags"), "valid_from")
 
 
-@query("staged_items", "SELECT doc_id % 200 AS item_id, CASE WHEN doc_id % 200 % 2 = 0 THEN 2 ELSE 1 END AS revision FROM documents WHERE doc_id < 200 AND (doc_id % 2 = 1 OR doc_id % 4 = 0)")
+@query("staged_items", "SELECT doc_id AS item_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS revision FROM documents WHERE doc_id % 2 = 1 OR doc_id % 4 = 0")
 def staged_items(spark, d):
-    x = table(spark, d, "documents").where("doc_id < 200").select("source", F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("content"))
+    x = table(spark, d, "documents").select("source", F.col("doc_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("content"))
     stored = x.where("item_id % 2 = 0").select("source", "item_id", F.lit(1).alias("revision"), F.when(F.col("item_id") % 4 == 0, "other").otherwise(F.sha2("content", 256)).alias("content_hash"), F.lit(1).alias("generation"))
     return readers.staged(x.withColumn("generation", F.lit(2)), stored).select("item_id", "revision")
