@@ -26,6 +26,6 @@ def query(name: str, sql: str | None = None):
 
 def loaded():
     """This module, after all modules that register queries have been imported."""
-    for name in ("queries", "report_queries", "upkeep_queries", "episode_queries", "version_queries", "recall_queries", "run_queries", "text_queries", "lifecycle_queries", "postings_queries", "source_queries", "tree_queries", "turn_queries", "cache_queries", "corpus_queries"):
+    for name in ("queries", "report_queries", "upkeep_queries", "episode_queries", "version_queries", "recall_queries", "run_queries", "text_queries", "lifecycle_queries", "postings_queries", "source_queries", "tree_queries", "turn_queries", "cache_queries", "corpus_queries", "reader_queries"):
         importlib.import_module(f"recallspark.plans.{name}")
     return sys.modules[__name__]
