@@ -33,7 +33,7 @@ from recallspark.llm.common import SPACES
 from recallspark.plans.scratch import Scratch
 from recallspark.plans.shipping import ensure_on_executors
 
-#: Costs of edits, of a truncated row that stays, and the percentage points of damage.
+#: Costs of edits and of a truncated row that stays, and the modulus of damage.
 RETAG, DELETE, INSERT, CUT = 2, 3, 2, 1
 DAMAGE = 20
 #: The pattern of role initials, `(s?(ua)+)?`, as steps from its states; those at which it may end.

@@ -4,7 +4,7 @@ Whole sequences are cut off the front of each document first; only the rest, sho
 is packed. The histogram of rest lengths has as many bins as a sequence has tokens, so the plan is
 made on the driver in bounded memory: lengths are placed longest first, and all documents of a length
 move together by counts. Documents then find their pattern by their rank among the rests of equal
-length; ranks are counted in salted groups with offsets, so no length lands in one task. There are more
+length; ranks are counted in salted groups, whose offsets are a table that rows are joined to, so no length lands in one task. There are more
 groups as rows grow, those of whole sequences without bound, those of rests up to ``MOST_SALTS``.
 
 A sequence that its pieces fill exactly to a power of two needs no padding, all others are padded to
@@ -109,35 +109,30 @@ def pack(piece_rows: DataFrame, size: int = SEQUENCE, salts: int = SALTS, group_
     groups = max(salts, math.ceil(saved.count() / group_rows))
     several = F.when(F.col("length") == size, groups).otherwise(min(groups, max(salts, MOST_SALTS)))
     rows = saved.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), several).cast("int"))
-    counts = rows.groupBy("length", "salt").count().collect()  # at most size * MOST_SALTS rows, and one for each group of whole sequences
-    histogram: dict[int, int] = {}
-    for r in counts:
-        histogram[r["length"]] = histogram.get(r["length"], 0) + r["count"]
+    counts = scratch.save(rows.groupBy("length", "salt").count())
+    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most ``size`` rows
     whole = histogram.pop(size, 0)
     patterns = shortest_pack_first(histogram, size)
     packed = sum(n for n, _ in patterns)
     slots = _slots(patterns)
     slots[size] = (np.array([0]), np.array([packed]), np.array([0])) if whole else (np.zeros(0, np.int64),) * 3
-    first: dict[tuple[int, int], int] = {}
-    running: dict[int, int] = {}
-    for r in sorted(counts, key=lambda r: (r["length"], r["salt"])):
-        first[r["length"], r["salt"]] = running.get(r["length"], 0)
-        running[r["length"]] = running.get(r["length"], 0) + r["count"]
-    shared = spark.sparkContext.broadcast((first, slots))  # bounded by size * salts and by size squared
+    shared = spark.sparkContext.broadcast(slots)  # bounded by size squared
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.select("length", "salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("first"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, slots = shared.value
+        slots = shared.value
         for rb in batches:
             if not rb.num_rows:
                 continue
-            length, salt, rank = (rb.column(c).to_numpy() for c in ("length", "salt", "rank"))
+            length, rank = rb.column("length").to_numpy(), rb.column("rank").to_numpy()
             seq, off = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
             order = np.argsort(length, kind="stable")
             bounds = np.flatnonzero(np.diff(length[order], prepend=-1))
             for a, b in zip(bounds, [*bounds[1:], len(order)]):
                 own = order[a:b]
                 x = int(length[own[0]])
-                ranks = rank[own] + np.array([first[x, s] for s in salt[own].tolist()], np.int64)
+                ranks = rank[own]
                 starts, sequences, offsets = slots[x]
                 k = np.searchsorted(starts, ranks, side="right") - 1
                 seq[own], off[own] = sequences[k] + ranks - starts[k], offsets[k]
@@ -145,7 +140,7 @@ def pack(piece_rows: DataFrame, size: int = SEQUENCE, salts: int = SALTS, group_
             yield pa.RecordBatch.from_arrays([*keep, pa.array(seq), pa.array(off)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     w = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(w).cast("long") - 1)
+    ranked = rows.withColumn("place", F.row_number().over(w).cast("long") - 1).join(firsts, ["length", "salt"]).withColumn("rank", F.col("place") + F.col("first"))
     return ranked.mapInArrow(lean(place), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

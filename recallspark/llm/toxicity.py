@@ -5,7 +5,8 @@ rows of its character 3- to 5-grams. Words over 40 bytes are read as parts that
 so that every gram is in some part. Rows start with the log odds that training documents with the
 word or gram are toxic; of the grams' odds the highest is taken. Two gated recurrent layers read each window of words in
 both directions, attention pools their states, and a logistic unit scores the window. Windows
-overlap by half, all are scored, and a document scores as its highest window.
+overlap by half, so that a phrase of up to half a window lies whole in one of them, and all are scored.
+A document's score weighs its best windows and two averages over all of them, by a logistic regression.
 
 Training takes windows of labelled documents: all of a clean document's, and of a toxic one those
 with the highest score so far, as the label says that some window is toxic, not which.
