@@ -22,8 +22,8 @@ def _folder(spark) -> str:
     return f"{Scratch.of(spark).root}/files-{uuid.uuid4().hex}"
 
 
-@query("opened_vectors", "SELECT vec_id AS id, vec_id % 7 = 0 AS stale FROM embeddings")
-def opened_vectors(spark, d):
+@query("store_vectors", "SELECT vec_id AS id, vec_id % 7 = 0 AS stale FROM embeddings")
+def store_vectors(spark, d):
     """A store's declared tables, some vectors of which have lost a component."""
     folder, v = _folder(spark), _vectors(spark, d)
     shorter = F.when(F.col("id") % 7 == 0, F.slice("embedding", 1, 63)).otherwise(F.col("embedding"))
