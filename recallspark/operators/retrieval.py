@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recallspark.functions import scoring
-from recallspark.functions.text import tokens
+from recallspark.functions.text import folded, token_count, tokens
 from recallspark.plans.scratch import Scratch
 
 K1, B, CONTENT_WEIGHT, TAG_WEIGHT = 1.2, 0.75, 10.0, 5.0
@@ -65,6 +65,11 @@ def counted(hits: DataFrame, terms: int, weights: tuple[float, ...], rows: int,
     return c
 
 
+def each_once(rows: DataFrame) -> DataFrame:
+    """The same rows, whose columns later filters and projections read and don't compute again."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def count_terms(rows: DataFrame, terms: list[str], fields: dict[str, float] | None = None, prefix: bool = False, phrase: bool = False, key: str = "id") -> Counted:
     """Counts terms in one pass over the texts; the scope is what the caller passes.
 
@@ -73,22 +78,21 @@ def count_terms(rows: DataFrame, terms: list[str], fields: dict[str, float] | No
     Document frequencies count keys.
     """
     fields = fields or {"content": CONTENT_WEIGHT}
-    length = sum((F.length(F.coalesce(F.col(f), F.lit(""))) for f in fields), F.lit(0))
-
-    def count_of(term: str, words: str) -> Column:
-        return F.size(F.filter(words, lambda t: t.startswith(term) if prefix else t == term)).cast("double")
 
-    def counts_of(words: str) -> list[Column]:
+    def counts_of(text: str) -> list[Column]:
         if phrase:
-            joined = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+            joined = F.concat(F.lit(" "), F.array_join(tokens(F.col(text)), " "), F.lit(" "))
             return [joined.contains(" " + " ".join(terms) + " ").cast("double")]
-        return [count_of(w, words) for w in terms]
+        return [token_count(F.col(text), w, prefix).cast("double") for w in terms]
 
-    words = [tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"w{j}") for j, f in enumerate(fields)]
-    found = rows.select(F.col(key).alias("id"), length.cast("double").alias("dl"), *words)
+    # rows come out of generators, below which no filter goes: texts and counts are computed once for each row
+    rows = each_once(rows.select(F.col(key).alias("id"), *[F.coalesce(F.col(f), F.lit("")).alias(f"x{j}") for j, f in enumerate(fields)]))
+    length = sum((F.length(f"x{j}") for j in range(len(fields))), F.lit(0))
+    found = rows if phrase else each_once(rows.select("id", length.cast("double").alias("dl"), *[folded(F.col(f"x{j}")).alias(f"x{j}") for j in range(len(fields))]))
+    dl = length.cast("double").alias("dl") if phrase else F.col("dl")
     n = 1 if phrase else len(terms)
     names = count_names(n, len(fields))
-    found = found.select("id", "dl", *[c.alias(f"tf{i}_{j}") for j in range(len(fields)) for i, c in enumerate(counts_of(f"w{j}"))])
+    found = each_once(found.select("id", dl, *[c.alias(f"tf{i}_{j}") for j in range(len(fields)) for i, c in enumerate(counts_of(f"x{j}"))]))
     found = found.where(F.greatest(*map(F.col, names), F.lit(0.0), F.lit(0.0)) > 0)
     hits = Scratch.of(rows.sparkSession).save(found)
     size, mean = rows.agg(F.count(F.lit(1)), F.avg(length)).first()
