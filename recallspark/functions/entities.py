@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recallspark.functions.text import ascii_bounds
+from recallspark.functions.text import ascii_bounds, once
 
 #: Fixed values: (type, pattern, group) in the order in which they are tried.
 ENTITY_RULES = (
@@ -25,6 +25,8 @@ ENTITY_RULES = (
     ("url", r"""https?:\/\/[^\s)\]}>"']+""", 0),
     ("error", r"\b(?:[A-Za-z]+Error|Error):\s*[^\n]+", 0),
 )
+#: What a text must hold for each of them to fit anywhere, as a part or, in a tuple, by a cheap pattern.
+ENTITY_NEEDS = ("/", "*.", "function", "const", "(", "class", "interface", "type", "`", (r"\p{Upper}[\p{Upper}\p{Digit}_]{2}",), "#", "import", "require(", "://", "Error:")
 MOST_ENTITIES = 30
 
 #: Words that a query for entities passes over.
@@ -39,14 +41,16 @@ ENTITY_STOPWORDS = (
 def entities(text: Column) -> Column:
     """Array of (entity_text, entity_type), at most thirty; the first of spellings that differ in case stays."""
 
-    def found(kind: str, pattern: str, group: int) -> Column:
+    def found(kind: str, pattern: str, group: int, need: str | tuple[str]) -> Column:
         hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ascii_bounds(pattern)), F.lit(group))
+        needed = text.contains(need) if isinstance(need, str) else text.rlike(need[0])
+        hits = F.when(needed, hits).otherwise(F.array().cast("array<string>"))
         return F.transform(hits, lambda x: F.struct(F.trim(x).alias("entity_text"), F.lit(kind).alias("entity_type")))
 
-    every = F.filter(F.flatten(F.array(*[found(*rule) for rule in ENTITY_RULES])), lambda e: e["entity_text"] != "")
-    keys = F.transform(every, lambda e: F.lower(e["entity_text"]))
-    first = F.transform(F.array_distinct(keys), lambda k: F.get(every, (F.array_position(keys, k) - 1).cast("int")))
-    return F.slice(first, 1, MOST_ENTITIES)
+    every = F.filter(F.flatten(F.array(*[found(*rule, need) for rule, need in zip(ENTITY_RULES, ENTITY_NEEDS, strict=True)])), lambda e: e["entity_text"] != "")
+    keys = lambda found: F.transform(found, lambda e: F.lower(e["entity_text"]))
+    first = lambda found, k: F.transform(F.slice(F.array_distinct(k), 1, MOST_ENTITIES), lambda x: F.get(found, (F.array_position(k, x) - 1).cast("int")))
+    return once(every, lambda found: once(keys(found), lambda k: first(found, k)))
 
 
 def entity_terms(query: Column) -> Column:

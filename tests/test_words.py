@@ -40,3 +40,15 @@ def test_texts_are_normalised_once(texts, monkeypatch):
     got = channels.identifier_search(texts, ["the", "server"]).collect()
     assert [plan.count("concat_ws(") for plan in plans] == [1]
     assert {r.id for r in got} == {i for i, t in enumerate(TEXTS) if t and any(w in re.split("[^a-z0-9]+", t.lower()) for w in ("the", "server"))}
+
+
+def test_entities_are_found_once(spark):
+    many = " ".join(f"A_{i:03d} a_{i % 40:03d}" for i in range(50))
+    texts = [many, "see src/a.py and SRC/A.PY, class Tree `Tree` import x from 'y/z'", "fooBar (1) *.tsx #tag https://a.b/c TypeError: no\nError: yes", "const f = ( require('q') interface Box type Kind function go", "nothing here", None]
+    rows = channels.entity_rows(spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "id long, content string, created_at long"))
+    assert rows._jdf.queryExecution().executedPlan().toString().count("flatten(") == 1
+    got = [[(r.entity_text, r.entity_type) for r in rows.where(f"memory_id = {i}").collect()] for i in range(6)]
+    assert got[0] == [(f"A_{i:03d}", "symbol") for i in range(30)] and got[4:] == [[], []]
+    assert got[1] == [("src/a.py", "file_path"), ("Tree", "class"), ("SRC", "symbol"), ("y/z", "library")]
+    assert got[2] == [("*.tsx", "file_path"), ("fooBar", "function"), ("#tag", "symbol"), ("https://a.b/c", "url"), ("TypeError: no", "error"), ("Error: yes", "error")]
+    assert got[3] == [("go", "function"), ("f", "function"), ("Box", "class"), ("Kind", "class"), ("q", "library")]
