@@ -95,10 +95,11 @@ class PostingsIndex:
         """term, id, dl and the count in each field."""
         rows = self._rows(docs)
         length = sum((F.length(f) for f, _ in self.fields), F.lit(0)).cast("int").alias("dl")
-        parts = [rows.select("id", length, F.explode(tokens(F.col(f))).alias("term"), F.lit(j).alias("field")) for j, (f, _) in enumerate(self.fields)]
-        every = parts[0]
-        for p in parts[1:]:
-            every = every.union(p)
+        # all words of a row in one list: counts of (term, id) need no other exchange than that of the ids
+        marked = lambda f, j: F.transform(tokens(F.col(f)), lambda t: F.struct(t.alias("term"), F.lit(j).alias("field")))
+        each = [marked(f, j) for j, (f, _) in enumerate(self.fields)]
+        # lengths come out of a generator of their own: computed after the words' they would be computed for each word
+        every = rows.select("id", F.inline(F.array(F.struct(length, F.concat(*each).alias("words"))))).select("id", "dl", F.inline("words"))
         counts = [F.count_if(F.col("field") == j).cast("int").alias(f) for j, (f, _) in enumerate(self.fields)]
         return every.groupBy("term", "id").agg(F.first("dl").alias("dl"), *counts)
 

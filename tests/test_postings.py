@@ -114,3 +114,10 @@ def test_ids_missing_and_repeated_and_empty_tables(spark):
     assert sorted(r.id for r in index.documents().collect()) == [-5, 1]
     none = PostingsIndex.create(docs.limit(0), folder(spark), FIELDS, buckets=4)
     assert none.count(["alpha"]).rows == 0 and none.best(["alpha"], 3).count() == 0 and none.frequencies().count() == 0
+
+
+def test_lengths_are_counted_before_words(spark, rows, index):
+    plan = index._counted(frame(spark, rows).repartition(2))._jdf.queryExecution().executedPlan().toString()
+    words = next(line for line in plan.splitlines() if "Generate inline(words" in line)
+    assert "[id" in words and "content" not in words.split("inline(words")[1]  # a word carries its text's length, not the text
+    assert plan.count("Exchange hashpartitioning(") == 1
