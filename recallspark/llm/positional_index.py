@@ -112,7 +112,7 @@ class PositionalIndex:
                     yield _segment(words, {"row": row, "doc_id": doc, "words": n, "own": n, "first": np.zeros(len(n), np.int64)})
 
         rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("row", F.monotonically_increasing_id())
-        return cls(Scratch.of(docs.sparkSession).save(rows.mapInArrow(run, INDEX)), overlap)
+        return cls(Scratch.of(docs.sparkSession).save(rows.mapInArrow(run, INDEX), large_rows=True), overlap)
 
     def occurrences(self) -> DataFrame:
         """term, n_segments and n: how often each term occurs in all documents."""

@@ -115,3 +115,14 @@ def test_occurrences_and_empty_tables(spark, rows):
     assert pi.phrase_matches(pi.PositionalIndex.build(none), listed).count() == 0
     out = pi.phrase_matches(index, listed.limit(0)).collect()
     assert len(out) == len(docs) and not any(r.n_hit or r["items"] for r in out)
+
+
+def test_index_has_small_row_groups(spark):
+    import pyarrow.parquet as pq
+
+    text = "concat_ws(' ', transform(sequence(1, 1 << 15), x -> hex(xxhash64(id, x))))"
+    docs = spark.range(0, 128, numPartitions=1).selectExpr("id AS doc_id", f"{text} AS text")
+    index = pi.PositionalIndex.build(docs, segment_bytes=1 << 20)
+    groups = [m.row_group(i) for f in index.table.inputFiles() for m in [pq.read_metadata(f.removeprefix("file://").removeprefix("file:"))] for i in range(m.num_row_groups)]
+    # a task holds a row group while it writes or reads, whatever it has to index
+    assert sum(g.total_byte_size for g in groups) > 48 << 20 and max(g.total_byte_size for g in groups) < 32 << 20
