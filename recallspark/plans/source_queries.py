@@ -25,7 +25,8 @@ def _synced(spark, d) -> SourceState:
         F.concat("event_type", (i % 3).cast("string")).alias("revision"), F.concat(F.lit("is "), "event_type").alias("content"), F.lit(None).cast("long").alias("occurred_at"),
     )
     root = f"{Scratch.of(spark).root}/source-{uuid.uuid4().hex}"
-    feed.write.parquet(f"{root}/feed")
+    # in order and in small row groups, so that a range's task reads little beside it
+    feed.repartitionByRange("seq").sortWithinPartitions("seq").write.option("parquet.block.size", 4 << 20).parquet(f"{root}/feed")
     state = SourceState(spark, f"{root}/state")
     sync(spark, ParquetFeed(f"{root}/feed"), state, f"{root}/checkpoint", page=50_000)
     return state

@@ -1,9 +1,11 @@
 """Change feeds of external sources: a streaming source with its own offsets, and pages applied once.
 
-``change_stream`` reads a connector in pages. An offset is the cursor after a page and the page's
-generation; a page is read by tasks in ranges. ``SourceState`` keeps what was applied: immutable
-revisions, tombstones and a journal of pages. A page becomes visible with its journal entry, so a page
-that failed midway is applied again from the start, and a page that is already there is only compared by its digest.
+``change_stream`` reads a connector in pages. An offset is the cursor after a micro-batch's last page, that page's
+generation and the steps of a page; a micro-batch's pages are read by tasks in ranges. ``SourceState`` keeps what
+was applied: immutable revisions, tombstones and a journal of pages. Pages become visible with their journal entries,
+so pages that failed midway are applied again from the start, and a page that is already there is only compared by
+its digest. Pages of a micro-batch are applied together, with the results and entries of pages applied one by one;
+if one of them is refused, those before it are applied singly.
 
 Within an item, changes count in the feed's order. A deleted item never comes back, under no revision;
 a revision that was seen never becomes current again, and must not change its content.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import sha256
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,6 +33,8 @@ CHANGE = "seq long, kind string, external_id string, revision string, content st
 PAGED = CHANGE + ", page_start long, page_end long, generation long"
 #: Cursor steps of a page, and at most.
 PAGE, MOST_PAGE = 100, 1_000_000
+#: Pages and cursor steps that ``sync`` applies together at most, and tasks that read them.
+BATCH_PAGES, BATCH_STEPS, MOST_PARTS = 1_000, 4_000_000, 64
 
 
 class Connector(Protocol):
@@ -61,9 +66,11 @@ class ParquetFeed:
         import pyarrow.compute as pc
 
         last = -1
-        for batch in self._table().to_batches(columns=["seq"]):
-            if batch.num_rows:
-                last = max(last, pc.max(batch.column("seq")).as_py())
+        for part in self._table().get_fragments():
+            told = [g.statistics.get("seq", {}).get("max") if g.statistics else None for g in part.row_groups if g.num_rows]
+            if None in told:  # files whose writer kept no statistics are read
+                told = [pc.max(b.column("seq")).as_py() for b in part.to_batches(columns=["seq"]) if b.num_rows]
+            last = max([last, *told])
         return last + 1
 
     def changes(self, start: int, end: int) -> Iterator[tuple]:
@@ -84,33 +91,37 @@ def change_source(connector: Connector, name: str = "change_pages"):
     class Reader(DataSourceStreamReader):
         def __init__(self, options):
             self.page, self.parts = int(options.get("page", PAGE)), int(options.get("parts", 4))
-            self.at = {"cursor": int(options.get("cursor", 0)), "generation": int(options.get("generation", 0))}
+            self.pages = int(options.get("pages", 1))
+            self.at = {"cursor": int(options.get("cursor", 0)), "generation": int(options.get("generation", 0)), "page": self.page}
 
         def initialOffset(self) -> dict:
             return dict(self.at)
 
         def latestOffset(self) -> dict:
-            # asked several times for one page: only a planned page moves the place from which the next is told
-            end = min(connector.head(), self.at["cursor"] + self.page)
-            return {"cursor": end, "generation": self.at["generation"] + 1} if end > self.at["cursor"] else dict(self.at)
+            # asked several times for one batch: only a planned batch moves the place from which the next is told
+            at = self.at["cursor"]
+            end = min(connector.head(), at + self.page * self.pages)
+            return {"cursor": end, "generation": self.at["generation"] - (at - end) // self.page, "page": self.page} if end > at else dict(self.at)
 
         def partitions(self, start: dict, end: dict):
             self.commit(end)
             a, b = start["cursor"], end["cursor"]
-            n = max(1, min(self.parts, b - a))
+            step = end.get("page", b - a)
+            n = max(1, min(self.parts * (end["generation"] - start["generation"]), max(self.parts, MOST_PARTS), b - a))
             cuts = [a + (b - a) * i // n for i in range(n + 1)]
-            return [InputPartition((x, y, a, b, end["generation"])) for x, y in zip(cuts, cuts[1:]) if y > x]
+            return [InputPartition((x, y, a, b, step, start["generation"])) for x, y in zip(cuts, cuts[1:]) if y > x]
 
         def commit(self, end: dict) -> None:
             if end["generation"] > self.at["generation"]:
                 self.at = dict(end)
 
         def read(self, partition):
-            x, y, *page = partition.value
-            if x == page[0]:
-                yield (None, "page", None, None, None, None, *page)
+            x, y, a, b, step, before = partition.value
+            page = lambda i: (a + i * step, min(a + (i + 1) * step, b), before + 1 + i)
+            for i in range((x - a + step - 1) // step, (y - a + step - 1) // step):  # pages that begin here
+                yield (None, "page", None, None, None, None, *page(i))
             for change in connector.changes(x, y):
-                yield (*change, *page)
+                yield (*change, *page((change[0] - a) // step))
 
     class Source(DataSource):
         @classmethod
@@ -167,30 +178,52 @@ class SourceState:
 
     def apply(self, page: DataFrame, start: int, end: int, generation: int) -> dict:
         """Applies a page of changes and returns its counts; ``replay`` where it was there already."""
+        return self.apply_pages(page.withColumn("generation", F.lit(generation).cast("long")), [(start, end, generation)])[0]
+
+    def apply_pages(self, changes: DataFrame, pages: list[tuple[int, int, int]]) -> list[dict]:
+        """Applies pages (start, end, generation) that follow each other and returns the counts of each; ``changes`` have their page's generation."""
         scratch = Scratch.of(self.spark)
-        rows = page.select("seq", "kind", F.coalesce("external_id", F.lit("")).alias("external_id"), F.coalesce("revision", F.lit("")).alias("revision"), F.coalesce("content", F.lit("")).alias("content"), "occurred_at")
+        rows = changes.select("seq", "kind", F.coalesce("external_id", F.lit("")).alias("external_id"), F.coalesce("revision", F.lit("")).alias("revision"), F.coalesce("content", F.lit("")).alias("content"), "occurred_at", "generation")
         rows = scratch.save(rows)
         try:
-            return self._apply(rows, start, end, generation)
+            return self._apply(rows, pages)
+        except ValueError:
+            if len(pages) == 1:
+                raise
+            # those before the refused page count
+            return [self._apply(rows.where(F.col("generation") == page[2]), [page])[0] for page in pages]
         finally:
             scratch.drop(rows)
 
-    def _apply(self, rows: DataFrame, start: int, end: int, generation: int) -> dict:
-        every: list[Column] = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in rows.columns]
+    def _apply(self, rows: DataFrame, pages: list[tuple[int, int, int]]) -> list[dict]:
+        every: list[Column] = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in rows.columns if c != "generation"]
         each = F.sha2(F.concat_ws("\1", *every), 256)
         # sums of the changes' digests: the same in any order, and combined before they are gathered
         sums = [F.sum(F.conv(F.substring(each, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")) for i in range(4)]
         known_kind = F.col("kind").isin("upsert", "delete")
-        told = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(known_kind, F.lit(False))).alias("strange"), F.sha2(F.concat_ws(",", *[x.cast("string") for x in sums]), 256).alias("hash")).first()
-        if told["strange"]:
-            raise ValueError(f"{told['strange']} changes of unknown kinds")
-        entry = self.journal().where(F.col("generation") == generation).first()
-        if entry is not None:
-            if (entry["page_hash"], entry["from_cursor"], entry["next_cursor"]) != (told["hash"], start, end):
+        digest = F.sha2(F.concat_ws(",", *[x.cast("string") for x in sums]), 256)
+        told = rows.groupBy("generation").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce(known_kind, F.lit(False))).alias("strange"), F.count_if(F.col("kind") == "delete").alias("deleted"), digest.alias("hash"))
+        told = {r["generation"]: r for r in told.collect()}  # a row for each page
+        if strange := sum(r["strange"] for r in told.values()):
+            raise ValueError(f"{strange} changes of unknown kinds")
+        hashes = {g: told[g]["hash"] if g in told else sha256(b"").hexdigest() for _, _, g in pages}
+        there = {r["generation"]: r for r in self.journal().where(F.col("generation").between(pages[0][2], pages[-1][2])).collect()}
+        for start, end, generation in pages:
+            entry = there.get(generation)
+            if entry is not None and (entry["page_hash"], entry["from_cursor"], entry["next_cursor"]) != (hashes[generation], start, end):
                 raise ValueError("a page that was applied came back with other changes")
-            return {k: entry[k] for k in ("upserted", "deleted", "skipped")} | {"replay": True}
-        if self.position() != (start, generation - 1):
-            raise ValueError("a page doesn't begin where the last one ended")
+        new_pages = [p for p in pages if p[2] not in there]
+        last = self.position() if new_pages else None
+        for start, end, generation in new_pages:
+            if last != (start, generation - 1):
+                raise ValueError("a page doesn't begin where the last one ended")
+            last = (end, generation)
+        counts = {g: {k: r[k] for k in ("upserted", "deleted", "skipped")} | {"replay": True} for g, r in there.items()}
+        if new_pages:
+            counts |= self._write(rows.where(F.col("generation") >= new_pages[0][2]), new_pages, told, hashes)
+        return [counts[g] for _, _, g in pages]
+
+    def _write(self, rows: DataFrame, pages: list[tuple[int, int, int]], told: dict, hashes: dict[int, str]) -> dict[int, dict]:
         rows = rows.withColumn("content_hash", F.sha2(F.concat_ws("\1", "content", F.coalesce(F.col("occurred_at").cast("string"), F.lit(""))), 256))
         deleted = rows.where("kind = 'delete'").groupBy("external_id").agg(F.min("seq").alias("gone"))
         upserts = rows.where("kind = 'upsert'").join(deleted, "external_id", "left").where("gone is null or seq < gone").drop("gone")
@@ -200,44 +233,56 @@ class SourceState:
         other = both.groupBy("external_id", "revision").agg(F.min("content_hash").alias("lo"), F.max("content_hash").alias("hi"), F.min("was").alias("was"))
         if not other.where("lo <> hi or (was is not null and was <> lo)").isEmpty():
             raise ValueError("a revision came back with other content")
-        first = F.min(F.struct("seq", "content", "content_hash", "occurred_at")).alias("f")
+        first = F.min(F.struct("seq", "content", "content_hash", "occurred_at", "generation")).alias("f")
         new = both.where("was is null").groupBy("external_id", "revision").agg(first)
-        new = new.select("external_id", "revision", "f.content", "f.content_hash", "f.occurred_at", "f.seq", F.lit(generation).cast("long").alias("generation"))
-        folder = self._pages.folder(generation)
+        new = new.select("external_id", "revision", "f.content", "f.content_hash", "f.occurred_at", "f.seq", "f.generation")
+        folder = self._pages.folder(pages[-1][2])
         new.write.mode("overwrite").parquet(f"{folder}/revisions")
-        deleted.select("external_id", F.lit(generation).cast("long").alias("generation")).write.mode("overwrite").parquet(f"{folder}/tombstones")
-        upserted = self.spark.read.parquet(f"{folder}/revisions").count()
-        n_deleted = rows.where("kind = 'delete'").count()
-        counts = {"upserted": upserted, "deleted": n_deleted, "skipped": told["n"] - upserted - n_deleted}
-        line = [(generation, start, end, told["hash"], *counts.values())]
+        rows.where("kind = 'delete'").select("external_id", "generation").distinct().write.mode("overwrite").parquet(f"{folder}/tombstones")
+        upserted = {r["generation"]: r["count"] for r in self.spark.read.parquet(f"{folder}/revisions").groupBy("generation").count().collect()}
+        counts = {}
+        for _, _, g in pages:
+            n, gone = (told[g]["n"], told[g]["deleted"]) if g in told else (0, 0)
+            counts[g] = {"upserted": upserted.get(g, 0), "deleted": gone, "skipped": n - upserted.get(g, 0) - gone}
+        lines = [(g, start, end, hashes[g], *counts[g].values()) for start, end, g in pages]
         schema = "generation long, from_cursor long, next_cursor long, page_hash string, upserted long, deleted long, skipped long"
-        self.spark.createDataFrame(line, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/journal")  # the page is visible from here
-        return counts | {"replay": False}
+        self.spark.createDataFrame(lines, schema).coalesce(1).write.mode("overwrite").parquet(f"{folder}/journal")  # the pages are visible from here
+        return {g: c | {"replay": False} for g, c in counts.items()}
 
 
-def change_stream(spark: SparkSession, connector: Connector, state: SourceState, page: int = PAGE, parts: int = 4) -> DataFrame:
-    """The feed from where the state's last page ended, one page to a micro-batch."""
+def change_stream(spark: SparkSession, connector: Connector, state: SourceState, page: int = PAGE, parts: int = 4, pages: int = 1) -> DataFrame:
+    """The feed from where the state's last page ended, so many pages to a micro-batch at most."""
     if not 1 <= page <= MOST_PAGE:
         raise ValueError(f"a page has 1 to {MOST_PAGE} steps")
     cursor, generation = state.position()
     source = change_source(connector)
     spark.dataSource.register(source)
-    return spark.readStream.format(source.name()).options(page=page, parts=parts, cursor=cursor, generation=generation).load()
+    return spark.readStream.format(source.name()).options(page=page, parts=parts, pages=pages, cursor=cursor, generation=generation).load()
 
 
 def sync(spark: SparkSession, connector: Connector, state: SourceState, checkpoint: str, page: int = PAGE, apply: Callable | None = None) -> None:
-    """Applies all pages there are, then stops. ``apply(state, rows, start, end, generation)`` may stand for ``state.apply``.
+    """Applies all pages there are, then stops. ``apply(state, rows, start, end, generation)`` may stand for ``state.apply``; it gets pages one by one.
 
-    A page carries its own range, so a micro-batch that comes again after a failure is the same page.
+    Pages carry their own ranges, so a micro-batch that comes again after a failure has the same pages.
     """
+    scratch = Scratch.of(spark)
+    together = 1 if apply else max(1, min(BATCH_PAGES, BATCH_STEPS // page))
 
     def batch(rows: DataFrame, number: int) -> None:
-        page = rows.where("kind = 'page' and seq is null").first()
-        if page is not None:
-            changes = rows.where("seq is not null").drop("page_start", "page_end", "generation")
-            (apply or SourceState.apply)(state, changes, page["page_start"], page["page_end"], page["generation"])
+        rows = scratch.save(rows)  # the feed is read once
+        try:
+            marks = rows.where("kind = 'page' and seq is null").select("page_start", "page_end", "generation").collect()
+            pages = sorted(map(tuple, marks), key=lambda p: p[2])
+            changes = rows.where("seq is not null").drop("page_start", "page_end")
+            if apply:
+                for start, end, generation in pages:
+                    apply(state, changes.where(F.col("generation") == generation).drop("generation"), start, end, generation)
+            elif pages:
+                state.apply_pages(changes, pages)
+        finally:
+            scratch.drop(rows)
 
-    query = change_stream(spark, connector, state, page).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+    query = change_stream(spark, connector, state, page, pages=together).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
     try:
         query.processAllAvailable()
     finally:

@@ -122,3 +122,25 @@ def test_growing_feed_and_refusals(spark):
     assert state.apply(good, 5, 7, 3)["replay"] and state.apply(good.limit(0), 7, 9, 4)["upserted"] == 0
     with pytest.raises(ValueError):
         change_stream(spark, ParquetFeed(path), state, 0)
+
+
+def test_pages_are_applied_together(spark, feed, changes, monkeypatch):
+    applied, real = [], SourceState._write
+    monkeypatch.setattr(SourceState, "_write", lambda self, rows, pages, *a: applied.append(len(pages)) or real(self, rows, pages, *a))
+    together, single = (SourceState(spark, folder(spark, "state")) for _ in range(2))
+    sync(spark, feed, together, folder(spark, "checkpoint"), 40)
+    assert applied == [-(-feed.head() // 40)]  # one write for all pages
+    sync(spark, feed, single, folder(spark, "checkpoint"), 40, lambda *a: SourceState.apply(*a))
+    assert state_of(together) == state_of(single)
+    stones = lambda s: sorted(tuple(r) for r in s.tombstones().collect())
+    assert stones(together) == stones(single)
+
+
+def test_refused_page_keeps_those_before(spark):
+    path = folder(spark, "feed")
+    rows = [(0, "upsert", "a", "1", "x", None), (1, "upsert", "b", "1", "y", None), (2, "upsert", "a", "1", "other", None), (3, "upsert", "c", "1", "z", None)]
+    spark.createDataFrame(rows, CHANGE).write.parquet(path)
+    state = SourceState(spark, folder(spark, "state"))
+    with pytest.raises(StreamingQueryException):
+        sync(spark, ParquetFeed(path), state, folder(spark, "checkpoint"), 1)
+    assert state.position() == (2, 2) and set(state_of(state)[0]) == {"a", "b"}
