@@ -217,3 +217,16 @@ def test_common_prefix_and_rules(spark):
     rule = lambda t: spark.range(1).select(upkeep.admission(F.lit(t)).alias("a")).first().a
     assert [tuple(rule(t)) for t in ("key AKIA" + "A" * 16, "<b></b>", "ok", "no issues found in the drill", "it works as told")] == [("reject", "secrets"), ("reject", "junk"), ("warn", "junk"), ("warn", "negative-result"), ("allow", None)]
     assert sum(scoring.WEIGHT_PROFILES["lookup"].values()) == pytest.approx(1.0)
+
+
+def test_rules_are_tried_where_they_can_fit(spark):
+    old = F.length(F.regexp_replace(F.regexp_replace("t", "<[^>]*>", " "), "[^A-Za-z0-9]", ""))
+    old = F.when(F.coalesce(old, F.lit(0)) == 0, "empty").when(F.length("t") > text.MOST_CHARS, "too long").when(old < text.LEAST_ALNUM, "thin")
+    shapes = F.coalesce(*[F.when(F.col("t").rlike(text.ascii_bounds(p)), F.lit(k)) for k, p in text.SECRET_SHAPES.items()])
+    texts = [None, "", "é—", "<b>abc</b>", "<b>a b c d e f g</b> h", "a<b", "<abcdefgh", "1234567", "1 2 3\n4 5é6 7 8", "a" * 24_001, "é" * 24_001, "-----BEGIN RSA PRIVATE KEY-----", "AKIA" + "B" * 16, "xAKIA" + "B" * 16, "ghp_" + "a1" * 18, "xoxb-0123456789ab", "sk-" + "a" * 20, "AIza" + "b" * 35]
+    texts += ["eyJ" + "a" * 10 + "." + "b" * 10 + "." + "c" * 5, "Postgres://me:secret@host", "AUTHORIZATION: " + "q" * 16, "Bearer " + "z" * 16, "My Password is hunter2222", "API-KEY = abcd1234", "apikey:" + "x" * 16, "pwd: short", "a token of thanks"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", old.alias("j"), text.junk_reason(F.col("t")).alias("junk"), shapes.alias("s"), text.secret_shape(F.col("t")).alias("shape")).collect()
+    assert all((r.j, r.s) == (r.junk, r.shape) for r in rows) and {r.s for r in rows} == {None, *text.SECRET_SHAPES} and {r.j for r in rows} == {None, "empty", "too long", "thin"}
+    plan = df.select(upkeep.admission(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "[^A-Za-z0-9], " not in plan  # no text is replaced character by character
