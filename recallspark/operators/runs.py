@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recallspark.functions import scoring
 from recallspark.operators import evaluation, visibility
+from recallspark.plans.scratch import Scratch
 
 #: lists' lengths that are measured, and questions below which a comparison is thin.
 KS, LOW_N = (1, 5, 10), 30
@@ -99,6 +100,8 @@ def paired(rows: DataFrame, left: str, right: str) -> DataFrame:
 def compared(rows: DataFrame, by_type: bool = False) -> DataFrame:
     """Each pair of systems over the questions that all have: accuracies, wins on either side, exact
     McNemar p, its Holm adjustment, and whether the questions are few."""
+    scratch = Scratch.of(rows.sparkSession)
+    rows = scratch.save(rows.select("system", "question_id", "question_type", "correct"))  # read four times
     common = rows.join(common_questions(rows), "question_id", "left_semi").select("system", "question_id", "question_type", F.col("correct").cast("int").alias("c"))
     key = ["question_type"] if by_type else []
     a = common.select("question_id", *key, F.col("system").alias("left"), F.col("c").alias("cl"))
@@ -106,6 +109,7 @@ def compared(rows: DataFrame, by_type: bool = False) -> DataFrame:
     pairs = a.join(b, "question_id").where(F.col("left") < F.col("right"))  # systems are few
     out = pairs.groupBy(*key, "left", "right").agg(F.count(F.lit(1)).alias("n"), F.avg("cl").alias("accuracy_left"), F.avg("cr").alias("accuracy_right"), F.count_if(F.col("cl") > F.col("cr")).alias("only_left"), F.count_if(F.col("cr") > F.col("cl")).alias("only_right"))
     out = out.withColumn("p", evaluation.mcnemar_exact(F.col("only_left"), F.col("only_right"))).withColumn("low_n", F.col("n") < LOW_N)
+    out = scratch.save(out)  # few rows, which the adjustment reads as well
     label = F.concat_ws(" vs ", "left", "right") if not by_type else F.concat_ws(" vs ", "left", "right", "question_type")
     adjusted = evaluation.holm(out.select(label.alias("label"), "p")).select("label", "adjusted")
     return out.withColumn("label", label).join(adjusted, "label").drop("label")

@@ -230,3 +230,15 @@ def test_rules_are_tried_where_they_can_fit(spark):
     assert all((r.j, r.s) == (r.junk, r.shape) for r in rows) and {r.s for r in rows} == {None, *text.SECRET_SHAPES} and {r.j for r in rows} == {None, "empty", "too long", "thin"}
     plan = df.select(upkeep.admission(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
     assert "[^A-Za-z0-9], " not in plan  # no text is replaced character by character
+
+
+def test_compared_reads_its_rows_once(spark):
+    from recallspark.operators import runs
+
+    rows = [(s, q, "a" if q % 2 else "b", (q * 7 + i) % 3 > 0) for q in range(60) for i, s in enumerate(("x", "y", "z")) if q % 9 or i]
+    graded = spark.createDataFrame(rows, "system string, question_id long, question_type string, correct boolean")
+    out = runs.compared(graded, by_type=True)
+    assert len(out.inputFiles()) < 3 and "question_id" not in out._jdf.queryExecution().optimizedPlan().toString()  # the grades are not gone through again
+    right, got = {(s, q): c for s, q, _, c in rows}, {(r["question_type"], r["left"], r["right"]): (r["n"], r["only_left"]) for r in out.collect()}
+    asked = lambda t: [q for q in range(60) if q % 9 and ("a" if q % 2 else "b") == t]
+    assert got == {(t, a, b): (len(asked(t)), sum(right[a, q] and not right[b, q] for q in asked(t))) for t in "ab" for a, b in ("xy", "xz", "yz")}
