@@ -9,9 +9,11 @@ depends only on the last ``depth`` bytes and the byte, so texts are scored by th
 of that length. Counts of those strings and of words cover all training documents and nothing is
 pruned: blocks of documents count their own and send packed arrays to shards, which add them up; the
 strings of a shard end their contexts in the same pairs of bytes, so that it holds whole subtrees
-below depth 1. Shards become more as the corpus grows. Probabilities, in single precision, go back to
-the blocks shard by shard. No table that grows with the corpus is broadcast or collected; of the trees
-only depths 0 and 1 (at most 257 * 255 nodes) pass through the driver.
+below depth 1. Shards become more as the corpus grows, and one that holds more than ``MOST_KEYS`` strings is
+split: pairs are dealt anew, and a pair that alone holds so many goes by three bytes, by four and so on.
+Probabilities, in single precision, go back to the blocks as a stream past each shard's own. No table that
+grows with the corpus is broadcast; of the trees only depths 0 and 1 (at most 257 * 255 nodes) and the contexts
+that were split (255 nodes each) pass through the driver.
 
 Defined results: null text is empty; an empty text has its end token alone and a model score of 0;
 before a text's first byte the context is zero bytes; repeated rows count repeatedly, and rows that
@@ -40,8 +42,8 @@ DEPTH, MODULUS, BLOCK_BYTES = 6, 10, 16 << 20
 #: Text bytes of a block that are counted or looked up at a time, and counts that wait to be added up.
 SLICE_BYTES, WAITING = 1 << 20, 4_000_000
 #: Shards of strings and of words at least and at most (powers of two), text bytes to a shard between,
-#: and blocks that share a copy of a shard's values.
-SHARDS, MOST_SHARDS, SHARD_BYTES, GROUP_BLOCKS = 256, 1 << 16, 64 << 20, 64
+#: and strings of all blocks from which a shard of strings is split, into so many parts at most.
+SHARDS, MOST_SHARDS, SHARD_BYTES, MOST_KEYS, MOST_PARTS = 256, 1 << 16, 64 << 20, 4_000_000, 1024
 #: The end token's key among word hashes.
 END_KEY = xxhash.xxh3_64_intdigest(b"\n") - (1 << 63)
 
@@ -134,13 +136,36 @@ def shard_of(keys: np.ndarray, word: bool, depth: int, shards: int) -> np.ndarra
     return ((keys >> 8 * (depth - 1) & 0xFFFF) * 0x9E3779B1 >> 16) & (shards - 1)
 
 
-def _sharded(keys: np.ndarray, counts: np.ndarray, word: bool, depth: int, shards: int) -> list[tuple[bool, int, bytes, bytes]]:
-    """(word, shard, keys, counts) of sorted keys, packed by shard."""
-    shard = shard_of(keys, word, depth, shards).astype(np.uint16)
+def _dealt(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> list[tuple[int, bytes, bytes]]:
+    """(shard, keys, counts) of sorted keys, packed by shard."""
     order = np.argsort(shard, kind="stable")
     keys, counts, shard = keys[order], counts[order], shard[order]
     cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))[: len(shard)], len(shard))
-    return [(word, int(shard[a]), pack_keys(keys[a:b]), pack(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+    return [(int(shard[a]), pack_keys(keys[a:b]), pack(counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _sharded(keys: np.ndarray, counts: np.ndarray, word: bool, depth: int, shards: int) -> list[tuple[bool, int, bytes, bytes]]:
+    return [(word, *row) for row in _dealt(keys, counts, shard_of(keys, word, depth, shards).astype(np.uint16))]
+
+
+def context_of(keys: np.ndarray, k: int, depth: int) -> np.ndarray:
+    """The last ``k`` bytes of the strings' contexts, the nearest highest."""
+    return keys >> 8 * (depth + 1 - k)
+
+
+def depth_of(shard: int) -> int:
+    """Bytes of context by which the strings of a shard were dealt."""
+    return shard >> 16 & 15 or 2
+
+
+def part_of(keys: np.ndarray, shard: int, parts: int, split: dict[int, np.ndarray], depth: int) -> np.ndarray:
+    """Shards of the strings of a shard that is split; ``split``: sorted contexts of 2, 3, ... bytes that are dealt by one byte more."""
+    k = np.full(len(keys), 2)
+    for d in sorted(split):
+        k[(k == d) & np.isin(context_of(keys, d, depth), split[d])] = d + 1
+    unit = keys >> 8 * (depth + 1 - k)
+    mixed = unit.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)
+    return shard | k << 16 | (mixed.astype(np.int64) & (parts - 1)) << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -212,47 +237,65 @@ def _parent(keys: np.ndarray) -> np.ndarray:
     return keys >> 16 << 8 | keys & 255
 
 
-def _levels(gram: np.ndarray, count: np.ndarray, depth: int, j: int) -> Iterator[tuple[_Level, np.ndarray]]:
-    """Levels ``depth`` to 2 of the trees of one decision, and each string's node there; ``gram`` ascends."""
+def _levels(gram: np.ndarray, count: np.ndarray, depth: int, j: int, least: int) -> Iterator[tuple[_Level, np.ndarray]]:
+    """Levels ``depth`` to ``least`` of the trees of one decision, and each string's node there; ``gram`` ascends."""
     place, bit = _decision(gram, j)
     level = _Level((gram >> 8) << 8 | place, count * (bit == 0), count * (bit == 1), None, ascending=True)
     at = level.inverse
     yield level, at
-    for _ in range(depth - 2):
+    for _ in range(depth - least):
         level = _Level(_parent(level.keys), level.zeros, level.ones, level.weighted)
         at = level.inverse[at]
         yield level, at
 
 
-def _shard_tops(gram: np.ndarray, count: np.ndarray, depth: int) -> pa.RecordBatch:
-    """Nodes of depth 2 of a shard: (last, key, zeros, ones, weighted)."""
+def _shard_tops(gram: np.ndarray, count: np.ndarray, depth: int, least: int) -> pa.RecordBatch:
+    """Nodes of depth ``least`` of a shard dealt by so many bytes: (level, last, key, zeros, ones, weighted); last: the parent's context."""
     tops = []
     for j in range(8):
-        for level, _ in _levels(gram, count, depth, j):
+        for level, _ in _levels(gram, count, depth, j, least):
             pass
         tops.append(level)
     key, zeros, ones, weighted = (np.concatenate([getattr(x, k) for x in tops]) for k in ("keys", "zeros", "ones", "weighted"))
-    return pa.RecordBatch.from_pydict({"last": key >> 16, "key": key, "zeros": zeros, "ones": ones, "weighted": weighted})
+    return pa.RecordBatch.from_pydict({"level": np.full(len(key), least, np.int32), "last": key >> 16, "key": key, "zeros": zeros, "ones": ones, "weighted": weighted})
 
 
-def _first_level(table: pa.Table) -> pa.Table:
-    """Sums of the nodes of depth 2 at their parents of depth 1, in the order of the keys."""
+def _parents(table: pa.Table) -> pa.Table:
+    """Sums of the nodes of one depth at their parents, in the order of the keys."""
     table = table.sort_by("key")
     key, zeros, ones, weighted = (table.column(c).to_numpy() for c in ("key", "zeros", "ones", "weighted"))
     parent, inverse = np.unique(_parent(key), return_inverse=True)
-    return pa.table({"key": parent} | {k: np.bincount(inverse, x, len(parent)) for k, x in (("zeros", zeros), ("ones", ones), ("below", weighted))})
+    level = np.full(len(parent), table.column("level")[0].as_py() - 1, np.int32)
+    return pa.table({"level": level, "key": parent} | {k: np.bincount(inverse, x, len(parent)) for k, x in (("zeros", zeros), ("ones", ones), ("below", weighted))})
+
+
+def _upper_levels(sums: pa.Table) -> list[_Level]:
+    """The nodes above all shards, by depth from 0 on, of what the shards add to their parents."""
+    sums = sums.sort_by([("level", "ascending"), ("key", "ascending")])
+    depth, *columns = (sums.column(c).to_numpy() for c in ("level", "key", "zeros", "ones", "below"))
+    out: list[_Level] = []
+    above: _Level | None = None
+    for d in range(int(depth.max(initial=1)), -1, -1):
+        own = [x[depth == d] for x in columns]
+        if above is not None:  # split contexts add to theirs what shards can't
+            own = [np.concatenate(x) for x in zip(own, (_parent(above.keys) if d else above.keys & 255, above.zeros, above.ones, above.weighted))]
+        above = _Level(*own)
+        out.insert(0, above)
+    return out
 
 
-def _shard_scores(gram: np.ndarray, count: np.ndarray, depth: int, first: _Level, root: _Level) -> np.ndarray:
+def _shard_scores(gram: np.ndarray, count: np.ndarray, depth: int, upper: list[_Level], least: int) -> np.ndarray:
     """log10 probability of each string's last byte after its context."""
     out = np.zeros(len(gram))
     for j in range(8):
         place, bit = _decision(gram, j)
         p = None
-        for level, at in _levels(gram, count, depth, j):
+        for level, at in _levels(gram, count, depth, j, least):
             p = level.mixed(at, bit, p)
-        p = first.mixed(np.searchsorted(first.keys, gram >> 8 * depth << 8 | place), bit, p)
-        out += np.log10(root.mixed(np.searchsorted(root.keys, place), bit, p))
+        for d in range(least - 1, -1, -1):
+            key = context_of(gram, d, depth) << 8 | place if d else place
+            p = upper[d].mixed(np.searchsorted(upper[d].keys, key), bit, p)
+        out += np.log10(p)
     return out
 
 
@@ -271,19 +314,18 @@ def _shard_values(sums: DataFrame, depth: int) -> DataFrame:
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
-            for key, n in zip(rb.column("key").to_pylist(), rb.column("n").to_pylist()):
-                yield _shard_tops(unpack_keys(key), unpack(n), depth)
+            for shard, key, n in zip(*(rb.column(c).to_pylist() for c in ("shard", "key", "n"))):
+                yield _shard_tops(unpack_keys(key), unpack(n), depth, depth_of(shard))
 
-    tops = sums.select("key", "n").mapInArrow(top, "last long, key long, zeros double, ones double, weighted double")
-    rows = tops.groupBy("last").applyInArrow(_first_level, "key long, zeros double, ones double, below double").toArrow()  # at most 256 * 255 rows
-    rows = rows.sort_by("key")
-    first = _Level(*(rows.column(c).to_numpy() for c in ("key", "zeros", "ones", "below")))
-    root = _Level(first.keys & 255, first.zeros, first.ones, first.weighted)
+    tops = sums.select("shard", "key", "n").mapInArrow(top, "level int, last long, key long, zeros double, ones double, weighted double")
+    place = F.pmod("key", F.lit(16))  # nodes of a common last byte meet in several groups
+    added_up = tops.groupBy("level", "last", place).applyInArrow(_parents, "level int, key long, zeros double, ones double, below double")
+    upper = _upper_levels(added_up.toArrow())  # at most 256 * 255 rows, and 255 for each context that was split
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in batches:
             for shard, key, n in zip(*(rb.column(c).to_pylist() for c in ("shard", "key", "n"))):
-                value = _shard_scores(unpack_keys(key), unpack(n), depth, first, root)
+                value = _shard_scores(unpack_keys(key), unpack(n), depth, upper, depth_of(shard))
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "key": [key], "value": [pack(value.astype(np.float32))]})
 
     return sums.select("shard", "key", "n").mapInArrow(score, "shard int, key binary, value binary")
@@ -313,8 +355,11 @@ def _words(part: pa.RecordBatch) -> list[list[bytes]]:
     return [raw[a:b].lower().split() for a, b in zip(offsets[:-1], offsets[1:])]
 
 
+_COUNTED = "block long, word boolean, shard int, key binary, n binary, size long"
+
+
 def _count_block(table: pa.Table, depth: int, shards: int) -> pa.Table:
-    """(block, word, shard, key, n): strings and words of a block, with their counts in training texts."""
+    """(block, word, shard, key, n, size): strings and words of a block, with their counts in training texts, and how many there are."""
     strings, words = _Sum(), _Sum()
     for part in small_slices(iter(table.to_batches()), "text", SLICE_BYTES):
         flat, offsets = text_bytes(part, "text")
@@ -332,17 +377,60 @@ def _count_block(table: pa.Table, depth: int, shards: int) -> pa.Table:
     rows = _sharded(*strings.total(), False, depth, shards) + _sharded(*words.total(), True, depth, shards)
     word, shard, key, n = zip(*rows)
     block = table.column("block")[0].as_py()
-    return pa.table({"block": np.full(len(rows), block, np.int64), "word": list(word), "shard": pa.array(shard, pa.int32()), "key": list(key), "n": list(n)})
+    size = [int.from_bytes(k[:8], "little") for k in key]
+    return pa.table({"block": np.full(len(rows), block, np.int64), "word": list(word), "shard": pa.array(shard, pa.int32()), "key": list(key), "n": list(n), "size": pa.array(size, pa.int64())})
+
+
+def _split_shards(counted: DataFrame, depth: int, most_keys: int) -> DataFrame:
+    """``counted`` with the shards of strings that hold more than ``most_keys`` of all blocks split."""
+    strings = counted.where("not word")
+    sizes = strings.groupBy("shard").agg(F.sum("size").alias("size")).where(F.col("size") > most_keys).collect()
+    parts = {r["shard"]: min(MOST_PARTS, 1 << math.ceil(r["size"] / most_keys - 1).bit_length()) for r in sizes}
+    if not parts:
+        return counted
+    crowded = F.col("shard").isin(list(parts))
+    split: dict[int, np.ndarray] = {}
+
+    def counts(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rb in batches:
+                for key in rb.column("key").to_pylist():
+                    key = unpack_keys(key)
+                    if k > 2:
+                        key = key[np.isin(context_of(key, k - 1, depth), split[k - 1])]
+                    context, n = np.unique(context_of(key, k, depth), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"context": context, "n": n.astype(np.int64)})
+
+        return run
+
+    for k in range(2, depth):
+        rows = strings.where(crowded).select("key").mapInArrow(counts(k), "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+        found = rows.where(F.col("n") > most_keys).collect()
+        if not found:
+            break
+        split[k] = np.sort(np.array([r["context"] for r in found], np.int64))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            for block, shard, key, n in zip(*(rb.column(c).to_pylist() for c in ("block", "shard", "key", "n"))):
+                key = unpack_keys(key)
+                own, keys, counts = zip(*_dealt(key, unpack(n), part_of(key, shard, parts[shard], split, depth)))
+                size = [int.from_bytes(k[:8], "little") for k in keys]
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(own), pa.int64()), "word": [False] * len(own), "shard": pa.array(own, pa.int32()), "key": list(keys), "n": list(counts), "size": pa.array(size, pa.int64())})
 
+    return counted.where(F.col("word") | ~crowded).union(strings.where(crowded).mapInArrow(deal, _COUNTED))
 
-def _look_up(table: pa.Table) -> pa.Table:
-    """(block, word, key, value) of the blocks' rows of a shard, by its row without a block."""
-    block, word, key, value = (table.column(c).to_pylist() for c in ("block", "word", "key", "value"))
-    at = block.index(None)
-    keys, values = unpack_keys(key[at]), unpack_values(value[at], word[at])
-    own = [i for i, b in enumerate(block) if b is not None]
-    found = [pack(values[np.searchsorted(keys, unpack_keys(key[i]))]) for i in own]
-    return pa.table({"block": pa.array([block[i] for i in own], pa.int64()), "word": [word[i] for i in own], "key": pa.array([key[i] for i in own], pa.binary()), "value": pa.array(found, pa.binary())})
+
+def _look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, word, key, value) of the blocks' rows of each shard, which follow its row without a block."""
+    keys = values = None
+    for rb in batches:
+        for block, word, key, value in zip(*(rb.column(c).to_pylist() for c in ("block", "word", "key", "value"))):
+            if block is None:
+                keys, values = unpack_keys(key), unpack_values(value, word)
+                continue
+            found = pack(values[np.searchsorted(keys, unpack_keys(key))])
+            yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "word": [word], "key": pa.array([key], pa.binary()), "value": pa.array([found], pa.binary())})
 
 
 def _known(table: pa.Table, word: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -399,7 +487,7 @@ _SCORE_TYPES = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int
 _SCORE_SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
 
-def score_texts(docs: DataFrame, depth: int = DEPTH, modulus: int = MODULUS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_texts(docs: DataFrame, depth: int = DEPTH, modulus: int = MODULUS, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", most_keys: int = MOST_KEYS) -> DataFrame:
     """Scores of every row by models learnt from the rows that the split doesn't hold out."""
     spark = docs.sparkSession
     ensure_on_executors(spark)
@@ -410,9 +498,10 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, modulus: int = MODULUS, blo
     shards = min(MOST_SHARDS, max(SHARDS, 1 << math.ceil(size / SHARD_BYTES).bit_length()))
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))
     dealt = source.select("doc_id", "text", held_out("doc_id", modulus).alias("held_out"), block.alias("block"))
-    counted = scratch.save(dealt.groupBy("block").applyInArrow(lambda t: _count_block(t, depth, shards), "block long, word boolean, shard int, key binary, n binary"))
+    counted = scratch.save(dealt.groupBy("block").applyInArrow(lambda t: _count_block(t, depth, shards), _COUNTED), large_rows=True)
     scratch.release_shuffles()
-    sums = scratch.save(counted.select("word", "shard", "key", "n").groupBy("word", "shard").applyInArrow(_add_shard, "word boolean, shard int, key binary, n binary"))
+    counted = _split_shards(counted, depth, most_keys)
+    sums = scratch.save(counted.select("word", "shard", "key", "n").groupBy("word", "shard").applyInArrow(_add_shard, "word boolean, shard int, key binary, n binary"), large_rows=True)
     scratch.release_shuffles()
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -421,15 +510,15 @@ def score_texts(docs: DataFrame, depth: int = DEPTH, modulus: int = MODULUS, blo
                 n = unpack(n)
                 yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "key": [key], "value": [pack(n.astype(float))], "tokens": [int(n.sum())], "seen": [int((n > 0).sum())]})
 
-    counts = scratch.save(sums.where("word").select("shard", "key", "n").mapInArrow(words, "shard int, key binary, value binary, tokens long, seen long"))
+    counts = scratch.save(sums.where("word").select("shard", "key", "n").mapInArrow(words, "shard int, key binary, value binary, tokens long, seen long"), large_rows=True)
     train_tokens, distinct = counts.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("seen"), F.lit(0))).first()
-    strings = scratch.save(_shard_values(sums.where("not word"), depth))
+    strings = scratch.save(_shard_values(sums.where("not word"), depth), large_rows=True)
     scratch.drop(sums)
     values = counts.select(F.lit(True).alias("word"), "shard", "key", "value").union(strings.select(F.lit(False).alias("word"), "shard", "key", "value"))
-    groups = F.explode(F.array(*[F.lit(i).cast("long") for i in range((blocks - 1) // GROUP_BLOCKS + 1)]))
-    values = values.select(F.lit(None).cast("long").alias("block"), "word", "shard", "key", "value", groups.alias("part"))
-    asked = counted.select("block", "word", "shard", "key", F.lit(None).cast("binary").alias("value"), F.floor(F.col("block") / GROUP_BLOCKS).alias("part"))
-    known = asked.union(values).groupBy("word", "shard", "part").applyInArrow(_look_up, "block long, word boolean, key binary, value binary")
+    values = values.select(F.lit(None).cast("long").alias("block"), "word", "shard", "key", "value")
+    asked = counted.select("block", "word", "shard", "key", F.lit(None).cast("binary").alias("value"))
+    lined_up = asked.union(values).repartition("word", "shard").sortWithinPartitions("word", "shard", F.col("block").asc_nulls_first())
+    known = lined_up.select("block", "word", "key", "value").mapInArrow(_look_up, "block long, word boolean, key binary, value binary")
 
     def score(texts: pa.Table, table: pa.Table) -> pa.Table:
         return _score_block(texts, table, depth, train_tokens, distinct)

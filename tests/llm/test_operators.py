@@ -390,3 +390,30 @@ def test_sample_passes_over_texts_that_do_not_fit(spark):
     docs = spark.createDataFrame([(i, "é" * (n // 2), "x") for i, n in sizes.items()], DOC)
     texts, labels = toxicity.labelled_sample(docs, y, "toxic", most_bytes=2000)
     assert len(texts) == len(labels) == sum(n == 10 for n in sizes.values()) and set(labels) == {0, 1}
+
+
+@pytest.mark.parametrize("depth", [2, 3, 6])
+def test_crowded_shards_of_a_context_tree_are_split(spark, monkeypatch, depth):
+    rng = np.random.default_rng(7)
+    texts = ["".join(c + d + "e " for c, d in rng.choice(list("abcdfg"), (40, 2))) for _ in range(12)] + ["", None, "xe xe"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = slow_tree([lower(t).encode() for i, t in enumerate(texts) if crc32(str(i).encode()) % 10], depth)
+    saved, save = [], context_tree.Scratch.save
+    monkeypatch.setattr(context_tree.Scratch, "save", lambda self, df, *a, **k: saved.append(save(self, df, *a, **k)) or saved[-1])
+
+    def shards():
+        own = [df for df in saved if df.columns == ["shard", "key", "value"]][-1].collect()  # of the strings
+        return {r.shard: len(context_tree.unpack_keys(r.key)) for r in own}
+
+    whole = {r.doc_id: r for r in context_tree.score_texts(rows, depth=depth, block_bytes=400).collect()}
+    before = shards()
+    got = {r.doc_id: r for r in context_tree.score_texts(rows, depth=depth, block_bytes=400, most_keys=20).collect()}
+    after = shards()
+    assert sum(after.values()) == sum(before.values())
+    if depth > 2:  # "e " goes before six letters, and any of six before it
+        assert max(after.values()) < max(before.values()) and {context_tree.depth_of(s) for s in after} >= {2, 3}
+    if depth == 6:
+        assert max(before.values()) > 100 and max(after.values()) <= 40
+    for i, t in enumerate(texts):
+        assert abs(got[i].score - score(lower(t).encode())) < 1e-4
+        assert got[i].base_score == whole[i].base_score and (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (whole[i].n_tokens, whole[i].n_known, whole[i].train_tokens)
