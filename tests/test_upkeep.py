@@ -78,6 +78,23 @@ def test_a_crowded_group_takes_few_rounds(spark, monkeypatch):
     assert got == want and len(set(got.values())) > 2500
 
 
+def test_families_make_only_nodes_that_a_text_needs(spark, monkeypatch):
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, *a, **k: saved.append(save(self, *a, **k)) or saved[-1])
+    stem = "the same opening of all texts, and more of it. " * 40
+    rows = [(i, "/p", "note", stem[:n] + e, 0.1, i, 0, False, 5, None) for i, (n, e) in enumerate(((1800, ""), (1790, "x"), (1700, "é"), (900, "")))]
+    got = {r.id: r.keeper for r in upkeep.lexical_families(spark.createDataFrame(rows, ROWS)).collect()}
+    assert got == _families(rows, 0.95)
+    nodes = next(df for df in saved if df.columns == ["cls", "node", "own"])
+    assert nodes.where("own").count() == 4 and nodes.count() <= 16  # not each of some 90 prefixes of a text
+
+
+def test_needed_prefixes_of_columns(spark):
+    for threshold in (0.95, 0.7, 0.97, 1.0):
+        rows = spark.range(3000).select("id", upkeep.needed_prefix_of(F.col("id").cast("int"), threshold).alias("k")).collect()
+        assert all(r.k == upkeep.needed_prefix(r.id, threshold) for r in rows)
+
+
 def test_families_of_nothing_and_of_copies(spark):
     assert upkeep.lexical_families(spark.createDataFrame([], ROWS)).count() == 0
     copies = [(i, "/p", "note", "same text " * 9, 0.1, 0, 0, False, 5, None) for i in range(300)]
