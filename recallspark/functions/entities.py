@@ -29,6 +29,10 @@ ENTITY_RULES = (
 ENTITY_NEEDS = ("/", "*.", "function", "const", "(", "class", "interface", "type", "`", (r"\p{Upper}[\p{Upper}\p{Digit}_]{2}",), "#", "import", "require(", "://", "Error:")
 MOST_ENTITIES = 30
 
+#: Spaces of Unicode (Zs), which the twin's trim takes off. The two letters that Java lowers to more than one character, or by their place.
+_SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+_ALONE = ("İΣ", "iσ")
+
 #: Words that a query for entities passes over.
 ENTITY_STOPWORDS = (
     "the", "and", "for", "from", "this", "that", "with", "was", "were", "are",
@@ -38,17 +42,23 @@ ENTITY_STOPWORDS = (
 )
 
 
+def _as_re2(pattern: str) -> str:
+    r"""The pattern for Java, as RE2 reads it: ``\s`` is no vertical tab, and lines end at a line feed only."""
+    spaces = r"\t\n\f\r "
+    return ascii_bounds(pattern).replace(r"[^\s", f"[^{spaces}").replace(r"\s", f"[{spaces}]").replace("(?m)", "(?md)")
+
+
 def entities(text: Column) -> Column:
     """Array of (entity_text, entity_type), at most thirty; the first of spellings that differ in case stays."""
 
     def found(kind: str, pattern: str, group: int, need: str | tuple[str]) -> Column:
-        hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(ascii_bounds(pattern)), F.lit(group))
+        hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_as_re2(pattern)), F.lit(group))
         needed = text.contains(need) if isinstance(need, str) else text.rlike(need[0])
         hits = F.when(needed, hits).otherwise(F.array().cast("array<string>"))
-        return F.transform(hits, lambda x: F.struct(F.trim(x).alias("entity_text"), F.lit(kind).alias("entity_type")))
+        return F.transform(hits, lambda x: F.struct(F.trim(x, F.lit(_SPACES)).alias("entity_text"), F.lit(kind).alias("entity_type")))
 
     every = F.filter(F.flatten(F.array(*[found(*rule, need) for rule, need in zip(ENTITY_RULES, ENTITY_NEEDS, strict=True)])), lambda e: e["entity_text"] != "")
-    keys = lambda found: F.transform(found, lambda e: F.lower(e["entity_text"]))
+    keys = lambda found: F.transform(found, lambda e: F.lower(F.translate(e["entity_text"], *_ALONE)))
     first = lambda found, k: F.transform(F.slice(F.array_distinct(k), 1, MOST_ENTITIES), lambda x: F.get(found, (F.array_position(k, x) - 1).cast("int")))
     return once(every, lambda found: once(keys(found), lambda k: first(found, k)))
 

@@ -259,3 +259,9 @@ def test_compared_reads_its_rows_once(spark):
     right, got = {(s, q): c for s, q, _, c in rows}, {(r["question_type"], r["left"], r["right"]): (r["n"], r["only_left"]) for r in out.collect()}
     asked = lambda t: [q for q in range(60) if q % 9 and ("a" if q % 2 else "b") == t]
     assert got == {(t, a, b): (len(asked(t)), sum(right[a, q] and not right[b, q] for q in asked(t))) for t in "ab" for a, b in ("xy", "xz", "yz")}
+
+
+def test_entities_of_odd_spaces_are_those_of_sql(spark):
+    text_ = "https://ac.org/o\x0bx fetchUser\x0b( \u2028#other\r#made\nError: bad\xa0\n`İx` Error: ix \nError: İx"
+    rows = spark.createDataFrame([(text_,)], "t string").select(F.explode(entities(F.col("t"))).alias("e")).select("e.*").collect()
+    assert [tuple(r) for r in rows] == [("#made", "symbol"), ("https://ac.org/o\x0bx", "url"), ("Error: bad", "error"), ("Error: ix", "error")]
