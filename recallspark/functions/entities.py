@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from recallspark.functions.text import ascii_bounds, once
+from recallspark.functions.text import as_re2, once
 
 #: Fixed values: (type, pattern, group) in the order in which they are tried.
 ENTITY_RULES = (
@@ -42,17 +42,11 @@ ENTITY_STOPWORDS = (
 )
 
 
-def _as_re2(pattern: str) -> str:
-    r"""The pattern for Java, as RE2 reads it: ``\s`` is no vertical tab, and lines end at a line feed only."""
-    spaces = r"\t\n\f\r "
-    return ascii_bounds(pattern).replace(r"[^\s", f"[^{spaces}").replace(r"\s", f"[{spaces}]").replace("(?m)", "(?md)")
-
-
 def entities(text: Column) -> Column:
     """Array of (entity_text, entity_type), at most thirty; the first of spellings that differ in case stays."""
 
     def found(kind: str, pattern: str, group: int, need: str | tuple[str]) -> Column:
-        hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_as_re2(pattern)), F.lit(group))
+        hits = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(as_re2(pattern)), F.lit(group))
         needed = text.contains(need) if isinstance(need, str) else text.rlike(need[0])
         hits = F.when(needed, hits).otherwise(F.array().cast("array<string>"))
         return F.transform(hits, lambda x: F.struct(F.trim(x, F.lit(_SPACES)).alias("entity_text"), F.lit(kind).alias("entity_type")))

@@ -265,3 +265,20 @@ def test_entities_of_odd_spaces_are_those_of_sql(spark):
     text_ = "https://ac.org/o\x0bx fetchUser\x0b( \u2028#other\r#made\nError: bad\xa0\n`İx` Error: ix \nError: İx"
     rows = spark.createDataFrame([(text_,)], "t string").select(F.explode(entities(F.col("t"))).alias("e")).select("e.*").collect()
     assert [tuple(r) for r in rows] == [("#made", "symbol"), ("https://ac.org/o\x0bx", "url"), ("Error: bad", "error"), ("Error: ix", "error")]
+
+
+def test_admission_refuses_bursts(spark):
+    long = "the nightly drill of the queue ends with this very line "
+    stored = [(i, "/a" if i < 20 else "/b", "note", f"{long}{i}", i == 3, 0.5, 0, 1000 + i, None) for i in [*range(1, 8), *range(21, 26)]]
+    stored += [(30 + i, "/a", "fact", f"{long}{i}", False, 0.5, 0, -i * 700_000_000, None) for i in range(5)] + [(40 + i, "/c", "note", f"{long}{i}", False, 0.5, 0, 1000, 5 if i == 0 else None) for i in range(5)]
+    stored = spark.createDataFrame(stored, "id long, namespace string, type string, content string, pinned boolean, importance double, access_count int, created_at long, archived_at long")
+    # 25 is superseded from its own namespace, so four of /b are left; the link from /b leaves all of /a
+    links = spark.createDataFrame([(24, 25, "supersedes", 0.9), (21, 1, "supersedes", 0.9), (1, 2, "supersedes", 0.5)], "source_id long, target_id long, link_type string, confidence double")
+    texts = [("/a", "note", long), ("/b", "note", long), ("/a", "fact", long), ("/c", "note", long), ("/a", "note", long + "AKIA" + "A" * 16), ("/a", "note", long + "no issues found"), ("/a", "note", "ok"), (None, "note", long), ("/a", "note", None)]
+    writes = spark.createDataFrame([(i, *t, []) for i, t in enumerate(texts)], "id int, namespace string, type string, content string, tags array<string>")
+    got = {r.id: (r.action, r.rule, r.existing_id) for r in upkeep.admitted(writes, stored, links, 1000).collect()}
+    assert [got[i] for i in range(9)] == [("reject", "burst", 3), ("allow", None, None), ("allow", None, None), ("allow", None, None), ("reject", "secrets", None), ("reject", "burst", 3), ("warn", "junk", None), ("allow", None, None), ("reject", "junk", None)]
+    mild = {r.id: (r.action, r.rule, r.warnings) for r in upkeep.admitted(writes, stored, links, 1000, by_agent=F.lit(False)).collect()}
+    assert (mild[0], mild[4], mild[5]) == (("warn", "burst", ["burst"]), ("reject", "secrets", []), ("warn", "negative-result", ["negative-result", "burst"]))
+    tagged = spark.createDataFrame([(1, "/z", "note", "a plain sentence", ["AKIA" + "A" * 16])], writes.schema)
+    assert upkeep.admitted(tagged, stored, links, 1000).first().rule == "secrets"
