@@ -282,3 +282,16 @@ def test_admission_refuses_bursts(spark):
     assert (mild[0], mild[4], mild[5]) == (("warn", "burst", ["burst"]), ("reject", "secrets", []), ("warn", "negative-result", ["negative-result", "burst"]))
     tagged = spark.createDataFrame([(1, "/z", "note", "a plain sentence", ["AKIA" + "A" * 16])], writes.schema)
     assert upkeep.admitted(tagged, stored, links, 1000).first().rule == "secrets"
+
+
+def test_mcnemar_of_large_counts(spark):
+    from math import comb
+
+    pairs = [(0, 0), (0, 1), (3, 3), (1, 9), (0, 40), (12, 30), (15, 16), (200, 260), (1500, 1500), (1200, 1400)]
+    exact = [min(1.0, 2 * sum(comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c)) for b, c in pairs]
+    df = spark.createDataFrame([*pairs, (39_390, 39_342), (4_000_000, 3_996_000), (3_000_000_000, 2_999_800_000)], "b long, c long")
+    p = [r.p for r in df.select(evaluation.mcnemar_exact(F.col("b"), F.col("c")).alias("p")).collect()]
+    assert p[: len(exact)] == pytest.approx(exact, rel=1e-12)
+    # of large counts the normal tail with continuity is near
+    normal = lambda b, c: math.erfc((abs(b - c) - 1) / math.sqrt(2 * (b + c)))
+    assert p[len(exact) :] == pytest.approx([normal(39_390, 39_342), normal(4_000_000, 3_996_000), normal(3_000_000_000, 2_999_800_000)], rel=1e-3)
